@@ -1,0 +1,6 @@
+"""No streaming operator is provided: every operator here works on bounded tables.
+
+The row-wise functions in ``gistmill.functions`` are plain Column expressions,
+so they can be used on a ``readStream`` DataFrame as they are
+(``tests/test_streaming.py`` shows it).
+"""
