@@ -31,8 +31,8 @@ def vocabulary(texts: DataFrame, text: str) -> DataFrame:
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    ranked = rank_rows(counts, [F.col("n").desc(), F.col("token")], out="_rank")
-    return ranked.select("token", "n", (F.col("_rank") - 1).alias("token_id"))
+    ranked = rank_rows(counts, [F.col("n").desc(), F.col("token")], out="rank")
+    return ranked.select("token", "n", (F.col("rank") - 1).alias("token_id"))
 
 
 def look_up_tokens(
