@@ -8,10 +8,9 @@ numbers. They are kept together here so that they can be checked at a glance.
 # --- Whitespace -------------------------------------------------------------
 # The 29 code points that Unicode (and so str.split()) counts as whitespace.
 # Java's \s has only six of them. Contents of a character class, no brackets.
-WS_CHARS = (
-    r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
+WS_LATIN = r"\t\n\x{0b}\f\r\x{1c}\x{1d}\x{1e}\x{1f} \x{85}\x{a0}"
+WS_OTHER = r"\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WS_CHARS = WS_LATIN + WS_OTHER
 WS = f"[{WS_CHARS}]"
 
 # --- Corpus preparation -----------------------------------------------------

@@ -1,9 +1,10 @@
 """Porter stemming inside tasks: a small per-word helper behind an Arrow UDF.
 
 Texts stay whole rows, so stemming needs no shuffle and no join on (very
-unevenly spread) words; each Python worker remembers the words it has seen.
+unevenly spread) words; each task remembers the words it has seen.
 """
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -89,7 +90,6 @@ def _final_letters(word: str) -> str:
     return word[:-1] if word.endswith("ll") and _measure(word[:-1]) > 1 else word
 
 
-@lru_cache(maxsize=500_000)
 def porter_stem(word: str) -> str:
     """Stem of a lower-case word."""
     if word in fx.STEM_EXCEPTIONS:
@@ -105,10 +105,12 @@ def porter_stem(word: str) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def stem_words(texts: pd.Series) -> pd.Series:
+def stem_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Stem every long enough word of space-separated texts."""
-    return texts.map(
-        lambda text: " ".join(
-            porter_stem(word) if len(word) >= fx.STEM_MIN_CHARS else word for word in text.split(" ")
-        )
-    )
+    stem = lru_cache(maxsize=500_000)(porter_stem)
+
+    def stem_text(text: str) -> str:
+        return " ".join(stem(word) if len(word) >= fx.STEM_MIN_CHARS else word for word in text.split(" "))
+
+    for texts in batches:
+        yield texts.map(stem_text)

@@ -91,6 +91,6 @@ def sample_rows(df: DataFrame, k: int, seed: int = fx.EXAMPLE_SEED, key: str = "
     return picked
 
 
-def assign_batches(df: DataFrame, batch_size: int, position: str = "position", by: Sequence[str] = ()) -> DataFrame:
+def assign_batches(df: DataFrame, batch_size: int, position: str = "position") -> DataFrame:
     """Consecutive rows share a ``batch_id``; only the last batch may be short."""
     return df.withColumn("batch_id", F.floor((F.col(position) - 1) / batch_size).cast("bigint"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gistmill import fixed_values as fx
 from gistmill.functions.text import ellipsize, word_count
 from gistmill.operators.ordering import sample_rows
+from gistmill.session import materialize
 
 
 def text_lengths(records: DataFrame, length: Callable[[Column], Column] = word_count) -> DataFrame:
@@ -134,7 +135,7 @@ def example_rows(records: DataFrame, k: int = fx.EXAMPLE_ROWS, seed: int = fx.EX
 
 def profile_report(records: DataFrame, length: Callable[[Column], Column] = word_count) -> DataFrame:
     """One row per split: size, both length profiles, compression ratio."""
-    lengths = text_lengths(records, length)
+    lengths = materialize(text_lengths(records, length))
     profile = length_profile(length_counts(lengths))
     stats = F.struct("n", "mean", "median", "p5", "p95", "max")
     wide = profile.groupBy("split").agg(

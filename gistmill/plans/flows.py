@@ -16,6 +16,7 @@ from gistmill.operators.tokens import pad_batches, training_examples, vocabulary
 from gistmill.functions.chat import render_example
 from gistmill.sources import records as record_io
 from gistmill.sources import runs as run_io
+from gistmill.session import materialize
 
 
 def prepare_corpus(raw: DataFrame, out: str, source_name: str, order: str = "pos", fmt: str = "parquet") -> DataFrame:
@@ -64,7 +65,7 @@ def training_batches(
     """Padded batches of masked examples, in seeded order within each split."""
     if vocab is None and tokenize is None:
         rendered = records.select(render_example(F.col("abstract"), F.col("summary")).alias("text"))
-        vocab = vocabulary(rendered, "text")
+        vocab = materialize(vocabulary(rendered, "text"))
     keys = ("split", "id", "position")
     numbered = number_shuffled(records, seed)
     examples = training_examples(numbered, vocab, tokenize, max_length=max_length, keys=keys)
@@ -78,4 +79,5 @@ def corpus_profile(records: DataFrame, out: str, length: Callable[[Column], Colu
 
 
 def run_results(metrics: DataFrame, predictions: DataFrame, display: DataFrame, include_deprecated: bool = False) -> DataFrame:
-    return results_table(metrics, mean_output_words(predictions), display, include_deprecated)
+    words = materialize(mean_output_words(predictions))
+    return results_table(metrics, words, display, include_deprecated)

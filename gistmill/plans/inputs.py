@@ -3,12 +3,12 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistmill import fixed_values as fx
 from gistmill.functions.rouge import rouge_words, word_array
 from gistmill.functions.text import first_sentence
+from gistmill.functions.text import sentences as split_sentences
 from gistmill.operators.ordering import number_rows, rank_rows
 from gistmill.operators.prepare import prepare_records
-from gistmill.session import spread
+from gistmill.session import materialize, spread
 
 SOURCE_NAME = "documents"
 
@@ -37,6 +37,11 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare_records(raw_papers(spark, sf_dir), SOURCE_NAME)
 
 
+def stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prepared records as a written table, for queries that read them more than once."""
+    return materialize(prepared(spark, sf_dir))
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user turn (reference) and the assistant turn right after it (prediction).
 
@@ -59,7 +64,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three predictions for every prepared record, in long form."""
     records = prepared(spark, sf_dir)
     words = F.split("abstract", " ")
-    sentences = F.split("abstract", fx.SENTENCE_BOUNDARY)
+    sentences = split_sentences(F.col("abstract"))
     predictions = {
         "extractive_first_sentence": first_sentence(F.col("abstract")),
         "lead_20_words": F.array_join(F.slice(words, 1, 20), " "),
@@ -114,4 +119,5 @@ def token_vectors(spark: SparkSession, sf_dir: str, vectors: int) -> DataFrame:
     ).distinct()
     ranked = rank_rows(words, [F.col("token")], out="rank")
     embeddings = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    return ranked.withColumn("vec_id", (F.col("rank") - 1) % vectors).join(embeddings, "vec_id").select("token", "vector")
+    joined = ranked.withColumn("vec_id", (F.col("rank") - 1) % vectors).join(embeddings, "vec_id")
+    return materialize(joined.select("token", "vector"))

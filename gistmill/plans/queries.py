@@ -16,7 +16,8 @@ from gistmill.operators import profile as prof
 from gistmill.operators import results as res
 from gistmill.operators import tokens as tok
 from gistmill.plans import inputs
-from gistmill.plans.flows import training_batches
+from gistmill.plans.flows import run_results, training_batches
+from gistmill.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 RUN_LABELS = {
@@ -56,12 +57,11 @@ def split_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shuffle_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = inputs.prepared(spark, sf_dir).select("split", "id")
-    return o.number_shuffled(records)
+    return o.number_shuffled(inputs.stored_records(spark, sf_dir).select("split", "id"))
 
 
 def shuffle_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prof.example_rows(inputs.prepared(spark, sf_dir).filter(F.col("split") == "train"))
+    return prof.example_rows(inputs.stored_records(spark, sf_dir).filter(F.col("split") == "train"))
 
 
 def head_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +104,7 @@ def _first_sentence_model():
 
 
 def predict_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = inputs.prepared(spark, sf_dir)
+    records = inputs.stored_records(spark, sf_dir)
     predictions = p.generate(records.select("split", "id", "abstract"), _first_sentence_model)
     return p.attach_predictions(records.select("split", "id", "summary"), predictions)
 
@@ -139,6 +139,11 @@ def _run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.corpus_scores(_scored_runs(spark, sf_dir))
 
 
+def _stored_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics of all runs as a written table, as result tables find them."""
+    return materialize(_run_metrics(spark, sf_dir))
+
+
 def corpus_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_run_metrics(spark, sf_dir))
 
@@ -166,16 +171,21 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- profile --------------------------------------------------------------------
 
 
+def _length_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(prof.length_counts(prof.text_lengths(inputs.prepared(spark, sf_dir))))
+
+
 def length_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(prof.length_profile(prof.length_counts(prof.text_lengths(inputs.prepared(spark, sf_dir)))))
+    return _rounded(prof.length_profile(_length_counts(spark, sf_dir)))
 
 
 def compression_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(prof.compression_ratio(prof.ratio_counts(prof.text_lengths(inputs.prepared(spark, sf_dir)))))
+    counts = materialize(prof.ratio_counts(prof.text_lengths(inputs.prepared(spark, sf_dir))))
+    return _rounded(prof.compression_ratio(counts))
 
 
 def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = prof.length_counts(prof.text_lengths(inputs.prepared(spark, sf_dir)))
+    counts = _length_counts(spark, sf_dir)
     both = [
         prof.histogram(counts.filter(F.col("measure") == measure), bins, ["split", "measure"])
         for measure, bins in (("abstract_tokens", fx.ABSTRACT_BINS), ("summary_tokens", fx.SUMMARY_BINS))
@@ -195,14 +205,14 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rendered = _rendered(inputs.prepared(spark, sf_dir))
-    words = tok.vocabulary(rendered, "text")
+    rendered = _rendered(inputs.stored_records(spark, sf_dir))
+    words = materialize(tok.vocabulary(rendered, "text"))
     return tok.encode(rendered, "text", words, ["split", "id"]).select("split", "id", _joined("input_ids"))
 
 
 def completion_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = inputs.prepared(spark, sf_dir)
-    words = tok.vocabulary(_rendered(records), "text")
+    records = inputs.stored_records(spark, sf_dir)
+    words = materialize(tok.vocabulary(_rendered(records), "text"))
     examples = tok.training_examples(records, words, max_length=fx.TRAINING_MAX_LENGTH)
     return examples.select(
         "split", "id", "prompt_length", _joined("input_ids"), _joined("attention_mask"), _joined("labels")
@@ -210,7 +220,7 @@ def completion_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pad_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batches = training_batches(inputs.prepared(spark, sf_dir), PAD_ID)
+    batches = training_batches(inputs.stored_records(spark, sf_dir), PAD_ID)
     return batches.select(
         "split", "id", "position", "batch_id", _joined("input_ids"), _joined("attention_mask"), _joined("labels")
     )
@@ -218,9 +228,9 @@ def pad_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pad_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Left-padded prompts in file order, as a generator reads them."""
-    records = inputs.prepared(spark, sf_dir)
+    records = inputs.stored_records(spark, sf_dir)
     prompts = records.select("split", "id", "pos", chat.render_example(F.col("abstract")).alias("text"))
-    words = tok.vocabulary(prompts, "text")
+    words = materialize(tok.vocabulary(prompts, "text"))
     numbered = o.number_rows(prompts, [F.col("pos")], F.floor(F.col("pos") / 4096), ["split"])
     keys = ["split", "id", "position"]
     encoded = tok.encode(numbered, "text", words, keys, fx.PROMPT_MAX_LENGTH)
@@ -236,13 +246,14 @@ def mean_output_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def results_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = res.mean_output_words(inputs.runs(spark, sf_dir))
+    predictions = materialize(inputs.runs(spark, sf_dir))
+    metrics = materialize(m.corpus_scores(m.score_pairs(predictions, "prediction", "summary", stem=False)))
     display = res.display_dimension(spark, RUN_LABELS, {})
-    return res.results_table(_run_metrics(spark, sf_dir), words, display).drop("bertscore_f1")
+    return run_results(metrics, predictions, display).drop("bertscore_f1")
 
 
 def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(res.gains_over(_run_metrics(spark, sf_dir), "extractive_first_sentence", m.ROUGE))
+    return _rounded(res.gains_over(_stored_metrics(spark, sf_dir), "extractive_first_sentence", m.ROUGE))
 
 
 def dev_test_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
