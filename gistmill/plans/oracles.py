@@ -536,7 +536,7 @@ def all_oracles() -> dict[str, str]:
         "run_comparison": _on_runs(
             "SELECT m.name, m.split, "
             + ", ".join(
-                f'round(m.{s}, 6) AS "{s}", round(m.{s} - b.{s}, 6) AS "{s}_gain", round((m.{s} - b.{s}) / b.{s}, 6) AS "{s}_relative"'
+                f'round(m.{s}, 6) AS "{s}", round(m.{s} - b.{s}, 6) AS "{s}_gain", round((m.{s} - b.{s}) / nullif(b.{s}, 0), 6) AS "{s}_relative"'
                 for s in ALL
             )
             + ", m.n FROM metrics m JOIN metrics b ON b.split = m.split AND b.name = 'extractive_first_sentence'"
