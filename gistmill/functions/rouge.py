@@ -12,8 +12,7 @@ def rouge_words(text: Column) -> Column:
 
 
 def word_array(words: Column) -> Column:
-    none = F.array().cast("array<string>")
-    return F.when(words == "", none).otherwise(F.split(words, " "))
+    return F.array_remove(F.split(words, " "), "")
 
 
 def ngrams(tokens: Column, n: int) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from gistmill.functions import rouge
 from gistmill.functions.stem import stem_words
+from gistmill.operators import lookup
 from gistmill.session import compute_once
 
 ROUGE = ("rouge1", "rouge2", "rougeL")
@@ -131,15 +132,15 @@ def embedding_f1(
     prediction: str = "prediction",
     reference: str = "reference",
     out: str = "bertscore_f1",
+    broadcast_bytes: int = lookup.BROADCAST_BYTES,
 ) -> DataFrame:
     """``keys`` and the F1 of best cosine matches between the words of both texts.
 
     ``vectors`` is ``(token, vector)``. Words without a vector count as unmatched.
     Each distinct word of a pair is looked up once, with its counts on both
-    sides; rows are laid out by key first, so the counting and the final
-    grouping share that layout when the vectors are small enough for Spark to
-    broadcast, and a larger table is joined by shuffle with skewed words split
-    by adaptive execution.
+    sides. Rows are laid out by key first; if the vectors can be broadcast, the
+    counting and the final grouping share that layout, and otherwise the lookup
+    is a salted shuffle join.
     """
     sides = compute_once(
         df.select(*keys, prediction, reference).repartition(*[F.col(k) for k in keys]),
@@ -154,7 +155,11 @@ def embedding_f1(
 
     occurrences = sides.select(*keys, F.inline_outer(F.concat(tagged("_p", 1, 0), tagged("_r", 0, 1))))
     counted = occurrences.groupBy(*keys, "token").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
-    looked_up = counted.join(vectors.select("token", "vector"), "token", "left")
+    table = vectors.select("token", "vector")
+    if lookup.fits_broadcast(table, F.octet_length("token") + 8 * F.size("vector"), broadcast_bytes):
+        looked_up = lookup.broadcast_lookup(counted, table, "token")
+    else:
+        looked_up = lookup.salted_lookup(counted, table, "token", keys)
     known = F.when(F.col("vector").isNotNull(), F.struct("p", "r", "vector"))
     grouped = looked_up.groupBy(*keys).agg(
         F.collect_list(known).alias("_known"),

@@ -5,10 +5,12 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gistmill import fixed_values as fx
 from gistmill.functions.chat import ChatTemplate, render_example
 from gistmill.functions.text import clean_completion, first_sentence
+from gistmill.session import compute_once
 
 Generator = Callable[[list[str], int], list[str]]
 
@@ -17,26 +19,19 @@ def extractive(records: DataFrame) -> DataFrame:
     return records.withColumn("prediction", first_sentence(F.col("abstract")))
 
 
-def generate(
-    records: DataFrame,
-    factory: Callable[[], Generator],
-    keys: Sequence[str] = ("split", "id"),
-    template: ChatTemplate = ChatTemplate(),
-    batch_size: int = fx.BATCH_SIZE,
-    max_new_tokens: int = fx.MAX_NEW_TOKENS,
-) -> DataFrame:
-    """``keys`` and the cleaned completion of every record's prompt.
+def generation_udf(
+    factory: Callable[[], Generator], batch_size: int = fx.BATCH_SIZE, max_new_tokens: int = fx.MAX_NEW_TOKENS
+):
+    """Column function ``prompt -> completion``.
 
-    ``factory`` runs once per task and returns ``(prompts, max_new_tokens) ->
-    completions``. Rows carry their keys, so their order does not matter.
+    ``factory`` runs once per task and returns ``(prompts, max_new_tokens) -> completions``.
     """
-    prompts = records.select(*keys, render_example(F.col("abstract"), template=template).alias("_prompt"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema[: len(keys)].fields)
 
-    def complete(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(T.StringType())
+    def complete(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         generator = factory()
-        for frame in frames:
-            texts = frame["_prompt"].tolist()
+        for prompts in batches:
+            texts = prompts.tolist()
             answers: list[str] = []
             for start in range(0, len(texts), batch_size):
                 batch = texts[start : start + batch_size]
@@ -44,14 +39,33 @@ def generate(
                 if len(completed) != len(batch):
                     raise ValueError(f"length mismatch: {len(completed)} completions vs {len(batch)} prompts")
                 answers.extend(completed)
-            yield frame[list(keys)].assign(_completion=answers)
+            yield pd.Series(answers, dtype=object)
+
+    return complete
+
 
-    completions = prompts.mapInPandas(complete, f"{schema}, _completion string")
-    return completions.select(*keys, clean_completion(F.col("_completion")).alias("prediction"))
+def generate(
+    records: DataFrame,
+    factory: Callable[[], Generator],
+    template: ChatTemplate = ChatTemplate(),
+    batch_size: int = fx.BATCH_SIZE,
+    max_new_tokens: int = fx.MAX_NEW_TOKENS,
+) -> DataFrame:
+    """Records with the cleaned completion of their prompt as ``prediction``.
+
+    Only the prompts go to Python; the other columns wait in the JVM and meet
+    their completion there, so nothing is shuffled or joined.
+    """
+    prompt = render_example(F.col("abstract"), template=template)
+    completed = compute_once(
+        records.withColumn("_completion", generation_udf(factory, batch_size, max_new_tokens)(prompt)),
+        prediction=clean_completion(F.col("_completion")),
+    )
+    return completed.drop("_completion")
 
 
 def attach_predictions(
     records: DataFrame, predictions: DataFrame, keys: Sequence[str] = ("split", "id")
 ) -> DataFrame:
-    """Records with their predictions, matched by key and never by position."""
+    """Records with predictions made elsewhere, matched by key and never by position."""
     return records.join(predictions.select(*keys, "prediction"), list(keys))

@@ -11,17 +11,13 @@ from gistmill import fixed_values as fx
 from gistmill.functions import arrays
 from gistmill.functions.chat import ChatTemplate, render_example
 from gistmill.functions.text import squeeze_whitespace, word_count
+from gistmill.operators import lookup
 from gistmill.operators.ordering import rank_rows
 from gistmill.session import compute_once
 
-BROADCAST_BYTES = 64 << 20
-HOT_TOKENS = 1000
-SALTS = 32
-
 
 def text_tokens(text: Column) -> Column:
-    words = squeeze_whitespace(text)
-    return F.when(words == "", F.array().cast("array<string>")).otherwise(F.split(words, " "))
+    return F.array_remove(F.split(squeeze_whitespace(text), " "), "")
 
 
 def vocabulary(texts: DataFrame, text: str) -> DataFrame:
@@ -35,37 +31,6 @@ def vocabulary(texts: DataFrame, text: str) -> DataFrame:
     return ranked.select("token", "n", (F.col("rank") - 1).alias("token_id"))
 
 
-def look_up_tokens(
-    tokens: DataFrame, vocab: DataFrame, spread_by: Sequence[str], broadcast_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
-    """Left join of ``tokens`` with ``vocab`` on ``token``.
-
-    A vocabulary that was measured to be small is broadcast. For a larger one
-    the join is a shuffle in which frequent tokens are salted. Tokens making up
-    more than 1/1000 of all occurrences number under 1000, which bounds the list
-    of hot tokens that is broadcast.
-    """
-    size = vocab.agg(
-        F.coalesce(F.sum(F.octet_length("token") + 32), F.lit(0)).alias("bytes"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
-    ).first()
-    ids = vocab.select("token", "token_id")
-    if size["bytes"] <= broadcast_bytes:
-        return tokens.join(F.broadcast(ids), "token", "left")
-    hot = F.col("n") > size["total"] / HOT_TOKENS
-    hot_list = vocab.filter(hot).select("token", F.lit(True).alias("_hot"))
-    salted_ids = vocab.select(
-        "token",
-        "token_id",
-        F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("_salt"),
-    )
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
-    salted_tokens = tokens.join(F.broadcast(hot_list), "token", "left").withColumn(
-        "_salt", F.when(F.col("_hot") | F.col("token").isNull(), salt).otherwise(F.lit(0))
-    )
-    return salted_tokens.join(salted_ids, ["token", "_salt"], "left").drop("_salt", "_hot")
-
-
 def encode(
     df: DataFrame,
     text: str,
@@ -74,7 +39,7 @@ def encode(
     max_length: int | None = None,
     out: str = "input_ids",
     unknown_id: int = -1,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    broadcast_bytes: int = lookup.BROADCAST_BYTES,
 ) -> DataFrame:
     """``keys`` and the token ids of ``text``, cut to ``max_length``.
 
@@ -84,8 +49,14 @@ def encode(
     tokens = text_tokens(F.col(text))
     if max_length is not None:
         tokens = F.slice(tokens, 1, max_length)
-    exploded = df.select(*keys, F.posexplode_outer(tokens).alias("_at", "token"))
-    found = look_up_tokens(exploded, vocab, [*keys, "_at"], broadcast_bytes)
+    if lookup.fits_broadcast(vocab, F.octet_length("token") + 8, broadcast_bytes):
+        # texts move once and whole; their tokens are then joined and regrouped where they are
+        texts = df.select(*keys, text).repartition(*[F.col(k) for k in keys])
+        exploded = texts.select(*keys, F.posexplode_outer(tokens).alias("_at", "token"))
+        found = lookup.broadcast_lookup(exploded, vocab.select("token", "token_id"), "token")
+    else:
+        exploded = df.select(*keys, F.posexplode_outer(tokens).alias("_at", "token"))
+        found = lookup.salted_lookup(exploded, vocab.select("token", "n", "token_id"), "token", [*keys, "_at"], "n")
     placed = F.when(
         F.col("token").isNotNull(),
         F.struct("_at", F.coalesce("token_id", F.lit(unknown_id)).cast("int").alias("id")),

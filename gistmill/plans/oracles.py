@@ -457,6 +457,9 @@ def all_oracles() -> dict[str, str]:
         "predict_batched": _query(
             f"SELECT split, id, summary, {_clean(_first_sentence('abstract'))} AS prediction FROM records", *CORPUS
         ),
+        "attach_predictions": _query(
+            f"SELECT split, id, summary, {_first_sentence('abstract')} AS prediction FROM records", *CORPUS
+        ),
         "rouge_by_language": _rouge(
             documents, (), False, ["rouge1"],
             "SELECT lang, round(avg(rouge1), 6) AS rouge1, count(*) AS n FROM scores JOIN documents ON doc_id = k GROUP BY lang",

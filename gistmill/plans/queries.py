@@ -104,8 +104,14 @@ def _first_sentence_model():
 
 
 def predict_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = inputs.prepared(spark, sf_dir).select("split", "id", "abstract", "summary")
+    return p.generate(records, _first_sentence_model).drop("abstract")
+
+
+def attach_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records joined with the predictions of a run that were written before."""
     records = inputs.stored_records(spark, sf_dir)
-    predictions = p.generate(records.select("split", "id", "abstract"), _first_sentence_model)
+    predictions = materialize(p.extractive(records).select("split", "id", "prediction"))
     return p.attach_predictions(records.select("split", "id", "summary"), predictions)
 
 
@@ -293,7 +299,7 @@ def retained_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict[str, Query]:
     named = [
         prepare_records, dedupe_first, split_manifest, shuffle_order, shuffle_sample, head_subset,
-        first_sentence, strip_preamble, render_chat, predict_batched,
+        first_sentence, strip_preamble, render_chat, predict_batched, attach_predictions,
         rouge_by_language, rouge_stemmed, corpus_scores, corpus_scores_stemmed, alignment_check,
         embedding_f1, bootstrap_ci,
         length_profile, compression_ratio, length_histogram,

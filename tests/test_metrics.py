@@ -113,19 +113,15 @@ def brute_embedding_f1(p, r, vectors):
     return 2 * precision * recall / (precision + recall)
 
 
-@pytest.mark.parametrize("threshold", ["10485760", "-1"])
-def test_embedding_f1(spark, threshold):
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
+def test_embedding_f1_by_broadcast_and_by_salted_join(spark, broadcast_bytes):
     rng = np.random.default_rng(3)
     pairs = random_pairs(4, 40, most=12)
     vectors = {t: rng.random(8) for t in ("the", "cat", "sat", "on", "a", "mat", "dogs", "x1")}
     table = spark.createDataFrame([(t, [float(x) for x in v]) for t, v in vectors.items()], "token string, vector array<double>")
     df = spark.createDataFrame(pairs, "id int, prediction string, reference string")
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-    try:
-        got = {r.id: r.bertscore_f1 for r in m.embedding_f1(df, table, ["id"]).collect()}
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    scored = m.embedding_f1(df, table, ["id"], broadcast_bytes=broadcast_bytes)
+    got = {r.id: r.bertscore_f1 for r in scored.collect()}
     assert len(got) == 40
     for i, p, r in pairs:
         assert got[i] == pytest.approx(brute_embedding_f1(p, r, vectors))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gistmill import fixed_values as fx
 from gistmill.functions import arrays, chat
+from gistmill.operators import lookup
 from gistmill.operators import predict as p
 from gistmill.operators import tokens as tok
 from gistmill.operators.ordering import assign_batches
@@ -50,7 +51,7 @@ def test_encode_by_broadcast_and_by_salted_join(texts, vocab, broadcast_bytes, m
 
 
 def test_salting_splits_a_hot_token(spark, texts, vocab, monkeypatch):
-    monkeypatch.setattr(tok, "HOT_TOKENS", 2)
+    monkeypatch.setattr(lookup, "HOT_KEYS", 2)
     encoded = tok.encode(texts, "text", vocab, ["split", "id"], broadcast_bytes=0)
     ids = expected_ids()
     assert {r.id: r.input_ids for r in encoded.collect()} == {i: [ids[w] for w in t.split()] for i, t in enumerate(TEXTS)}
@@ -182,10 +183,17 @@ def shouting_model():
 
 
 def test_generation_is_batched_and_cleaned(corpus):
-    done = p.attach_predictions(corpus, p.generate(corpus, shouting_model))
+    done = p.generate(corpus, shouting_model)
+    assert "Exchange" not in done._jdf.queryExecution().executedPlan().toString()
     assert {(r.id, r.prediction) for r in done.collect()} == {(r.id, r.abstract.upper()) for r in corpus.collect()}
 
 
+def test_predictions_are_attached_by_key(corpus):
+    made = p.extractive(corpus).select("split", "id", "prediction").repartition(7)
+    done = p.attach_predictions(corpus, made)
+    assert {(r.id, r.prediction) for r in done.collect()} == {(r.id, f"{r.abstract}") for r in corpus.collect()}
+
+
 def test_generator_must_answer_every_prompt(corpus):
     with pytest.raises(Exception, match="length mismatch"):
         p.generate(corpus, lambda: (lambda prompts, n: prompts[1:])).collect()
