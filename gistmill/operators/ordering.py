@@ -24,17 +24,24 @@ def shuffled(df: DataFrame, seed: int = fx.SHUFFLE_SEED, split: str = "split", k
 
 
 def number_rows(
-    df: DataFrame, order: Sequence[Column], bucket: Column, by: Sequence[str] = (), out: str = "position"
+    df: DataFrame,
+    order: Sequence[Column],
+    bucket: Column,
+    by: Sequence[str] = (),
+    out: str = "position",
+    same_rows: DataFrame | None = None,
 ) -> DataFrame:
     """1-based row numbers per ``by`` in ``order``, which must be a total order.
 
     ``bucket`` must never decrease along ``order``. It splits a group, however
     large, into pieces that are numbered in parallel. The relation is shuffled
     once, on (by, bucket); joining the bucket offsets back reuses that layout.
+    Bucket sizes are counted on ``same_rows`` where that is cheaper to read.
     """
     group = [F.col(name) for name in by]
     parts = df.withColumn("_bucket", bucket)
-    sizes = parts.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    counted = parts if same_rows is None else same_rows.withColumn("_bucket", bucket)
+    sizes = counted.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         *group, "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
@@ -48,6 +55,17 @@ def number_rows(
     )
 
 
+def shuffle_buckets(
+    df: DataFrame, seed: int = fx.SHUFFLE_SEED, keys: Sequence[str] = ("split", "id"), prefix: int = 3
+) -> DataFrame:
+    """Add the shuffle ``_key`` and its first hex digits as ``_bucket``.
+
+    Digests are uniform, so this makes up to 16**prefix buckets of equal size.
+    """
+    keyed = df.withColumn("_key", shuffle_key(seed, *keys))
+    return keyed.withColumn("_bucket", F.substring("_key", 1, prefix))
+
+
 def number_shuffled(
     df: DataFrame,
     seed: int = fx.SHUFFLE_SEED,
@@ -56,14 +74,10 @@ def number_shuffled(
     prefix: int = 3,
     out: str = "position",
 ) -> DataFrame:
-    """Position of each row in the seeded order of its split.
-
-    Digests are uniform, so their first ``prefix`` hex digits make up to
-    16**prefix buckets of equal size per split.
-    """
-    keyed = df.withColumn("_key", shuffle_key(seed, *keys))
+    """Position of each row in the seeded order of its split."""
+    keyed = shuffle_buckets(df, seed, keys, prefix)
     order = [F.col("_key"), *[F.col(k) for k in keys]]
-    return number_rows(keyed, order, F.substring("_key", 1, prefix), by, out).drop("_key")
+    return number_rows(keyed, order, F.col("_bucket"), by, out).drop("_key")
 
 
 def rank_rows(df: DataFrame, order: Sequence[Column], out: str = "position") -> DataFrame:

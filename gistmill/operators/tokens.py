@@ -40,18 +40,20 @@ def encode(
     out: str = "input_ids",
     unknown_id: int = -1,
     broadcast_bytes: int = lookup.BROADCAST_BYTES,
+    layout: Sequence[str] | None = None,
 ) -> DataFrame:
     """``keys`` and the token ids of ``text``, cut to ``max_length``.
 
     Word ids do not depend on what follows, so the cut is made before the join:
-    tokens that would be thrown away are never shuffled.
+    tokens that would be thrown away are never shuffled. ``layout`` names the
+    ``keys`` to partition by, for a later step that needs just that layout.
     """
     tokens = text_tokens(F.col(text))
     if max_length is not None:
         tokens = F.slice(tokens, 1, max_length)
     if lookup.fits_broadcast(vocab, F.octet_length("token") + 8, broadcast_bytes):
         # texts move once and whole; their tokens are then joined and regrouped where they are
-        texts = df.select(*keys, text).repartition(*[F.col(k) for k in keys])
+        texts = df.select(*keys, text).repartition(*[F.col(k) for k in layout or keys])
         exploded = texts.select(*keys, F.posexplode_outer(tokens).alias("_at", "token"))
         found = lookup.broadcast_lookup(exploded, vocab.select("token", "token_id"), "token")
     else:
@@ -97,6 +99,7 @@ def training_examples(
     template: ChatTemplate = ChatTemplate(),
     max_length: int = fx.MAX_LENGTH,
     keys: Sequence[str] = ("split", "id"),
+    layout: Sequence[str] | None = None,
 ) -> DataFrame:
     """Rendered, tokenized, cut and masked examples, from a vocabulary or a tokenizer.
 
@@ -116,7 +119,7 @@ def training_examples(
         )
     else:
         rendered = records.select(*keys, full.alias("_full"), word_count(prompt).alias("prompt_length"))
-        encoded = encode(rendered, "_full", vocab, [*keys, "prompt_length"], max_length)
+        encoded = encode(rendered, "_full", vocab, [*keys, "prompt_length"], max_length, layout=layout)
     return with_completion_mask(encoded, "prompt_length")
 
 

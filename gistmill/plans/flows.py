@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gistmill import fixed_values as fx
 from gistmill.functions.text import word_count
 from gistmill.operators import metrics as m
-from gistmill.operators.ordering import assign_batches, number_shuffled, shuffled
+from gistmill.operators.ordering import assign_batches, number_rows, shuffle_buckets, shuffled
 from gistmill.operators.prepare import prepare_records, split_sizes
 from gistmill.operators.profile import profile_report
 from gistmill.operators.results import mean_output_words, results_table
@@ -62,14 +62,21 @@ def training_batches(
     batch_size: int = fx.BATCH_SIZE,
     seed: int = fx.SHUFFLE_SEED,
 ) -> DataFrame:
-    """Padded batches of masked examples, in seeded order within each split."""
+    """Padded batches of masked examples, in seeded order within each split.
+
+    Texts are shuffled once, by ranges of the seeded order: encoding and
+    numbering share that layout. Batches then take the second shuffle.
+    """
     if vocab is None and tokenize is None:
         rendered = records.select(render_example(F.col("abstract"), F.col("summary")).alias("text"))
         vocab = materialize(vocabulary(rendered, "text"))
-    keys = ("split", "id", "position")
-    numbered = number_shuffled(records, seed)
-    examples = training_examples(numbered, vocab, tokenize, max_length=max_length, keys=keys)
-    return pad_batches(assign_batches(examples, batch_size), pad_id)
+    keyed = shuffle_buckets(records, seed)
+    examples = training_examples(
+        keyed, vocab, tokenize, max_length=max_length, keys=("split", "_bucket", "_key", "id"), layout=("split", "_bucket")
+    )
+    order = [F.col("_key"), F.col("id")]
+    numbered = number_rows(examples, order, F.col("_bucket"), ["split"], same_rows=keyed).drop("_key")
+    return pad_batches(assign_batches(numbered, batch_size), pad_id)
 
 
 def corpus_profile(records: DataFrame, out: str, length: Callable[[Column], Column] = word_count) -> DataFrame:

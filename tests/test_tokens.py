@@ -13,6 +13,7 @@ from gistmill.operators import predict as p
 from gistmill.operators import tokens as tok
 from gistmill.operators.ordering import assign_batches
 from gistmill.plans.flows import training_batches
+from gistmill.session import materialize
 
 # the factories below are not importable on the workers
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -140,6 +141,14 @@ def test_training_batches_invariants(corpus):
     assert sorted(map(len, batches.values())) == [3, 4, 4, 4, 4, 4]
 
 
+def test_texts_and_batches_take_one_shuffle_each(spark, corpus, vocab):
+    plan = training_batches(corpus, 0, materialize(vocab))._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert sum("REPARTITION_BY_COL" in line for line in shuffles) == 1
+    assert sum("batch_id" in line for line in shuffles) == 1
+    assert len(shuffles) <= 5  # the others carry counted buckets only
+
+
 def test_prompt_tokens_are_a_prefix(spark, corpus):
     rendered = corpus.select(
         "id",
