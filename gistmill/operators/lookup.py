@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 << 20
 HOT_KEYS = 1000
-SALTS = 32
+SALTS = 16
 
 
 def fits_broadcast(table: DataFrame, row_bytes: Column, limit: int = BROADCAST_BYTES) -> bool:

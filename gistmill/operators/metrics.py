@@ -156,7 +156,7 @@ def embedding_f1(
     occurrences = sides.select(*keys, F.inline_outer(F.concat(tagged("_p", 1, 0), tagged("_r", 0, 1))))
     counted = occurrences.groupBy(*keys, "token").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
     table = vectors.select("token", "vector")
-    if lookup.fits_broadcast(table, F.octet_length("token") + 8 * F.size("vector"), broadcast_bytes):
+    if lookup.fits_broadcast(vectors, F.octet_length("token") + 8 * F.size("vector"), broadcast_bytes):
         looked_up = lookup.broadcast_lookup(counted, table, "token")
     else:
         looked_up = lookup.salted_lookup(counted, table, "token", keys)
