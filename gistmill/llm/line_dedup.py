@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gistmill.llm.tables import stored
+
 WHITESPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -34,13 +36,14 @@ def line_dedup(
         F.xxhash64(F.col(text_column)).alias("version"),
         F.split(F.coalesce(F.col(text_column), F.lit("")), "\n", -1).alias("lines"),
     )
-    lines = (
+    lines = stored(
         rows.select("id", "version", F.posexplode("lines").alias("pos", "line"))
         .withColumn("key", line_key(F.col("line")))
         .filter(F.char_length("key") >= min_chars)
         .select("id", "version", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
     )
-    shared = (
+    # written, so that both sides of the join below are plain shuffles, which adaptive execution can split
+    shared = stored(
         lines.select("h1", "h2", "id").distinct()
         .groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keeper"))
         .filter(F.col("n") >= min_docs).drop("n")
