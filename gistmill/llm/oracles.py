@@ -39,4 +39,4 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op10_line_dedup": OP10}
+    return {"op8_vector_search": OP8, "op10_line_dedup": OP10}
