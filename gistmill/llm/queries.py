@@ -5,12 +5,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gistmill.llm.learning import remainder
 from gistmill.llm.line_dedup import line_dedup
 from gistmill.llm.main_text import main_text
 from gistmill.llm.near_dedup import near_duplicates
+from gistmill.llm.quality import quality_scores
 from gistmill.llm.substring_dedup import substring_dedup
+from gistmill.llm.toxicity import toxicity_scores
 from gistmill.llm.vector_search import top_k
 
+#: A text is predicted to have label 1 from this score on.
+THRESHOLD = 0.3
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -22,10 +28,28 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents", "doc_id", "text"), keep_text=False)
 
 
+def _scored(spark: SparkSession, sf_dir: str, score: Callable, parts: int, held: int) -> DataFrame:
+    held_out = remainder("doc_id", parts) == held
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = score(docs, labels, ~held_out)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+    )
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, quality_scores, 5, 0)
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, toxicity_scores, 4, 2)
+
+
 def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 100 == 0)
 

@@ -13,6 +13,12 @@ import pyarrow.compute as pc
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+WORD_BYTES = (~SPACE).astype(np.uint8)
+#: White space, letters and digits (all bytes of other scripts among them), everything else.
+LETTERS_AND_MARKS = np.full(256, 2, np.uint8)
+LETTERS_AND_MARKS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
+LETTERS_AND_MARKS[SPACE] = 0
+LETTERS = np.where(LETTERS_AND_MARKS == 1, 1, 0).astype(np.uint8)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 
@@ -65,19 +71,22 @@ class Words:
     """Word boundaries of a batch of texts.
 
     ``start`` and ``end`` are byte positions; the words of text ``d`` are those from
-    ``first[d]`` to before ``first[d + 1]``.
+    ``first[d]`` to before ``first[d + 1]``. ``kinds`` gives each byte's kind: words are
+    maximal runs of one kind other than 0.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = WORD_BYTES):
         self.data, self.offsets = data, offsets
-        gap = SPACE[data]
+        kind = kinds[data]
         before, after = np.empty(len(data), bool), np.empty(len(data), bool)
         if len(data):
             before[0] = after[-1] = True
-            before[1:], after[:-1] = gap[:-1], gap[1:]
+            np.not_equal(kind[1:], kind[:-1], out=before[1:])
+            after[:-1] = before[1:]
             cuts = offsets[1:-1]
             before[cuts[cuts < len(data)]] = True
             after[cuts[cuts > 0] - 1] = True
+        gap = kind == 0
         self.start = np.flatnonzero(before & ~gap)
         self.end = np.flatnonzero(after & ~gap) + 1
         self.first = np.searchsorted(self.start, offsets)
