@@ -24,7 +24,7 @@ NO_ID = (1 << 63) - 1
 _RNG = np.random.Generator(np.random.PCG64(20))
 _SALT = _RNG.integers(0, 1 << 63, POSITIONS, dtype=np.uint64)
 _ODD = _RNG.integers(0, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_CELL = 1024
+_CELL, _CHUNK_ROWS = 1024, 256
 
 
 def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -221,60 +221,167 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _across(members: DataFrame, reps: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """Close pairs in one key but different components: for two components in a key up to ``most``, nearest first.
+def _shared_counts(docs: DataFrame, width: int) -> DataFrame:
+    """rep, n, c, shingles of documents: c shingles also occur in another of them, at least.
 
-    ``more``: there are further ones. Only keys with several components take part. All of a
-    key but its largest component is held against all of it; a large key is cut into cells
-    of about 1,024 by 1,024 documents.
+    Shingles are dealt by hash and asked about once by each block of documents. 32 bits within
+    a part are enough: a chance match only makes c larger.
     """
-    everyone = members.select("key", "rep").unionByName(members.select("key", F.col("center").alias("rep"))).distinct()
-    named = everyone.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            values, cuts = shingle_sets(batch.column("text"), width)
+            body = [values[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            out = pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(cuts), pa.int64()), pa.array(body, pa.binary())], ["rep", "n", "shingles"])
+            yield out.filter(pa.array(np.diff(cuts) > 0))
+
+    blocks = tables.packed_blocks(docs.mapInArrow(gather, "rep long, n long, shingles binary"), "rep", "shingles")
+    count = tables.parts_for(blocks, share=0.5)
+
+    def dealt(batch: pa.RecordBatch):
+        flat = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.uint64)
+        values, of, times = np.unique(flat, return_inverse=True, return_counts=True)
+        order, cuts = tables.deal((values >> np.uint64(40)).astype(np.int64) % count, count)
+        return values, of.ravel(), times, order, cuts
+
+    def emit(batch: pa.RecordBatch) -> list[bytes]:
+        values, _, _, order, cuts = dealt(batch)
+        short = values[order].astype("<u4")
+        return [short[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+
+    def settle(askers: np.ndarray, bodies: list[bytes]) -> list[bytes]:
+        parts = [np.frombuffer(body, "<u4") for body in bodies]
+        _, of, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        shared = times[of.ravel()] > 1
+        return [np.packbits(x).tobytes() for x in np.split(shared, np.cumsum([len(x) for x in parts])[:-1])]
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for payload, answers in zip(rows.column("payload"), rows.column("answers")):
+                batch = tables.unpack(payload.as_buffer())
+                values, of, times, order, cuts = dealt(batch)
+                shared = times > 1
+                for entry in answers.as_py() or []:
+                    a, b = cuts[entry["part"]], cuts[entry["part"] + 1]
+                    shared[order[a:b]] |= np.unpackbits(np.frombuffer(entry["answer"], np.uint8), count=b - a).astype(bool)
+                n = batch.column("n").to_numpy()
+                c = np.add.reduceat(shared[of].astype(np.int64), np.cumsum(n) - n)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("rep"), batch.column("n"), pa.array(c, pa.int64()), batch.column("shingles")], ["rep", "n", "c", "shingles"]
+                )
+
+    return tables.exchange_blocks(blocks, count, emit, settle).mapInArrow(finish, "rep long, n long, c long, shingles binary")
+
+
+def _possible(m, c, n, d, part: int, whole: int):
+    """Whether sets of sizes m and n, with c and d elements that other sets have, can be similar enough."""
+    least = np.minimum(c, d)
+    return whole * least >= part * (m + n - least)
+
+
+def _chunks(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """rep, component, chunk: documents in chunks of about ``_CHUNK_ROWS``.
+
+    A chunk's documents have the smallest document of their keys in common; a large component
+    of these is cut into chunks of its own, small ones share chunks.
+    """
+    home = members.groupBy("rep").agg(F.min("center").alias("home"))
+    named = home.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "home", F.coalesce("component", "rep").alias("component"))
+    named = tables.stored(named)
+    sizes = named.groupBy("home", "component").agg(F.count("*").alias("n"))
+    small = sizes.filter(F.col("n") < _CHUNK_ROWS).groupBy("home").agg(F.sum("n").alias("small"))
+    sizes = tables.stored(sizes.join(small, "home", "left"))
+    large = F.col("n") >= _CHUNK_ROWS
+    count = F.ceil(F.when(large, F.col("n")).otherwise(F.col("small")) / _CHUNK_ROWS)
+    spot = F.pmod(F.when(large, F.xxhash64("rep")).otherwise(F.xxhash64("component")), count)
+    return named.join(sizes, ["home", "component"]).select(
+        "rep", "component", F.xxhash64("home", F.when(large, F.col("component")), spot).alias("chunk")
+    )
+
+
+def _chunk_pairs(members: DataFrame, chunks: DataFrame, facts: DataFrame, part: int, whole: int) -> DataFrame:
+    """Pairs of chunks (low, high) with a pair of documents that may be similar, share a key and aren't connected.
+
+    Only keys with several components take part. All of a key but its largest component is held
+    against all of it, by signatures and sizes; a large key is cut into cells of about 1,024 by
+    1,024 documents.
+    """
+    named = tables.stored(members.join(chunks, "rep").select("key", "rep", "component", "chunk"))
     sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
-    keys = sizes.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("largest"))
-    mixed = keys.filter("kinds > 1").select(
-        "key", F.col("largest.component").alias("largest"),
-        F.ceil((F.col("n") - F.col("largest.n")) / _CELL).cast("int").alias("rows"), F.ceil(F.col("n") / _CELL).cast("int").alias("columns"),
+    mixed = tables.stored(
+        sizes.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("largest"))
+        .filter("kinds > 1")
+        .select(
+            "key", F.col("largest.component").alias("largest"),
+            F.ceil((F.col("n") - F.col("largest.n")) / _CELL).cast("int").alias("rows"), F.ceil(F.col("n") / _CELL).cast("int").alias("columns"),
+        )
     )
-    placed = named.join(mixed, "key").join(reps.select("rep", "signature"), "rep")
+    placed = named.join(mixed, "key")
     spot = F.xxhash64("rep")
-    side = lambda name, own, other: placed.select(
-        "key", "rep", "component", "signature", F.lit(name == "row").alias("is_row"),
-        F.pmod(spot, own).cast("int").alias(name), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("column" if name == "row" else "row"),
-    )
-    cells = side("row", F.col("rows"), "columns").join(mixed.select("key", "largest"), "key").filter(F.col("component") != F.col("largest")).drop("largest")
-    cells = cells.unionByName(side("column", F.col("columns"), "rows"))
+    left = placed.filter("component <> largest").withColumn("is_row", F.lit(True)).withColumn("row", F.pmod(spot, "rows").cast("int"))
+    left = left.withColumn("column", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)))
+    right = placed.withColumn("is_row", F.lit(False)).withColumn("column", F.pmod(spot, "columns").cast("int"))
+    right = right.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
+    names = ["key", "row", "column", "is_row", "rep", "component", "chunk"]
+    cells = tables.stored(left.select(names).unionByName(right.select(names)))
+    parts = max(tables.partitions(members), cells.count() // 16384 + 1)
 
     def compare(table: pa.Table) -> pa.Table:
-        is_row = table.column("is_row").to_numpy()
-        rep, component = table.column("rep").to_numpy(), table.column("component").to_numpy()
+        table = table.sort_by([("key", "ascending"), ("row", "ascending"), ("column", "ascending")])
+        cell = np.stack([table.column(x).to_numpy() for x in ("key", "row", "column")])
+        begin = np.flatnonzero(np.concatenate([[True], (cell[:, 1:] != cell[:, :-1]).any(axis=0)]))
+        is_row, component, chunk, n, c = (table.column(x).to_numpy() for x in ("is_row", "component", "chunk", "n", "c"))
         signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, POSITIONS)
-        left, right = np.flatnonzero(is_row), np.flatnonzero(~is_row)
-        found = []
-        for i in left:
-            wrong = (signature[right] != signature[i]).sum(axis=1)
-            ok = np.flatnonzero((wrong <= MOST_WRONG) & (component[right] != component[i]))
-            if len(ok):
-                j = right[ok]
-                found.append(np.stack([
-                    np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j]),
-                    np.minimum(component[i], component[j]), np.maximum(component[i], component[j]), wrong[ok],
-                ]))
-        if not found:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "more": pa.array([], pa.bool_())})
-        a, b, c, d, wrong = np.unique(np.concatenate(found, axis=1), axis=1)
-        order = np.lexsort((b, a, wrong, d, c))
-        a, b, c, d = (x[order] for x in (a, b, c, d))
-        new = np.ones(len(a), bool)
-        new[1:] = (c[1:] != c[:-1]) | (d[1:] != d[:-1])
-        group = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        rank = np.arange(len(a)) - first[group]
-        large = np.diff(np.append(first, len(a))) > most
-        chosen = rank < most
-        return pa.table({"a": a[chosen], "b": b[chosen], "more": large[group][chosen]})
-
-    return cells.groupBy("key", "row", "column").applyInArrow(compare, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+        found = set()
+        for a, b in zip(begin, np.append(begin[1:], len(is_row))):
+            right = a + np.flatnonzero(~is_row[a:b])
+            for i in (a + np.flatnonzero(is_row[a:b])).tolist():
+                j = right[(component[right] != component[i]) & _possible(n[i], c[i], n[right], c[right], part, whole)]
+                if len(j):
+                    j = j[(signature[j] != signature[i]).sum(axis=1) <= MOST_WRONG]
+                    found.update((min(chunk[i], x), max(chunk[i], x)) for x in set(chunk[j].tolist()))
+        found = sorted(found)
+        return pa.table({"low": pa.array([x for x, _ in found], pa.int64()), "high": pa.array([x for _, x in found], pa.int64())})
+
+    dealt = cells.join(facts, "rep").withColumn("part", F.pmod(F.xxhash64("key", "row", "column"), F.lit(parts)).cast("int"))
+    return dealt.groupBy("part").applyInArrow(compare, "low long, high long").distinct()
+
+
+def _linked_across(pairs: DataFrame, chunks: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
+    """Confirmed links (a, b) between components in pairs of chunks; what a link connects isn't compared further."""
+    sides = pairs.select("low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("chunk"))
+    rows = sides.join(chunks, "chunk").join(sets, "rep").select("low", "high", "chunk", "rep", "component", "n", "c", "shingles")
+
+    def confirm(table: pa.Table) -> pa.Table:
+        chunk, rep, component, n, c = (table.column(x).to_numpy() for x in ("chunk", "rep", "component", "n", "c"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        left, right = np.flatnonzero(chunk == low), np.flatnonzero(chunk == high)
+        held = np.concatenate([sets[j] for j in right])
+        begin = np.cumsum(n[right]) - n[right]
+        root = {x: x for x in component.tolist()}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        links = []
+        for i in left.tolist():
+            open_ = (component[right] != component[i]) & _possible(n[i], c[i], n[right], c[right], part, whole)
+            if not open_.any():
+                continue
+            place = np.minimum(np.searchsorted(sets[i], held), len(sets[i]) - 1)
+            both = np.add.reduceat((sets[i][place] == held).astype(np.int64), begin)
+            similar = open_ & (whole * both >= part * (n[i] + n[right] - both))
+            for j in right[similar].tolist():
+                x, y = find(int(component[i])), find(int(component[j]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    links.append((rep[i], rep[j]))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return rows.groupBy("low", "high").applyInArrow(confirm, "a long, b long")
 
 
 def near_duplicates(
@@ -285,10 +392,11 @@ def near_duplicates(
     Documents are linked where ``whole`` * intersection >= ``part`` * union of their sets of
     ``width``-word shingles (A-Z lower-cased; fewer words: the whole sequence is one shingle).
     Documents with equal sets are one class; classes meet by the keys described at the top of this
-    module. First each key's smallest document is held against the others, then, in rounds,
-    whatever is close, shares a key and isn't connected yet, until nothing is left untested.
-    Every link is confirmed on full sets. Copies aren't expanded into pairs: a key's documents
-    that are already connected aren't compared.
+    module. A document of which too many shingles occur nowhere else is done. Of the rest, each
+    key's smallest document is held against the others; then all that share a key, may be similar
+    and aren't connected yet are tested, in pairs of chunks of documents, so that however many a
+    key has, no pair of them becomes a row. Every link is confirmed on full sets, and links between
+    what is connected already aren't looked for.
 
     Null or empty text: no shingles, linked with nothing. Null ids count as one id larger than
     all others and come back as null. Rows with equal ids are one document. No rows in, no
@@ -304,31 +412,24 @@ def near_duplicates(
     )
     count = classes.count()
     parts = max(tables.partitions(docs), count * 1024 // (16 << 20) + 1)
-    members = tables.stored(_members(reps, parts))
-    active = members.select("rep").unionByName(members.select(F.col("center").alias("rep"))).distinct()
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            values, cuts = shingle_sets(batch.column("text"), width)
-            body = [values[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(cuts), pa.int64()), pa.array(body, pa.binary())], ["rep", "n", "shingles"])
-
-    sets = tables.stored(plain.join(active.withColumnRenamed("rep", "id"), "id", "left_semi").mapInArrow(gather, "rep long, n long, shingles binary"))
-    sets = sets.filter("n > 0")
-    tested = tables.stored(_close(members.select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), reps))
-    links = tables.stored(_confirmed(tested, sets, part, whole))
+    shared = tables.stored(_members(reps, parts))
+    shared = shared.select("key", "rep").unionByName(shared.select("key", F.col("center").alias("rep"))).distinct()
+    active = shared.select(F.col("rep").alias("id")).distinct()
+    sets = _shared_counts(plain.join(active, "id", "left_semi"), width)
+    # what no other document has counts against any link
+    sets = tables.stored(sets.filter(F.col("c") * whole >= F.col("n") * part))
+    facts = tables.stored(sets.select("rep", "n", "c").join(reps.select("rep", "n", "signature"), ["rep", "n"]))
+    able = tables.stored(shared.join(facts.select("rep"), "rep"))
+    centers = tables.stored(able.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("size")).filter("size > 1").drop("size"))
+    members = tables.stored(able.join(centers, "key"))
+    first = _close(members.filter("center <> rep").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), reps)
+    links = tables.stored(_confirmed(first, sets, part, whole))
     labels = tables.stored(components(links))
-    most = 1
-    while True:
-        found = tables.stored(_across(members, reps, labels, most))
-        untested = tables.stored(found.join(tested, ["a", "b"], "left_anti").select("a", "b"))
-        if not untested.isEmpty():
-            links = links.unionByName(tables.stored(_confirmed(untested, sets, part, whole)))
-            labels = tables.stored(components(links))
-            tested = tested.unionByName(untested)
-        if found.filter("more").isEmpty():
-            break
-        most *= 16
+    chunks = tables.stored(_chunks(members, labels))
+    pairs = tables.stored(_chunk_pairs(members, chunks, facts, part, whole))
+    more = tables.stored(_linked_across(pairs, chunks, sets, part, whole))
+    if not more.isEmpty():
+        labels = tables.stored(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
     named = (
         signed.select("id", "n_shingles", "p1", "p2")
         .join(classes, ["p1", "p2"], "left")
