@@ -17,6 +17,8 @@ from gistmill.llm.words import Words, slices, text_bytes
 PIECES = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0  -     　\p{L}\p{N}]+"
 )
+#: Beyond these come scripts whose newest letters this Python may not know yet.
+_OFTEN = regex.compile(r"[\x00-\u0557\u1e00-\u1fff\u2010-\u2064\u20a0-\u20bf\u3001-\ua6ff\uac00-\ud7a3\uf900-\ufaff\uff01-\uffee]*+")
 _NONE = np.int32(2**31 - 1)
 _ALPHABET = np.zeros(256, bool)
 _ALPHABET[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
@@ -83,7 +85,9 @@ class BytePairs:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.tokens = {i: t for t, i in vocabulary.items()} | {i: t for t, i in self.special.items()}
         self.tokens = [self.tokens.get(i, "") for i in range(max(self.tokens) + 1)]
+        self.path = path
         letters = _byte_letters()
+        self.letters = {x: b for b, x in enumerate(letters)}
         self.middle = np.array([vocabulary[x] for x in letters], np.int32)
         self.last = np.array([vocabulary[x + suffix] for x in letters], np.int32)
         pairs = [x if isinstance(x, list) else x.split(" ") for x in spec["model"]["merges"]]
@@ -150,11 +154,22 @@ class BytePairs:
         for part in self.split_special.split(word) if self.split_special and "<|" in word else [word]:
             if part in self.special:
                 out.append(self.special[part])
+            elif not _OFTEN.fullmatch(part) and any(unicodedata.category(x) == "Cn" for x in part):
+                out.extend(self._newer_pieces(part))
             else:
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
                 out.extend(x.encode() for x in PIECES.findall(part))
         return out
 
+    def _newer_pieces(self, part: str) -> list[bytes]:
+        """Pieces by the tokenizers library, for characters newer than Python's tables."""
+        from tokenizers import Tokenizer
+
+        if not hasattr(self, "library"):
+            self.library = Tokenizer.from_file(self.path)
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
+        return [bytes(self.letters[x] for x in piece) for piece, _ in found]
+
     def encode_words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words given by their bytes, and their number for each word."""
         size = end - start

@@ -236,7 +236,7 @@ def _shared_counts(docs: DataFrame, width: int) -> DataFrame:
             yield out.filter(pa.array(np.diff(cuts) > 0))
 
     blocks = tables.packed_blocks(docs.mapInArrow(gather, "rep long, n long, shingles binary"), "rep", "shingles")
-    count = tables.parts_for(blocks, share=0.5)
+    count = tables.parts_for(blocks, 4 << 20, share=0.5)
 
     def dealt(batch: pa.RecordBatch):
         flat = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.uint64)
@@ -411,7 +411,7 @@ def near_duplicates(
         signed.join(classes, ["p1", "p2"]).filter("id = rep").select("rep", F.col("n_shingles").alias("n"), "signature").dropDuplicates(["rep", "n"])
     )
     count = classes.count()
-    parts = max(tables.partitions(docs), count * 1024 // (16 << 20) + 1)
+    parts = max(tables.partitions(docs), count * 1024 // (8 << 20) + 1)
     shared = tables.stored(_members(reps, parts))
     shared = shared.select("key", "rep").unionByName(shared.select("key", F.col("center").alias("rep"))).distinct()
     active = shared.select(F.col("rep").alias("id")).distinct()

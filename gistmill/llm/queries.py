@@ -11,6 +11,7 @@ from gistmill.llm.learning import remainder
 from gistmill.llm.line_dedup import line_dedup
 from gistmill.llm.main_text import main_text
 from gistmill.llm.near_dedup import near_duplicates
+from gistmill.llm.packing import pack_sequences
 from gistmill.llm.quality import quality_scores
 from gistmill.llm.substring_dedup import substring_dedup
 from gistmill.llm.toxicity import toxicity_scores
@@ -48,6 +49,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_sequences(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
