@@ -1,21 +1,67 @@
 """From raw documents to packed training sequences, stage by stage."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gistmill.llm.learning import remainder
+from gistmill.llm.line_dedup import line_dedup
+from gistmill.llm.near_dedup import near_duplicates
+from gistmill.llm.packing import pack_sequences
+from gistmill.llm.queries import THRESHOLD
 from gistmill.llm.substring_dedup import substring_dedup
 from gistmill.llm.tables import stored
+from gistmill.llm.toxicity import toxicity_scores
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-def _substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return substring_dedup(docs).select("doc_id", "text", "lang", "source", "n_chars")
 
+def _with_length(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
 
-STAGES = [("substring_dedup", _substring)]
+
+def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't predicted to be toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity_scores(docs.select(COLUMNS), labels, remainder("doc_id", 4) != 2)
+    return scored.filter(F.col("score") < THRESHOLD).select(COLUMNS)
+
+
+def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that many share."""
+    return _with_length(line_dedup(docs.select(COLUMNS)))
+
+
+def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id."""
+    found = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(COLUMNS)
+
+
+def _substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without passages that an earlier one has."""
+    return _with_length(substring_dedup(docs.select(COLUMNS)))
+
+
+def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document's tokens goes in the training sequences."""
+    return pack_sequences(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", _toxicity),
+    ("line_dedup", _lines),
+    ("near_dedup", _near_duplicates),
+    ("substring_dedup", _substrings),
+    ("packing", _packing),
+]
+#: SQL can't express a learnt classifier.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages applied to ``documents``; each result is written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

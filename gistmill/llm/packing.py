@@ -53,26 +53,30 @@ def _configurations(seeds: np.ndarray, choice: np.ndarray, capacity: int) -> np.
         room = room - taken
 
 
-def solve(counts: np.ndarray, capacity: int, rounds: int = 60, rate: float = 1.0, memory: float = 0.9) -> tuple[dict, float]:
+def solve(counts: np.ndarray, capacity: int, rate: float = 1.0, memory: float = 0.9) -> tuple[dict, float]:
     """Fractional uses of configurations that cover ``counts`` about evenly, and a lower bound on the sequences.
 
-    In each round every length seeds its best configuration; lengths lately covered less than their
-    share get heavier, others lighter, by smaller steps from round to round. The best value scales the
+    In each round every length (of a few lengths, those whose configurations are worth most) seeds its
+    best configuration; lengths lately covered less than their share get heavier, others lighter, by
+    smaller steps from round to round. The best value scales the
     weights to a feasible dual, whose value is the bound. Uses are means over the last two thirds of the rounds.
     """
     lengths = np.flatnonzero(counts)
     n = counts[lengths].astype(float)
     weights = lengths / capacity
     uses: dict[tuple, float] = defaultdict(float)
+    rounds = int(np.clip(20_000 / len(lengths), 60, 400))
     covered, bound, kept = np.zeros(len(lengths)), float(n @ weights), rounds - rounds // 3
     for turn in range(1, rounds + 1):
         by_length = np.full(capacity + 1, -np.inf)
         by_length[lengths] = weights
         best, choice = price(by_length, capacity)
-        weights = weights / best[capacity]
+        weights, best = weights / best[capacity], best / best[capacity]
         bound = max(bound, float(n @ weights))
-        rows = _configurations(lengths, choice, capacity)
-        amount = n / (rows == rows[:, :1]).sum(axis=1)
+        worth = weights + best[capacity - lengths]
+        seeds = worth >= (min(1 - 0.3 / turn, np.median(worth)) if len(lengths) <= 256 else 0)
+        rows = _configurations(lengths[seeds], choice, capacity)
+        amount = n[seeds] / (rows == rows[:, :1]).sum(axis=1)
         amount *= (n @ lengths) / (amount @ rows.sum(axis=1))
         here = np.bincount(rows.ravel(), weights=np.repeat(amount, rows.shape[1]), minlength=capacity + 1)[lengths]
         if turn > rounds - kept:

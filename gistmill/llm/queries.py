@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gistmill.llm.bpe import encode_digests
+from gistmill.llm.fertility import fertility_rules
 from gistmill.llm.learning import remainder
 from gistmill.llm.line_dedup import line_dedup
 from gistmill.llm.main_text import main_text
@@ -45,6 +46,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir, quality_scores, 5, 0)
 
 
+def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return fertility_rules(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("lang")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
