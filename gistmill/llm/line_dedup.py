@@ -56,9 +56,12 @@ def line_dedup(
     kept = F.transform(F.array_except(F.sequence(F.lit(0), last), "dropped"), lambda i: F.get(F.col("lines"), i))
     text = F.when(F.col("dropped").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(f"row.`{text_column}`"))
     others = [c for c in docs.columns if c.lower() not in (text_column.lower(), "n_lines", "n_dropped")]
-    return rows.join(dropped, ["id", "version"], "left").select(
-        *[F.col(f"row.`{c}`").alias(c) for c in others],
-        text.alias(text_column),
+    judged = rows.join(dropped, ["id", "version"], "left").select(
+        "row",
+        text.alias("text"),
         F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
     )
+    return judged.select(
+        *[F.col(f"row.`{c}`").alias(c) for c in others], F.col("text").alias(text_column), "n_lines", "n_dropped"
+    )

@@ -1,0 +1,67 @@
+"""Quality and toxicity scores: held-out accuracy and awkward input."""
+
+import random
+import zlib
+
+import pytest
+from cases import awkward, frame, kept_columns, vocabulary
+
+from gistmill.llm.learning import remainder
+from gistmill.llm.quality import quality_scores
+from gistmill.llm.toxicity import toxicity_scores
+
+
+def labelled(seed, bad):
+    rng = random.Random(seed)
+    words = vocabulary(rng, 300)
+    rows, labels = [], []
+    for i in range(900):
+        text = rng.choices(words, k=rng.randint(5, 80))
+        label = int(rng.random() < 0.3)
+        rows.append((i, " ".join(bad(rng, text) if label else text)))
+        labels.append((i, label))
+    return rows, labels
+
+
+def junk(rng, text):
+    return [w + rng.choice(["***", "$$$", "&&&"]) for w in text]
+
+
+def insult(rng, text):
+    stem = rng.choice(["vilifan", "scorne", "dwimbal"])
+    text[rng.randrange(len(text))] = stem + "".join(rng.choice("aeioustr") for _ in range(rng.randint(1, 4)))
+    return text
+
+
+@pytest.mark.parametrize("score, bad, column", [(quality_scores, junk, "quality"), (toxicity_scores, insult, "toxic")])
+def test_held_out(spark, score, bad, column):
+    rows, known = labelled(3, bad)
+    docs = frame(spark, rows + awkward())
+    labels = spark.createDataFrame([*known, (None, 1), (5000, None), (5001, 7)], f"doc_id long, {column} int")
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
+    found = score(docs, labels, remainder("doc_id", 5) != 0, label_column=column)
+    got = {r.doc_id: r.score for r in found.collect()}
+    right = [(got[i] >= 0.3) == (y == 1) for i, y in known if i in held]
+    assert len(right) > 100 and sum(right) / len(right) > 0.97
+    assert all(0 <= x <= 1 for x in got.values())
+    assert got[1000] == got[1001]
+    kept_columns(docs, found, {"score"})
+
+
+@pytest.mark.parametrize("score", [quality_scores, toxicity_scores])
+def test_without_labels(spark, score):
+    docs = frame(spark, awkward())
+    none = spark.createDataFrame([], "doc_id long, y int")
+    assert {round(r.score, 6) for r in score(docs, none, remainder("doc_id", 5) != 0, "y").collect()} == {0.5}
+    one = spark.createDataFrame([(1003, 1)], "doc_id long, y int")
+    assert len({round(r.score, 6) for r in score(docs, one, remainder("doc_id", 1) == 0, "y").collect()}) == 1
+    assert score(frame(spark, []), none, remainder("doc_id", 5) != 0, "y").collect() == []
+
+
+def test_score_of_a_text_does_not_depend_on_its_batch(spark):
+    rows, known = labelled(4, junk)
+    labels = spark.createDataFrame(known, "doc_id long, quality int")
+    scores = [
+        {r.doc_id: r.score for r in quality_scores(frame(spark, rows, n), labels, remainder("doc_id", 5) != 0).collect()} for n in (1, 7)
+    ]
+    assert scores[0] == pytest.approx(scores[1])
