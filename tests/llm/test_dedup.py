@@ -1,42 +1,21 @@
 """Substring, line and near-duplicate removal against brute force."""
 
-import hashlib
-from collections import defaultdict
-
+import brute
 import pytest
-from cases import awkward, corpus, fold, frame, kept_columns, order, words
+from cases import awkward, corpus, frame, kept_columns
 
 from gistmill.llm.line_dedup import line_dedup
 from gistmill.llm.near_dedup import components, near_duplicates
 from gistmill.llm.substring_dedup import substring_dedup
 
 
-def brute_substrings(rows, window):
-    first = {}
-    for i, text in rows:
-        found = words(text)
-        for k in range(len(found) - window + 1):
-            key = tuple(found[k:k + window])
-            first[key] = min(first.get(key, order(i)), order(i))
-    out = []
-    for i, text in rows:
-        found = words(text)
-        keep = [True] * len(found)
-        for k in range(len(found) - window + 1):
-            if first[tuple(found[k:k + window])] < order(i):
-                keep[k:k + window] = [False] * window
-        kept = " ".join(w for w, y in zip(found, keep) if y)
-        out.append((i, len(found), len(found) - sum(keep), hashlib.sha256(kept.encode()).hexdigest(), text if all(keep) else kept))
-    return out
-
-
 @pytest.mark.parametrize("window", [2, 7, 13])
 def test_substrings(spark, window):
     rows = corpus() + awkward()
     docs = frame(spark, rows)
     found = substring_dedup(docs, window)
     got = sorted(map(tuple, found.select("doc_id", "n_words", "n_removed", "kept_sha256", "text").collect()), key=str)
-    assert got == sorted(brute_substrings(rows, window), key=str)
+    assert got == sorted(brute.substrings(rows, window), key=str)
     assert sum(x[2] for x in got) > 100
     kept_columns(docs, found, {"text", "n_words", "n_removed", "kept_sha256"})
 
@@ -49,21 +28,9 @@ def test_substrings_of_nothing(spark):
 def test_lines(spark):
     rows = corpus() + awkward() + [(2000 + i, "Same  line that is long enough to be counted, really.\nown") for i in range(6)]
     docs = frame(spark, rows)
-    holders = defaultdict(set)
-    for i, text in rows:
-        for line in (text or "").split("\n"):
-            key = fold(line.strip(" \t\n\x0b\x0c\r"))
-            if len(key) >= 40:
-                holders[key].add(order(i))
-    expected = []
-    for i, text in rows:
-        lines = (text or "").split("\n")
-        drop = [len(h := holders.get(fold(x.strip(" \t\n\x0b\x0c\r")), ())) >= 5 and max(h) != order(i) for x in lines]
-        kept = "\n".join(x for x, y in zip(lines, drop) if not y)
-        expected.append((i, len(lines), sum(drop), kept if any(drop) else text))
     found = line_dedup(docs)
     got = list(map(tuple, found.select("doc_id", "n_lines", "n_dropped", "text").collect()))
-    assert sorted(got, key=str) == sorted(expected, key=str)
+    assert sorted(got, key=str) == sorted(brute.lines(rows), key=str)
     assert sum(x[2] for x in got) > 10
     kept_columns(docs, found, {"text", "n_lines", "n_dropped"})
 
@@ -72,37 +39,10 @@ def test_lines_of_nothing(spark):
     assert line_dedup(frame(spark, [])).collect() == []
 
 
-def brute_components(rows, width=5):
-    sets = defaultdict(set)
-    sizes = []
-    for i, text in rows:
-        found = words(fold(text or ""))
-        s = {tuple(found[k:k + width]) for k in range(len(found) - width + 1)} if len(found) >= width else {tuple(found)} if found else set()
-        sizes.append((i, len(s), frozenset(s)))
-    root = {order(i): order(i) for i, _ in rows}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, (i, m, s) in enumerate(sizes):
-        for j, n, t in sizes[:a]:
-            both = len(s & t)
-            if both and 100 * both >= 75 * (m + n - both):
-                x, y = find(order(i)), find(order(j))
-                root[max(x, y)] = min(x, y)
-    out = set()
-    for i, n, s in sizes:
-        c = find(order(i)) if n else order(i)
-        out.add((i, n, None if c == order(None) else c, c == order(i)))
-    return out
-
-
 def test_near_duplicates(spark):
     rows = corpus(5, 200) + [r for r in awkward() if r[0] != 1009]
     got = {tuple(r) for r in near_duplicates(frame(spark, rows)).collect()}
-    assert got == brute_components(rows)
+    assert got == brute.near_components(rows)
     assert sum(not r[3] for r in got) > 40
 
 
@@ -111,7 +51,7 @@ def test_chain_without_a_common_center(spark):
     base = [f"w{k}" for k in range(100)]
     rows = [(i, " ".join(base[4 * i:4 * i + 60])) for i in range(10)]
     got = {tuple(r) for r in near_duplicates(frame(spark, rows)).collect()}
-    assert got == brute_components(rows)
+    assert got == brute.near_components(rows)
     assert {r[2] for r in got} == {0}
 
 

@@ -1,0 +1,99 @@
+"""The pipeline's stages one after another, and the registered queries."""
+
+import random
+
+import brute
+import duckdb
+import public_tokenizers
+import pytest
+from cases import corpus, vocabulary
+from tokenizers import Tokenizer
+
+import __spark_entry__
+import corpus_pipeline
+
+SMALL = "/root/testdata/sf0.001"
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    rng = random.Random(8)
+    words = vocabulary(rng, 200)
+    rows = corpus(7, 250)
+    toxic = {i for i in range(300, 400)}
+    rows += [(i, " ".join(rng.choices(words, k=20) + ["scornevil" + rng.choice("aeiou") * 2]) if i in toxic else " ".join(rng.choices(words, k=40))) for i in range(300, 600)]
+    path = str(tmp_path_factory.mktemp("corpus"))
+    docs = [(i, t, "en", "s", len(t)) for i, t in rows] + [(1000, None, None, None, None), (1001, "", "en", "s", 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    labels = [(i, 1, int(i in toxic)) for i, _ in rows]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return path, toxic
+
+
+def test_each_stage_against_brute_force(spark, folder):
+    path, toxic = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    read = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()))
+    before = read(docs)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, path)
+        if name == "packing":
+            break
+        assert docs.columns == COLUMNS
+        docs = corpus_pipeline.stored(docs)
+        assert docs.filter("n_chars <> char_length(text) or (n_chars is null) <> (text is null)").isEmpty()
+        after = read(docs)
+        if name == "toxicity":
+            gone = {i for i, _ in before} - {i for i, _ in after}
+            assert len(gone & toxic) >= 0.95 * len(toxic) and len(gone - toxic) <= 5
+            assert set(after) <= set(before)
+        elif name == "line_dedup":
+            assert after == sorted((i, t) for i, _, _, t in brute.lines(before)) and after != before
+        elif name == "near_dedup":
+            kept = {i for i, _, _, k in brute.near_components(before) if k}
+            assert after == [x for x in before if x[0] in kept] and after != before
+        else:
+            assert after == sorted((i, t) for i, _, _, _, t in brute.substrings(before, 13)) and after != before
+        before = after
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = docs.groupBy("doc_id").sum("length").collect()
+    assert sorted(map(tuple, got)) == [(i, 1 + len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in before]
+    whole = corpus_pipeline.run(spark, path)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert sorted(map(tuple, whole.select(names).collect())) == sorted(map(tuple, docs.select(names).collect()))
+
+
+def test_every_operator_is_registered():
+    names = list(__spark_entry__.queries())
+    for n in range(1, 11):
+        assert sum(x.startswith(f"op{n}_") for x in names) == 1
+    assert "pipeline" in names
+
+
+@pytest.mark.parametrize("name", [x for x in __spark_entry__.oracle_sql() if x.startswith("op")])
+def test_queries_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.sql(f"create view {table} as select * from '{SMALL}/{table}.parquet'")
+    expected = con.sql(__spark_entry__.oracle_sql()[name])
+    got = __spark_entry__.queries()[name](spark, SMALL)
+    assert sorted(got.columns) == sorted(expected.columns)
+    assert sorted(map(tuple, got.select(expected.columns).collect())) == sorted(expected.fetchall())
+
+
+def test_contract_columns(spark):
+    expected = {
+        "op1_substring_dedup": ["doc_id", "n_words", "n_removed", "kept_sha256"],
+        "op2_quality": ["doc_id", "held_out", "score", "predicted"],
+        "op3_fertility": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
+        "op4_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+        "op6_near_dedup": ["doc_id", "n_shingles", "component_id", "kept"],
+        "op7_toxicity": ["doc_id", "held_out", "score", "predicted"],
+        "op9_main_text": ["page_id", "url", "text", "n_chars"],
+    }
+    for name, columns in expected.items():
+        found = __spark_entry__.queries()[name](spark, SMALL)
+        assert set(columns) <= set(found.columns)
+        table = "pages" if name.startswith("op9") else "documents"
+        assert found.count() == spark.read.parquet(f"{SMALL}/{table}.parquet").count()

@@ -1,0 +1,95 @@
+"""Vector search against brute force; pages made from known articles."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gistmill.llm.main_text import main_text, page_text
+from gistmill.llm.vector_search import top_k
+
+SCHEMA = T.StructType([
+    T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("size", T.StringType()),
+    T.StructField("score", T.StringType()),
+])
+
+
+def brute(rows, step, k):
+    usable = sorted({
+        (i, tuple(math.floor(1024 * float(np.float32(x))) for x in v)) for i, v in rows
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
+    })
+    out = []
+    for q in sorted({i for i, _ in usable if i % step == 0}):
+        best = set()
+        for i, v in usable:
+            if i == q:
+                best |= {(-sum(a * b for a, b in zip(v, w)), j) for j, w in usable if j != q and len(w) == len(v)}
+        out += [(q, r + 1, j, -s) for r, (s, j) in enumerate(sorted(best)[:k])]
+    return out
+
+
+@pytest.mark.parametrize("blocks", [(4096, 512), (16, 3)])
+def test_top_k(spark, blocks):
+    rng = np.random.default_rng(2)
+    common = rng.normal(0, 0.3, 8).tolist()
+    rows = [(i, common if i % 3 == 0 else rng.normal(0, 0.3, 8).tolist()) for i in range(200)]
+    rows += [(300, None), (None, common), (301, [1.0, None] + [0.0] * 6), (302, [math.inf] + [0.0] * 7), (303, [math.nan] * 8), (304, []), (310, [])]
+    rows += [(311, [1.0, 2.0]), (320, [2.0, -1.0]), (5, rows[5][1]), (330, [0.0] * 8), (340, [1e9] * 8), (341, [-1e9] * 8)]
+    df = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], SCHEMA).repartition(3)
+    found = top_k(df, F.col("vec_id") % 10 == 0, 7, block_rows=blocks[0], query_rows=blocks[1])
+    assert sorted(map(tuple, found.collect())) == brute(rows, 10, 7)
+    assert top_k(df.limit(0), F.col("vec_id") % 10 == 0).collect() == []
+
+
+WRAP = """<!DOCTYPE html><html><head><title>T</title><style>p{{x}}</style><script>if (a</b/.test(x)) document.write("<p>no</p>")</script></head>
+<body class="home"><header><a href="/">Site</a><p>Slogan of the site</p></header><nav><ul><li><a href="/a">A menu item</a><li><a href="/b">B</a></ul></nav>
+<div class="cookie-notice"><p>We use cookies and so on, please agree to all of them now.</p><button>OK</button></div>
+<div id="sidebar"><h3>Popular</h3><p>Some long teaser text that isn't the article at all, however long.</p></div>
+{article}
+<section id="comments"><h2>Comments</h2><article class="comment"><p>First! {noise}</p></article><form action="/c"><textarea>Say</textarea><p>Post it</p></form></section>
+<div class="ad">Buy this now</div><aside><p>{noise}</p></aside><footer><p>&copy; 2020 Site, all rights reserved</p></footer></body></html>"""
+
+
+def sentence(rng):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(5, 40)))
+
+
+@pytest.mark.parametrize("shape", ["article", "div", "broken"])
+def test_articles_come_back(shape):
+    rng = random.Random(len(shape))
+    for _ in range(40):
+        blocks = [sentence(rng) for _ in range(rng.randint(2, 9))]
+        head, rest = blocks[0], blocks[1:]
+        if shape == "article":
+            inner = f"<article><h1>{head}</h1>" + "".join(f"<p>{x.replace(' ', chr(10) + '  ', 1)} <b>&amp; &eacute;</b></p>" for x in rest) + "</article>"
+            expected = [head] + [f"{x} & é" for x in rest]
+        elif shape == "div":
+            inner = f'<div class="content"><div class="story"><h1>{head}</h1>' + "".join(f"<p>{x}, <a href='/x'>link</a></p>" for x in rest) + "</div></div>"
+            expected = [head] + [f"{x}, link" for x in rest]
+        else:
+            inner = f"<article><h1>{head}</h1><p><b>" + "<br><p>".join(rest) + "<!-- a <p> --></article>"
+            expected = [head, *rest]
+        page = WRAP.format(article=inner, noise=sentence(rng) if shape != "div" else "short")
+        assert page_text(page) == "\n".join(expected)
+
+
+def test_awkward_pages(spark):
+    pages = [
+        (1, "u", None, "t"), (2, None, "", "t"), (3, "u", "plain text &lt;3", "t"), (4, "u", "<p>unclosed <b>bold", "t"), (5, "u", "<div>" * 5000 + "deep", "t"),
+        (6, "u", "<script>never closed <p>x", "t"), (7, "u", "<<<>>> < p > a<b", "t"), (8, "u", "<ul><li>one<li>two</ul>", "t"), (8, "u", "<ul><li>one<li>two</ul>", "t"),
+        (9, "u", "<nav>only a menu</nav>", "t"), (10, "u", "<p>" + "word " * 50000 + "</p>", "t"), (None, "u", "<!-- open", "t"),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, TEXT string")
+    found = main_text(df)
+    assert sorted(found.columns) == ["n_chars", "page_id", "text", "url"]
+    got = sorted(((r.page_id or 0, r.text, r.n_chars) for r in found.collect()))
+    assert all(n == len(t) for _, t, n in got)
+    texts = {i: t for i, t, _ in got}
+    assert texts[0] == texts[1] == texts[2] == texts[6] == texts[9] == ""
+    assert (texts[3], texts[4], texts[5], texts[8]) == ("plain text <3", "unclosed bold", "deep", "one\ntwo")
+    assert texts[10] == ("word " * 50000).strip() and len(got) == len(pages)
+    assert main_text(df.limit(0)).collect() == []
