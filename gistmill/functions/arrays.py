@@ -14,8 +14,8 @@ def completion_labels(ids: Column, prompt_length: Column) -> Column:
     """``ids`` with the first ``prompt_length`` entries hidden from the loss."""
     hidden = F.least(prompt_length, F.size(ids))
     return F.concat(
-        F.array_repeat(F.lit(fx.IGNORED_LABEL), hidden),
-        F.slice(ids, hidden + 1, F.size(ids)),
+        F.array_repeat(F.lit(fx.IGNORED_LABEL), hidden).cast("array<bigint>"),
+        F.slice(ids, hidden + 1, F.size(ids)).cast("array<bigint>"),
     )
 
 

@@ -1,18 +1,16 @@
 """Joins of very many rows with a table that is unique on the key.
 
-The table is broadcast only if it was measured to be small. Beyond that the join
-is a shuffle in which keys that may be frequent are salted, so that no task gets
-all rows of one key.
+The table is broadcast only if it was measured to be small. Beyond that, the few
+keys that have many rows are broadcast, and the rest is joined by shuffle.
 """
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gistmill.session import materialize
+
 BROADCAST_BYTES = 64 << 20
 HOT_KEYS = 1000
-SALTS = 16
 
 
 def fits_broadcast(table: DataFrame, row_bytes: Column, limit: int = BROADCAST_BYTES) -> bool:
@@ -25,30 +23,20 @@ def broadcast_lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(table), key, "left")
 
 
-def salted_lookup(
-    rows: DataFrame, table: DataFrame, key: str, spread_by: Sequence[str], weight: str | None = None
-) -> DataFrame:
-    """Left join by shuffle. ``spread_by`` names columns that tell rows of one key apart.
+def frequent_lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left join by shuffle, frequent keys by broadcast.
 
-    ``weight`` is the table's column with the number of rows per key, if it is
-    known. Only keys with more than 1/1000 of all rows are salted then: there are
-    fewer than 1000 of them, which bounds the list that is broadcast. Without
-    weights every key is salted and the table is copied ``SALTS`` times.
+    Keys of more than 1/1000 of all rows are counted on the rows themselves: there are fewer
+    than 1000 of them, which bounds the list that is broadcast, and those that the
+    table doesn't have are among them. Their rows never reach the shuffle, so no key there
+    brings more than a thousandth of all rows to a task. Nulls are frequent too: they match nothing.
     """
-    every_salt = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
-    if weight is None:
-        salted_rows, salts = rows.withColumn("_salt", salt), every_salt
-    else:
-        total = table.agg(F.sum(weight)).first()[0] or 0
-        hot = F.col(weight) > total / HOT_KEYS
-        hot_keys = table.filter(hot).select(key, F.lit(True).alias("_hot"))
-        salted_rows = (
-            rows.join(F.broadcast(hot_keys), key, "left")
-            .withColumn("_salt", F.when(F.col("_hot") | F.col(key).isNull(), salt).otherwise(F.lit(0)))
-            .drop("_hot")
-        )
-        salts = F.when(hot, every_salt).otherwise(F.array(F.lit(0)))
-    values = [c for c in table.columns if c != weight]
-    salted_table = table.select(*values, F.explode(salts).alias("_salt"))
-    return salted_rows.join(salted_table, [key, "_salt"], "left").drop("_salt")
+    counts = materialize(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    frequent = counts.filter(F.col(key).isNotNull() & (F.col("_n") > total / HOT_KEYS)).select(key)
+    hot = materialize(frequent.join(table, key, "left"))
+    known = rows.join(F.broadcast(hot), key)
+    tail = rows.filter(F.col(key).isNotNull()).join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key, "left")
+    values = [c for c in table.columns if c != key]
+    missing = rows.filter(F.col(key).isNull()).select("*", *[F.lit(None).cast(table.schema[c].dataType).alias(c) for c in values])
+    return known.unionByName(tail).unionByName(missing)

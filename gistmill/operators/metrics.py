@@ -17,8 +17,10 @@ from gistmill.session import compute_once
 ROUGE = ("rouge1", "rouge2", "rougeL")
 
 
-def mismatched_keys(predictions: DataFrame, references: DataFrame, keys: Sequence[str] = ("split", "id")) -> DataFrame:
-    """Keys that do not occur equally often on both sides.
+def mismatched_keys(
+    predictions: DataFrame, references: DataFrame, keys: Sequence[str] = ("split", "id"), once: bool = False
+) -> DataFrame:
+    """Keys that do not occur equally often on both sides (or, with ``once``, exactly once on each).
 
     Counting a union reduces repeated keys before the shuffle, where an outer
     join would bring all copies of a key to one task.
@@ -27,12 +29,15 @@ def mismatched_keys(predictions: DataFrame, references: DataFrame, keys: Sequenc
         references.select(*keys, F.lit(0).alias("p"), F.lit(1).alias("r"))
     )
     counted = tagged.groupBy(*keys).agg(F.sum("p").alias("n_predictions"), F.sum("r").alias("n_references"))
-    return counted.filter(F.col("n_predictions") != F.col("n_references"))
+    differ = F.col("n_predictions") != F.col("n_references")
+    return counted.filter(differ | (F.col("n_references") > 1) if once else differ)
 
 
-def check_aligned(predictions: DataFrame, references: DataFrame, keys: Sequence[str] = ("split", "id")) -> None:
+def check_aligned(
+    predictions: DataFrame, references: DataFrame, keys: Sequence[str] = ("split", "id"), once: bool = False
+) -> None:
     row = (
-        mismatched_keys(predictions, references, keys)
+        mismatched_keys(predictions, references, keys, once)
         .agg(F.count(F.lit(1)).alias("n"), F.sum("n_predictions").alias("p"), F.sum("n_references").alias("r"))
         .first()
     )
@@ -64,10 +69,11 @@ def rouge_counts(
     counts = {"n_pred": F.size("_p"), "n_ref": F.size("_r")}
     for name, n in (("rouge1", 1), ("rouge2", 2)):
         if name in metrics:
-            counts[f"{name}_hits"] = rouge.multiset_overlap(
-                rouge.ngrams(F.col("_p"), n), rouge.ngrams(F.col("_r"), n)
-            )
-    return tokens.withColumns(counts).drop("_p", "_r")
+            # bound once: the overlap names each array several times
+            grams = {f"_p{n}": rouge.ngrams(F.col("_p"), n), f"_r{n}": rouge.ngrams(F.col("_r"), n)}
+            tokens = compute_once(tokens, **grams) if n > 1 else tokens.withColumns(grams)
+            counts[f"{name}_hits"] = rouge.multiset_overlap(F.col(f"_p{n}"), F.col(f"_r{n}"))
+    return tokens.withColumns(counts).drop("_p", "_r", "_p1", "_r1", "_p2", "_r2")
 
 
 def _units(metric: str, side: str) -> Column:
@@ -139,8 +145,8 @@ def embedding_f1(
     ``vectors`` is ``(token, vector)``. Words without a vector count as unmatched.
     Each distinct word of a pair is looked up once, with its counts on both
     sides. Rows are laid out by key first; if the vectors can be broadcast, the
-    counting and the final grouping share that layout, and otherwise the lookup
-    is a salted shuffle join.
+    counting and the final grouping share that layout, and otherwise the few frequent words
+    are looked up by broadcast and the rest by a shuffle join. Vectors stay single floats.
     """
     sides = compute_once(
         df.select(*keys, prediction, reference).repartition(*[F.col(k) for k in keys]),
@@ -159,7 +165,7 @@ def embedding_f1(
     if lookup.fits_broadcast(vectors, F.octet_length("token") + 8 * F.size("vector"), broadcast_bytes):
         looked_up = lookup.broadcast_lookup(counted, table, "token")
     else:
-        looked_up = lookup.salted_lookup(counted, table, "token", keys)
+        looked_up = lookup.frequent_lookup(counted, table, "token")
     known = F.when(F.col("vector").isNotNull(), F.struct("p", "r", "vector"))
     grouped = looked_up.groupBy(*keys).agg(
         F.collect_list(known).alias("_known"),

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from gistmill import fixed_values as fx
 from gistmill.session import materialize
 
+BUCKET_ROWS = 1 << 16
+
 
 def shuffle_key(seed: int, *columns: str) -> Column:
     """Hex digest that puts rows in an order that looks random and is always the same."""
@@ -37,6 +39,7 @@ def number_rows(
     large, into pieces that are numbered in parallel. The relation is shuffled
     once, on (by, bucket); joining the bucket offsets back reuses that layout.
     Bucket sizes are counted on ``same_rows`` where that is cheaper to read.
+    A null bucket or a null in ``by`` is an error: such rows have no place.
     """
     group = [F.col(name) for name in by]
     parts = df.withColumn("_bucket", bucket)
@@ -48,20 +51,33 @@ def number_rows(
     )
     inside = Window.partitionBy(*group, "_bucket").orderBy(*order)
     numbered = parts.withColumn("_rank", F.row_number().over(inside))
+    # a null finds no offset: an inner join would lose its row without a word
+    nowhere = F.raise_error(F.lit(f"null bucket or group in {[*by]}")).cast("bigint")
     return (
-        numbered.join(offsets, [*by, "_bucket"])
-        .withColumn(out, F.col("_offset") + F.col("_rank"))
+        numbered.join(offsets, [*by, "_bucket"], "left")
+        .withColumn(out, F.coalesce("_offset", nowhere) + F.col("_rank"))
         .drop("_bucket", "_rank", "_offset")
     )
 
 
+def bucket_digits(rows: int) -> int:
+    """Hex digits that cut ``rows`` of uniform digests into buckets of ``BUCKET_ROWS`` or fewer."""
+    digits = 2
+    while rows > BUCKET_ROWS * 16**digits:
+        digits += 1
+    return digits
+
+
 def shuffle_buckets(
-    df: DataFrame, seed: int = fx.SHUFFLE_SEED, keys: Sequence[str] = ("split", "id"), prefix: int = 3
+    df: DataFrame, seed: int = fx.SHUFFLE_SEED, keys: Sequence[str] = ("split", "id"), prefix: int | None = None
 ) -> DataFrame:
     """Add the shuffle ``_key`` and its first hex digits as ``_bucket``.
 
-    Digests are uniform, so this makes up to 16**prefix buckets of equal size.
+    Digests are uniform, so this makes up to 16**prefix buckets of equal size. Without
+    a prefix the rows are counted, and buckets have about ``BUCKET_ROWS`` at most.
     """
+    if prefix is None:
+        prefix = bucket_digits(df.count())
     keyed = df.withColumn("_key", shuffle_key(seed, *keys))
     return keyed.withColumn("_bucket", F.substring("_key", 1, prefix))
 
@@ -71,7 +87,7 @@ def number_shuffled(
     seed: int = fx.SHUFFLE_SEED,
     keys: Sequence[str] = ("split", "id"),
     by: Sequence[str] = ("split",),
-    prefix: int = 3,
+    prefix: int | None = None,
     out: str = "position",
 ) -> DataFrame:
     """Position of each row in the seeded order of its split."""
@@ -80,15 +96,15 @@ def number_shuffled(
     return number_rows(keyed, order, F.col("_bucket"), by, out).drop("_key")
 
 
-def rank_rows(df: DataFrame, order: Sequence[Column], out: str = "position") -> DataFrame:
-    """1-based row numbers over the whole relation for an order without natural buckets.
+def rank_rows(df: DataFrame, order: Sequence[Column], out: str = "position", by: Sequence[str] = ()) -> DataFrame:
+    """1-based row numbers per ``by`` for an order without natural buckets, however large a group is.
 
     Range partitions serve as buckets. They come from sampling, so the layout
     is fixed by a checkpoint before their sizes are counted.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(partitions, *order).withColumn("_range", F.spark_partition_id())
-    return number_rows(materialize(ranged), order, F.col("_range"), out=out).drop("_range")
+    ranged = df.repartitionByRange(partitions, *[F.col(c) for c in by], *order).withColumn("_range", F.spark_partition_id())
+    return number_rows(materialize(ranged), order, F.col("_range"), by, out).drop("_range")
 
 
 def head(df: DataFrame, n: int, order: str = "pos") -> DataFrame:
@@ -98,7 +114,7 @@ def head(df: DataFrame, n: int, order: str = "pos") -> DataFrame:
 
 def sample_rows(df: DataFrame, k: int, seed: int = fx.EXAMPLE_SEED, key: str = "id") -> DataFrame:
     """``k`` rows without replacement; an error if there are fewer."""
-    picked = df.orderBy(shuffle_key(seed, key), key).limit(k)
+    picked = materialize(df.orderBy(shuffle_key(seed, key), key).limit(k))
     found = picked.count()
     if found < k:
         raise ValueError(f"sample larger than population: asked for {k} rows, found {found}")
@@ -107,4 +123,4 @@ def sample_rows(df: DataFrame, k: int, seed: int = fx.EXAMPLE_SEED, key: str = "
 
 def assign_batches(df: DataFrame, batch_size: int, position: str = "position") -> DataFrame:
     """Consecutive rows share a ``batch_id``; only the last batch may be short."""
-    return df.withColumn("batch_id", F.floor((F.col(position) - 1) / batch_size).cast("bigint"))
+    return df.withColumn("batch_id", F.expr(f"({position} - 1) div {batch_size}"))

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from gistmill import fixed_values as fx
 from gistmill.functions.chat import ChatTemplate, render_example
 from gistmill.functions.text import clean_completion, first_sentence
+from gistmill.operators.metrics import check_aligned
 from gistmill.session import compute_once
 
 Generator = Callable[[list[str], int], list[str]]
@@ -54,7 +55,8 @@ def generate(
     """Records with the cleaned completion of their prompt as ``prediction``.
 
     Only the prompts go to Python; the other columns wait in the JVM and meet
-    their completion there, so nothing is shuffled or joined.
+    their completion there, so nothing is shuffled or joined. The generator cuts
+    prompts to its own limit (``fx.PROMPT_MAX_LENGTH`` tokens): only its tokenizer knows where.
     """
     prompt = render_example(F.col("abstract"), template=template)
     completed = compute_once(
@@ -67,5 +69,10 @@ def generate(
 def attach_predictions(
     records: DataFrame, predictions: DataFrame, keys: Sequence[str] = ("split", "id")
 ) -> DataFrame:
-    """Records with predictions made elsewhere, matched by key and never by position."""
+    """Records with predictions made elsewhere, matched by key and never by position.
+
+    Every record must have exactly one prediction and every prediction its record;
+    keys are compared before texts are joined, and anything else is an error.
+    """
+    check_aligned(predictions, records, keys, once=True)
     return records.join(predictions.select(*keys, "prediction"), list(keys))

@@ -1,6 +1,6 @@
 """Raw papers -> clean, identified, deduplicated, split records."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gistmill import fixed_values as fx
@@ -38,15 +38,24 @@ def clean_papers(raw: DataFrame, source_name: str, order: str = "pos") -> DataFr
     )
 
 
-def keep_first(records: DataFrame, order: str = "pos") -> DataFrame:
-    """One record per (split, id): the first in ``order``.
+def keep_first(records: DataFrame, order: str = "pos", text: str = "abstract") -> DataFrame:
+    """One record per split and text: the first in ``order``, which must tell rows apart.
 
-    Copies are reduced on the map side first, so a much-copied text does not
-    travel more than once per task.
+    Texts are told apart by their whole digest. Digests and positions are aggregated
+    first, and texts then only pick out the rows that were first: they are hashed
+    against that narrow table and never sorted. If different texts of a split share an id
+    (its digits are too few), all but the one of the smallest digest are known by the whole digest.
     """
-    columns = [c for c in records.columns if c not in ("split", "id")]
-    first = F.min_by(F.struct(*columns), F.col(order)).alias("_first")
-    return records.groupBy("split", "id").agg(first).select("split", "id", "_first.*")
+    digest = F.sha2(text, 256)
+    firsts = records.groupBy("split", digest.alias("_digest")).agg(F.min(order).alias("_first"))
+    short = F.substring("_digest", 1, fx.ID_HEX_CHARS)
+    holder = F.min("_digest").over(Window.partitionBy("split", short))
+    named = firsts.select(
+        F.col("split").alias("_split"), "_digest", "_first", F.when(F.col("_digest") == holder, short).otherwise(F.col("_digest")).alias("_id")
+    )
+    matches = (F.col("split") == F.col("_split")) & (digest == F.col("_digest")) & (F.col(order) == F.col("_first"))
+    kept = records.join(named.hint("shuffle_hash"), matches)
+    return kept.select(*[F.col("_id").alias("id") if c == "id" else c for c in records.columns])
 
 
 def prepare_records(raw: DataFrame, source_name: str, order: str = "pos") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gistmill import fixed_values as fx
 from gistmill.functions.text import ellipsize, word_count
-from gistmill.operators.ordering import sample_rows
+from gistmill.operators.ordering import sample_rows, shuffle_key
 from gistmill.session import materialize
 
 
@@ -22,16 +22,18 @@ def text_lengths(records: DataFrame, length: Callable[[Column], Column] = word_c
 
 
 def length_counts(lengths: DataFrame, by: Sequence[str] = ("split",)) -> DataFrame:
-    """``(by, measure, value, n)`` for both lengths of every record."""
+    """``(by, measure, value, n)`` for both lengths of every record; a missing text has no length."""
     measures = ("abstract_tokens", "summary_tokens")
     rows = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("bigint").alias("value")) for m in measures])
-    return lengths.select(*by, F.inline(rows)).groupBy(*by, "measure", "value").agg(F.count(F.lit(1)).alias("n"))
+    known = lengths.select(*by, F.inline(rows)).filter(F.col("value").isNotNull())
+    return known.groupBy(*by, "measure", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def ratio_counts(lengths: DataFrame, by: Sequence[str] = ("split",)) -> DataFrame:
-    """``(by, value, n)`` of summary length over abstract length, at least 1 below."""
+    """``(by, value, n)`` of summary length over abstract length, at least 1 below, where both are known."""
     ratio = F.col("summary_tokens") / F.greatest(F.col("abstract_tokens"), F.lit(1))
-    return lengths.select(*by, ratio.alias("value")).groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"))
+    known = lengths.filter(F.col("summary_tokens").isNotNull() & F.col("abstract_tokens").isNotNull())
+    return known.select(*by, ratio.alias("value")).groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def weighted_percentiles(
@@ -133,13 +135,27 @@ def example_rows(records: DataFrame, k: int = fx.EXAMPLE_ROWS, seed: int = fx.EX
     return sample_rows(records, k, seed).select(ellipsize(F.col("abstract")).alias("abstract"), "summary")
 
 
+def split_examples(records: DataFrame, k: int = fx.EXAMPLE_ROWS, seed: int = fx.EXAMPLE_SEED) -> DataFrame:
+    """``(split, examples)``: up to ``k`` seeded examples of every split (the limit comes before the shuffle)."""
+    place = F.row_number().over(Window.partitionBy("split").orderBy(shuffle_key(seed, "id"), "id"))
+    picked = records.select("split", "id", "abstract", "summary").withColumn("_place", place).filter(F.col("_place") <= k)
+    example = F.struct("_place", ellipsize(F.col("abstract")).alias("abstract"), "summary")
+    ordered = F.sort_array(F.collect_list(example))
+    return picked.groupBy("split").agg(
+        F.transform(ordered, lambda x: F.struct(x["abstract"].alias("abstract"), x["summary"].alias("summary"))).alias("examples")
+    )
+
+
 def profile_report(records: DataFrame, length: Callable[[Column], Column] = word_count) -> DataFrame:
-    """One row per split: size, both length profiles, compression ratio."""
+    """One row per split: size, both length profiles, compression ratio, and seeded examples.
+
+    A split of fewer than ``fx.EXAMPLE_ROWS`` records shows all of them.
+    """
     lengths = materialize(text_lengths(records, length))
     profile = length_profile(length_counts(lengths))
     stats = F.struct("n", "mean", "median", "p5", "p95", "max")
+    sizes = records.groupBy("split").agg(F.count(F.lit(1)).alias("size"))
     wide = profile.groupBy("split").agg(
-        F.max(F.when(F.col("measure") == "abstract_tokens", F.col("n"))).alias("size"),
         *[
             F.max(F.when(F.col("measure") == m, stats)).alias(m)
             for m in ("abstract_tokens", "summary_tokens")
@@ -148,4 +164,4 @@ def profile_report(records: DataFrame, length: Callable[[Column], Column] = word
     ratio = compression_ratio(ratio_counts(lengths)).select(
         "split", F.struct("mean", "median").alias("compression_ratio")
     )
-    return wide.join(ratio, "split")
+    return sizes.join(wide, "split", "left").join(ratio, "split", "left").join(split_examples(records), "split", "left")

@@ -75,7 +75,7 @@ def results_table(
 
 
 def gains_over(metrics: DataFrame, baseline: str, scores: Sequence[str] = SCORES) -> DataFrame:
-    """Absolute and relative gain of every run over one baseline run of the same split."""
+    """Absolute and relative gain of every run over one baseline run of the same split; null where it has none."""
     base = metrics.filter(F.col("name") == baseline).select(
         "split", *[F.col(s).alias(f"{s}_base") for s in scores]
     )
@@ -83,7 +83,7 @@ def gains_over(metrics: DataFrame, baseline: str, scores: Sequence[str] = SCORES
     for s in scores:
         gains[f"{s}_gain"] = F.col(s) - F.col(f"{s}_base")
         gains[f"{s}_relative"] = F.try_divide(F.col(s) - F.col(f"{s}_base"), F.col(f"{s}_base"))
-    return metrics.join(base, "split").withColumns(gains).drop(*[f"{s}_base" for s in scores])
+    return metrics.join(base, "split", "left").withColumns(gains).drop(*[f"{s}_base" for s in scores])
 
 
 def split_gap(
@@ -102,8 +102,16 @@ def split_gap(
 def ablation_table(
     metrics: DataFrame, rows: Sequence[str], variant: str, variants: Sequence[str], scores: Sequence[str] = ("rouge1",)
 ) -> DataFrame:
-    """One line per combination of ``rows``, one column per variant and score."""
-    pivoted = metrics.groupBy(*rows).pivot(variant, list(variants)).agg(*[F.max(s).alias(s) for s in scores])
+    """One line per combination of ``rows``, one column per variant and score.
+
+    Two runs in one cell are an error, not a choice between them.
+    """
+
+    def only(score: str):
+        several = F.raise_error(F.lit(f"several runs in one cell of {[*rows, variant]}")).cast("double")
+        return F.when(F.count(score) > 1, several).otherwise(F.max(score)).alias(score)
+
+    pivoted = metrics.groupBy(*rows).pivot(variant, list(variants)).agg(*[only(s) for s in scores])
     if len(scores) == 1:
         pivoted = pivoted.withColumnsRenamed({v: f"{v}_{scores[0]}" for v in variants})
     return pivoted

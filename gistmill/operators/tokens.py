@@ -20,15 +20,19 @@ def text_tokens(text: Column) -> Column:
     return F.array_remove(F.split(squeeze_whitespace(text), " "), "")
 
 
+PAD_ID, UNKNOWN_ID, RESERVED = 0, 1, 2
+_PLACE_BITS = 27
+
+
 def vocabulary(texts: DataFrame, text: str) -> DataFrame:
-    """``(token, n, token_id)``: ids from 0 by count descending, then token."""
+    """``(token, n, token_id)``: ids by count descending, then token, after the reserved ones for padding and unknown words."""
     counts = (
         texts.select(F.explode(text_tokens(F.col(text))).alias("token"))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     ranked = rank_rows(counts, [F.col("n").desc(), F.col("token")], out="rank")
-    return ranked.select("token", "n", (F.col("rank") - 1).alias("token_id"))
+    return ranked.select("token", "n", (F.col("rank") - 1 + RESERVED).alias("token_id"))
 
 
 def encode(
@@ -38,35 +42,42 @@ def encode(
     keys: Sequence[str],
     max_length: int | None = None,
     out: str = "input_ids",
-    unknown_id: int = -1,
+    unknown_id: int = UNKNOWN_ID,
     broadcast_bytes: int = lookup.BROADCAST_BYTES,
     layout: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``keys`` and the token ids of ``text``, cut to ``max_length``.
+    """``keys`` and the token ids (64 bits) of ``text``, cut to ``max_length``.
 
-    Word ids do not depend on what follows, so the cut is made before the join:
-    tokens that would be thrown away are never shuffled. ``layout`` names the
-    ``keys`` to partition by, for a later step that needs just that layout.
+    Word ids do not depend on what follows, so the cut is made first: tokens that would
+    be thrown away are never shuffled. ``layout`` names the ``keys`` to partition by, for a
+    later step that needs just that layout. Two rows of the same keys are an error.
     """
     tokens = text_tokens(F.col(text))
     if max_length is not None:
         tokens = F.slice(tokens, 1, max_length)
     if lookup.fits_broadcast(vocab, F.octet_length("token") + 8, broadcast_bytes):
-        # texts move once and whole; their tokens are then joined and regrouped where they are
-        texts = df.select(*keys, text).repartition(*[F.col(k) for k in layout or keys])
-        exploded = texts.select(*keys, F.posexplode_outer(tokens).alias("_at", "token"))
+        # tokens move once, cut already; they are then joined and regrouped where they are
+        cut = compute_once(df, _tokens=tokens).select(*keys, "_tokens").repartition(*[F.col(k) for k in layout or keys])
+        exploded = cut.select(*keys, F.posexplode_outer("_tokens").alias("_at", "token"))
         found = lookup.broadcast_lookup(exploded, vocab.select("token", "token_id"), "token")
     else:
         exploded = df.select(*keys, F.posexplode_outer(tokens).alias("_at", "token"))
-        found = lookup.salted_lookup(exploded, vocab.select("token", "n", "token_id"), "token", [*keys, "_at"], "n")
-    # place in the upper half of a number, id in the lower: arrays of numbers sort far faster than structs
-    token_id = F.coalesce("token_id", F.lit(unknown_id)).bitwiseAND(F.lit(0xFFFFFFFF))
-    placed = F.shiftleft(F.col("_at").cast("bigint"), 32).bitwiseOR(token_id)
+        found = lookup.frequent_lookup(exploded, vocab.select("token", "token_id"), "token")
+        if layout:
+            found = found.repartition(*[F.col(k) for k in layout])
+    # place in the upper bits of a number, id in the lower: arrays of numbers sort far faster than structs
+    bits = 63 - _PLACE_BITS
+    token_id = F.coalesce("token_id", F.lit(unknown_id)).cast("bigint")
+    fits = (F.col("_at") < 1 << _PLACE_BITS) & token_id.between(0, (1 << bits) - 1)
+    placed = F.shiftleft(F.col("_at").cast("bigint"), bits).bitwiseOR(token_id)
+    placed = F.when(fits, placed).otherwise(F.raise_error(F.lit("text too long or token id too large")).cast("bigint"))
     collected = found.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), placed))).alias("_placed")
+        F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), placed))).alias("_placed"),
+        F.sum(F.when(F.col("_at").isNull() | (F.col("_at") == 0), 1)).alias("_rows"),
     )
-    ids = F.transform("_placed", lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int"))
-    return collected.select(*keys, ids.alias(out))
+    ids = F.transform("_placed", lambda x: x.bitwiseAND(F.lit((1 << bits) - 1)))
+    repeated = F.raise_error(F.lit(f"several rows with the same {[*keys]}")).cast("array<bigint>")
+    return collected.select(*keys, F.when(F.col("_rows") == 1, ids).otherwise(repeated).alias(out))
 
 
 def tokenizer_udf(factory: Callable[[], Callable[[str], Sequence[int]]]):
@@ -102,10 +113,12 @@ def training_examples(
     max_length: int = fx.MAX_LENGTH,
     keys: Sequence[str] = ("split", "id"),
     layout: Sequence[str] | None = None,
+    masked: bool = True,
 ) -> DataFrame:
     """Rendered, tokenized, cut and masked examples, from a vocabulary or a tokenizer.
 
-    With a word vocabulary the prompt is only counted, not encoded.
+    With a word vocabulary the prompt is only counted, not encoded. Masks follow from
+    ids and prompt length; without ``masked`` they are left for :func:`pad_batches` to add.
     """
     prompt = render_example(F.col("abstract"), template=template)
     full = render_example(F.col("abstract"), F.col("summary"), template)
@@ -122,17 +135,25 @@ def training_examples(
     else:
         rendered = records.select(*keys, full.alias("_full"), word_count(prompt).alias("prompt_length"))
         encoded = encode(rendered, "_full", vocab, [*keys, "prompt_length"], max_length, layout=layout)
-    return with_completion_mask(encoded, "prompt_length")
+    return with_completion_mask(encoded, "prompt_length") if masked else encoded
 
 
 def pad_batches(
     batched: DataFrame, pad_id: int, by: Sequence[str] = ("split",), left: bool = False
 ) -> DataFrame:
-    """Pad every example to the longest of its batch: 64-bit ids, mask 0, labels ignored."""
+    """Pad every example to the longest of its batch: 64-bit ids, mask 0, labels ignored.
+
+    The attention mask is added if it is missing, and labels if there is a prompt length,
+    after examples have met their batch: only ids travel.
+    """
     longest = F.max(F.size("input_ids")).over(Window.partitionBy(*by, "batch_id"))
     pad = arrays.pad_left if left else arrays.pad_right
     fills = {"input_ids": pad_id, "attention_mask": 0, "labels": fx.IGNORED_LABEL}
     padded = batched.withColumn("_longest", longest)
+    if "labels" not in padded.columns and "prompt_length" in padded.columns:
+        padded = with_completion_mask(padded, "prompt_length")
+    elif "attention_mask" not in padded.columns:
+        padded = padded.withColumn("attention_mask", arrays.attention_mask(F.col("input_ids")))
     return padded.withColumns({
         name: pad(F.col(name), F.col("_longest"), fill) for name, fill in fills.items() if name in padded.columns
     }).drop("_longest")

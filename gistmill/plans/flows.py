@@ -12,7 +12,7 @@ from gistmill.operators.ordering import assign_batches, number_rows, shuffle_buc
 from gistmill.operators.prepare import prepare_records, split_sizes
 from gistmill.operators.profile import profile_report
 from gistmill.operators.results import mean_output_words, results_table
-from gistmill.operators.tokens import pad_batches, training_examples, vocabulary
+from gistmill.operators.tokens import PAD_ID, pad_batches, training_examples, vocabulary
 from gistmill.functions.chat import render_example
 from gistmill.sources import records as record_io
 from gistmill.sources import runs as run_io
@@ -55,7 +55,7 @@ def predict_and_score(
 
 def training_batches(
     records: DataFrame,
-    pad_id: int,
+    pad_id: int = PAD_ID,
     vocab: DataFrame | None = None,
     tokenize: Callable[[Column], Column] | None = None,
     max_length: int = fx.TRAINING_MAX_LENGTH,
@@ -64,15 +64,17 @@ def training_batches(
 ) -> DataFrame:
     """Padded batches of masked examples, in seeded order within each split.
 
-    Texts are shuffled once, by ranges of the seeded order: encoding and
-    numbering share that layout. Batches then take the second shuffle.
+    Tokens are shuffled once, cut before and by ranges of the seeded order: encoding and
+    numbering share that layout. Batches then take the second shuffle, of ids alone;
+    masks and labels are added after it.
     """
     if vocab is None and tokenize is None:
         rendered = records.select(render_example(F.col("abstract"), F.col("summary")).alias("text"))
-        vocab = materialize(vocabulary(rendered, "text"))
+        vocab = vocabulary(rendered, "text")
     keyed = shuffle_buckets(records, seed)
     examples = training_examples(
-        keyed, vocab, tokenize, max_length=max_length, keys=("split", "_bucket", "_key", "id"), layout=("split", "_bucket")
+        keyed, vocab, tokenize, max_length=max_length, keys=("split", "_bucket", "_key", "id"), layout=("split", "_bucket"),
+        masked=False,
     )
     order = [F.col("_key"), F.col("id")]
     numbered = number_rows(examples, order, F.col("_bucket"), ["split"], same_rows=keyed).drop("_key")

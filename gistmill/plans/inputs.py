@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from gistmill.functions.rouge import rouge_words, word_array
 from gistmill.functions.text import first_sentence
 from gistmill.functions.text import sentences as split_sentences
-from gistmill.operators.ordering import number_rows, rank_rows
+from gistmill.operators.ordering import rank_rows
 from gistmill.operators.prepare import prepare_records
-from gistmill.session import materialize, spread
+from gistmill.session import compute_once, materialize, spread
 
 SOURCE_NAME = "documents"
 
@@ -23,9 +23,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's lines are sentences; its last line is the summary."""
-    lines = F.split("text", "\n")
-    turn = F.col("doc_id") % 10
-    return documents(spark, sf_dir).select(
+    turn, lines = F.col("doc_id") % 10, F.col("lines")
+    return compute_once(documents(spark, sf_dir), lines=F.split("text", "\n")).select(
         F.col("doc_id").alias("pos"),
         F.when(turn == 0, "validation").when(turn == 1, "test").otherwise("train").alias("split"),
         F.slice(lines, 1, F.size(lines) - 1).alias("source"),
@@ -56,7 +55,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", "turn", F.col("text").alias("prediction")
     )
     return asked.join(answered, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn") - 1).alias("id"), "reference", "prediction"
+        "conv_id", (F.col("turn") - 1).alias("turn"), "reference", "prediction"
     )
 
 
@@ -78,9 +77,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One run per user, one step per event; which metric was logged depends on the event."""
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
     kind = F.col("event_type")
-    numbered = number_rows(
-        events, [F.col("ts"), F.col("event_id")], F.date_trunc("hour", "ts"), ["user_id"], out="step"
-    )
+    numbered = rank_rows(events, [F.col("ts"), F.col("event_id")], out="step", by=["user_id"])
     return numbered.select(
         F.col("user_id").cast("string").alias("run_id"),
         "step",
@@ -111,13 +108,15 @@ def wrapped_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", completion.alias("completion"))
 
 
-def token_vectors(spark: SparkSession, sf_dir: str, vectors: int) -> DataFrame:
-    """A vector for every word of the pairs, by the word's rank."""
+def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector for every word of the pairs: words and vectors are numbered, and words go round all vectors."""
     words = pairs(spark, sf_dir).select(
         F.explode(F.concat(word_array(rouge_words(F.col("reference"))), word_array(rouge_words(F.col("prediction")))))
         .alias("token")
     ).distinct()
     ranked = rank_rows(words, [F.col("token")], out="rank")
     embeddings = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    joined = ranked.withColumn("vec_id", (F.col("rank") - 1) % vectors).join(embeddings, "vec_id")
+    numbered = rank_rows(embeddings, [F.col("vec_id")], out="number")
+    number = (F.col("rank") - 1) % embeddings.count() + 1
+    joined = ranked.withColumn("number", number).join(numbered, "number")
     return materialize(joined.select("token", "vector"))

@@ -76,7 +76,7 @@ _CTES["runs"] = f"""
            array_to_string(list_slice(string_split(abstract, ' '), 1, 20), ' ') FROM records
     UNION ALL SELECT split, id, 'qlora_last_sentence', summary, {_last_sentence('abstract')} FROM records"""
 _CTES["pairs"] = """
-    SELECT u.conv_id * 1000 + u.turn AS id, u.text AS reference, a.text AS prediction
+    SELECT u.conv_id, u.turn, u.text AS reference, a.text AS prediction
     FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1
     WHERE u.role = 'user' AND a.role = 'assistant'"""
 
@@ -263,14 +263,14 @@ def _rouge(texts: str, sources: tuple[str, ...], stem: bool, metrics, final: str
     return "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in ctes.items()) + "\n" + final
 
 
-_PAIR_TEXTS = "SELECT id AS k, prediction, reference FROM pairs"
+_PAIR_TEXTS = "SELECT {'conv_id': conv_id, 'turn': turn} AS k, prediction, reference FROM pairs"
 _RUN_TEXTS = "SELECT {'name': name, 'split': split, 'id': id} AS k, prediction, summary AS reference FROM runs"
 ALL = ("rouge1", "rouge2", "rougeL")
 
 
 def _on_pairs(metrics, stem: bool = False, details: bool = True) -> str:
     names = [c for m in metrics for c in ([m, f"{m}_precision", f"{m}_recall"] if details else [m])]
-    return _rouge(_PAIR_TEXTS, ("pairs",), stem, metrics, f"SELECT k AS id, {', '.join(names)} FROM scores", details)
+    return _rouge(_PAIR_TEXTS, ("pairs",), stem, metrics, f"SELECT k.conv_id AS conv_id, k.turn AS turn, {', '.join(names)} FROM scores", details)
 
 
 def _on_runs(final: str, stem: bool = False, extra: str = "") -> str:
@@ -310,7 +310,7 @@ _CTES["prompt_placed"] = f"""
 
 def _vocab(placed: str) -> str:
     return (
-        "SELECT token, n, row_number() OVER (ORDER BY n DESC, token) - 1 AS token_id "
+        "SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 1 AS token_id "
         f"FROM (SELECT token, count(*) AS n FROM {placed} GROUP BY token)"
     )
 
@@ -421,13 +421,14 @@ def _embedding_f1() -> str:
     )
     return f"""
     WITH pairs AS ({_CTES['pairs']}), texts AS ({_PAIR_TEXTS}), tokenized AS ({_CTES['tokenized']}),
-    words AS (SELECT g, (row_number() OVER (ORDER BY g) - 1) % 500 AS vec_id
+    words AS (SELECT g, (row_number() OVER (ORDER BY g) - 1) % (SELECT count(*) FROM embeddings) + 1 AS number
               FROM (SELECT DISTINCT unnest(list_concat(p, r)) AS g FROM tokenized)),
-    vectors AS (SELECT g, CAST(embedding AS DOUBLE[]) AS vec FROM words JOIN embeddings USING (vec_id)),
+    vectors AS (SELECT g, CAST(embedding AS DOUBLE[]) AS vec FROM words JOIN (
+        SELECT embedding, row_number() OVER (ORDER BY vec_id) AS number FROM embeddings) USING (number)),
     pc AS (SELECT c.*, vec FROM ({counts.format(x='p')}) c JOIN vectors USING (g)),
     rc AS (SELECT c.*, vec FROM ({counts.format(x='r')}) c JOIN vectors USING (g)),
     pr AS ({best.format(left='pc', right='rc')}), re AS ({best.format(left='rc', right='pc')})
-    SELECT t.k AS id, round(CASE WHEN coalesce(pr.v + re.v, 0) = 0 THEN 0 ELSE 2 * pr.v * re.v / (pr.v + re.v) END, 6) AS bertscore_f1
+    SELECT t.k.conv_id AS conv_id, t.k.turn AS turn, round(CASE WHEN coalesce(pr.v + re.v, 0) = 0 THEN 0 ELSE 2 * pr.v * re.v / (pr.v + re.v) END, 6) AS bertscore_f1
     FROM tokenized t LEFT JOIN pr ON pr.k = t.k LEFT JOIN re ON re.k = t.k"""
 
 
@@ -452,7 +453,7 @@ def all_oracles() -> dict[str, str]:
         "first_sentence": f"SELECT doc_id, {_first_sentence('text')} AS sentence FROM documents",
         "strip_preamble": f"SELECT conv_id, turn, {_clean('completion')} AS cleaned FROM (SELECT conv_id, turn, {_WRAPPED} AS completion FROM conversations)",
         "render_chat": _query(
-            f"SELECT id, {_prompt('reference')} AS prompt, {_full('reference', 'prediction')} AS full FROM pairs", "pairs"
+            f"SELECT conv_id, turn, {_prompt('reference')} AS prompt, {_full('reference', 'prediction')} AS full FROM pairs", "pairs"
         ),
         "predict_batched": _query(
             f"SELECT split, id, summary, {_clean(_first_sentence('abstract'))} AS prediction FROM records", *CORPUS
@@ -476,6 +477,7 @@ def all_oracles() -> dict[str, str]:
                   UNION ALL SELECT conv_id, turn - 1, 1, 0 FROM conversations WHERE role = 'assistant')
             GROUP BY conv_id, turn HAVING sum(p) <> sum(r)""",
         "embedding_f1": _embedding_f1(),
+        "embedding_f1_shuffled": _embedding_f1(),
         "bootstrap_ci": _bootstrap(),
         "length_profile": _query(
             """SELECT split, measure, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median,
@@ -503,6 +505,7 @@ def all_oracles() -> dict[str, str]:
         ),
         "vocab": _query("SELECT * FROM vocab", *CORPUS, "rendered", "placed", "vocab"),
         "encode": _query(f"SELECT split, id, {_text_list('ids')} AS input_ids FROM encoded", *TOKENS),
+        "encode_shuffled": _query(f"SELECT split, id, {_text_list('ids')} AS input_ids FROM encoded", *TOKENS),
         "completion_mask": _query(
             f"""SELECT split, id, CAST(prompt_length AS INTEGER) AS prompt_length, {_text_list('ids')} AS input_ids,
                 {_text_list(_ones('len(ids)'))} AS attention_mask, {_text_list('labels')} AS labels FROM examples""",
@@ -516,7 +519,8 @@ def all_oracles() -> dict[str, str]:
             *TOKENS, "examples", "positions", "batched",
         ),
         "pad_prompts": _query(
-            f"""SELECT split, id, batch_id, {_text_list(f"list_concat({_fill('pad', 0)}, ids)")} AS input_ids
+            f"""SELECT split, id, batch_id, {_text_list(f"list_concat({_fill('pad', 0)}, ids)")} AS input_ids,
+                {_text_list(f"list_concat({_fill('pad', 0)}, {_ones('len(ids)')})")} AS attention_mask
                 FROM (SELECT *, (position - 1) // {fx.BATCH_SIZE} AS batch_id,
                       max(len(ids)) OVER (PARTITION BY split, (position - 1) // {fx.BATCH_SIZE}) - len(ids) AS pad FROM prompt_ids)""",
             *CORPUS, "rendered", "prompt_placed", "prompt_vocab", "prompt_ids",
@@ -542,7 +546,7 @@ def all_oracles() -> dict[str, str]:
                 f'round(m.{s}, 6) AS "{s}", round(m.{s} - b.{s}, 6) AS "{s}_gain", round((m.{s} - b.{s}) / nullif(b.{s}, 0), 6) AS "{s}_relative"'
                 for s in ALL
             )
-            + ", m.n FROM metrics m JOIN metrics b ON b.split = m.split AND b.name = 'extractive_first_sentence'"
+            + ", m.n FROM metrics m LEFT JOIN metrics b ON b.split = m.split AND b.name = 'extractive_first_sentence'"
         ),
         "dev_test_gap": _on_runs(
             "SELECT v.name, "

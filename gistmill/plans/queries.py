@@ -24,8 +24,6 @@ RUN_LABELS = {
     "extractive_first_sentence": "First sentence",
     "qlora_last_sentence": "Last sentence",
 }
-VECTORS = 500
-PAD_ID = 0
 
 
 def _joined(ids: str) -> Column:
@@ -57,11 +55,11 @@ def split_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shuffle_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return o.number_shuffled(inputs.stored_records(spark, sf_dir).select("split", "id"))
+    return o.number_shuffled(materialize(inputs.prepared(spark, sf_dir).select("split", "id")))
 
 
 def shuffle_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prof.example_rows(inputs.stored_records(spark, sf_dir).filter(F.col("split") == "train"))
+    return prof.example_rows(inputs.prepared(spark, sf_dir).filter(F.col("split") == "train"))
 
 
 def head_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +82,7 @@ def strip_preamble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def render_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.pairs(spark, sf_dir).select(
-        "id",
+        "conv_id", "turn",
         chat.render_example(F.col("reference")).alias("prompt"),
         chat.render_example(F.col("reference"), F.col("prediction")).alias("full"),
     )
@@ -94,7 +92,7 @@ def _first_sentence_model():
     """A deterministic stand-in for a language model: answers with the abstract's first sentence."""
     import re
 
-    boundary = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
+    boundary = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")  # fx.SENTENCE_BOUNDARY for Python, whose \s is Unicode's
 
     def complete(prompts: list[str], max_new_tokens: int) -> list[str]:
         abstracts = [t.split(fx.USER_PROMPT_BEFORE, 1)[1].rsplit(fx.USER_PROMPT_AFTER, 1)[0] for t in prompts]
@@ -167,7 +165,13 @@ def alignment_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedding_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(m.embedding_f1(inputs.pairs(spark, sf_dir), inputs.token_vectors(spark, sf_dir, VECTORS), ["id"]))
+    return _rounded(m.embedding_f1(inputs.pairs(spark, sf_dir), inputs.token_vectors(spark, sf_dir), ["conv_id", "turn"]))
+
+
+def embedding_f1_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan for vector tables too large to broadcast."""
+    pairs, vectors = inputs.pairs(spark, sf_dir), inputs.token_vectors(spark, sf_dir)
+    return _rounded(m.embedding_f1(pairs, vectors, ["conv_id", "turn"], broadcast_bytes=-1))
 
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,13 +216,21 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     rendered = _rendered(inputs.stored_records(spark, sf_dir))
-    words = materialize(tok.vocabulary(rendered, "text"))
+    words = tok.vocabulary(rendered, "text")
     return tok.encode(rendered, "text", words, ["split", "id"]).select("split", "id", _joined("input_ids"))
 
 
+def encode_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan for vocabularies too large to broadcast."""
+    rendered = _rendered(inputs.stored_records(spark, sf_dir))
+    words = tok.vocabulary(rendered, "text")
+    encoded = tok.encode(rendered, "text", words, ["split", "id"], broadcast_bytes=-1)
+    return encoded.select("split", "id", _joined("input_ids"))
+
+
 def completion_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = inputs.stored_records(spark, sf_dir)
-    words = materialize(tok.vocabulary(_rendered(records), "text"))
+    words = tok.vocabulary(_rendered(records), "text")
     examples = tok.training_examples(records, words, max_length=fx.TRAINING_MAX_LENGTH)
     return examples.select(
         "split", "id", "prompt_length", _joined("input_ids"), _joined("attention_mask"), _joined("labels")
@@ -226,7 +238,7 @@ def completion_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pad_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batches = training_batches(inputs.stored_records(spark, sf_dir), PAD_ID)
+    batches = training_batches(inputs.stored_records(spark, sf_dir))
     return batches.select(
         "split", "id", "position", "batch_id", _joined("input_ids"), _joined("attention_mask"), _joined("labels")
     )
@@ -236,12 +248,12 @@ def pad_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Left-padded prompts in file order, as a generator reads them."""
     records = inputs.stored_records(spark, sf_dir)
     prompts = records.select("split", "id", "pos", chat.render_example(F.col("abstract")).alias("text"))
-    words = materialize(tok.vocabulary(prompts, "text"))
-    numbered = o.number_rows(prompts, [F.col("pos")], F.floor(F.col("pos") / 4096), ["split"])
+    words = tok.vocabulary(prompts, "text")
+    numbered = o.rank_rows(prompts, [F.col("pos")], by=["split"])
     keys = ["split", "id", "position"]
     encoded = tok.encode(numbered, "text", words, keys, fx.PROMPT_MAX_LENGTH)
-    padded = tok.pad_batches(o.assign_batches(encoded, fx.BATCH_SIZE), PAD_ID, left=True)
-    return padded.select("split", "id", "batch_id", _joined("input_ids"))
+    padded = tok.pad_batches(o.assign_batches(encoded, fx.BATCH_SIZE), tok.PAD_ID, left=True)
+    return padded.select("split", "id", "batch_id", _joined("input_ids"), _joined("attention_mask"))
 
 
 # --- results --------------------------------------------------------------------
@@ -301,9 +313,9 @@ def all_queries() -> dict[str, Query]:
         prepare_records, dedupe_first, split_manifest, shuffle_order, shuffle_sample, head_subset,
         first_sentence, strip_preamble, render_chat, predict_batched, attach_predictions,
         rouge_by_language, rouge_stemmed, corpus_scores, corpus_scores_stemmed, alignment_check,
-        embedding_f1, bootstrap_ci,
+        embedding_f1, embedding_f1_shuffled, bootstrap_ci,
         length_profile, compression_ratio, length_histogram,
-        vocab, encode, completion_mask, pad_batches, pad_prompts,
+        vocab, encode, encode_shuffled, completion_mask, pad_batches, pad_prompts,
         mean_output_words, results_table, run_comparison, dev_test_gap, ablation_table, metric_long,
         loss_curves, logged_steps, best_checkpoint, retained_checkpoints,
     ]

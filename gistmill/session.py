@@ -1,6 +1,5 @@
 """Session settings and the few helpers that depend on them."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +25,7 @@ def local_session(cpus: int = 8, memory: str = "16g", app: str = "gistmill") ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; a temporary one only in local mode."""
+    """The session's shared checkpoint folder; in local mode without one, a folder in the warehouse."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
@@ -35,7 +34,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not folder:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     context.setCheckpointDir(folder)
     return folder
 
@@ -52,9 +51,9 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use every core on an input of few file splits; a large input is left as it is."""
+    """Use every core on an input of few files; an input of many is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if len(df.inputFiles()) >= cores:
         return df
     return df.repartition(cores, *keys)
 

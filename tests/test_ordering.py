@@ -43,6 +43,24 @@ def test_one_large_group_is_numbered_in_pieces(spark):
     assert "SinglePartition" not in plan and "hashpartitioning(g" in plan and "_bucket" in plan
 
 
+def test_rows_without_a_place_are_an_error(spark):
+    df = spark.createDataFrame([("g", 1), (None, 2), ("g", None)], "g string, at long")
+    for bad in (df.filter("at is not null"), df.filter("g is not null")):
+        with pytest.raises(Exception, match="null bucket or group"):
+            o.number_rows(bad, [F.col("at")], F.col("at"), ["g"]).collect()
+    assert o.number_rows(df.na.drop(), [F.col("at")], F.col("at"), ["g"]).first().position == 1
+
+
+def test_buckets_stay_small_however_many_rows():
+    assert [o.bucket_digits(n) for n in (0, 1 << 24, (1 << 24) + 1, 25_000_000_000)] == [2, 2, 3, 5]
+
+
+def test_one_large_group_without_natural_buckets(spark):
+    df = spark.range(1000).select(F.when(F.col("id") < 990, "hot").otherwise("cold").alias("g"), F.col("id").alias("at"))
+    ranked = o.rank_rows(df, [F.col("at").desc()], by=["g"])
+    assert {(r.at, r.position) for r in ranked.collect()} == {(i, 990 - i if i < 990 else 1000 - i) for i in range(1000)}
+
+
 def test_rank_rows_over_everything(spark):
     df = spark.range(777).select((F.col("id") * 7919 % 777).alias("v"))
     ranked = o.rank_rows(df, [F.col("v").desc()])

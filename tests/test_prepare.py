@@ -66,5 +66,15 @@ def test_much_copied_text_is_reduced_before_the_shuffle(spark):
     )
     records = prep.prepare_records(copies, "s")
     plan = records._jdf.queryExecution().executedPlan().toString()
-    assert "partial_min_by" in plan
+    assert "partial_min(" in plan and "ShuffledHashJoin" in plan
+    assert not [line for line in plan.split("\n") if "Sort" in line and "abstract" in line]
     assert [r.pos for r in records.collect()] == [0]
+
+
+def test_ids_that_meet_stay_apart(spark, monkeypatch):
+    """With one digit of the digest as id, different texts must share ids; none may be lost."""
+    monkeypatch.setattr(prep.fx, "ID_HEX_CHARS", 1)
+    rows = [(i, "train", [f"{LONG} number {i % 40}"], ["a summary here"]) for i in range(120)]
+    got = prepare(spark, rows).collect()
+    assert sorted(r.pos for r in got) == list(range(40))
+    assert len({r.id for r in got}) == 40 and 2 <= sum(len(r.id) == 1 for r in got) <= 16

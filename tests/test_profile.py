@@ -87,3 +87,21 @@ def test_examples(spark):
     df = spark.createDataFrame([(f"i{i}", "x" * 400, "s") for i in range(6)], "id string, abstract string, summary string")
     rows = prof.example_rows(df).collect()
     assert len(rows) == 4 and all(r.abstract == "x" * 300 + "…" for r in rows)
+
+
+def test_missing_texts_have_no_length(spark):
+    rows = [("t", "a b c d", "x y"), ("t", None, "z"), ("t", "a b c d", None)]
+    records = spark.createDataFrame(rows, "split string, abstract string, summary string")
+    lengths = prof.text_lengths(records)
+    got = {r.measure: (r.n, r["mean"], r["median"]) for r in prof.length_profile(prof.length_counts(lengths)).collect()}
+    assert got == {"abstract_tokens": (2, 4.0, 4.0), "summary_tokens": (2, 1.5, 1.5)}
+    (ratio,) = prof.compression_ratio(prof.ratio_counts(lengths)).collect()
+    assert (ratio["mean"], ratio["median"]) == (0.5, 0.5)
+
+
+def test_report_shows_examples_of_every_split(spark):
+    rows = [("a", f"i{k}", f"text {k} " + "long " * 100, f"s{k}") for k in range(9)] + [("b", "j", "only", "one")]
+    records = spark.createDataFrame(rows, "split string, id string, abstract string, summary string")
+    got = {r.split: r for r in prof.profile_report(records).collect()}
+    assert got["a"]["size"] == 9 and len(got["a"].examples) == 4 and len(got["a"].examples[0].abstract) == 301
+    assert [tuple(x) for x in got["b"].examples] == [("only", "one")]

@@ -10,6 +10,9 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import __spark_entry__ as entry_points  # noqa: E402
 
+from gistmill.plans.oracles import all_oracles  # noqa: E402
+from gistmill.plans.queries import all_queries  # noqa: E402
+
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("conversations", "documents", "embeddings", "events")
 
@@ -24,7 +27,7 @@ def sql():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query_equals_sql(spark, sql, name):
     df = entry_points.queries()[name](spark, DATA)
     columns = sorted(df.columns)
@@ -37,7 +40,9 @@ def test_query_equals_sql(spark, sql, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(all_queries()) == set(all_oracles())
+    assert set(all_queries()) <= set(entry_points.queries())
+    assert set(all_oracles()) <= set(entry_points.oracle_sql())
 
 
 def test_entry(spark):

@@ -162,3 +162,17 @@ def test_retained_when_the_latest_is_best_or_nothing_was_evaluated(spark, run):
     blind = run.drop("eval_loss").selectExpr("*", "cast(null as double) eval_loss")
     assert {r.step for r in h.retained_checkpoints(blind).collect()} == {75, 100}
     assert {r.step for r in h.retained_checkpoints(blind, keep=1).collect()} == {100}
+
+
+def test_a_split_without_the_baseline_keeps_its_runs(spark):
+    rows = [("base", "val", 0.5), ("mine", "val", 0.6), ("mine", "test", 0.4)]
+    metrics = spark.createDataFrame(rows, "name string, split string, rouge1 double")
+    got = {(r.name, r.split): r.rouge1_gain for r in res.gains_over(metrics, "base", ["rouge1"]).collect()}
+    assert got == {("base", "val"): 0.0, ("mine", "val"): pytest.approx(0.1), ("mine", "test"): None}
+
+
+def test_two_runs_in_one_cell_are_an_error(spark):
+    rows = [("a", "val", "x", 0.5), ("b", "val", "x", 0.6)]
+    metrics = spark.createDataFrame(rows, "name string, split string, variant string, rouge1 double")
+    with pytest.raises(Exception, match="several runs"):
+        res.ablation_table(metrics, ["split"], "variant", ["x"]).collect()

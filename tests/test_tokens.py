@@ -34,16 +34,16 @@ def vocab(texts):
 def expected_ids():
     counts = Counter(w for t in TEXTS for w in t.split())
     order = sorted(counts, key=lambda w: (-counts[w], w))
-    return {w: i for i, w in enumerate(order)}
+    return {w: i + tok.RESERVED for i, w in enumerate(order)}
 
 
 def test_vocabulary(vocab):
     assert {r.token: r.token_id for r in vocab.collect()} == expected_ids()
 
 
-@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, -1])
 @pytest.mark.parametrize("max_length", [None, 2, 1000])
-def test_encode_by_broadcast_and_by_salted_join(texts, vocab, broadcast_bytes, max_length):
+def test_encode_by_broadcast_and_by_shuffle(texts, vocab, broadcast_bytes, max_length):
     encoded = tok.encode(texts, "text", vocab, ["split", "id"], max_length, broadcast_bytes=broadcast_bytes)
     ids = expected_ids()
     assert {r.id: r.input_ids for r in encoded.collect()} == {
@@ -51,17 +51,45 @@ def test_encode_by_broadcast_and_by_salted_join(texts, vocab, broadcast_bytes, m
     }
 
 
-def test_salting_splits_a_hot_token(spark, texts, vocab, monkeypatch):
-    monkeypatch.setattr(lookup, "HOT_KEYS", 2)
-    encoded = tok.encode(texts, "text", vocab, ["split", "id"], broadcast_bytes=0)
-    ids = expected_ids()
-    assert {r.id: r.input_ids for r in encoded.collect()} == {i: [ids[w] for w in t.split()] for i, t in enumerate(TEXTS)}
+def test_frequent_keys_never_reach_the_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "HOT_KEYS", 10)
+    words = ["the"] * 50 + ["gone"] * 40 + ["a", "b", "c", "d", None]
+    rows = materialize(spark.createDataFrame(list(enumerate(words)), "i long, w string"))
+    table = materialize(spark.createDataFrame([("the", 1), ("a", 2), ("d", 3)], "w string, v int"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = lookup.frequent_lookup(rows, table, "w")
+        values = {"the": 1, "a": 2, "d": 3}
+        assert sorted((r.i, r.v) for r in found.collect()) == [(i, values.get(w)) for i, w in enumerate(words)]
+        shuffled = [
+            line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning(w" in line
+        ]
+        tail = rows.filter("w is not null").join(spark.createDataFrame([("the",), ("gone",)], "w string"), "w", "left_anti")
+        assert len(shuffled) >= 2 and tail.count() == 4
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftAnti" in plan and "broadcast" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_large_ids_and_repeated_keys(spark):
+    vocab = spark.createDataFrame([("a", 1, 3_000_000_000), ("b", 1, 5)], "token string, n long, token_id long")
+    df = spark.createDataFrame([(1, "a b"), (2, ""), (3, None)], "id int, text string")
+    got = {r.id: r.input_ids for r in tok.encode(df, "text", vocab, ["id"]).collect()}
+    assert got == {1: [3_000_000_000, 5], 2: [], 3: []}
+    for rows in ([(1, "a b"), (1, "b")], [(1, ""), (1, "b")], [(1, ""), (1, "")]):
+        with pytest.raises(Exception, match="several rows"):
+            tok.encode(spark.createDataFrame(rows, "id int, text string"), "text", vocab, ["id"]).collect()
+    wide = spark.createDataFrame([("a", 1, 1 << 40)], "token string, n long, token_id long")
+    with pytest.raises(Exception, match="too large"):
+        tok.encode(df, "text", wide, ["id"]).collect()
 
 
 def test_unknown_tokens(spark, vocab):
     df = spark.createDataFrame([(1, "a new b")], "id int, text string")
     ids = expected_ids()
-    assert tok.encode(df, "text", vocab, ["id"], unknown_id=99).first().input_ids == [ids["a"], 99, ids["b"]]
+    assert tok.encode(df, "text", vocab, ["id"]).first().input_ids == [ids["a"], tok.UNKNOWN_ID, ids["b"]]
+    assert {tok.PAD_ID, tok.UNKNOWN_ID}.isdisjoint(ids.values())
 
 
 def test_chat_messages(spark):
@@ -98,22 +126,24 @@ def padded(spark, rows, left=False):
 
 def test_padding(spark):
     rows, types = padded(spark, [
-        ("t", 0, 0, [1, 2, 3], [1, 1, 1], [-100, 2, 3]), ("t", 0, 1, [4, 5], [1, 1], [-100, 5]), ("t", 1, 2, [9], [1], [9]),
+        ("t", 0, 0, [31, 32, 33, 34], [1] * 4, [-100, -100, 33, 34]), ("t", 0, 1, [41], [1], [41]), ("t", 1, 2, [57, 58], [1, 1], [-100, 58]),
     ])
-    assert rows[0].input_ids == [1, 2, 3] and rows[1].input_ids == [4, 5, 0]
-    assert rows[1].attention_mask == [1, 1, 0] and rows[1].labels == [-100, 5, -100]
-    assert rows[2].input_ids == [9]
+    assert rows[0].input_ids == [31, 32, 33, 34] and rows[1].input_ids == [41, 0, 0, 0]
+    assert rows[1].attention_mask == [1, 0, 0, 0] and rows[1].labels == [41, -100, -100, -100]
+    assert rows[2].input_ids == [57, 58]
     assert {t for n, t in types if n in ("input_ids", "attention_mask", "labels")} == {"array<bigint>"}
 
 
 def test_equal_lengths_stay_as_they_are(spark):
-    rows, _ = padded(spark, [("t", 0, 0, [1, 2], [1, 1], [1, 2]), ("t", 0, 1, [3, 4], [1, 1], [3, 4])])
-    assert [r.input_ids for r in rows] == [[1, 2], [3, 4]] and all(r.attention_mask == [1, 1] for r in rows)
+    rows, _ = padded(spark, [("t", 5, 0, [71, 72, 73], [1] * 3, [71, 72, 73]), ("t", 5, 1, [81, 82, 83], [1] * 3, [-100, 82, 83])])
+    assert [r.input_ids for r in rows] == [[71, 72, 73], [81, 82, 83]] and all(r.attention_mask == [1, 1, 1] for r in rows)
 
 
 def test_left_padding(spark):
-    rows, _ = padded(spark, [("t", 0, 0, [1, 2, 3], [1, 1, 1], [1, 2, 3]), ("t", 0, 1, [4], [1], [4])], left=True)
-    assert rows[1].input_ids == [0, 0, 4] and rows[1].attention_mask == [0, 0, 1]
+    df = spark.createDataFrame([("t", 0, 0, [91, 92]), ("t", 0, 1, [95, 96, 97, 98])], "split string, batch_id long, i int, input_ids array<long>")
+    rows = sorted(tok.pad_batches(df, tok.PAD_ID, left=True).collect(), key=lambda r: r.i)
+    assert rows[0].input_ids == [0, 0, 91, 92] and rows[0].attention_mask == [0, 0, 1, 1]
+    assert rows[1].attention_mask == [1, 1, 1, 1]
 
 
 @pytest.fixture(scope="module")
@@ -142,11 +172,18 @@ def test_training_batches_invariants(corpus):
 
 
 def test_texts_and_batches_take_one_shuffle_each(spark, corpus, vocab):
-    plan = training_batches(materialize(corpus), 0, materialize(vocab))._jdf.queryExecution().executedPlan().toString()
+    query = training_batches(materialize(corpus), 0, materialize(vocab))._jdf.queryExecution()
+    plan = query.executedPlan().toString()
     shuffles = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
     assert sum("REPARTITION_BY_COL" in line for line in shuffles) == 1
     assert sum("batch_id" in line for line in shuffles) == 1
     assert len(shuffles) == 4  # the other two carry counted buckets only
+    # what a shuffle brings is what stands right below it
+    below = query.optimizedPlan().toString().split("\n")
+    repartition = next(i for i, x in enumerate(below) if "Repartition" in x)
+    assert not any("_tokens" in line for line in below[repartition + 3:]) and "_tokens" in "".join(below[repartition + 1:repartition + 3])
+    batches = next(line for line in below[next(i for i, x in enumerate(below) if "Window" in x and "batch_id" in x) + 1:] if "Project" in line)
+    assert "input_ids" in batches and "labels" not in batches and "attention_mask" not in batches
 
 
 def test_prompt_tokens_are_a_prefix(spark, corpus):
@@ -203,6 +240,22 @@ def test_predictions_are_attached_by_key(corpus):
     assert {(r.id, r.prediction) for r in done.collect()} == {(r.id, f"{r.abstract}") for r in corpus.collect()}
 
 
+@pytest.mark.parametrize("change", ["missing", "surplus", "repeated", "both repeated"])
+def test_predictions_must_match_one_to_one(corpus, change):
+    made = p.extractive(corpus).select("split", "id", "prediction")
+    records = corpus
+    if change == "missing":
+        made = made.filter("id <> 'id3'")
+    elif change == "surplus":
+        records = corpus.filter("id <> 'id3'")
+    else:
+        made = made.unionByName(made.filter("id = 'id3'"))
+        if change == "both repeated":
+            records = corpus.unionByName(corpus.filter("id = 'id3'"))
+    with pytest.raises(ValueError, match="length mismatch"):
+        p.attach_predictions(records, made)
+
+
 def test_generator_must_answer_every_prompt(corpus):
     with pytest.raises(Exception, match="length mismatch"):
         p.generate(corpus, lambda: (lambda prompts, n: prompts[1:])).collect()
