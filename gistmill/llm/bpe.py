@@ -38,7 +38,7 @@ class WordCache:
     Two words of one hash would share ids: about once in 100 TB of text.
     """
 
-    def __init__(self, encode: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], most: int = 1 << 20):
+    def __init__(self, encode: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], most: int = 1 << 19):
         self.encode, self.most = encode, most
         self._empty()
 
@@ -246,7 +246,7 @@ def encode_texts(docs: DataFrame, path: str, text_column: str = "text", decoded:
                 columns["decoded"] = pa.array(texts, pa.string())
             yield tables.replaced(batch, **columns)
 
-    return docs.mapInArrow(encode, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields))
+    return tables.in_arrow(docs, encode, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields))
 
 
 def encode_digests(docs: DataFrame, path: str, text_column: str = "text") -> DataFrame:
@@ -272,4 +272,4 @@ def encode_digests(docs: DataFrame, path: str, text_column: str = "text") -> Dat
                 decoded_sha256=pa.array([hashlib.sha256(pairs.decode(x).encode()).hexdigest() for x in parts], pa.string()),
             ).select(names)
 
-    return docs.mapInArrow(digest, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields))
+    return tables.in_arrow(docs, digest, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields))

@@ -145,7 +145,7 @@ def fertility_rules(
             kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
             yield tables.replaced(batch, **{k: pa.array(found[k], kinds[kind]) for k, kind in _KINDS.items()}).select(names)
 
-    measured = tables.stored(docs.mapInArrow(measure, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)))
+    measured = tables.stored(tables.in_arrow(docs, measure, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     band = [language.alias("_language"), F.col("script").alias("_script"), F.floor(F.log2(F.col("n_tokens") + 1)).alias("_size")]
     # rounded, so that exact percentiles count few distinct values

@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gistmill.llm.tables import in_arrow
+
 
 def remainder(id_column: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; null for a null id."""
@@ -44,5 +46,5 @@ def trained(
             marks += batch.column("label").to_pylist()
         yield pa.RecordBatch.from_pydict({"model": pa.array([fit(texts, marks)], pa.binary())})
 
-    rows = chosen.select("text", "label").mapInArrow(learn, "model binary").collect()
+    rows = in_arrow(chosen.select("text", "label"), learn, "model binary").collect()
     return bytes(rows[0]["model"]) if rows else fit([], [])

@@ -248,4 +248,4 @@ def main_text(pages: DataFrame, html_column: str = "html") -> DataFrame:
                 batch, text=pa.array(texts, pa.string()), n_chars=pa.array([len(x) for x in texts], pa.int64())
             ).select(names)
 
-    return pages.mapInArrow(extract, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields))
+    return tables.in_arrow(pages, extract, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields))

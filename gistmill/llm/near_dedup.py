@@ -95,7 +95,7 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
                 ["id", "n_shingles", "p1", "p2", "signature"],
             )
 
-    return docs.mapInArrow(sign, "id long, n_shingles long, p1 long, p2 long, signature binary")
+    return tables.in_arrow(docs, sign, "id long, n_shingles long, p1 long, p2 long, signature binary")
 
 
 def _members(reps: DataFrame, parts: int) -> DataFrame:
@@ -142,7 +142,7 @@ def _members(reps: DataFrame, parts: int) -> DataFrame:
         new[1:] = keys[1:] != keys[:-1]
         return pa.Table.from_batches([_links(keys, owner, new, schema)]).select(["key", "center", "rep"])
 
-    out = tables.stored(reps.select("rep", "signature").mapInArrow(emit, schema))
+    out = tables.stored(tables.in_arrow(reps.select("rep", "signature"), emit, schema))
     local = out.filter(F.col("part").isNull()).select("key", "center", "rep")
     met = out.filter(F.col("part").isNotNull()).select("part", "body").groupBy("part").applyInArrow(meet, "key long, center long, rep long")
     return local.unionByName(met)
@@ -175,7 +175,8 @@ def _close(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
     left = reps.select(F.col("rep").alias("a"), F.col("signature").alias("s"))
     right = reps.select(F.col("rep").alias("b"), F.col("signature").alias("t"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(near, "a long, b long").distinct()
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t")
+    return tables.in_arrow(both, near, "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
@@ -196,7 +197,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> Data
     right = sets.select(F.col("rep").alias("b"), F.col("n"), F.col("shingles").alias("y"))
     fits = F.least("m", "n") * whole >= F.greatest("m", "n") * part
     both = pairs.join(left, "a").join(right, "b").filter(fits).select("a", "b", "x", "y")
-    return both.mapInArrow(confirm, "a long, b long").distinct()
+    return tables.in_arrow(both, confirm, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -235,7 +236,7 @@ def _shared_counts(docs: DataFrame, width: int) -> DataFrame:
             out = pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(cuts), pa.int64()), pa.array(body, pa.binary())], ["rep", "n", "shingles"])
             yield out.filter(pa.array(np.diff(cuts) > 0))
 
-    blocks = tables.packed_blocks(docs.mapInArrow(gather, "rep long, n long, shingles binary"), "rep", "shingles")
+    blocks = tables.packed_blocks(docs, "rep", "shingles", prepare=gather)
     count = tables.parts_for(blocks, 4 << 20, share=0.5)
 
     def dealt(batch: pa.RecordBatch):
@@ -270,7 +271,7 @@ def _shared_counts(docs: DataFrame, width: int) -> DataFrame:
                     [batch.column("rep"), batch.column("n"), pa.array(c, pa.int64()), batch.column("shingles")], ["rep", "n", "c", "shingles"]
                 )
 
-    return tables.exchange_blocks(blocks, count, emit, settle).mapInArrow(finish, "rep long, n long, c long, shingles binary")
+    return tables.in_arrow(tables.exchange_blocks(blocks, count, emit, settle), finish, "rep long, n long, c long, shingles binary")
 
 
 def _possible(m, c, n, d, part: int, whole: int):

@@ -199,7 +199,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_column
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select(id_column, text_column).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return tables.in_arrow(docs.select(id_column, text_column), cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_sequences(
@@ -238,6 +238,7 @@ def pack_sequences(
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
             )
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("own") + F.col("lift")).alias("rank")).mapInArrow(
-        place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("own") + F.col("lift")).alias("rank"))
+    return tables.in_arrow(
+        ranked, place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )

@@ -124,4 +124,4 @@ def scored(docs: DataFrame, score, model: bytes, text_column: str) -> DataFrame:
         for batch in slices(batches, text_column):
             yield tables.replaced(batch, score=pa.array(score(batch.column(text_column), weights), pa.float64()))
 
-    return docs.mapInArrow(add, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields))
+    return tables.in_arrow(docs, add, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields))

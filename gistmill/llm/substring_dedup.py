@@ -158,4 +158,4 @@ def substring_dedup(
                 yield tables.replaced(batch, **columns).select(names)
 
     asked = tables.exchange_blocks(blocks, count, lambda batch: windows(batch).questions(), _settle)
-    return asked.mapInArrow(finish, schema)
+    return tables.in_arrow(asked, finish, schema)

@@ -35,6 +35,16 @@ def stored(df: DataFrame, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` that gives Arrow's unused memory back when a partition is done; workers live on between stages."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(mapped, schema)
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -79,11 +89,14 @@ def unpack(payload: bytes) -> pa.RecordBatch:
         return reader.read_next_batch()
 
 
-def packed_blocks(docs: DataFrame, id_column: str, text_column: str, limit: int = 2 << 20) -> DataFrame:
+def packed_blocks(
+    docs: DataFrame, id_column: str, text_column: str, limit: int = 2 << 20, prepare: Callable | None = None
+) -> DataFrame:
     """Rows packed into compressed blocks of about ``limit`` bytes of text, each sorted by id; written once.
 
     Columns: ``block`` (a number), ``n_bytes`` of text, ``payload``. The table is written,
-    so every later pass sees the same blocks, whatever happens to executors.
+    so every later pass sees the same blocks, whatever happens to executors. ``prepare``
+    maps the batches first, in the same Python worker.
     """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +112,7 @@ def packed_blocks(docs: DataFrame, id_column: str, text_column: str, limit: int
                 "payload": pa.array([pack(batch)], pa.binary()),
             })
 
-        for piece in slices(batches, text_column, limit // 4):
+        for piece in slices(prepare(batches) if prepare else batches, text_column, limit // 4):
             more = piece.column(text_column).nbytes
             if held and size + more > limit:
                 yield emit()
@@ -110,7 +123,7 @@ def packed_blocks(docs: DataFrame, id_column: str, text_column: str, limit: int
             yield emit()
 
     # the payload is compressed already
-    return stored(docs.mapInArrow(blocks, "block long, n_bytes long, payload binary"), compression="none")
+    return stored(in_arrow(docs, blocks, "block long, n_bytes long, payload binary"), compression="none")
 
 
 def deal(parts: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,8 +168,7 @@ def exchange_blocks(
         })
 
     replies = (
-        blocks.select("block", "payload")
-        .mapInArrow(ask, "part int, asker long, body binary")
+        in_arrow(blocks.select("block", "payload"), ask, "part int, asker long, body binary")
         .groupBy("part")
         .applyInArrow(answer, "asker long, part int, answer binary")
         .groupBy("asker")

@@ -60,13 +60,17 @@ class _Bags:
         return (np.add.reduceat(total, self.begin) + subword_odds[self.whole]) / (np.add.reduceat(count, self.begin) + 1)
 
     def subwords(self) -> tuple[np.ndarray, np.ndarray]:
-        """All (word, bucket) pairs, by word."""
-        word = np.repeat(np.arange(len(self.room), dtype=np.int32), self.room)
-        found = [(np.arange(len(self.whole), dtype=np.int32), self.whole)]
-        found += [(word[there], bucket[there]) for bucket, there in self.ngrams()]
-        word, bucket = (np.concatenate(x) for x in zip(*found))
-        order = np.argsort(word, kind="stable")
-        return word[order], bucket[order]
+        """Buckets of all words' subwords, word by word, and where each word's begin and the last's end."""
+        lengths = np.clip(self.left - SHORT + 1, 0, LONG - SHORT + 1)
+        per_word = np.add.reduceat(lengths, self.begin) + 1
+        cut = np.concatenate([[0], np.cumsum(per_word)])
+        bucket = np.empty(cut[-1], np.int32)
+        bucket[cut[1:] - 1] = self.whole
+        # n-grams of a place one after another; each word before has one subword more, itself
+        at = np.cumsum(lengths) - lengths + np.repeat(np.arange(len(self.room)), self.room)
+        for k, (found, there) in enumerate(self.ngrams()):
+            bucket[at[there] + k] = found[there]
+        return bucket, cut
 
 
 def _worst(doc: np.ndarray, odds: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,12 +103,11 @@ def fit(texts: list[str], labels: list[int], epochs: int = 30, rate: float = 1.0
         odds = np.log((share + 0.01) / (1.01 - share))
         return np.concatenate([[0, odds, 0], np.zeros(1 << BITS)]).astype(np.float32).tobytes()
     bags = _Bags(pa.array(texts, pa.string()))
-    word, bucket = bags.subwords()
-    cut = np.searchsorted(word, np.arange(len(bags.room) + 1))
+    bucket, cut = bags.subwords()
     count = np.diff(cut)
     # in how many texts of each label a subword occurs; a word's texts are counted once for each word
-    hits = [np.bincount(bags.word, weights=(y[bags.doc] == k), minlength=len(bags.room)) for k in (0, 1)]
-    seen = [np.bincount(bucket, weights=hits[k][word], minlength=1 << BITS) for k in (0, 1)]
+    hits = [np.bincount(bags.word, weights=(y[bags.doc] == k), minlength=len(bags.room)).astype(np.float32) for k in (0, 1)]
+    seen = [np.bincount(bucket, weights=np.repeat(hits[k], count), minlength=1 << BITS) for k in (0, 1)]
     prior = y.mean()
     expected = (seen[0] + seen[1]) * prior
     start = np.log((seen[1] + 4 * prior + 0.5) / (expected + 4 * prior + 0.5)) - np.log((seen[0] + 4 * (1 - prior) + 0.5) / (seen[0] + seen[1] - expected + 4 * (1 - prior) + 0.5))
@@ -115,7 +118,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 30, rate: float = 1.0
     grown, grown_softmax, offset = np.full((1 << BITS, WIDTH), 1e-6), np.full((2, WIDTH), 1e-6), -1.0
     tuning = rng.random(len(y)) < 0.2
     weight = np.where(y == 1, 0.5 / prior, 0.5 / (1 - prior)) * ~tuning
-    pair_odds = lambda: (np.add.reduceat((vectors @ (softmax[1] - softmax[0]))[bucket], cut[:-1]) / count)[bags.word]
+    pair_odds = lambda: (np.add.reduceat((vectors @ (softmax[1] - softmax[0])).astype(np.float32)[bucket], cut[:-1]) / count)[bags.word]
     for _ in range(epochs):
         odds, at, share = _worst(bags.doc, pair_odds(), len(y))
         odds = np.nan_to_num(odds) + offset

@@ -54,7 +54,7 @@ def _blocks(vectors: DataFrame, scale: int, rows: int) -> DataFrame:
             yield emit(size)
             number += 1
 
-    return vectors.mapInArrow(block, "block long, size int, ids binary, exact binary")
+    return tables.in_arrow(vectors, block, "block long, size int, ids binary, exact binary")
 
 
 def _cells(blocks: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def _cells(blocks: DataFrame) -> DataFrame:
                     "origin": pa.array([origin.tobytes()]), "step": pa.array([step.tobytes()]), "cells": pa.array([cells.tobytes()]),
                 })
 
-    return blocks.mapInArrow(
+    return tables.in_arrow(blocks, 
         approximate, "block long, size int, ids binary, exact binary, counts binary, origin binary, step binary, cells binary"
     )
 
@@ -167,7 +167,8 @@ def top_k(
                     name: pa.array([x[place] for x in found], pa.int64()) for place, name in enumerate(("query_id", "vec_id", "score"))
                 })
 
-    found = grid.join(files.drop("size"), "block").join(asked.drop("size"), "query_block").mapInArrow(search, "query_id long, vec_id long, score long")
+    met = grid.join(files.drop("size"), "block").join(asked.drop("size"), "query_block")
+    found = tables.in_arrow(met, search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
