@@ -99,6 +99,14 @@ def split_gap(
     return wide.withColumns({f"{s}_gap": F.col(f"{s}_test") - F.col(f"{s}_dev") for s in scores})
 
 
+def with_factors(metrics: DataFrame, factors: DataFrame) -> DataFrame:
+    """Metrics with what each run varied: ``factors`` is ``(name, <factor>...)``, one row per run.
+
+    Runs without a row keep their metrics, with null factors.
+    """
+    return metrics.join(factors, "name", "left")
+
+
 def ablation_table(
     metrics: DataFrame, rows: Sequence[str], variant: str, variants: Sequence[str], scores: Sequence[str] = ("rouge1",)
 ) -> DataFrame:

@@ -108,11 +108,10 @@ def wrapped_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", completion.alias("completion"))
 
 
-def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vector for every word of the pairs: words and vectors are numbered, and words go round all vectors."""
-    words = pairs(spark, sf_dir).select(
-        F.explode(F.concat(word_array(rouge_words(F.col("reference"))), word_array(rouge_words(F.col("prediction")))))
-        .alias("token")
+def token_vectors(spark: SparkSession, sf_dir: str, texts: DataFrame, *columns: str) -> DataFrame:
+    """A vector for every word of the texts: words and vectors are numbered, and words go round all vectors."""
+    words = texts.select(
+        F.explode(F.concat(*[word_array(rouge_words(F.col(c))) for c in columns])).alias("token")
     ).distinct()
     ranked = rank_rows(words, [F.col("token")], out="rank")
     embeddings = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))

@@ -413,23 +413,45 @@ def _bootstrap() -> str:
     )
 
 
-def _embedding_f1() -> str:
-    counts = "SELECT k, g, count(*) AS n FROM (SELECT k, unnest({x}) AS g FROM tokenized) GROUP BY k, g"
-    best = (
-        "SELECT a.k, sum(a.n * a.best) / sum(a.n) AS v FROM (SELECT x.k, x.g, any_value(x.n) AS n, "
-        "max(list_cosine_similarity(x.vec, y.vec)) AS best FROM {left} x JOIN {right} y ON x.k = y.k GROUP BY x.k, x.g) a GROUP BY a.k"
-    )
-    return f"""
-    WITH pairs AS ({_CTES['pairs']}), texts AS ({_PAIR_TEXTS}), tokenized AS ({_CTES['tokenized']}),
+_COUNTS = "SELECT k, g, count(*) AS n FROM (SELECT k, unnest({x}) AS g FROM tokenized) GROUP BY k, g"
+_BEST = (
+    "SELECT a.k, sum(a.n * a.best) / sum(a.n) AS v FROM (SELECT x.k, x.g, any_value(x.n) AS n, "
+    "max(list_cosine_similarity(x.vec, y.vec)) AS best FROM {left} x JOIN {right} y ON x.k = y.k GROUP BY x.k, x.g) a GROUP BY a.k"
+)
+#: matched(k, f1) over tokenized(k, p, r)
+_MATCHES = f"""
     words AS (SELECT g, (row_number() OVER (ORDER BY g) - 1) % (SELECT count(*) FROM embeddings) + 1 AS number
               FROM (SELECT DISTINCT unnest(list_concat(p, r)) AS g FROM tokenized)),
     vectors AS (SELECT g, CAST(embedding AS DOUBLE[]) AS vec FROM words JOIN (
         SELECT embedding, row_number() OVER (ORDER BY vec_id) AS number FROM embeddings) USING (number)),
-    pc AS (SELECT c.*, vec FROM ({counts.format(x='p')}) c JOIN vectors USING (g)),
-    rc AS (SELECT c.*, vec FROM ({counts.format(x='r')}) c JOIN vectors USING (g)),
-    pr AS ({best.format(left='pc', right='rc')}), re AS ({best.format(left='rc', right='pc')})
-    SELECT t.k.conv_id AS conv_id, t.k.turn AS turn, round(CASE WHEN coalesce(pr.v + re.v, 0) = 0 THEN 0 ELSE 2 * pr.v * re.v / (pr.v + re.v) END, 6) AS bertscore_f1
-    FROM tokenized t LEFT JOIN pr ON pr.k = t.k LEFT JOIN re ON re.k = t.k"""
+    pc AS (SELECT c.*, vec FROM ({_COUNTS.format(x='p')}) c JOIN vectors USING (g)),
+    rc AS (SELECT c.*, vec FROM ({_COUNTS.format(x='r')}) c JOIN vectors USING (g)),
+    pr AS ({_BEST.format(left='pc', right='rc')}), re AS ({_BEST.format(left='rc', right='pc')}),
+    matched AS (
+        SELECT t.k AS k, CASE WHEN coalesce(pr.v + re.v, 0) = 0 THEN 0 ELSE 2 * pr.v * re.v / (pr.v + re.v) END AS f1
+        FROM tokenized t LEFT JOIN pr ON pr.k = t.k LEFT JOIN re ON re.k = t.k)"""
+
+
+def _embedding_f1() -> str:
+    return f"""
+    WITH pairs AS ({_CTES['pairs']}), texts AS ({_PAIR_TEXTS}), tokenized AS ({_CTES['tokenized']}), {_MATCHES}
+    SELECT k.conv_id AS conv_id, k.turn AS turn, round(f1, 6) AS bertscore_f1 FROM matched"""
+
+
+def _results_with_old_run(include_deprecated: bool) -> str:
+    shown = "" if include_deprecated else "WHERE coalesce(d.section, 2) <> 1"
+    return _on_runs(
+        f"""SELECT m.split, coalesce(d.section, CAST(2 AS INTEGER)) AS section, d.ord, m.name, coalesce(d.label, m.name) AS label,
+                  round(m.rouge1, 3) AS rouge1, round(m.rouge2, 3) AS rouge2, round(m."rougeL", 3) AS "rougeL",
+                  round(b.f1, 3) AS bertscore_f1, round(w.words, 1) AS words, coalesce(d.section, 2) = 0 AS is_best
+           FROM metrics m JOIN words_out w USING (name, split) JOIN means b USING (name, split)
+           LEFT JOIN display d ON d.name = m.name {shown}""",
+        extra=f""", {_MATCHES},
+        means AS (SELECT k.name AS name, k.split AS split, avg(f1) AS f1 FROM matched GROUP BY ALL),
+        words_out AS (SELECT name, split, avg({_words('prediction')}) AS words FROM runs GROUP BY ALL),
+        display AS (SELECT * FROM (VALUES ('qlora_last_sentence', 'Last sentence', CAST(0 AS INTEGER), CAST(0 AS INTEGER)),
+                                          ('lead_20_words', 'Lead (deprecated)', 0, 1)) v(name, label, ord, section))""",
+    )
 
 
 def all_oracles() -> dict[str, str]:
@@ -556,13 +578,47 @@ def all_oracles() -> dict[str, str]:
             + " FROM metrics v JOIN metrics t USING (name) WHERE v.split = 'val' AND t.split = 'test'"
         ),
         "ablation_table": _on_runs(
-            """SELECT split, round(max(rouge1) FILTER (name = 'extractive_first_sentence'), 6) AS extractive_first_sentence_rouge1,
-                      round(max(rouge1) FILTER (name = 'lead_20_words'), 6) AS lead_20_words_rouge1,
-                      round(max(rouge1) FILTER (name = 'qlora_last_sentence'), 6) AS qlora_last_sentence_rouge1,
-                      round(max(rouge1) FILTER (name = 'qlora_last_sentence')
-                            - max(rouge1) FILTER (name = 'extractive_first_sentence'), 6) AS rouge1_delta
-               FROM metrics GROUP BY split"""
+            """SELECT split, model, CAST(rank AS INTEGER) AS rank,
+                      round(max(rouge1) FILTER (variant = 'sentence'), 6) AS sentence_rouge1,
+                      round(max(rouge1) FILTER (variant = 'words'), 6) AS words_rouge1,
+                      round(max(rouge1) FILTER (variant = 'words') - max(rouge1) FILTER (variant = 'sentence'), 6) AS rouge1_delta
+               FROM metrics JOIN (VALUES ('extractive_first_sentence', 'sentence', 'extractive', 0),
+                                         ('lead_20_words', 'words', 'extractive', 0),
+                                         ('qlora_last_sentence', 'sentence', 'tuned', 8)) f(name, variant, model, rank) USING (name)
+               GROUP BY split, model, rank"""
+        ),
+        "papers_scan": _query(
+            """SELECT split, count(*) AS n, CAST(sum(len(lines) - 1) AS BIGINT) AS sentences, count(lines) AS summaries
+               FROM (SELECT CASE split WHEN 'val' THEN 'validation' ELSE split END AS split, lines FROM raw) GROUP BY split""",
+            "raw",
+        ),
+        "records_round_trip": _query("SELECT split, id, abstract, summary, source FROM records", *CORPUS),
+        "predictions_round_trip": _query(
+            f"""SELECT split, id, abstract, summary, source, {_first_sentence('abstract')} AS prediction, 'first sentence' AS name
+                FROM records""",
+            *CORPUS,
+        ),
+        "metrics_by_file_name": _on_runs(f"SELECT name, split, {rounded}, n FROM metrics"),
+        "logged_history": _query("SELECT * FROM history", "history"),
+        "profile_report": _query(
+            f"""SELECT l.split, l.size, l.abstract_median, l.summary_p95, r.ratio_mean, e.examples FROM (
+                   SELECT split, count(*) // 2 AS size,
+                          round(quantile_cont(value, 0.5) FILTER (measure = 'abstract_tokens'), 6) AS abstract_median,
+                          round(quantile_cont(value, 0.95) FILTER (measure = 'summary_tokens'), 6) AS summary_p95
+                   FROM lengths GROUP BY split) l
+               JOIN (SELECT split, round(avg({_words('summary')}::DOUBLE / greatest({_words('abstract')}, 1)), 6) AS ratio_mean
+                     FROM records GROUP BY split) r USING (split)
+               JOIN (SELECT split, string_agg(shown, chr(10) ORDER BY place) AS examples FROM (
+                         SELECT split, (CASE WHEN length(abstract) > {fx.EXAMPLE_CHARS} THEN substr(abstract, 1, {fx.EXAMPLE_CHARS}) || '…'
+                                        ELSE abstract END) || ' => ' || summary AS shown,
+                                row_number() OVER (PARTITION BY split ORDER BY sha256('{fx.EXAMPLE_SEED}:' || id), id) AS place
+                         FROM records) WHERE place <= {fx.EXAMPLE_ROWS} GROUP BY split) e USING (split)""",
+            *CORPUS, "lengths",
         ),
+        "tokenizer_factory": """SELECT conv_id, turn,
+            array_to_string(list_transform(string_split(text, ' '), lambda w: length(w)), ' ') AS input_ids FROM conversations""",
+        "results_with_deprecated": _results_with_old_run(True),
+        "results_without_deprecated": _results_with_old_run(False),
         "metric_long": _on_runs(
             """SELECT name, split, metric, round(value, 6) AS value FROM (
                SELECT name, split, unnest(['rouge1', 'rouge2', 'rougeL', 'n']) AS metric,

@@ -16,10 +16,18 @@ from gistmill.operators import profile as prof
 from gistmill.operators import results as res
 from gistmill.operators import tokens as tok
 from gistmill.plans import inputs
-from gistmill.plans.flows import run_results, training_batches
-from gistmill.session import materialize
+from gistmill.plans.flows import corpus_profile, run_results, training_batches
+from gistmill.session import materialize, new_folder
+from gistmill.sources import records as record_io
+from gistmill.sources import runs as run_io
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: name, variant, model, rank
+RUN_FACTORS = [
+    ("extractive_first_sentence", "sentence", "extractive", 0),
+    ("lead_20_words", "words", "extractive", 0),
+    ("qlora_last_sentence", "sentence", "tuned", 8),
+]
 RUN_LABELS = {
     "extractive_first_sentence": "First sentence",
     "qlora_last_sentence": "Last sentence",
@@ -113,6 +121,70 @@ def attach_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.attach_predictions(records.select("split", "id", "summary"), predictions)
 
 
+# --- sources and sinks: written to the shared folder and read back -----------------
+
+
+def papers_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested papers as JSON lines, one folder per split."""
+    folder = new_folder(spark)
+    inputs.raw_papers(spark, sf_dir).select("split", "source", "target").write.partitionBy("split").json(folder)
+    papers = record_io.read_papers(spark, folder)
+    return papers.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.size("source")).alias("sentences"), F.sum(F.size("target")).alias("summaries")
+    )
+
+
+def records_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark)
+    record_io.write_records(inputs.prepared(spark, sf_dir), folder, "json")
+    return record_io.read_records(spark, folder, "json")
+
+
+def predictions_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark)
+    run_io.write_predictions(p.extractive(inputs.prepared(spark, sf_dir)), folder, "first sentence")
+    return run_io.read_predictions(spark, folder)
+
+
+def metrics_by_file_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each run and split, whose name says which it is; the few metrics rows are written one by one."""
+    folder, metrics = new_folder(spark), _stored_metrics(spark, sf_dir)
+    run_io.write_metrics(metrics, f"{folder}/by-run")
+    stored_metrics = run_io.read_metrics(spark, f"{folder}/by-run").drop("bertscore_f1")
+    for name in [label for label, *_ in RUN_FACTORS]:
+        for split in ("train", "val", "test"):
+            one = stored_metrics.filter((F.col("name") == name) & (F.col("split") == split)).drop("name", "split")
+            one.coalesce(1).write.json(f"{folder}/files/{name}__{split}.metrics.json")
+    found = [run_io.read_metrics_files(spark, f"{folder}/files", split) for split in ("train", "val", "test")]
+    return _rounded(found[0].unionByName(found[1]).unionByName(found[2]).drop("bertscore_f1"))
+
+
+def logged_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A history as a tracker exports it, under its own column names."""
+    folder = new_folder(spark)
+    names = {"step": "_step", "train_loss": "train/loss", "eval_loss": "eval/loss", "learning_rate": "train/learning_rate"}
+    inputs.history(spark, sf_dir).withColumnsRenamed(names).write.parquet(folder)
+    return h.canonical_history(run_io.read_history(spark, folder))
+
+
+def profile_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark)
+    corpus_profile(inputs.stored_records(spark, sf_dir), folder)
+    report = spark.read.json(folder)
+    shown = F.array_join(F.transform("examples", lambda x: F.concat_ws(" => ", x["abstract"], x["summary"])), "\n")
+    return _rounded(report.select(
+        "split", "size", F.col("abstract_tokens.median").alias("abstract_median"), F.col("summary_tokens.p95").alias("summary_p95"),
+        F.col("compression_ratio.mean").alias("ratio_mean"), shown.alias("examples"),
+    ))
+
+
+def tokenizer_factory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids from a tokenizer made once for each task: here a word's id is its length."""
+    texts = inputs.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    ids = tok.tokenizer_udf(lambda: lambda text: [len(word) for word in text.split(" ")])(F.col("text"))
+    return texts.select("conv_id", "turn", ids.alias("input_ids")).select("conv_id", "turn", _joined("input_ids"))
+
+
 # --- scores ---------------------------------------------------------------------
 
 
@@ -165,12 +237,15 @@ def alignment_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedding_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(m.embedding_f1(inputs.pairs(spark, sf_dir), inputs.token_vectors(spark, sf_dir), ["conv_id", "turn"]))
+    pairs = inputs.pairs(spark, sf_dir)
+    vectors = inputs.token_vectors(spark, sf_dir, pairs, "reference", "prediction")
+    return _rounded(m.embedding_f1(pairs, vectors, ["conv_id", "turn"]))
 
 
 def embedding_f1_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan for vector tables too large to broadcast."""
-    pairs, vectors = inputs.pairs(spark, sf_dir), inputs.token_vectors(spark, sf_dir)
+    pairs = inputs.pairs(spark, sf_dir)
+    vectors = inputs.token_vectors(spark, sf_dir, pairs, "reference", "prediction")
     return _rounded(m.embedding_f1(pairs, vectors, ["conv_id", "turn"], broadcast_bytes=-1))
 
 
@@ -270,6 +345,25 @@ def results_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_results(metrics, predictions, display).drop("bertscore_f1")
 
 
+def _results_with_old_run(spark: SparkSession, sf_dir: str, include_deprecated: bool) -> DataFrame:
+    """All scores, the embedding score among them, with one run listed, one deprecated and one unlisted."""
+    predictions = materialize(inputs.runs(spark, sf_dir))
+    vectors = inputs.token_vectors(spark, sf_dir, predictions, "prediction", "summary")
+    matched = m.embedding_f1(predictions, vectors, ["name", "split", "id"], "prediction", "summary")
+    scored = m.score_pairs(predictions, "prediction", "summary", stem=False).join(matched, ["name", "split", "id"])
+    metrics = materialize(m.corpus_scores(scored, metrics=[*m.ROUGE, "bertscore_f1"]))
+    display = res.display_dimension(spark, {"qlora_last_sentence": "Last sentence"}, {"lead_20_words": "Lead (deprecated)"})
+    return run_results(metrics, predictions, display, include_deprecated)
+
+
+def results_with_deprecated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _results_with_old_run(spark, sf_dir, True)
+
+
+def results_without_deprecated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _results_with_old_run(spark, sf_dir, False)
+
+
 def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(res.gains_over(_stored_metrics(spark, sf_dir), "extractive_first_sentence", m.ROUGE))
 
@@ -279,10 +373,11 @@ def dev_test_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ablation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ROUGE-1 per split and run, and what the last sentence loses against the first."""
-    runs = ["extractive_first_sentence", "lead_20_words", "qlora_last_sentence"]
-    table = res.ablation_table(_run_metrics(spark, sf_dir), ["split"], "name", runs)
-    return _rounded(res.variant_deltas(table, runs[0], runs[2]))
+    """ROUGE-1 by split, model and rank, one column for each variant, and what the second variant gains."""
+    factors = spark.createDataFrame(RUN_FACTORS, "name string, variant string, model string, rank int")
+    metrics = res.with_factors(_run_metrics(spark, sf_dir), factors)
+    table = res.ablation_table(metrics, ["split", "model", "rank"], "variant", ["sentence", "words"])
+    return _rounded(res.variant_deltas(table, "sentence", "words"))
 
 
 def metric_long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,7 +411,8 @@ def all_queries() -> dict[str, Query]:
         embedding_f1, embedding_f1_shuffled, bootstrap_ci,
         length_profile, compression_ratio, length_histogram,
         vocab, encode, encode_shuffled, completion_mask, pad_batches, pad_prompts,
-        mean_output_words, results_table, run_comparison, dev_test_gap, ablation_table, metric_long,
+        papers_scan, records_round_trip, predictions_round_trip, metrics_by_file_name, logged_history, profile_report,
+        tokenizer_factory, mean_output_words, results_table, results_with_deprecated, results_without_deprecated, run_comparison, dev_test_gap, ablation_table, metric_long,
         loss_curves, logged_steps, best_checkpoint, retained_checkpoints,
     ]
     queries = {query.__name__: query for query in named}

@@ -39,13 +39,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A name in the shared checkpoint folder that nothing has used."""
+    return f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage: a Parquet table in the shared checkpoint folder.
 
     Unlike cached blocks it outlives executors, later reads see only the columns
     they need, and its size is known to the optimizer.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -40,8 +40,10 @@ def read_metrics(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame
 
 
 def _run_name(split: str, ending: str):
-    pattern = rf"^(.*)__{split}\.{ending}$"
-    return F.regexp_extract(F.col("_metadata.file_name"), pattern, 1)
+    """The run in ``<run>__<split>.<ending>``, be it a file or a folder of part files."""
+    pattern = rf"([^/]*)__{split}\.{ending}(?:/[^/]*)?$"
+    file = F.regexp_extract(F.col("_metadata.file_name"), pattern, 1)
+    return F.when(file != "", file).otherwise(F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)))
 
 
 def read_metrics_files(spark: SparkSession, folder: str, split: str) -> DataFrame:
