@@ -37,12 +37,13 @@ _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search d
 _DROPPED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements adsense adslot sponsor sponsored sponsors promo promos promotion "
     "nav navbar navigation menu menus breadcrumb breadcrumbs topbar masthead toc "
-    "footer foot bottom copyright colophon sidebar sidebars side aside widget widgets rail "
+    "footer copyright colophon sidebar sidebars aside widget widgets "
     "cookie cookies consent gdpr notice notices alert alerts banner banners popup modal overlay newsletter subscribe subscription signup paywall "
     "comment comments commentlist disqus respond reply replies reactions "
     "share sharing social related recommended recommendations teaser teasers trending pagination pager "
     "login search searchbox form skip skiplink".split()
 )
+_SITE_HEADER = frozenset("header site page global top main masthead".split())
 _ROOTS = frozenset(("article", "main"))
 
 
@@ -61,8 +62,7 @@ def _is_dropped(tag: str, attributes: str, inside: bool) -> bool:
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id"):
-                parts = set(re.split(r"[^a-z0-9]+", value))
-                if parts & _DROPPED_NAMES or ("header" in parts and not inside):
+                if any(_names_furniture(word, inside) for word in value.split()):
                     return True
             elif name == "role" and value in _DROPPED_ROLES:
                 return True
@@ -73,8 +73,21 @@ def _is_dropped(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def _parse(page: str) -> _Node:
-    """The page's tree; text is kept undecoded. Missing end tags are supplied as browsers do for p, li, table parts."""
+def _names_furniture(word: str, inside: bool) -> bool:
+    """Whether a class name or id begins or ends with a name of what isn't the article, as in post-comments, ad_slot."""
+    parts = [x for x in re.split(r"[^a-z0-9]+", word) if x]
+    if not parts or parts[0] in ("has", "with", "without", "no", "not", "is"):
+        return False
+    if parts[-1] == "header" and not inside:
+        return set(parts) <= _SITE_HEADER
+    return parts[0] in _DROPPED_NAMES or parts[-1] in _DROPPED_NAMES
+
+
+def _parse(page: str, forms: bool = False) -> _Node:
+    """The page's tree; text is kept undecoded. Missing end tags are supplied as browsers do for p, li, table parts.
+
+    ``forms``: forms are kept, for pages that wrap everything in one.
+    """
     root = node = _Node("#root", None, False)
     place, inside = 0, 0
     for found in _TOKEN.finditer(page):
@@ -108,7 +121,8 @@ def _parse(page: str) -> _Node:
                     inside -= node.tag in _ROOTS
                     node = node.parent
         attributes = found[4] or found[7] or ""
-        child = _Node(tag, node, node.dropped or _is_dropped(tag, attributes, inside > 0))
+        dropped = _is_dropped(tag, attributes, inside > 0) and not (forms and tag == "form")
+        child = _Node(tag, node, node.dropped or dropped)
         node.children.append(child)
         if tag not in _VOID and not attributes.endswith("/") or tag in _ROOTS:
             node = child
@@ -221,7 +235,12 @@ def _blocks(node: _Node) -> list[str]:
 
 
 def page_text(page: str | None) -> str:
-    return "\n".join(_blocks(_content(_parse(page)))) if page else ""
+    if not page:
+        return ""
+    blocks = _blocks(_content(_parse(page)))
+    if not blocks and "<form" in page.lower():
+        blocks = _blocks(_content(_parse(page, forms=True)))
+    return "\n".join(blocks)
 
 
 def main_text(pages: DataFrame, html_column: str = "html") -> DataFrame:
@@ -229,7 +248,7 @@ def main_text(pages: DataFrame, html_column: str = "html") -> DataFrame:
 
     Every page is parsed whole, one at a time, in an Arrow batch; missing end tags are supplied.
     Menus, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, known by
-    element, role, class or id, and headers outside an article are left out. Of the rest, link-adjusted
+    element, role, class or id, and headers outside an article are left out (a form that wraps the whole page isn't). Of the rest, link-adjusted
     characters per tag are computed for every node and summed over children; the subtree of the
     largest sum, extended by the smallest density on its path to the body, is the article, and all
     its blocks are returned in page order.

@@ -77,6 +77,12 @@ def test_articles_come_back(shape):
         assert page_text(page) == "\n".join(expected)
 
 
+def test_names_that_only_look_like_furniture():
+    body = '<div class="elementor-widget-container has-sidebar"><div class="entry-header"><h1>Head line</h1></div><p>Some words, and more of them.</p></div>'
+    assert page_text(WRAP.format(article=body, noise="x")) == "Head line\nSome words, and more of them."
+    assert page_text(f"<body><form id=f>{body}</form></body>") == "Head line\nSome words, and more of them."
+
+
 def test_awkward_pages(spark):
     pages = [
         (1, "u", None, "t"), (2, None, "", "t"), (3, "u", "plain text &lt;3", "t"), (4, "u", "<p>unclosed <b>bold", "t"), (5, "u", "<div>" * 5000 + "deep", "t"),
