@@ -36,7 +36,7 @@ class _Windows:
         self.owner = self.ids[self.doc[first]] if len(first) else np.zeros(0, np.int64)
 
     def questions(self) -> list[bytes]:
-        """For each part: seeds with run lengths, window hashes, ids with run lengths."""
+        """For each part: seeds with run lengths, ids as steps with run lengths, window hashes."""
         out = []
         for a, b in zip(self.cuts[:-1], self.cuts[1:]):
             if a == b:
@@ -46,10 +46,13 @@ class _Windows:
             seeds, seed_runs = _runs(self.least[self.first[chosen]])
             ids, id_runs = _runs(self.owner[chosen])
             full = (self.full[self.first[chosen]] & _40).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-            sizes = np.array([len(seeds), len(ids), b - a], "<i8")
+            # ids ascend, null ids (the largest) come last: steps are small
+            steps = np.diff(ids.view(np.uint64))
+            wide = int(len(steps) and steps.max() >= 1 << 32)
+            sizes = np.array([len(seeds), len(ids), b - a, ids[0], wide], "<i8")
             out.append(b"".join([
-                sizes.tobytes(), seeds.tobytes(), seed_runs.astype("<u4").tobytes(),
-                ids.tobytes(), id_runs.astype("<u4").tobytes(), np.ascontiguousarray(full).tobytes(),
+                sizes.tobytes(), seeds.tobytes(), seed_runs.tobytes(), steps.astype("<u8" if wide else "<u4").tobytes(),
+                id_runs.tobytes(), np.ascontiguousarray(full).tobytes(),
             ]))
         return out
 
@@ -64,22 +67,26 @@ class _Windows:
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    change = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-    return values[change], np.diff(np.concatenate([change, [len(values)]]))
+    """Values and how often each follows itself, at most 255 times."""
+    new = np.concatenate([[True], values[1:] != values[:-1]])
+    begin = np.flatnonzero(new)[np.cumsum(new) - 1]
+    change = np.flatnonzero((np.arange(len(values)) - begin) % 255 == 0)
+    return values[change], np.diff(np.append(change, len(values))).astype(np.uint8)
 
 
 def _settle(askers: np.ndarray, bodies: list[bytes]) -> list[bytes]:
     """Level by level: seeds that several blocks hold are extended to the window; the smallest id keeps it."""
     seeds, ids, full, block, counts = [], [], [], [], []
     for number, body in enumerate(bodies):
-        n_seeds, n_ids, n = np.frombuffer(body, "<i8", 3)
-        place = 24
+        n_seeds, n_ids, n, first, wide_steps = np.frombuffer(body, "<i8", 5)
+        place = 40
         found = []
-        for kind, size in (("<u8", n_seeds), ("<u4", n_seeds), ("<i8", n_ids), ("<u4", n_ids)):
+        for kind, size in (("<u8", n_seeds), ("u1", n_seeds), ("<u8" if wide_steps else "<u4", n_ids - 1), ("u1", n_ids)):
             found.append(np.frombuffer(body, kind, size, place))
             place += found[-1].nbytes
         seeds.append(np.repeat(found[0], found[1]))
-        ids.append(np.repeat(found[2], found[3]))
+        own = np.cumsum(np.concatenate([[first], found[2].astype(np.int64)]))
+        ids.append(np.repeat(own, found[3]))
         wide = np.zeros((n, 8), np.uint8)
         wide[:, :5] = np.frombuffer(body, np.uint8, 5 * n, place).reshape(-1, 5)
         full.append(wide.view("<u8").ravel())
