@@ -144,7 +144,9 @@ def _members(reps: DataFrame, parts: int) -> DataFrame:
 
     out = tables.stored(tables.in_arrow(reps.select("rep", "signature"), emit, schema))
     local = out.filter(F.col("part").isNull()).select("key", "center", "rep")
-    met = out.filter(F.col("part").isNotNull()).select("part", "body").groupBy("part").applyInArrow(meet, "key long, center long, rep long")
+    met = tables.groups_in_arrow(
+        out.filter(F.col("part").isNotNull()).select("part", "body"), ["part"], meet, "key long, center long, rep long"
+    )
     return local.unionByName(met)
 
 
@@ -345,7 +347,7 @@ def _chunk_pairs(members: DataFrame, chunks: DataFrame, facts: DataFrame, part:
         return pa.table({"low": pa.array([x for x, _ in found], pa.int64()), "high": pa.array([x for _, x in found], pa.int64())})
 
     dealt = cells.join(facts, "rep").withColumn("part", F.pmod(F.xxhash64("key", "row", "column"), F.lit(parts)).cast("int"))
-    return dealt.groupBy("part").applyInArrow(compare, "low long, high long").distinct()
+    return tables.groups_in_arrow(dealt, ["part"], compare, "low long, high long").distinct()
 
 
 def _linked_across(pairs: DataFrame, chunks: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
@@ -382,7 +384,7 @@ def _linked_across(pairs: DataFrame, chunks: DataFrame, sets: DataFrame, part: i
                     links.append((rep[i], rep[j]))
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    return rows.groupBy("low", "high").applyInArrow(confirm, "a long, b long")
+    return tables.groups_in_arrow(rows, ["low", "high"], confirm, "a long, b long")
 
 
 def near_duplicates(

@@ -1,5 +1,6 @@
 """Helpers shared by these operators: written tables, packed blocks of rows, Arrow output."""
 
+import ctypes
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,16 +36,49 @@ def stored(df: DataFrame, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _give_back() -> None:
+    """Return unused memory to the system: workers live on between stages, beside a large JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def _modest_batches(spark: SparkSession) -> None:
+    """Batches of 8 MB to Python, unless the session has a limit of its own: both sides hold several at a time."""
+    if spark.conf.get(BATCH_BYTES) == "67108864b":
+        spark.conf.set(BATCH_BYTES, "8m")
+
+
 def in_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """``df.mapInArrow`` that gives Arrow's unused memory back when a partition is done; workers live on between stages."""
+    """``df.mapInArrow`` in modest batches, whose workers keep no memory when a partition is done."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from function(batches)
-        pa.default_memory_pool().release_unused()
+        _give_back()
 
+    _modest_batches(df.sparkSession)
     return df.mapInArrow(mapped, schema)
 
 
+def groups_in_arrow(df: DataFrame, keys: list[str], function: Callable[[pa.Table], pa.Table], schema) -> DataFrame:
+    """``df.groupBy(keys).applyInArrow`` in modest batches, whose workers keep no memory after a large group."""
+
+    def applied(table: pa.Table) -> pa.Table:
+        size = table.nbytes
+        out = function(table)
+        if size > 1 << 20:
+            del table
+            _give_back()
+        return out
+
+    _modest_batches(df.sparkSession)
+    return df.groupBy(*keys).applyInArrow(applied, schema)
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -167,13 +201,9 @@ def exchange_blocks(
             "answer": pa.array(replies, pa.binary()),
         })
 
-    replies = (
-        in_arrow(blocks.select("block", "payload"), ask, "part int, asker long, body binary")
-        .groupBy("part")
-        .applyInArrow(answer, "asker long, part int, answer binary")
-        .groupBy("asker")
-        .agg(F.collect_list(F.struct("part", "answer")).alias("answers"))
-    )
+    questions = in_arrow(blocks.select("block", "payload"), ask, "part int, asker long, body binary")
+    answered = groups_in_arrow(questions, ["part"], answer, "asker long, part int, answer binary")
+    replies = answered.groupBy("asker").agg(F.collect_list(F.struct("part", "answer")).alias("answers"))
     return blocks.join(replies, F.col("block") == F.col("asker"), "left").select("block", "payload", "answers")
 
 
