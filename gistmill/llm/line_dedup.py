@@ -46,7 +46,8 @@ def line_dedup(
     shared = stored(
         lines.select("h1", "h2", "id").distinct()
         .groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keeper"))
-        .filter(F.col("n") >= min_docs).drop("n")
+        .filter(F.col("n") >= min_docs).drop("n"),
+        narrow=True,
     )
     dropped = (
         lines.join(shared, ["h1", "h2"]).filter(F.col("id") != F.col("keeper"))

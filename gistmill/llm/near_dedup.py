@@ -208,14 +208,14 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps in turn, each written, until nothing changes. Neighbours are
     never gathered: each step joins a node's smallest neighbour to its edges.
     """
-    edges = tables.stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    edges = tables.stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), narrow=True)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        small = tables.stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        small = tables.stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), narrow=True)
         sums = [x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (edges, small)]
         edges = small
         if sums[0] == sums[1]:
@@ -290,10 +290,10 @@ def _chunks(members: DataFrame, labels: DataFrame) -> DataFrame:
     """
     home = members.groupBy("rep").agg(F.min("center").alias("home"))
     named = home.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "home", F.coalesce("component", "rep").alias("component"))
-    named = tables.stored(named)
+    named = tables.stored(named, narrow=True)
     sizes = named.groupBy("home", "component").agg(F.count("*").alias("n"))
     small = sizes.filter(F.col("n") < _CHUNK_ROWS).groupBy("home").agg(F.sum("n").alias("small"))
-    sizes = tables.stored(sizes.join(small, "home", "left"))
+    sizes = tables.stored(sizes.join(small, "home", "left"), narrow=True)
     large = F.col("n") >= _CHUNK_ROWS
     count = F.ceil(F.when(large, F.col("n")).otherwise(F.col("small")) / _CHUNK_ROWS)
     spot = F.pmod(F.when(large, F.xxhash64("rep")).otherwise(F.xxhash64("component")), count)
@@ -309,7 +309,7 @@ def _chunk_pairs(members: DataFrame, chunks: DataFrame, facts: DataFrame, part:
     against all of it, by signatures and sizes; a large key is cut into cells of about 1,024 by
     1,024 documents.
     """
-    named = tables.stored(members.join(chunks, "rep").select("key", "rep", "component", "chunk"))
+    named = tables.stored(members.join(chunks, "rep").select("key", "rep", "component", "chunk"), narrow=True)
     sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = tables.stored(
         sizes.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("largest"))
@@ -317,7 +317,8 @@ def _chunk_pairs(members: DataFrame, chunks: DataFrame, facts: DataFrame, part:
         .select(
             "key", F.col("largest.component").alias("largest"),
             F.ceil((F.col("n") - F.col("largest.n")) / _CELL).cast("int").alias("rows"), F.ceil(F.col("n") / _CELL).cast("int").alias("columns"),
-        )
+        ),
+        narrow=True,
     )
     placed = named.join(mixed, "key")
     spot = F.xxhash64("rep")
@@ -326,7 +327,7 @@ def _chunk_pairs(members: DataFrame, chunks: DataFrame, facts: DataFrame, part:
     right = placed.withColumn("is_row", F.lit(False)).withColumn("column", F.pmod(spot, "columns").cast("int"))
     right = right.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
     names = ["key", "row", "column", "is_row", "rep", "component", "chunk"]
-    cells = tables.stored(left.select(names).unionByName(right.select(names)))
+    cells = tables.stored(left.select(names).unionByName(right.select(names)), narrow=True)
     parts = max(tables.partitions(members), cells.count() // 16384 + 1)
 
     def compare(table: pa.Table) -> pa.Table:
@@ -408,10 +409,12 @@ def near_duplicates(
     plain = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_column).alias("text"))
     signed = tables.stored(_signed(plain, width))
     classes = tables.stored(
-        signed.filter("n_shingles > 0").groupBy("p1", "p2").agg(F.min("id").alias("rep"))
+        signed.filter("n_shingles > 0").groupBy("p1", "p2").agg(F.min("id").alias("rep")),
+        narrow=True,
     )
     reps = tables.stored(
-        signed.join(classes, ["p1", "p2"]).filter("id = rep").select("rep", F.col("n_shingles").alias("n"), "signature").dropDuplicates(["rep", "n"])
+        signed.join(classes, ["p1", "p2"]).filter("id = rep").select("rep", F.col("n_shingles").alias("n"), "signature").dropDuplicates(["rep", "n"]),
+        narrow=True,
     )
     count = classes.count()
     parts = max(tables.partitions(docs), count * 1024 // (8 << 20) + 1)
@@ -421,18 +424,18 @@ def near_duplicates(
     sets = _shared_counts(plain.join(active, "id", "left_semi"), width)
     # what no other document has counts against any link
     sets = tables.stored(sets.filter(F.col("c") * whole >= F.col("n") * part))
-    facts = tables.stored(sets.select("rep", "n", "c").join(reps.select("rep", "n", "signature"), ["rep", "n"]))
-    able = tables.stored(shared.join(facts.select("rep"), "rep"))
-    centers = tables.stored(able.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("size")).filter("size > 1").drop("size"))
-    members = tables.stored(able.join(centers, "key"))
+    facts = tables.stored(sets.select("rep", "n", "c").join(reps.select("rep", "n", "signature"), ["rep", "n"]), narrow=True)
+    able = tables.stored(shared.join(facts.select("rep"), "rep"), narrow=True)
+    centers = tables.stored(able.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("size")).filter("size > 1").drop("size"), narrow=True)
+    members = tables.stored(able.join(centers, "key"), narrow=True)
     first = _close(members.filter("center <> rep").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), reps)
-    links = tables.stored(_confirmed(first, sets, part, whole))
-    labels = tables.stored(components(links))
-    chunks = tables.stored(_chunks(members, labels))
-    pairs = tables.stored(_chunk_pairs(members, chunks, facts, part, whole))
-    more = tables.stored(_linked_across(pairs, chunks, sets, part, whole))
+    links = tables.stored(_confirmed(first, sets, part, whole), narrow=True)
+    labels = tables.stored(components(links), narrow=True)
+    chunks = tables.stored(_chunks(members, labels), narrow=True)
+    pairs = tables.stored(_chunk_pairs(members, chunks, facts, part, whole), narrow=True)
+    more = tables.stored(_linked_across(pairs, chunks, sets, part, whole), narrow=True)
     if not more.isEmpty():
-        labels = tables.stored(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
+        labels = tables.stored(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), narrow=True)
     named = (
         signed.select("id", "n_shingles", "p1", "p2")
         .join(classes, ["p1", "p2"], "left")

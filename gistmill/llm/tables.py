@@ -29,8 +29,13 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame, **options: str) -> DataFrame:
-    """Write once and read back: cuts the lineage and outlives lost executors."""
+def stored(df: DataFrame, narrow: bool = False, **options: str) -> DataFrame:
+    """Write once and read back: cuts the lineage and outlives lost executors.
+
+    ``narrow``: rows are few numbers that a shuffle has brought together; a file a core is enough.
+    """
+    if narrow:
+        df = df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
     path = f"{checkpoint_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
