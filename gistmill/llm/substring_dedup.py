@@ -136,7 +136,7 @@ def substring_dedup(
     names = [f.name for f in schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     blocks = tables.packed_blocks(docs, id_column, text_column)
-    count = tables.parts_for(blocks, share=1.3)
+    count = tables.parts_for(blocks, 6 << 20, share=1.3)
 
     def windows(batch: pa.RecordBatch) -> _Windows:
         return _Windows(batch, id_column, text_column, window, count)
