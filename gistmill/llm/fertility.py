@@ -90,6 +90,8 @@ def measures(texts: pa.Array, path: str) -> dict[str, np.ndarray]:
     cover = (np.cumsum(edge)[:len(doc)] > 0).astype(np.int64)
     # scripts
     script = _SCRIPT[data]
+    # Glagolitic, Coptic, Tifinagh and the like begin as punctuation does
+    script[:-1][(data[:-1] == 0xE2) & (data[1:] >= 0xB0) & (data[1:] < 0xB8)] = 6
     votes = np.stack([_per_doc(script == k, offsets) for k in range(1, len(SCRIPTS))], axis=1)
     main = np.where(votes.sum(axis=1) > 0, votes.argmax(axis=1) + 1, 0)
     # tokens
@@ -115,19 +117,64 @@ _KINDS = {
 }
 
 
+_MEASURES = ("entropy", "_entropy_above", "chars_per_token", "byte_share")
+
+
+def _limits(passed: DataFrame, fewest: int) -> DataFrame:
+    """For each language, script and size medians and upper quartiles of the finest band that has ``fewest`` documents."""
+    # equal documents once, so that a text of many copies sets no band; rounded, so that exact percentiles count few distinct values
+    rounded = [F.round(c, 2).alias(c) for c in _MEASURES]
+    keys = ["_language", "_script", "_size"]
+    distinct = tables.stored(passed.distinct().select(*keys, *rounded), narrow=True)
+    levels = F.array(*[
+        F.struct(F.lit(k).alias("_level"), *[(F.col(c) if c in kept else F.lit(None)).alias(f"_of{c}") for c in keys])
+        for k, kept in enumerate(_LEVELS)
+    ])
+    of = [f"_of{c}" for c in keys]
+    halves = F.array(F.lit(0.5), F.lit(0.75))
+    bands = tables.stored(
+        distinct.select(F.explode(levels).alias("_at"), *_MEASURES).select("_at.*", *_MEASURES).groupBy("_level", *of)
+        .agg(F.count(F.lit(1)).alias("_count"), *[F.percentile(c, halves).alias(c) for c in _MEASURES]), narrow=True,
+    )
+    found = bands.filter("_level = 0").select(*[F.col(f"_of{c}").alias(c) for c in keys])
+    for k, kept in enumerate(_LEVELS):
+        value = F.struct(F.lit(k == len(_LEVELS) - 1).alias("mixed"), *_MEASURES)
+        level = bands.filter(F.col("_level") == k).select(
+            *[F.col(f"_of{c}").alias(c) for c in kept], F.col("_count").alias(f"_count{k}"), value.alias(f"_limits{k}")
+        )
+        found = found.join(level, list(kept), "left")
+    unknown = F.col("_language") == ""
+    own = (F.col("_script") != "none") & (unknown | (10 * F.col("_count1") >= F.col("_count3")))
+    usable = [own, own, ~unknown | (F.col("_script") == "none"), ~unknown | (F.col("_script") == "none"), F.col("_script") != "none"]
+    chosen = F.coalesce(*[F.when(ok & (F.col(f"_count{k}") >= fewest), F.col(f"_limits{k}")) for k, ok in enumerate(usable)])
+    return found.select(*keys, chosen.alias("_limits"))
+
+
+#: What bands are set for, finest first.
+_LEVELS = (("_language", "_script", "_size"), ("_language", "_script"), ("_language", "_size"), ("_language",), ("_script",))
+
+
 def fertility_rules(
     docs: DataFrame, path: str, language_column: str | None = "lang", text_column: str = "text",
-    least: float = -5.0, most_bytes: float = 0.25,
+    least: float = -5.0, most_bytes: float = 0.25, fewest: int = 20,
 ) -> DataFrame:
     """Columns of ``docs`` without the text, and counts, the vocabulary's fit, ``base_failed`` and ``kept``.
 
     The vocabulary at ``path`` (a sentencepiece model, on every executor) encodes each word of
     each whole text. Measures are characters per token, the share of tokens that stand for single bytes, and the entropy
-    of the text's tokens in bits. Bands are set for each language and main script, and for texts
-    of alike length (powers of two of tokens), from all documents that pass the base rules: a text
+    of the text's tokens in bits, as it is or less what is usual at its length, whichever is milder. Bands are set for each language and texts
+    of alike length (powers of two of tokens), from the documents that pass the base rules; documents equal in all measures count once: a text
     is rejected whose entropy and characters per token lie together more than ``-least`` deviations
-    (quartile distances over 1.349, of 0.08 bits and 0.03 characters at least) below the medians, or whose
-    byte share exceeds the median by ``most_bytes``. A text alone in its band is kept.
+    below the medians, or whose byte share exceeds the median by ``most_bytes``. A deviation is the distance from the median to
+    the upper quartile over 0.6745, of 0.08 bits and 0.03 characters at least: what lies below the median, junk maybe, doesn't widen it.
+
+    A script that holds a tenth of its language's texts (any, where the language is null) has bands of its own; other scripts,
+    and texts without letters, are held against the language. A band of fewer than ``fewest`` documents takes
+    its limits from the next coarser one: the script in the language at any length, the language at this length, the language, the script in
+    all languages. The last mixes languages: its deviations are 0.5 bits and 1 character at least, and twice ``most_bytes`` is allowed.
+    Absolute limits hold in every band, so junk that is most of it goes too: a text is rejected without any letter, with
+    symbols (#*$%&|<>) for more than 0.3 of its characters, with less than 0.3 of the bits that its tokens (1,024 at most) could have,
+    or in Latin letters with fewer than one character a token.
 
     ``base_failed``: fewer than 10 words, or more than a fifth of the words in 5-word windows found
     twice. Null or empty text: all counts 0, ``base_failed``. A null language is one of its own.
@@ -147,17 +194,24 @@ def fertility_rules(
 
     measured = tables.stored(tables.in_arrow(docs, measure, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    band = [language.alias("_language"), F.col("script").alias("_script"), F.floor(F.log2(F.col("n_tokens") + 1)).alias("_size")]
-    # rounded, so that exact percentiles count few distinct values
-    rounded = [F.round(c, 2).alias(c) for c in ("entropy", "chars_per_token", "byte_share")]
-    quarters = [F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_{c}") for c in ("entropy", "chars_per_token", "byte_share")]
-    bands = measured.filter(~failed).select(*band, *rounded).groupBy("_language", "_script", "_size").agg(*quarters)
-
-    def below(name: str, floor: float):
-        q = F.col(f"_{name}")
-        return (F.col(name) - q[1]) / F.greatest((q[2] - q[0]) / 1.349, F.lit(floor))
-
-    rejected = (below("entropy", 0.08) + below("chars_per_token", 0.03) < least) | (F.col("byte_share") > F.col("_byte_share")[1] + most_bytes)
-    judged = measured.drop("base_failed").select("*", *band, failed.alias("base_failed")).join(bands, ["_language", "_script", "_size"], "left")
+    log_tokens = F.log2(F.col("n_tokens") + 1)
+    band = [language.alias("_language"), F.col("script").alias("_script"), F.floor(log_tokens).alias("_size")]
+    short = F.least(log_tokens, F.lit(16.0))
+    above = (F.col("entropy") - short + 0.022 * short * short).alias("_entropy_above")
+    limits = _limits(measured.filter(~failed).select("*", *band, above).select("_language", "_script", "_size", *_MEASURES, "n_words", "word_chars", "n_tokens"), fewest)
+    judged = measured.drop("base_failed").select("*", *band, above, failed.alias("base_failed")).join(limits, ["_language", "_script", "_size"], "left")
+
+    def below(name: str, floor: float, mixed: float):
+        q = F.col(f"_limits.{name}")
+        return (F.col(name) - q[0]) / F.greatest((q[1] - q[0]) / 0.6745, F.when(F.col("_limits.mixed"), mixed).otherwise(floor))
+
+    # a coarse band's texts may be shorter or longer: the milder view of the entropy counts
+    together = F.greatest(below("entropy", 0.08, 0.5), below("_entropy_above", 0.08, 0.5)) + below("chars_per_token", 0.03, 1.0)
+    too_many = F.col("byte_share") > F.col("_limits.byte_share")[0] + F.when(F.col("_limits.mixed"), 2 * most_bytes).otherwise(most_bytes)
+    absolute = (
+        (F.col("script") == "none") | (F.col("n_symbols") > 0.3 * F.col("word_chars"))
+        | (F.col("entropy") < 0.3 * F.least(F.log2(F.col("n_tokens")), F.lit(10.0))) | ((F.col("script") == "latin") & (F.col("chars_per_token") < 1.0))
+    )
+    rejected = absolute | F.coalesce(together < least, F.lit(False)) | F.coalesce(too_many, F.lit(False))
     kept = ~F.col("base_failed") & ~F.coalesce(rejected, F.lit(False))
     return judged.select(*[c for c in measured.columns if c.lower() not in ("base_failed", "kept")], "base_failed", kept.alias("kept"))

@@ -168,3 +168,43 @@ def test_fertility_rejects_what_leaves_its_band(spark):
     found = {r.doc_id: r.kept for r in fertility_rules(frame(spark, rows), PIECES, language_column=None).filter("not base_failed").collect()}
     assert all(kept for i, kept in found.items() if i < 100)
     assert not any(kept for i, kept in found.items() if i >= 100)
+
+
+def _prose(rng, count, first, size=200):
+    plain = "when people walk along the river in summer they see green trees and small houses near old stone bridges".split()
+    return [(first + i, " ".join(rng.choices(plain, k=size) + [f"w{rng.random()}"])) for i in range(count)]
+
+
+def _kept(spark, rows, lang="en"):
+    docs = spark.createDataFrame([(i, t, lang) for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    found = fertility_rules(docs, PIECES)
+    assert found.filter("base_failed").count() == 0
+    return {r.doc_id: r.kept for r in found.select("doc_id", "kept").collect()}
+
+
+def test_fertility_rejects_a_third_of_a_band(spark):
+    rng = random.Random(7)
+    symbols = [(1000 + i, " ".join(w + rng.choice(["*", "$"]) for w in rng.choices("when they see the old green trees".split(), k=90)) + f" {i}") for i in range(40)]
+    found = _kept(spark, _prose(rng, 80, 0) + symbols)
+    assert all(kept for i, kept in found.items() if i < 1000)
+    assert not any(kept for i, kept in found.items() if i >= 1000)
+
+
+def test_fertility_judges_texts_alone_in_their_band(spark):
+    rng = random.Random(8)
+    long = " ".join(w + rng.choice(["*", "$"]) for w in rng.choices("when they see the old green trees".split(), k=5000))
+    digits = " ".join(str(rng.randrange(10, 100)) for _ in range(150))
+    found = _kept(spark, _prose(rng, 60, 0) + _prose(rng, 1, 100, 5000) + [(1000, long), (1001, digits)])
+    assert all(kept for i, kept in found.items() if i < 1000) and not found[1000] and not found[1001]
+    # without anything to compare with
+    assert _kept(spark, [(1, digits)]) == {1: False} and _kept(spark, _prose(rng, 1, 2)) == {2: True}
+
+
+def test_fertility_keeps_scripts_and_copies(spark):
+    rng = random.Random(9)
+    cyrillic = "когда люди идут вдоль реки летом они видят зелёные деревья и маленькие дома около старых каменных мостов".split()
+    tifinagh = "ⵜⴰⵎⴰⵣⵉⵖⵜ ⵜⵓⵜⵍⴰⵢⵜ ⵏ ⵉⵎⴰⵣⵉⵖⵏ ⴳ ⵜⵎⴰⵣⵖⴰ".split()
+    rows = _prose(rng, 40, 0) + [(100 + i, " ".join(rng.choices(cyrillic, k=150))) for i in range(30)]
+    rows += [(200 + i, rows[0][1]) for i in range(60)]
+    assert all(_kept(spark, rows, None).values())
+    assert _kept(spark, [(i, " ".join(rng.choices(tifinagh, k=60))) for i in range(5)], "ber") == dict.fromkeys(range(5), True)
