@@ -174,8 +174,9 @@ def deal(parts: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
 def exchange_blocks(
     blocks: DataFrame,
     count: int,
-    emit: Callable[[pa.RecordBatch], list[bytes]],
+    emit: Callable[..., list[bytes]],
     settle: Callable[[np.ndarray, list[bytes]], list[bytes]],
+    keep: bool = False,
 ) -> DataFrame:
     """One round of questions from all blocks to ``count`` parts, and the answers by block.
 
@@ -183,13 +184,15 @@ def exchange_blocks(
     asked)`` sees all that was asked of one part and returns an answer for each block. A part
     holds hash values dealt evenly, each at most once from every block, so that frequent
     values are no larger than others. Columns: ``block``, ``payload``, ``answers`` (array of
-    part and answer; null if the block asked nothing).
+    part and answer; null if the block asked nothing). For another round these may be asked
+    again with ``answers`` renamed to ``known``, which ``emit`` gets too; ``keep`` writes the answers once for it.
     """
+    known = [x for x in ("known",) if x in blocks.columns]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
-                asked = [(part, body) for part, body in enumerate(emit(unpack(payload.as_buffer()))) if body]
+            for block, payload, *more in zip(batch.column("block").to_pylist(), *[batch.column(x) for x in ("payload", *known)]):
+                asked = [(part, body) for part, body in enumerate(emit(unpack(payload.as_buffer()), *[x.as_py() for x in more])) if body]
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array([part for part, _ in asked], pa.int32()),
                     "asker": pa.array([block] * len(asked), pa.int64()),
@@ -206,10 +209,12 @@ def exchange_blocks(
             "answer": pa.array(replies, pa.binary()),
         })
 
-    questions = in_arrow(blocks.select("block", "payload"), ask, "part int, asker long, body binary")
+    questions = in_arrow(blocks.select("block", "payload", *known), ask, "part int, asker long, body binary")
     answered = groups_in_arrow(questions, ["part"], answer, "asker long, part int, answer binary")
     replies = answered.groupBy("asker").agg(F.collect_list(F.struct("part", "answer")).alias("answers"))
-    return blocks.join(replies, F.col("block") == F.col("asker"), "left").select("block", "payload", "answers")
+    if keep:
+        replies = stored(replies)
+    return blocks.join(replies, F.col("block") == F.col("asker"), "left").select("block", "payload", *known, "answers")
 
 
 def parts_for(blocks: DataFrame, bytes_each: int = 16 << 20, share: float = 1.0) -> int:

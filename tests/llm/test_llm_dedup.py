@@ -1,9 +1,12 @@
 """Substring, line and near-duplicate removal against brute force."""
 
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 from cases import awkward, corpus, frame, kept_columns
 
+from gistmill.llm import substring_dedup as sd
 from gistmill.llm.line_dedup import line_dedup
 from gistmill.llm.near_dedup import components, near_duplicates
 from gistmill.llm.substring_dedup import substring_dedup
@@ -65,3 +68,40 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 101)], "a long, b long")
     found = {r.node: r.component for r in components(edges).collect()}
     assert found == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
+
+
+def _rounds(texts, count=8):
+    """Both rounds over blocks of one text each, without Spark: the bodies asked in each, and which words repeat."""
+    blocks = [sd._Windows(pa.record_batch({"id": pa.array([i], pa.int64()), "text": [t]}), "id", "text", 13, count) for i, t in enumerate(texts)]
+
+    def ask(questions, settle):
+        answers = [[] for _ in blocks]
+        for part in range(count):
+            askers = [k for k, q in enumerate(questions) if q[part]]
+            if askers:
+                for k, answer in zip(askers, settle(np.array(askers), [questions[k][part] for k in askers])):
+                    answers[k].append({"part": part, "answer": answer})
+        return answers
+
+    first = [b.seed_questions() for b in blocks]
+    for block, known in zip(blocks, ask(first, sd._settle_seeds)):
+        block.extend(known)
+    second = [b.questions() for b in blocks]
+    return first, second, [b.repeated(a) for b, a in zip(blocks, ask(second, sd._settle))]
+
+
+def test_a_hot_seed_goes_to_many_parts():
+    passage = " ".join(f"s{k}" for k in range(12))
+    texts = [" ".join(f"{i}a{k}" for k in range(6)) + f" {passage} " + " ".join(f"{i}b{k}" for k in range(6)) for i in range(300)]
+    first, second, lost = _rounds(texts)
+    windows = [sum(len(q[part]) > 0 for q in second) for part in range(8)]
+    # each text has twelve windows, all different; many share a seed
+    assert sum(len(b) for q in first for b in q) <= 5 * 12 * 300
+    assert max(sum(len(q[part]) for q in second) for part in range(8)) < 0.25 * sum(len(b) for q in second for b in q) and min(windows) > 0
+    assert not any(x.any() for x in lost)
+
+
+def test_windows_whose_seed_occurs_once_are_not_sent():
+    texts = [" ".join(f"{i}w{k}" for k in range(40)) for i in range(3)]
+    assert not any(b for q in _rounds(texts)[1] for b in q)
+    assert [x.all() for x in _rounds([texts[0]] * 2)[2]] == [False, True]
