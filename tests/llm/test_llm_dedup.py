@@ -105,3 +105,14 @@ def test_windows_whose_seed_occurs_once_are_not_sent():
     texts = [" ".join(f"{i}w{k}" for k in range(40)) for i in range(3)]
     assert not any(b for q in _rounds(texts)[1] for b in q)
     assert [x.all() for x in _rounds([texts[0]] * 2)[2]] == [False, True]
+
+
+def test_hashes_that_agree_in_40_bits(monkeypatch):
+    plain = sd.joined_hash
+    monkeypatch.setattr(sd, "joined_hash", lambda a, b: plain(a, b) & ~np.uint64((1 << 40) - 1))
+    passage = " ".join(f"s{k}" for k in range(12))
+    texts = [" ".join(f"{i}a{k}" for k in range(6)) + f" {passage} " + " ".join(f"{i}b{k}" for k in range(6)) for i in range(50)]
+    _, second, lost = _rounds(texts)
+    assert any(b for q in second for b in q) and not any(x.any() for x in lost)
+    monkeypatch.setattr(sd, "joined_hash", lambda a, b: plain(a, b) >> np.uint64(54) << np.uint64(33))
+    assert sum(x.sum() for x in _rounds(texts)[2]) == 0
