@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 
 from gistmill.llm import tables
 
-_RAW = "script|style|textarea|title|noscript|iframe|template|svg|math|object|select|xmp"
+_RAW = "script|style|textarea|title|iframe|xmp"
 _TOKEN = re.compile(
-    rf"<!--(?:.*?-->|.*\Z)|<({_RAW})\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>(?:.*?</\1\b[^>]*>|.*\Z)"
+    rf"<!--(?:.*?-->|.*\Z)|<({_RAW})(?=[\s/>])(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>(?:.*?</\1(?=[\s/>])[^>]*>|.*\Z)"
     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
@@ -31,7 +31,9 @@ _CLOSES = {
     "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}, "option": {"option"},
 }
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}}
-_DROPPED_TAGS = frozenset("nav footer aside form button menu dialog input iframe canvas audio video head".split())
+_FOREIGN = frozenset("svg math object select noscript template".split())
+_IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head html".split())
+_DROPPED_TAGS = _FOREIGN | frozenset("nav footer aside form button menu dialog input iframe canvas audio video head".split())
 _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 #: Parts of class names and ids by which pages mark what isn't the article.
 _DROPPED_NAMES = frozenset(
@@ -89,9 +91,12 @@ def _parse(page: str, forms: bool = False) -> _Node:
     ``forms``: forms are kept, for pages that wrap everything in one.
     """
     root = node = _Node("#root", None, False)
+    head = loose = None
     place, inside = 0, 0
     for found in _TOKEN.finditer(page):
         if found.start() > place:
+            if node is head and not page[place:found.start()].isspace():
+                node, head = head.parent, None
             node.children.append(page[place:found.start()])
         place = found.end()
         tag = (found[3] or found[6] or "").lower()
@@ -108,6 +113,16 @@ def _parse(page: str, forms: bool = False) -> _Node:
                     if last is up:
                         break
             continue
+        target = None
+        if head is not None and tag not in _IN_HEAD:
+            target = head.parent if _holds(head, node, "template") else None
+            head = None
+        elif loose is not None and tag in _CLOSES_P:
+            target = loose.parent if _holds(loose, node, "foreignobject") else None
+            loose = None if target or not _holds(loose, node) else loose
+        while target is not None and node is not target:
+            inside -= node.tag in _ROOTS
+            node = node.parent
         closes = {"p"} if tag in _CLOSES_P else _CLOSES.get(tag)
         if closes:
             barrier = _SCOPE.get(tag, ("table", "ul", "ol", "td", "th", "article", "section", "div", "main", "body") if "p" in closes else ("table",))
@@ -127,11 +142,30 @@ def _parse(page: str, forms: bool = False) -> _Node:
         if tag not in _VOID and not attributes.endswith("/") or tag in _ROOTS:
             node = child
             inside += tag in _ROOTS
+            if tag == "head":
+                head = child
+            elif tag in _FOREIGN and (loose is None or not _holds(loose, node)) and _is_loose(page, place, tag):
+                loose = child
     if place < len(page):
         node.children.append(page[place:])
     return root
 
 
+def _holds(up: _Node, node: _Node | None, barrier: str = "") -> bool:
+    """Whether ``up`` is open around ``node``, without an element ``barrier`` between."""
+    while node is not None and node is not up and node.tag != barrier:
+        node = node.parent
+    return node is up
+
+
+def _is_loose(page: str, place: int, tag: str) -> bool:
+    """Whether a block's start ends the element: always for svg, math and select, for others if they have no end tag of their own."""
+    if tag in ("svg", "math", "select"):
+        return True
+    following = re.compile(rf"<(/?){tag}(?=[\s/>])", re.I).search(page, place)
+    return following is None or not following[1]
+
+
 def _crosses(node: _Node, up: _Node) -> bool:
     """Whether a block lies between: a stray inline end tag doesn't close blocks."""
     while node is not up:
@@ -228,7 +262,7 @@ def _blocks(node: _Node) -> list[str]:
                 close()
                 stack.append(None)
             stack.extend(reversed(item.children))
-        elif item.tag not in _INLINE:
+        elif item.tag not in _INLINE and item.tag not in _FOREIGN:
             close()
     close()
     return out

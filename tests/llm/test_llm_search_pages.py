@@ -99,3 +99,9 @@ def test_awkward_pages(spark):
     assert (texts[3], texts[4], texts[5], texts[8]) == ("plain text <3", "unclosed bold", "deep", "one\ntwo")
     assert texts[10] == ("word " * 50000).strip() and len(got) == len(pages)
     assert main_text(df.limit(0)).collect() == []
+
+
+def test_head_without_an_end():
+    body, expected = "<article><h1>Head line</h1><p>Some words, and more of them.</p></article>", "Head line\nSome words, and more of them."
+    for start in ("<html><head><title>T</title><meta charset=x><body>", "<head><title>T</title></head>", "<head><title>T</title>", "<html><head><link rel=x>"):
+        assert page_text(start + body) == expected
