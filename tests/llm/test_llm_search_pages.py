@@ -105,3 +105,11 @@ def test_head_without_an_end():
     body, expected = "<article><h1>Head line</h1><p>Some words, and more of them.</p></article>", "Head line\nSome words, and more of them."
     for start in ("<html><head><title>T</title><meta charset=x><body>", "<head><title>T</title></head>", "<head><title>T</title>", "<html><head><link rel=x>"):
         assert page_text(start + body) == expected
+
+
+def test_icons_and_custom_elements():
+    body, expected = "<article><h1>Head line</h1><p>Some words, and more of them.</p></article>", "Head line\nSome words, and more of them."
+    for icon in ('<svg class="icon"/>', '<svg class="icon">', "<select>", "<object data=x>", "<noscript>", "<template>", "<math>"):
+        assert page_text(f"<body>{icon}{body}<footer><svg><path d=x></svg></footer></body>") == expected
+    assert page_text(f"<body><noscript><div>Please turn on scripts</div></noscript>{body}") == expected
+    assert page_text("<article><p>One <svg><path/></svg> line</p><title-bar><p>Two</p></title-bar></article>") == "One line\nTwo"
