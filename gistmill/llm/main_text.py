@@ -49,12 +49,18 @@ _SITE_HEADER = frozenset("header site page global top main masthead".split())
 _ROOTS = frozenset(("article", "main"))
 
 
+_NAMED = re.compile(r"""\b(?:class|id)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_COMMENTS = re.compile(r"comment|disqus|respond|repl(y|ies)|reaction|related|recommend|teaser", re.I)
+
+
 class _Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "children", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "sum", "soft", "hard", "plain")
 
     def __init__(self, tag: str, parent: "_Node | None", dropped: bool):
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.children: list[_Node | str] = []
+        # dropped by a name or as a form, which may be the page's wrapper; dropped for good; no name of furniture
+        self.soft, self.hard, self.plain = False, False, True
 
 
 def _is_dropped(tag: str, attributes: str, inside: bool) -> bool:
@@ -138,6 +144,10 @@ def _parse(page: str, forms: bool = False) -> _Node:
         attributes = found[4] or found[7] or ""
         dropped = _is_dropped(tag, attributes, inside > 0) and not (forms and tag == "form")
         child = _Node(tag, node, node.dropped or dropped)
+        if dropped:
+            child.soft = tag == "form" or not _is_dropped(tag, _NAMED.sub("", attributes), inside > 0)
+            child.hard = not child.soft
+        child.plain = node.plain and not (attributes and _COMMENTS.search(attributes))
         node.children.append(child)
         if tag not in _VOID and not attributes.endswith("/") or tag in _ROOTS:
             node = child
@@ -207,6 +217,43 @@ def _measure(nodes: list[_Node]) -> None:
         node.sum = sum(x.density for x in node.children if isinstance(x, _Node) and not x.dropped)
 
 
+def _restore(root: _Node) -> None:
+    """Keep a node dropped by name or as a form if it wraps the article.
+
+    It does if the largest density sum of the tree with such nodes lies in it, and it holds an article or main
+    element where none with text is kept outside, or ten times the text kept outside and no poorer a heading.
+    """
+    while True:
+        everything, stack = [], [root]
+        while stack:
+            node = stack.pop()
+            everything.append(node)
+            stack.extend(x for x in node.children if isinstance(x, _Node))
+        if not any(x.soft for x in everything):
+            return
+        for node in everything:
+            node.dropped = node.hard or (node.parent is not None and node.parent.dropped)
+        whole = _nodes(root)
+        _measure(whole)
+        path = _path(max(whole, key=lambda x: x.sum))
+        wrapper = next((x for x in reversed(path) if x.soft), None)
+        rank = {x: 0 if not (x.chars and x.plain) else 2 if x.tag in _ROOTS else x.tag == "h1" for x in whole}
+        chars = wrapper.chars if wrapper else 0
+        within = max((rank[x] for x in _nodes(wrapper)), default=0) if wrapper else 0
+        for node in everything:
+            node.dropped = node.hard or node.soft or (node.parent is not None and node.parent.dropped)
+        if wrapper is None or not wrapper.plain:
+            return
+        outside = _nodes(root)
+        _measure(outside)
+        other = max(rank[x] if x.chars else 0 for x in outside)
+        if not (within == 2 > other or (within >= other and chars >= 10 * root.chars)):
+            return
+        wrapper.soft = False
+        for node in everything:
+            node.dropped = node.hard or node.soft or (node.parent is not None and node.parent.dropped)
+
+
 def _path(node: _Node) -> list[_Node]:
     out = [node]
     while out[-1].parent is not None:
@@ -221,6 +268,7 @@ def _content(root: _Node) -> _Node:
     path to the body is the threshold; the subtree that holds the core and all nodes reaching the
     threshold beside its path is the article. If an article or main element surrounds it, that is taken whole.
     """
+    _restore(root)
     nodes = _nodes(root)
     _measure(nodes)
     core = max(nodes, key=lambda x: x.sum)
@@ -282,7 +330,7 @@ def main_text(pages: DataFrame, html_column: str = "html") -> DataFrame:
 
     Every page is parsed whole, one at a time, in an Arrow batch; missing end tags are supplied.
     Menus, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, known by
-    element, role, class or id, and headers outside an article are left out (a form that wraps the whole page isn't). Of the rest, link-adjusted
+    element, role, class or id, and headers outside an article are left out (a form or marked element that wraps the article isn't). Of the rest, link-adjusted
     characters per tag are computed for every node and summed over children; the subtree of the
     largest sum, extended by the smallest density on its path to the body, is the article, and all
     its blocks are returned in page order.

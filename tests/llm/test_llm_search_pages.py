@@ -113,3 +113,12 @@ def test_icons_and_custom_elements():
         assert page_text(f"<body>{icon}{body}<footer><svg><path d=x></svg></footer></body>") == expected
     assert page_text(f"<body><noscript><div>Please turn on scripts</div></noscript>{body}") == expected
     assert page_text("<article><p>One <svg><path/></svg> line</p><title-bar><p>Two</p></title-bar></article>") == "One line\nTwo"
+
+
+def test_wrappers_with_a_block_beside_them():
+    words = "Some words, and more of them, for as long as it takes to tell a story. " * 5
+    inner, expected = f"<h1>Head line</h1><p>{words}</p><p>{words}</p>", f"Head line\n{words.strip()}\n{words.strip()}"
+    for open_tag, end in (("<form id=f>", "</form>"), ('<div class="sidebar-right">', "</div>"), ('<div class="main-content no-js form-page">', "</div>")):
+        for body in (inner, f"<article>{inner}</article>"):
+            assert page_text(f"<body><div>Skip to content</div>{open_tag}{body}{end}</body>").endswith(expected)
+    assert page_text(f'<article><h1>A</h1><p>Short.</p></article><div class="sidebar">{inner}</div>') == "A\nShort."
