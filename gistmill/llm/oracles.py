@@ -38,5 +38,51 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <
 """
 
 
+#: crc32 is spelt out: the reflected polynomial 0xEDB88320, bit by bit.
+OP11 = r"""
+WITH turns AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+           coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+    SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base FROM turns
+), heads AS (
+    SELECT conv_id, base, xor(list_reduce(
+               list_concat([4294967295::BIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+               lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                   lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)
+           ), 4294967295::BIGINT) % 4 AS h
+    FROM ids
+), rebuilt AS (
+    SELECT h.conv_id, 0 AS part, t.pos, t.role, t.text FROM heads h JOIN turns t ON t.conv_id = h.base AND t.pos <= h.h
+    UNION ALL
+    SELECT h.conv_id, 1, t.pos, t.role, t.text FROM heads h JOIN turns t ON t.conv_id = h.conv_id AND t.pos > h.h
+), lists AS (
+    SELECT i.conv_id, list({'r': role, 't': text} ORDER BY part, pos) FILTER (WHERE r.conv_id IS NOT NULL) AS path
+    FROM ids i LEFT JOIN rebuilt r ON r.conv_id = i.conv_id GROUP BY i.conv_id
+), rows AS (
+    SELECT conv_id, d AS depth, coalesce(path[:d], []) AS path, coalesce(len(path), 0) AS size
+    FROM lists, LATERAL unnest(range(coalesce(len(path), 0) + 1)) AS u(d)
+), nodes AS (
+    SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+           coalesce((count(*) - 1) * len(regexp_extract_all(path[depth].t, '[^\x20\x09-\x0D]+')), 0) AS saved,
+           sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = depth), '')) AS ends_sha256
+    FROM rows GROUP BY path, depth
+), linked AS (
+    SELECT n.*, p.conv_id AS parent_conv_id, p.path AS parent_path
+    FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.path = n.path[:n.depth - 1]
+), children AS (
+    SELECT parent_path AS path, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY parent_path
+), above AS (
+    SELECT n.path[:d] AS path, n.saved, c.path IS NULL AS leaf
+    FROM nodes n LEFT JOIN children c ON c.path = n.path, LATERAL unnest(range(n.depth + 1)) AS u(d)
+), totals AS (
+    SELECT path, count(*) FILTER (WHERE leaf) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM above GROUP BY path
+)
+SELECT l.conv_id, l.depth, l.parent_conv_id, l.n_convs, coalesce(c.n_children, 0) AS n_children, t.n_leaves, t.saved_tokens, l.ends_sha256
+FROM linked l JOIN totals t ON t.path = l.path LEFT JOIN children c ON c.path = l.path
+"""
+
+
 def all_oracles() -> dict[str, str]:
-    return {"op8_vector_search": OP8, "op10_line_dedup": OP10}
+    return {"op8_vector_search": OP8, "op10_line_dedup": OP10, "op11_prefix_trie": OP11}

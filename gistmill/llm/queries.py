@@ -13,10 +13,12 @@ from gistmill.llm.line_dedup import line_dedup
 from gistmill.llm.main_text import main_text
 from gistmill.llm.near_dedup import near_duplicates
 from gistmill.llm.packing import pack_sequences
+from gistmill.llm.prefix_trie import conversation_trie
 from gistmill.llm.quality import quality_scores
 from gistmill.llm.substring_dedup import substring_dedup
 from gistmill.llm.toxicity import toxicity_scores
 from gistmill.llm.vector_search import top_k
+from gistmill.llm.whitening import whiten
 
 #: A text is predicted to have label 1 from this score on.
 THRESHOLD = 0.3
@@ -80,5 +82,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def all_queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
