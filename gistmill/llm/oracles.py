@@ -83,6 +83,31 @@ SELECT l.conv_id, l.depth, l.parent_conv_id, l.n_convs, coalesce(c.n_children, 0
 FROM linked l JOIN totals t ON t.path = l.path LEFT JOIN children c ON c.path = l.path
 """
 
+OP12 = r"""
+WITH RECURSIVE tokens AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), sets AS (
+    SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+               ELSE list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2])) END)) AS s
+    FROM tokens
+), classed AS (
+    SELECT doc_id, s, len(s) AS n, CASE WHEN len(s) > 0 THEN min(doc_id) OVER (PARTITION BY s) ELSE doc_id END AS cls FROM sets
+), shingles AS (
+    SELECT cls, n, unnest(s) AS shingle FROM classed WHERE doc_id = cls AND n > 0
+), links AS (
+    SELECT a.cls AS x, b.cls AS y FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.cls <> b.cls
+    GROUP BY a.cls, b.cls HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))
+), reached AS (
+    SELECT cls AS x, cls AS y FROM classed WHERE doc_id = cls
+    UNION
+    SELECT r.x, l.y FROM reached r JOIN links l ON l.x = r.y
+), least AS (
+    SELECT x, min(y) AS component_id FROM reached GROUP BY x
+)
+SELECT doc_id, n AS n_shingles, component_id FROM classed JOIN least ON x = cls
+"""
+
 
 def all_oracles() -> dict[str, str]:
-    return {"op8_vector_search": OP8, "op10_line_dedup": OP10, "op11_prefix_trie": OP11}
+    return {"op8_vector_search": OP8, "op10_line_dedup": OP10, "op11_prefix_trie": OP11, "op12_jaccard_join": OP12}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gistmill.llm.bpe import encode_digests
 from gistmill.llm.fertility import fertility_rules
+from gistmill.llm.jaccard_join import jaccard_join
 from gistmill.llm.learning import remainder
 from gistmill.llm.line_dedup import line_dedup
 from gistmill.llm.main_text import main_text
@@ -86,6 +87,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whiten(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
     return found.withColumn("deviation", F.col("deviation").cast("long"))
