@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gistmill import fixed_values as fx
-from gistmill.functions import arrays
+from gistmill.functions import arrays, wordtable
 from gistmill.functions.chat import ChatTemplate, render_example
 from gistmill.functions.text import squeeze_whitespace, word_count
 from gistmill.operators import lookup
@@ -46,38 +46,38 @@ def encode(
     broadcast_bytes: int = lookup.BROADCAST_BYTES,
     layout: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``keys`` and the token ids (64 bits) of ``text``, cut to ``max_length``.
+    """``keys`` and the token ids (64 bits) of ``text``, cut to ``max_length``; a row for each row of ``df``.
 
-    Word ids do not depend on what follows, so the cut is made first: tokens that would
-    be thrown away are never shuffled. ``layout`` names the ``keys`` to partition by, for a
-    later step that needs just that layout. Two rows of the same keys are an error.
+    Word ids do not depend on what follows, so the cut is made first. A vocabulary that was measured to be
+    small is broadcast as a sorted array of hashes, and texts are encoded in their rows: nothing is shuffled or
+    exploded. Beyond that, words become rows that meet their ids by a shuffle; ``layout`` names
+    the ``keys`` to partition the result by then, for a later step that needs just that layout.
     """
+    if lookup.fits_broadcast(vocab, F.octet_length("token") + 24, broadcast_bytes):
+        table = wordtable.broadcast_table(vocab, "token", "token_id")
+        ids = wordtable.number_udf(table, unknown_id, max_length)(squeeze_whitespace(F.col(text)))
+        return df.select(*keys, ids.alias(out))
     tokens = text_tokens(F.col(text))
     if max_length is not None:
         tokens = F.slice(tokens, 1, max_length)
-    if lookup.fits_broadcast(vocab, F.octet_length("token") + 8, broadcast_bytes):
-        # tokens move once, cut already; they are then joined and regrouped where they are
-        cut = compute_once(df, _tokens=tokens).select(*keys, "_tokens").repartition(*[F.col(k) for k in layout or keys])
-        exploded = cut.select(*keys, F.posexplode_outer("_tokens").alias("_at", "token"))
-        found = lookup.broadcast_lookup(exploded, vocab.select("token", "token_id"), "token")
-    else:
-        exploded = df.select(*keys, F.posexplode_outer(tokens).alias("_at", "token"))
-        found = lookup.frequent_lookup(exploded, vocab.select("token", "token_id"), "token")
-        if layout:
-            found = found.repartition(*[F.col(k) for k in layout])
+    # rows of the same keys are told apart by their texts, and counted where those agree as well
+    exploded = df.select(*keys, F.md5(F.coalesce(text, F.lit(""))).alias("_text"), F.posexplode_outer(tokens).alias("_at", "token"))
+    found = lookup.frequent_lookup(exploded, vocab.select("token", "token_id"), "token")
+    if layout:
+        found = found.repartition(*[F.col(k) for k in layout])
     # place in the upper bits of a number, id in the lower: arrays of numbers sort far faster than structs
     bits = 63 - _PLACE_BITS
     token_id = F.coalesce("token_id", F.lit(unknown_id)).cast("bigint")
     fits = (F.col("_at") < 1 << _PLACE_BITS) & token_id.between(0, (1 << bits) - 1)
     placed = F.shiftleft(F.col("_at").cast("bigint"), bits).bitwiseOR(token_id)
     placed = F.when(fits, placed).otherwise(F.raise_error(F.lit("text too long or token id too large")).cast("bigint"))
-    collected = found.groupBy(*keys).agg(
+    collected = found.groupBy(*keys, "_text").agg(
         F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), placed))).alias("_placed"),
         F.sum(F.when(F.col("_at").isNull() | (F.col("_at") == 0), 1)).alias("_rows"),
     )
-    ids = F.transform("_placed", lambda x: x.bitwiseAND(F.lit((1 << bits) - 1)))
-    repeated = F.raise_error(F.lit(f"several rows with the same {[*keys]}")).cast("array<bigint>")
-    return collected.select(*keys, F.when(F.col("_rows") == 1, ids).otherwise(repeated).alias(out))
+    once = F.when(F.col("_rows") > 1, F.array_distinct("_placed")).otherwise(F.col("_placed"))
+    ids = F.transform(once, lambda x: x.bitwiseAND(F.lit((1 << bits) - 1)))
+    return collected.select(*keys, ids.alias(out), F.explode(F.sequence(F.lit(1), F.col("_rows")))).drop("col")
 
 
 def tokenizer_udf(factory: Callable[[], Callable[[str], Sequence[int]]]):

@@ -1,13 +1,17 @@
+import random
+import re
 import sys
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import apply
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from gistmill import fixed_values as fx
-from gistmill.functions import arrays, chat
+from gistmill.functions import arrays, chat, wordtable
 from gistmill.operators import lookup
 from gistmill.operators import predict as p
 from gistmill.operators import tokens as tok
@@ -72,17 +76,52 @@ def test_frequent_keys_never_reach_the_shuffle(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_large_ids_and_repeated_keys(spark):
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, -1])
+def test_large_ids_and_repeated_keys(spark, broadcast_bytes):
+    """Rows of the same keys are encoded each for itself, and ids need not be small."""
     vocab = spark.createDataFrame([("a", 1, 3_000_000_000), ("b", 1, 5)], "token string, n long, token_id long")
-    df = spark.createDataFrame([(1, "a b"), (2, ""), (3, None)], "id int, text string")
-    got = {r.id: r.input_ids for r in tok.encode(df, "text", vocab, ["id"]).collect()}
-    assert got == {1: [3_000_000_000, 5], 2: [], 3: []}
-    for rows in ([(1, "a b"), (1, "b")], [(1, ""), (1, "b")], [(1, ""), (1, "")]):
-        with pytest.raises(Exception, match="several rows"):
-            tok.encode(spark.createDataFrame(rows, "id int, text string"), "text", vocab, ["id"]).collect()
+    rows = [(1, "a b"), (2, ""), (3, None), (4, "a b"), (4, "b"), (4, "b"), (5, ""), (5, "b a b"), (5, None), (5, "")]
+    df = spark.createDataFrame(rows, "int int, text string").withColumnRenamed("int", "id")
+    got = sorted((r.id, r.input_ids) for r in tok.encode(df, "text", vocab, ["id"], broadcast_bytes=broadcast_bytes).collect())
+    ids = {"a": 3_000_000_000, "b": 5}
+    assert got == sorted((i, [ids[w] for w in (t or "").split()]) for i, t in rows)
+
+
+def test_ids_beyond_the_shuffles_numbers(spark):
+    df = spark.createDataFrame([(1, "a b")], "id int, text string")
     wide = spark.createDataFrame([("a", 1, 1 << 40)], "token string, n long, token_id long")
+    assert tok.encode(df, "text", wide, ["id"]).first().input_ids == [1 << 40, tok.UNKNOWN_ID]
     with pytest.raises(Exception, match="too large"):
-        tok.encode(df, "text", wide, ["id"]).collect()
+        tok.encode(df, "text", wide, ["id"], broadcast_bytes=-1).collect()
+
+
+def test_broadcast_encoding_moves_and_explodes_nothing(spark, vocab):
+    df = materialize(spark.createDataFrame([(1, "a b")], "id int, text string"))
+    plan = tok.encode(df, "text", materialize(vocab), ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan
+    assert not any(node in plan for node in ("Exchange", "Generate", "Aggregate", "Join"))
+
+
+def test_word_table(spark, monkeypatch):
+    """Every word finds its number, others none, also where hashes agree; a first multiplier that makes words collide is left."""
+    rng = random.Random(2)
+    words = sorted({"".join(rng.choice("ab\u00e9\u4f60") for _ in range(rng.randint(1, 9))) for _ in range(3000)} | {"x" * 70_000, "\0", "\0\0"})
+    numbers = np.arange(len(words)) * 7
+    table = wordtable.build(pa.array(words), numbers)
+    asked = words[::-1] + ["nowhere", "", "x" * 69_999, "a\u00e9b" * 20]
+    expected = [words.index(w) * 7 for w in words[::-1]] + [-1] * 4
+    assert wordtable.find(pa.array(asked), table, -1).tolist() == expected
+    # a hash that agrees without its bytes is no hit
+    lone = wordtable.build(pa.array(["ab"]), [9])
+    forged = (wordtable.hashes(np.frombuffer(b"bb", np.uint8), np.array([0, 2]), lone[4]), *lone[1:])
+    assert wordtable.find(pa.array(["bb", "ab"]), forged, -1).tolist() == [-1, -1]
+    true_hashes = wordtable.hashes
+    monkeypatch.setattr(wordtable, "hashes", lambda d, c, m: true_hashes(d, c, m) // np.uint64(1 << 62) if m == wordtable._FIRST_MULTIPLIER else true_hashes(d, c, m))
+    other = wordtable.build(pa.array(words), numbers)
+    assert other[4] != wordtable._FIRST_MULTIPLIER and wordtable.find(pa.array(asked), other, -1).tolist() == expected
+    with pytest.raises(ValueError, match="twice"):
+        wordtable.build(pa.array(["a", "a"]), [1, 2])
+    assert wordtable.find(pa.array([], pa.string()), table, 1).tolist() == [] and wordtable.find(pa.array(["a"]), wordtable.build(pa.array([], pa.string()), []), 1).tolist() == [1]
 
 
 def test_unknown_tokens(spark, vocab):
@@ -175,13 +214,18 @@ def test_texts_and_batches_take_one_shuffle_each(spark, corpus, vocab):
     query = training_batches(materialize(corpus), 0, materialize(vocab))._jdf.queryExecution()
     plan = query.executedPlan().toString()
     shuffles = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
-    assert sum("REPARTITION_BY_COL" in line for line in shuffles) == 1
     assert sum("batch_id" in line for line in shuffles) == 1
-    assert len(shuffles) == 4  # the other two carry counted buckets only
-    # what a shuffle brings is what stands right below it
+    assert len(shuffles) == 4  # numbering takes one, and the other two carry counted buckets only
+    # what a shuffle brings is what stands right below it: ids are made where the texts are
+    def nodes(plan):
+        yield plan
+        for k in range(plan.children().size()):
+            yield from nodes(plan.children().apply(k))
+
+    numbering = next(x for x in nodes(query.optimizedPlan()) if x.nodeName() == "Window" and "row_number" in x.toString().split("\n")[0])
+    moved = {re.sub("#.*", "", x) for x in numbering.children().apply(0).output().mkString(",").split(",")}
+    assert moved == {"split", "_bucket", "_key", "id", "prompt_length", "input_ids"}
     below = query.optimizedPlan().toString().split("\n")
-    repartition = next(i for i, x in enumerate(below) if "Repartition" in x)
-    assert not any("_tokens" in line for line in below[repartition + 3:]) and "_tokens" in "".join(below[repartition + 1:repartition + 3])
     batches = next(line for line in below[next(i for i, x in enumerate(below) if "Window" in x and "batch_id" in x) + 1:] if "Project" in line)
     assert "input_ids" in batches and "labels" not in batches and "attention_mask" not in batches
 
