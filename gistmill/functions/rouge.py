@@ -1,10 +1,15 @@
 """ROUGE building blocks that work inside one row, so scoring needs no shuffle."""
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gistmill.functions.wordtable import split_words
+
 
 def rouge_words(text: Column) -> Column:
     """Lower-case ASCII letters and digits, single spaces between the words; '' for null."""
@@ -68,9 +73,9 @@ def f_measure(hits: Column, predicted: Column, expected: Column) -> Column:
     return F.when(hits > 0, F.lit(2.0) * hits / (predicted + expected)).otherwise(F.lit(0.0))
 
 
-def _lcs_length(left: list[str], right: list[str]) -> int:
+def _long_lcs(left: list[int], right: list[int]) -> int:
     """Bit-parallel longest common subsequence: one big-integer step per word of ``right``."""
-    places: dict[str, int] = {}
+    places: dict[int, int] = {}
     for position, word in enumerate(left):
         places[word] = places.get(word, 0) | 1 << position
     everything = (1 << len(left)) - 1
@@ -81,8 +86,56 @@ def _lcs_length(left: list[str], right: list[str]) -> int:
     return len(left) - free.bit_count()
 
 
-@F.pandas_udf(T.IntegerType())
-def lcs_length(left: pd.Series, right: pd.Series) -> pd.Series:
+def _gathered(codes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the chosen texts one after another, each one's text, and its place there."""
+    text = np.repeat(np.arange(len(size)), size)
+    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    return codes[begin[text] + place], text, place
+
+
+def lcs_lengths(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """LCS lengths, in words, of two arrays of texts with single spaces.
+
+    Pairs whose shorter text has at most 64 words take their bit-parallel steps together: step k of all pairs is a few
+    operations on one array of 64-bit masks. Others take theirs one by one, on integers of any length.
+    """
+    (words_l, cuts_l), (words_r, cuts_r) = split_words(left, None), split_words(right, None)
+    codes = np.asarray(pa.concat_arrays([words_l, words_r]).dictionary_encode().indices).astype(np.int64)
+    begin = [cuts_l[:-1], cuts_r[:-1] + len(words_l)]
+    size = [np.diff(cuts_l), np.diff(cuts_r)]
+    swap = size[0] > size[1]
+    (short, long), (few, many) = ((np.where(swap, x[1], x[0]), np.where(swap, x[0], x[1])) for x in (begin, size))
+    out = np.zeros(len(left), np.int32)
+    for k in np.flatnonzero(few > 64).tolist():
+        out[k] = _long_lcs(*(codes[x:x + n].tolist() for x, n in ((short[k], few[k]), (long[k], many[k]))))
+    # longest first: pairs that still have a word at a step are the first ones
+    fast = np.flatnonzero((few > 0) & (few <= 64))
+    fast = fast[np.argsort(-many[fast], kind="stable")]
+    if not len(fast):
+        return out
+    most = int(codes.max()) + 1
+    code, pair, place = _gathered(codes, short[fast], few[fast])
+    keys, bits = pair * most + code, np.uint64(1) << place.astype(np.uint64)
+    order = np.argsort(keys, kind="stable")
+    known, first = np.unique(keys[order], return_index=True)
+    places = np.bitwise_or.reduceat(bits[order], first)
+    code, pair, _ = _gathered(codes, long[fast], many[fast])
+    asked = pair * most + code
+    at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+    matches = np.where(known[at] == asked, places[at], np.uint64(0))
+    starts = np.cumsum(many[fast]) - many[fast]
+    everything = ~np.uint64(0) >> (64 - few[fast]).astype(np.uint64)
+    free = everything.copy()
+    active = np.searchsorted(-many[fast], -np.arange(int(many[fast].max())), side="left")
+    for step, n in enumerate(active.tolist()):
+        matched = free[:n] & matches[starts[:n] + step]
+        free[:n] = ((free[:n] + matched) | (free[:n] - matched)) & everything[:n]
+    out[fast] = few[fast] - np.bitwise_count(free)
+    return out
+
+
+@F.arrow_udf(T.IntegerType())
+def lcs_length(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """LCS length of two columns of space-separated words, counted in words."""
-    pairs = zip(left, right)
-    return pd.Series([_lcs_length(*sorted((a.split(), b.split()), key=len)) for a, b in pairs], dtype="int32")
+    for left, right in batches:
+        yield pa.array(lcs_lengths(left, right), pa.int32())

@@ -1,18 +1,18 @@
 """Scores of predictions against references, per pair and per corpus."""
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gistmill.functions import rouge
+from gistmill.functions import rouge, softmatch
 from gistmill.functions.stem import stem_words
 from gistmill.operators import lookup
-from gistmill.session import compute_once
+from gistmill.session import compute_once, materialize
 
 ROUGE = ("rouge1", "rouge2", "rougeL")
 
@@ -105,32 +105,6 @@ def corpus_scores(scored: DataFrame, by: Sequence[str] = ("name", "split"), metr
     return scored.groupBy(*by).agg(*[F.avg(m).alias(m) for m in metrics], F.count(F.lit(1)).alias("n"))
 
 
-@F.pandas_udf(T.DoubleType())
-def _soft_match_f1(
-    pred_count: pd.Series, ref_count: pd.Series, vectors: pd.Series, pred_total: pd.Series, ref_total: pd.Series
-) -> pd.Series:
-    scores = []
-    for cp, cr, flat, np_, nr in zip(pred_count, ref_count, vectors, pred_total, ref_total):
-        cp, cr = np.asarray(cp, dtype=float), np.asarray(cr, dtype=float)
-        if not (cp.any() and cr.any()):
-            scores.append(0.0)
-            continue
-        matrix = np.asarray(flat, dtype=float).reshape(len(cp), -1)
-        length = np.linalg.norm(matrix, axis=1, keepdims=True)
-        matrix = np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
-        left, right = matrix[cp > 0], matrix[cr > 0]
-        best_left, best_right = np.empty(len(left)), np.full(len(right), -np.inf)
-        for start in range(0, len(left), 1024):
-            block = left[start : start + 1024] @ right.T
-            best_left[start : start + 1024] = block.max(axis=1)
-            np.maximum(best_right, block.max(axis=0), out=best_right)
-        precision = float(best_left @ cp[cp > 0]) / np_
-        recall = float(best_right @ cr[cr > 0]) / nr
-        total = precision + recall
-        scores.append(2 * precision * recall / total if total else 0.0)
-    return pd.Series(scores, dtype="float64")
-
-
 def embedding_f1(
     df: DataFrame,
     vectors: DataFrame,
@@ -140,42 +114,60 @@ def embedding_f1(
     out: str = "bertscore_f1",
     broadcast_bytes: int = lookup.BROADCAST_BYTES,
 ) -> DataFrame:
-    """``keys`` and the F1 of best cosine matches between the words of both texts.
+    """``keys`` and the F1 of best cosine matches between the words of both texts; a row for each row of ``df``.
 
-    ``vectors`` is ``(token, vector)``. Words without a vector count as unmatched.
-    Each distinct word of a pair is looked up once, with its counts on both
-    sides. Rows are laid out by key first; if the vectors can be broadcast, the
-    counting and the final grouping share that layout, and otherwise the few frequent words
-    are looked up by broadcast and the rest by a shuffle join. Vectors stay single floats.
+    ``vectors`` is ``(token, vector)``, vectors of one length. Words without a vector count as unmatched. A
+    table that was measured to be small is broadcast as one matrix with a sorted array of word hashes, and pairs are scored in
+    their rows, with no shuffle. Otherwise pairs are packed into written blocks; each block asks for its distinct words
+    once, however many of its pairs have them, the few words that most blocks ask for are looked up by
+    broadcast and the rest by a shuffle join, and a block meets its vectors once. Vectors stay single floats.
     """
-    sides = compute_once(
-        df.select(*keys, prediction, reference).repartition(*[F.col(k) for k in keys]),
-        _p=rouge.word_array(rouge.rouge_words(F.col(prediction))),
-        _r=rouge.word_array(rouge.rouge_words(F.col(reference))),
-    )
-
-    def tagged(tokens: str, p: int, r: int) -> Column:
-        return F.transform(
-            tokens, lambda t: F.struct(t.alias("token"), F.lit(p).alias("p"), F.lit(r).alias("r"))
-        )
-
-    occurrences = sides.select(*keys, F.inline_outer(F.concat(tagged("_p", 1, 0), tagged("_r", 0, 1))))
-    counted = occurrences.groupBy(*keys, "token").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
-    table = vectors.select("token", "vector")
-    if lookup.fits_broadcast(vectors, F.octet_length("token") + 8 * F.size("vector"), broadcast_bytes):
-        looked_up = lookup.broadcast_lookup(counted, table, "token")
-    else:
-        looked_up = lookup.frequent_lookup(counted, table, "token")
-    known = F.when(F.col("vector").isNotNull(), F.struct("p", "r", "vector"))
-    grouped = looked_up.groupBy(*keys).agg(
-        F.collect_list(known).alias("_known"),
-        F.coalesce(F.sum("p"), F.lit(0)).alias("_pred_total"),
-        F.coalesce(F.sum("r"), F.lit(0)).alias("_ref_total"),
-    )
-    score = _soft_match_f1(
-        F.col("_known")["p"], F.col("_known")["r"], F.flatten(F.col("_known")["vector"]), "_pred_total", "_ref_total"
-    )
-    return grouped.select(*keys, score.alias(out))
+    texts = df.select(*keys, rouge.rouge_words(F.col(prediction)).alias("_p"), rouge.rouge_words(F.col(reference)).alias("_r"))
+    table = vectors.select("token", F.col("vector").cast("array<float>").alias("vector"))
+    size = F.octet_length("token") + 24 + 4 * F.size("vector")
+    if lookup.fits_broadcast(table, size, broadcast_bytes):
+        return texts.select(*keys, _broadcast_match(table)("_p", "_r").alias(out))
+    return _match_in_blocks(texts, table, list(keys), out)
+
+
+def _broadcast_match(table: DataFrame):
+    rows = table.toArrow()
+    held = table.sparkSession.sparkContext.broadcast(softmatch.store(rows.column("token"), rows.column("vector")))
+
+    @F.arrow_udf(T.DoubleType())
+    def match(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for left, right in batches:
+            yield pa.array(softmatch.f1(left, right, held.value), pa.float64())
+
+    return match
+
+
+def _match_in_blocks(texts: DataFrame, table: DataFrame, keys: list[str], out: str) -> DataFrame:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, number = TaskContext.get().partitionId() << 32, 0
+        for batch in softmatch.pieces(batches, ("_p", "_r")):
+            words = softmatch.distinct_words(batch.column("_p"), batch.column("_r"))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as writer:
+                writer.write_batch(batch)
+            yield pa.RecordBatch.from_pydict({
+                "block": pa.array([base + number], pa.int64()), "words": pa.array([words], pa.list_(pa.string())),
+                "payload": pa.array([sink.getvalue().to_pybytes()], pa.binary()),
+            })
+            number += 1
+
+    def match(blocks: pa.Table, found: pa.Table) -> pa.Table:
+        with pa.ipc.open_stream(blocks.column("payload")[0].as_buffer()) as reader:
+            batch = reader.read_next_batch()
+        scores = softmatch.f1(batch.column("_p"), batch.column("_r"), softmatch.store(found.column("token"), found.column("vector")))
+        return pa.Table.from_batches([batch]).select(keys).append_column(out, pa.array(scores, pa.float64()))
+
+    blocks = materialize(texts.mapInArrow(pack, "block long, words array<string>, payload binary"))
+    asked = blocks.select(F.col("block").alias("asker"), F.explode("words").alias("token"))
+    found = lookup.frequent_lookup(asked, table, "token").filter(F.col("vector").isNotNull())
+    schema = T.StructType([texts.schema[k] for k in keys] + [T.StructField(out, T.DoubleType())])
+    pairs = blocks.select("block", "payload").groupBy("block")
+    return pairs.cogroup(found.groupBy("asker")).applyInArrow(match, schema)
 
 
 def poisson_cutoffs(digits: int = 8) -> list[str]:

@@ -2,13 +2,16 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import apply, lcs, rouge_l, rouge_n, words
 from pyspark.sql import functions as F
 
-from gistmill.functions import rouge
+from gistmill.functions import rouge, softmatch
 from gistmill.functions.stem import porter_stem, stem_words
+from gistmill.operators import lookup
 from gistmill.operators import metrics as m
+from gistmill.session import materialize
 
 
 def random_pairs(seed, n, most=30):
@@ -55,6 +58,20 @@ def test_lcs_of_long_texts(spark):
     assert [r[0] for r in df.select(rouge.lcs_length("a", "b")).collect()] == [lcs(a, b) for a, b in pairs]
 
 
+def test_lcs_of_many_pairs_at_once():
+    """Around the 64 words that fit one mask, with repeated words, empty and null texts."""
+    rng = random.Random(5)
+    pairs = [([], []), (["a"], []), ([], ["b"]), (["a"] * 64, ["a"] * 200), (["a", "b"] * 32, ["b", "a"] * 40), (["a"] * 65, ["a"] * 66)]
+    for most in (3, 63, 64, 65, 130):
+        for kinds in (2, 9, 300):
+            pairs += [tuple([f"w{rng.randrange(kinds)}" for _ in range(rng.randint(0, most))] for _ in "lr") for _ in range(12)]
+    rng.shuffle(pairs)
+    left, right = ([" ".join(p[k]) or rng.choice([None, ""]) for p in pairs] for k in (0, 1))
+    found = rouge.lcs_lengths(pa.array(left, pa.string()), pa.array(right, pa.string()))
+    assert found.tolist() == [lcs(*p) for p in pairs]
+    assert rouge.lcs_lengths(pa.array([], pa.string()), pa.array([], pa.string())).tolist() == []
+
+
 def test_ngrams(spark):
     assert apply(spark, lambda c: rouge.ngrams(c, 2), [["a", "b", "c"], ["a"], []], "array<string>") == [["a b", "b c"], [], []]
     assert apply(spark, lambda c: rouge.ngrams(c, 3), [["a", "b", "c", "d"]], "array<string>") == [["a b c", "b c d"]]
@@ -127,10 +144,29 @@ def test_embedding_f1_by_broadcast_and_by_salted_join(spark, broadcast_bytes):
         assert got[i] == pytest.approx(brute_embedding_f1(p, r, vectors))
 
 
-def test_words_without_vector_do_not_match(spark):
-    table = spark.createDataFrame([("a", [1.0, 0.0])], "token string, vector array<double>")
-    df = spark.createDataFrame([(1, "a zz", "a")], "id int, prediction string, reference string")
-    assert m.embedding_f1(df, table, ["id"]).first().bertscore_f1 == pytest.approx(2 / 3)
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, -1])
+def test_words_without_vector_and_repeated_rows(spark, broadcast_bytes):
+    table = spark.createDataFrame([("a", [1.0, 0.0]), ("n", None)], "token string, vector array<double>")
+    rows = [(1, "a zz", "a"), (1, "a zz", "a"), (2, "zz", "zz"), (3, None, "a"), (4, "n a", "n a"), (1, "a", "a")]
+    df = spark.createDataFrame(rows, "id int, prediction string, reference string")
+    found = sorted((r.id, round(r.bertscore_f1, 6)) for r in m.embedding_f1(df, table, ["id"], broadcast_bytes=broadcast_bytes).collect())
+    assert found == [(1, 0.666667), (1, 0.666667), (1, 1.0), (2, 0.0), (3, 0.0), (4, 0.5)]
+    assert m.embedding_f1(df.limit(0), table, ["id"], broadcast_bytes=broadcast_bytes).collect() == []
+    assert {r.bertscore_f1 for r in m.embedding_f1(df, table.limit(0), ["id"], broadcast_bytes=broadcast_bytes).collect()} == {0.0}
+
+
+def test_pairs_are_scored_in_their_rows_or_in_blocks(spark, monkeypatch):
+    """With a small table nothing is shuffled; with a large one a block asks for a word once, and no pair carries a vector."""
+    table = materialize(spark.createDataFrame([(w, [1.0, float(k)]) for k, w in enumerate("abc")], "token string, vector array<double>"))
+    df = materialize(spark.createDataFrame([(i, "a b a", "b c") for i in range(50)], "id int, prediction string, reference string").coalesce(1))
+    plan = m.embedding_f1(df, table, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert not any(node in plan for node in ("Exchange", "Generate", "Aggregate", "Join"))
+    monkeypatch.setattr(softmatch, "BLOCK_ROWS", 25)
+    asked = []
+    true_lookup = lookup.frequent_lookup
+    monkeypatch.setattr(lookup, "frequent_lookup", lambda rows, *more: asked.append(rows) or true_lookup(rows, *more))
+    assert m.embedding_f1(df, table, ["id"], broadcast_bytes=-1).count() == 50
+    assert asked[0].count() == 6 and set(asked[0].columns) == {"asker", "token"}
 
 
 def test_bootstrap(spark):
