@@ -1,6 +1,5 @@
 """Byte-pair encoding and decoding of whole texts with a public vocabulary, by batched numpy merge rounds."""
 
-import functools
 import json
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -210,11 +209,14 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(others)) for b in range(256)]
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> tuple[BytePairs, WordCache]:
     """The vocabulary and its cache of words, once for each worker process."""
-    pairs = BytePairs(path)
-    return pairs, WordCache(pairs.encode_words)
+
+    def make() -> tuple[BytePairs, WordCache]:
+        pairs = BytePairs(path)
+        return pairs, WordCache(pairs.encode_words)
+
+    return tables.once(("byte pairs", path), make)
 
 
 def encoded(batch: pa.RecordBatch, text_column: str, path: str) -> tuple[BytePairs, np.ndarray, np.ndarray]:

@@ -1,6 +1,5 @@
 """Quality rules: how well a public vocabulary fits a text, with bands for each script."""
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +24,8 @@ _SCRIPT[0xE3:0xEE] = 5
 _SCRIPT[[*range(0xEE, 0xF5)]] = 6
 
 
-@functools.lru_cache(maxsize=2)
-def _pieces(path: str):
-    """The vocabulary's cache of words, and which of its ids are single bytes; once for each worker process."""
+def _load_pieces(path: str):
+    """The vocabulary's cache of words, and which of its ids are single bytes."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -95,7 +93,7 @@ def measures(texts: pa.Array, path: str) -> dict[str, np.ndarray]:
     votes = np.stack([_per_doc(script == k, offsets) for k in range(1, len(SCRIPTS))], axis=1)
     main = np.where(votes.sum(axis=1) > 0, votes.argmax(axis=1) + 1, 0)
     # tokens
-    cache, single = _pieces(path)
+    cache, single = tables.once(("pieces", path), lambda: _load_pieces(path))
     ids, cuts = cache.ids(words)
     tokens = np.diff(cuts)
     order, group, sizes = _repeated(np.repeat(np.arange(count), tokens), ids)

@@ -77,7 +77,7 @@ def chunk_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, width: int) -> DataFrame:
-    """id, n_shingles, two halves of the set's fingerprint, signature."""
+    """id, doc, n_shingles, two halves of the set's fingerprint, signature."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -91,11 +91,11 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
             bodies = np.full(len(full), None, object)
             bodies[full] = [row.tobytes() for row in signatures(values, cuts)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(sizes, pa.int64()), *prints, pa.array(bodies, pa.binary())],
-                ["id", "n_shingles", "p1", "p2", "signature"],
+                [batch.column("id"), batch.column("doc"), pa.array(sizes, pa.int64()), *prints, pa.array(bodies, pa.binary())],
+                ["id", "doc", "n_shingles", "p1", "p2", "signature"],
             )
 
-    return tables.in_arrow(docs, sign, "id long, n_shingles long, p1 long, p2 long, signature binary")
+    return tables.in_arrow(docs, sign, "id long, doc long, n_shingles long, p1 long, p2 long, signature binary")
 
 
 def _members(reps: DataFrame, parts: int) -> DataFrame:
@@ -403,10 +403,12 @@ def near_duplicates(
     what is connected already aren't looked for.
 
     Null or empty text: no shingles, linked with nothing. Null ids count as one id larger than
-    all others and come back as null. Rows with equal ids are one document. No rows in, no
-    rows out.
+    all others and come back as null. Rows with equal ids are one document, linked with all that any of them
+    is linked with; one without shingles stays by itself. No rows in, no rows out.
     """
-    plain = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_column).alias("text"))
+    doc, text = F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)), F.col(text_column)
+    # inside, a row goes by its id and text: those of one id may differ
+    plain = docs.select(F.xxhash64(doc, F.md5(text)).alias("id"), doc.alias("doc"), text.alias("text"))
     signed = tables.stored(_signed(plain, width))
     classes = tables.stored(
         signed.filter("n_shingles > 0").groupBy("p1", "p2").agg(F.min("id").alias("rep")),
@@ -429,18 +431,23 @@ def near_duplicates(
     centers = tables.stored(able.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("size")).filter("size > 1").drop("size"), narrow=True)
     members = tables.stored(able.join(centers, "key"), narrow=True)
     first = _close(members.filter("center <> rep").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), reps)
-    links = tables.stored(_confirmed(first, sets, part, whole), narrow=True)
+    owned = signed.filter("n_shingles > 0").join(classes, ["p1", "p2"]).select("doc", "rep").distinct()
+    several = owned.groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("doc", "a")
+    same = owned.join(several, "doc").filter("rep > a").select("a", F.col("rep").alias("b"))
+    links = tables.stored(_confirmed(first, sets, part, whole).unionByName(same), narrow=True)
     labels = tables.stored(components(links), narrow=True)
     chunks = tables.stored(_chunks(members, labels), narrow=True)
     pairs = tables.stored(_chunk_pairs(members, chunks, facts, part, whole), narrow=True)
     more = tables.stored(_linked_across(pairs, chunks, sets, part, whole), narrow=True)
     if not more.isEmpty():
         labels = tables.stored(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), narrow=True)
-    named = (
-        signed.select("id", "n_shingles", "p1", "p2")
-        .join(classes, ["p1", "p2"], "left")
-        .join(labels, F.col("rep") == F.col("node"), "left")
-        .select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", "id")).otherwise(F.col("id")).alias("component"))
-    )
+    least_doc = signed.filter("n_shingles > 0").groupBy("p1", "p2").agg(F.min("doc").alias("least"))
+    grouped = classes.join(labels, F.col("rep") == F.col("node"), "left").join(least_doc, ["p1", "p2"])
+    grouped = grouped.select("p1", "p2", "least", F.coalesce("component", "rep").alias("component"))
+    least = grouped.groupBy("component").agg(F.min("least").alias("smallest"))
+    found = grouped.join(least, "component").select("p1", "p2", "smallest")
+    # sets without shingles have no class
+    named = signed.select(F.col("doc").alias("id"), "n_shingles", "p1", "p2").join(found, ["p1", "p2"], "left")
+    named = named.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("id")).alias("component"))
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return named.select(known("id").alias(id_column), "n_shingles", known("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))

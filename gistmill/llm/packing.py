@@ -155,26 +155,24 @@ def plan_sequences(
     return whole + min(plans, key=lambda x: sum(times for _, times in x)), float(full + bound)
 
 
-class _Places:
-    """Where the pieces of each length go, by their rank among these."""
-
-    def __init__(self, plan: Plan):
-        rows, taken, number = [], defaultdict(int), 0
-        for content, times in plan:
-            at = 0
-            for length, copies in content:
-                rows.append((length, taken[length], number, copies, at))
-                taken[length] += copies * times
-                at += length * copies
-            number += times
-        table = np.array(sorted(rows), np.int64).reshape(-1, 5)
-        self.keys = table[:, 0] << 40 | table[:, 1]
-        self.number, self.copies, self.at, self.first = table[:, 2], table[:, 3], table[:, 4], table[:, 1]
-
-    def find(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        k = np.searchsorted(self.keys, length << 40 | rank, side="right") - 1
-        before = rank - self.first[k]
-        return self.number[k] + before // self.copies[k], self.at[k] + before % self.copies[k] * length
+def _places(plan: Plan) -> np.ndarray:
+    """Rows (length, first rank, first sequence, copies in each, offset of the first), sorted: a plain array, to be broadcast."""
+    rows, taken, number = [], defaultdict(int), 0
+    for content, times in plan:
+        at = 0
+        for length, copies in content:
+            rows.append((length, taken[length], number, copies, at))
+            taken[length] += copies * times
+            at += length * copies
+        number += times
+    return np.array(sorted(rows), np.int64).reshape(-1, 5)
+
+
+def _place(places: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and offset of pieces by their rank among those of their length."""
+    k = np.searchsorted(places[:, 0] << 40 | places[:, 1], length << 40 | rank, side="right") - 1
+    _, first, number, copies, at = places[k].T
+    return number + (rank - first) // copies, at + (rank - first) % copies * length
 
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_column: str, text_column: str) -> DataFrame:
@@ -222,7 +220,7 @@ def pack_sequences(
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in pieces.groupBy("length").count().collect():
         counts[length] = n
-    places = docs.sparkSession.sparkContext.broadcast(_Places(plan_sequences(counts, capacity)[0]))
+    places = docs.sparkSession.sparkContext.broadcast(_places(plan_sequences(counts, capacity)[0]))
     buckets = max(tables.partitions(docs), int(counts.sum()) // 100_000 + 1)
     placed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -233,7 +231,7 @@ def pack_sequences(
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            number, at = places.value.find(batch.column("length").to_numpy(), batch.column("rank").to_numpy())
+            number, at = _place(places.value, batch.column("length").to_numpy(), batch.column("rank").to_numpy())
             yield tables.replaced(batch, sequence_id=pa.array(number), offset=pa.array(at)).select(
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
             )

@@ -2,6 +2,7 @@
 
 import ctypes
 import hashlib
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -41,6 +42,19 @@ def stored(df: DataFrame, narrow: bool = False, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def once(key: tuple, make: Callable):
+    """What ``make`` returns, made once in this process for each key (the last four are kept).
+
+    Functions travel to workers by value, each time with globals of their own, so that it is held by the interpreter.
+    """
+    held = sys.__dict__.setdefault("_made_once", {})
+    if key not in held:
+        while len(held) >= 4:
+            held.pop(next(iter(held)))
+        held[key] = make()
+    return held[key]
+
+
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -42,13 +42,23 @@ def test_lines_of_nothing(spark):
     assert line_dedup(frame(spark, [])).collect() == []
 
 
-def test_near_duplicates(spark):
-    rows = corpus(5, 200) + [r for r in awkward() if r[0] != 1009]
-    got = {tuple(r) for r in near_duplicates(frame(spark, rows)).collect()}
+@pytest.mark.parametrize("partitions, step", [(1, 1), (4, -1)])
+def test_near_duplicates(spark, partitions, step):
+    rows = corpus(5, 200) + awkward()
+    got = {tuple(r) for r in near_duplicates(frame(spark, rows[::step], partitions)).collect()}
     assert got == brute.near_components(rows)
     assert sum(not r[3] for r in got) > 40
 
 
+def test_rows_of_one_id_link_what_they_are_near(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(30)) for c in "pq"]
+    rows = [(1, texts[0]), (2, texts[1]), (5, texts[0]), (5, texts[1]), (5, None), (7, texts[0] + " more"), (None, texts[1]), (None, "alone it is")]
+    for some in (rows, rows[::-1]):
+        got = {tuple(r) for r in near_duplicates(frame(spark, some, 3)).collect()}
+        assert got == brute.near_components(rows)
+        assert {r[2] for r in got if r[1]} == {1}
+
+
 def test_chain_without_a_common_center(spark):
     """Each text is close to the next only; all are one component."""
     base = [f"w{k}" for k in range(100)]

@@ -66,7 +66,7 @@ def test_each_stage_against_brute_force(spark, folder):
 
 def test_every_operator_is_registered():
     names = list(__spark_entry__.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names
 
@@ -74,12 +74,12 @@ def test_every_operator_is_registered():
 @pytest.mark.parametrize("name", [x for x in __spark_entry__.oracle_sql() if x.startswith("op")])
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "conversations"):
         con.sql(f"create view {table} as select * from '{SMALL}/{table}.parquet'")
     expected = con.sql(__spark_entry__.oracle_sql()[name])
     got = __spark_entry__.queries()[name](spark, SMALL)
     assert sorted(got.columns) == sorted(expected.columns)
-    assert sorted(map(tuple, got.select(expected.columns).collect())) == sorted(expected.fetchall())
+    assert sorted(map(tuple, got.select(expected.columns).collect()), key=str) == sorted(expected.fetchall(), key=str)
 
 
 def test_contract_columns(spark):
@@ -97,3 +97,70 @@ def test_contract_columns(spark):
         assert set(columns) <= set(found.columns)
         table = "pages" if name.startswith("op9") else "documents"
         assert found.count() == spark.read.parquet(f"{SMALL}/{table}.parquet").count()
+
+
+AWKWARD = "doc_id long, text string, lang string, source string, n_chars long, score string, N_LINES string, kept string, row string, `rep` int"
+
+
+def awkward_tables(spark, path, labels):
+    words = [" ".join(f"{c}{k}" for k in range(40)) for c in "abcdef"]
+    rows = [(i, t) for i, t in enumerate(words)] + [(2, words[2]), (2, words[2]), (9, words[0]), (10, None), (None, "x y"), (None, words[1]), (11, ""), (12, "z " * 30_000)]
+    docs = [(i, t, "en", None, None if t is None else len(t), "s", "n", f"k{i}", None, 7) for i, t in rows]
+    spark.createDataFrame(docs, AWKWARD).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return docs
+
+
+@pytest.mark.parametrize("labels", [[], [(0, 1, 1), (1, 1, 1)], [(0, 1, 0), (None, 1, 1), (77, 0, 1)]])
+def test_pipeline_keeps_the_corpus_without_usable_labels(spark, tmp_path, labels):
+    """No labels, labels of one kind, labels without their documents; null and repeated ids, clashing and extra columns."""
+    rows = awkward_tables(spark, str(tmp_path), labels)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda r: str(tuple(r))
+    first = corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path))
+    assert first.columns == docs.columns
+    assert sorted(map(key, first.collect())) == sorted(map(key, rows))
+
+
+def test_stages_on_awkward_rows(spark, tmp_path):
+    rows = awkward_tables(spark, str(tmp_path), [])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.schema.names == docs.schema.names
+        found = sorted((str(r.doc_id), r.text, r.kept, r.score, r.n_chars) for r in out.collect() if r.text is not None)
+        assert all(len(r[1]) == r[4] for r in found)
+        kept = [r for r in rows if r[0] not in (9, None)] if name == "near_dedup" else rows
+        assert [r[0] for r in found] == sorted(str(r[0]) for r in kept if r[1] is not None)
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.columns == docs.columns and empty.isEmpty()
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert packed.groupBy("doc_id").count().count() == 9  # not 9, nor the null id, which is near 1
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).isEmpty()
+
+
+ELSEWHERE = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config(
+    "spark.driver.memory", "2g").config("spark.sql.warehouse.dir", "warehouse").getOrCreate()
+import __spark_entry__
+q = __spark_entry__.queries()
+for name in {names!r}:
+    assert q[name](spark, {data!r}).count() > 0, name
+print("all done")
+"""
+
+
+def test_functions_travel_by_value(tmp_path):
+    """Workers that can't import the package: another working directory, no PYTHONPATH."""
+    import os
+    import subprocess
+    import sys
+
+    names = ["op3_fertility", "op4_bpe", "op5_packing", "op11_prefix_trie", "op13_whitening", "encode", "rouge_l", "embedding_f1"]
+    code = ELSEWHERE.format(root=os.path.dirname(os.path.abspath(__spark_entry__.__file__)), names=names, data=SMALL)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYTHONPATH": os.path.dirname(public_tokenizers.__file__) if "site-packages" not in public_tokenizers.__file__ else ""}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "all done" in done.stdout, done.stderr[-3000:]
