@@ -2,10 +2,13 @@
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gistmill import fixed_values as fx
+from gistmill.operators import lookup
+from gistmill.session import materialize
 
 SERIES = ("train_loss", "eval_loss", "learning_rate")
 
@@ -15,18 +18,51 @@ def first_existing(columns: Sequence[str], candidates: Sequence[str]) -> str | N
 
 
 def canonical_history(
-    history: DataFrame, candidates: Mapping[str, Sequence[str]] = fx.HISTORY_COLUMNS
+    history: DataFrame, candidates: Mapping[str, Sequence[str]] = fx.HISTORY_COLUMNS, strict: bool = False
 ) -> DataFrame:
-    """Rename logged columns to ``step`` and the series names.
+    """Rename logged columns to ``step`` and the series names, for each run by itself.
 
-    Step and train loss must exist; a series that was not logged is left out.
+    Of a series' candidates a run (``run_id``; without that column the whole table is one) uses the first that it has a value of; its
+    values of others are not mixed in. Step and train loss must exist as columns, and every run must have a
+    step; with ``strict`` also a train loss. A series for which no column exists is left out. Rows without a run id take the first value they have.
+
+    Runs are reduced to one row each before they meet their rows; that table is broadcast only if it was measured to be small.
     """
-    chosen = {name: first_existing(history.columns, options) for name, options in candidates.items()}
+    found = {name: [c for c in options if c in history.columns] for name, options in candidates.items()}
     for required in ("step", "train_loss"):
-        if chosen[required] is None:
+        if not found[required]:
             raise ValueError(f"could not find a {required} column in {history.columns}")
-    ids = [F.col("run_id")] if "run_id" in history.columns else []
-    return history.select(*ids, *[F.col(f"`{old}`").alias(new) for new, old in chosen.items() if old])
+    found = {name: columns for name, columns in found.items() if columns}
+    ids = ["run_id"] if "run_id" in history.columns else []
+    run = F.col("run_id") if ids else F.lit("")
+    rows = history.select(run.alias("run_id"), *[
+        F.col(f"`{column}`").alias(f"_{name}{place}") for name, columns in found.items() for place, column in enumerate(columns)
+    ])
+    def first_logged(name: str) -> Column:
+        return F.coalesce(*[F.when(F.count(f"_{name}{place}") > 0, F.lit(place)) for place in range(len(found[name]))]).alias(f"_{name}")
+
+    # a column that is the only candidate needs no choice; whether a run has the required ones is asked all the same
+    asked = [name for name, columns in found.items() if len(columns) > 1 or name == "step" or (strict and name == "train_loss")]
+    chosen = materialize(rows.groupBy("run_id").agg(*[first_logged(name) for name in asked]))
+    small = lookup.fits_broadcast(chosen, F.octet_length(F.col("run_id").cast("string")) + 8 * len(asked))
+    rows = (lookup.broadcast_lookup if small else lookup.frequent_lookup)(rows, chosen, "run_id")
+
+    def value(name: str) -> Column:
+        options = [F.col(f"_{name}{place}") for place in range(len(found[name]))]
+        known = F.coalesce(*options)
+        if name not in asked:
+            return known.alias(name)
+        picked = F.coalesce(*[F.when(F.col(f"_{name}") == place, option) for place, option in enumerate(options)])
+        if name == "step" or strict and name == "train_loss":
+            missing = F.raise_error(F.concat(F.lit(f"no {name} logged by run "), F.col("run_id")))
+            picked = F.when(F.col(f"_{name}").isNull() & F.col("run_id").isNotNull(), missing.cast("double")).otherwise(picked)
+        return F.when(F.col("run_id").isNull(), known).otherwise(picked).cast(_common_type(rows, options)).alias(name)
+
+    return rows.select(*ids, *[value(name) for name in found])
+
+
+def _common_type(rows: DataFrame, options: Sequence[Column]) -> T.DataType:
+    return rows.select(F.coalesce(*options)).schema[0].dataType
 
 
 def sparse_series(history: DataFrame, ids: Sequence[str] = ("run_id",)) -> DataFrame:

@@ -15,9 +15,9 @@ from gistmill.operators.ordering import sample_rows, shuffle_key
 from gistmill.session import materialize
 
 
-def text_lengths(records: DataFrame, length: Callable[[Column], Column] = word_count) -> DataFrame:
+def text_lengths(records: DataFrame, length: Callable[[Column], Column] = word_count, extra: Sequence[str] = ()) -> DataFrame:
     return records.select(
-        "split", length(F.col("abstract")).alias("abstract_tokens"), length(F.col("summary")).alias("summary_tokens")
+        "split", *extra, length(F.col("abstract")).alias("abstract_tokens"), length(F.col("summary")).alias("summary_tokens")
     )
 
 
@@ -165,3 +165,29 @@ def profile_report(records: DataFrame, length: Callable[[Column], Column] = word
         "split", F.struct("mean", "median").alias("compression_ratio")
     )
     return sizes.join(wide, "split", "left").join(ratio, "split", "left").join(split_examples(records), "split", "left")
+
+
+def length_sketches(lengths: DataFrame, by: Sequence[str] = ("split",), k: int = 400) -> DataFrame:
+    """``(by, measure, state)``: a mergeable quantile sketch (KLL) of each length, and of the compression ratio.
+
+    The approximate form of :func:`length_profile` and :func:`compression_ratio`: a state has a few kilobytes however many
+    records it covers. States of batches, splits or days are kept as a table and merged by :func:`merge_sketches`.
+    """
+    sketched = {name: F.kll_sketch_agg_double(F.col(name).cast("double"), F.lit(k)) for name in ("abstract_tokens", "summary_tokens")}
+    ratio = F.when(F.col("abstract_tokens").isNotNull(), F.col("summary_tokens") / F.greatest(F.col("abstract_tokens"), F.lit(1)))
+    sketched["compression_ratio"] = F.kll_sketch_agg_double(ratio, F.lit(k))
+    states = lengths.groupBy(*by).agg(*[state.alias(name) for name, state in sketched.items()])
+    return states.unpivot(list(by), list(sketched), "measure", "state")
+
+
+def merge_sketches(states: DataFrame, by: Sequence[str] = ("split", "measure")) -> DataFrame:
+    """One state for each group of states: what one pass over all their records would hold, within the same error."""
+    return states.groupBy(*by).agg(F.kll_merge_agg_double("state").alias("state"))
+
+
+def sketch_quantiles(states: DataFrame, by: Sequence[str] = ("split", "measure"), probabilities: Sequence[float] = fx.PROFILE_PERCENTILES) -> DataFrame:
+    """``(by, n, probability, value)``: approximate percentiles; at ``k`` = 400 a value's rank is off by about 0.7 % of the records."""
+    wanted = [
+        F.struct(F.lit(float(p)).alias("probability"), F.kll_sketch_get_quantile_double("state", F.lit(float(p))).alias("value")) for p in probabilities
+    ]
+    return states.select(*by, F.kll_sketch_get_n_double("state").alias("n"), F.inline(F.array(*wanted)))

@@ -600,6 +600,30 @@ def all_oracles() -> dict[str, str]:
         ),
         "metrics_by_file_name": _on_runs(f"SELECT name, split, {rounded}, n FROM metrics"),
         "logged_history": _query("SELECT * FROM history", "history"),
+        "logged_histories": _query("SELECT * FROM history", "history"),
+        "metric_log_again": _on_runs(
+            """SELECT commit, name, split, metric, round(value, 6) AS value FROM (
+               SELECT name, split, unnest(['rouge1', 'rouge2', 'rougeL', 'n']) AS metric,
+                      unnest([rouge1, rouge2, "rougeL", n::DOUBLE]) AS value FROM metrics), (VALUES ('first'), ('second')) AS c(commit)"""
+        ),
+        "split_sizes_file": _query("SELECT split, count(*) AS n FROM records GROUP BY split", *CORPUS),
+        "predictions_by_file_name": _query(
+            f"SELECT name, split, round(avg({_words('prediction')}), 6) AS words FROM runs GROUP BY name, split",
+            *CORPUS, "runs",
+        ),
+        "attach_bucketed": _query(
+            f"SELECT split, id, summary, {_first_sentence('abstract')} AS prediction FROM records", *CORPUS
+        ),
+        "predict_resumed": _query(
+            f"SELECT split, id, {_clean(_first_sentence('abstract'))} AS prediction, 'resumed' AS name FROM records", *CORPUS
+        ),
+        "sketched_profile": _query(
+            """SELECT split, measure, probability, count(*) AS n, true AS within
+               FROM (SELECT split, measure FROM lengths UNION ALL SELECT split, 'compression_ratio' FROM records),
+                    (VALUES (0.05::DOUBLE), (0.5), (0.95)) AS p(probability)
+               GROUP BY split, measure, probability""",
+            *CORPUS, "lengths",
+        ),
         "profile_report": _query(
             f"""SELECT l.split, l.size, l.abstract_median, l.summary_p95, r.ratio_mean, e.examples FROM (
                    SELECT split, count(*) // 2 AS size,

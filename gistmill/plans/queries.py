@@ -185,6 +185,66 @@ def tokenizer_factory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("conv_id", "turn", ids.alias("input_ids")).select("conv_id", "turn", _joined("input_ids"))
 
 
+def logged_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histories of two trackers in one folder: every other run has names of its own."""
+    folder = new_folder(spark)
+    rows, odd = inputs.history(spark, sf_dir), F.col("run_id").cast("long") % 2 == 1
+    first = {"step": "_step", "train_loss": "train/loss", "eval_loss": "eval/loss", "learning_rate": "train/learning_rate"}
+    rows.filter(~odd).withColumnsRenamed(first).write.parquet(f"{folder}/tracker=a")
+    second = rows.filter(odd).withColumnsRenamed({"step": "global_step", "train_loss": "loss"})
+    second.write.parquet(f"{folder}/tracker=b")
+    return h.canonical_history(run_io.read_history(spark, folder))
+
+
+def metric_log_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics logged under two commits, one of them twice, as after a rerun."""
+    folder, metrics = new_folder(spark), _stored_metrics(spark, sf_dir)
+    run_io.append_metric_log(metrics.withColumn("rouge1", F.lit(0.0)), folder, "second")
+    for commit in ("first", "second"):
+        run_io.append_metric_log(metrics, folder, commit)
+    return _rounded(run_io.read_metric_log(spark, folder))
+
+
+def split_sizes_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size manifest, written twice and read back."""
+    folder = new_folder(spark)
+    records = inputs.stored_records(spark, sf_dir)
+    for _ in range(2):
+        record_io.write_split_sizes(records, folder)
+    return record_io.read_split_sizes(spark, folder)
+
+
+def predictions_by_file_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of predictions in a folder for each run and split, whose name says which it is."""
+    folder, runs = new_folder(spark), materialize(inputs.runs(spark, sf_dir))
+    for name in [label for label, *_ in RUN_FACTORS]:
+        for split in ("train", "val", "test"):
+            one = runs.filter((F.col("name") == name) & (F.col("split") == split)).select("id", "summary", "prediction")
+            one.write.json(f"{folder}/{name}__{split}.jsonl")
+    found = [run_io.read_prediction_files(spark, folder, split) for split in ("train", "val", "test")]
+    return _rounded(res.mean_output_words(found[0].unionByName(found[1]).unionByName(found[2])))
+
+
+def attach_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records and predictions written in buckets of their keys, checked and joined in one pass without a shuffle."""
+    folder, buckets = new_folder(spark), spark.sparkContext.defaultParallelism
+    name = "t" + folder.rsplit("-", 1)[-1]
+    records = run_io.write_bucketed(
+        inputs.prepared(spark, sf_dir).select("split", "id", "abstract", "summary"), f"{name}_records", f"{folder}/records", buckets=buckets
+    )
+    made = p.extractive(records).select("split", "id", "prediction")
+    predictions = run_io.write_bucketed(made, f"{name}_predictions", f"{folder}/predictions", buckets=buckets)
+    return p.attach_bucketed(records.select("split", "id", "summary"), predictions)
+
+
+def predict_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions in committed chunks, of which a first run made those of the validation split only."""
+    records = inputs.stored_records(spark, sf_dir)
+    folder = new_folder(spark)
+    p.generate_resumable(records.filter("split = 'val'"), _first_sentence_model, folder, "resumed", chunks=3)
+    return p.generate_resumable(records, _first_sentence_model, folder, "resumed", chunks=3)
+
+
 # --- scores ---------------------------------------------------------------------
 
 
@@ -269,6 +329,24 @@ def compression_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(prof.compression_ratio(counts))
 
 
+def sketched_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles from sketches of four batches, merged: whether each is within 2 % of the records of its exact rank."""
+    records = inputs.prepared(spark, sf_dir).withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(4)))
+    lengths = materialize(prof.text_lengths(records, extra=["batch"]))
+    states = materialize(prof.length_sketches(lengths, ["split", "batch"]))
+    found = prof.sketch_quantiles(prof.merge_sketches(states))
+    wide = lengths.withColumn("compression_ratio", F.col("summary_tokens") / F.greatest(F.col("abstract_tokens"), F.lit(1)))
+    values = wide.select("split", *[F.col(c).cast("double").alias(c) for c in ("abstract_tokens", "summary_tokens", "compression_ratio")])
+    exact = values.unpivot("split", ["abstract_tokens", "summary_tokens", "compression_ratio"], "measure", "x")
+    counted = exact.groupBy("split", "measure", "x").agg(F.count(F.lit(1)).alias("rows"))
+    ranks = found.join(counted, ["split", "measure"]).groupBy("split", "measure", "probability", "n").agg(
+        F.sum(F.when(F.col("x") < F.col("value"), F.col("rows")).otherwise(0)).alias("below"),
+        F.sum(F.when(F.col("x") <= F.col("value"), F.col("rows")).otherwise(0)).alias("upto"),
+    )
+    rank, slack = F.col("probability") * F.col("n"), F.greatest(0.02 * F.col("n"), F.lit(1.0))
+    return ranks.select("split", "measure", "probability", "n", ((F.col("below") - slack <= rank) & (rank <= F.col("upto") + slack)).alias("within"))
+
+
 def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _length_counts(spark, sf_dir)
     both = [
@@ -412,6 +490,7 @@ def all_queries() -> dict[str, Query]:
         length_profile, compression_ratio, length_histogram,
         vocab, encode, encode_shuffled, completion_mask, pad_batches, pad_prompts,
         papers_scan, records_round_trip, predictions_round_trip, metrics_by_file_name, logged_history, profile_report,
+        logged_histories, metric_log_again, split_sizes_file, predictions_by_file_name, attach_bucketed, predict_resumed, sketched_profile,
         tokenizer_factory, mean_output_words, results_table, results_with_deprecated, results_without_deprecated, run_comparison, dev_test_gap, ablation_table, metric_long,
         loss_curves, logged_steps, best_checkpoint, retained_checkpoints,
     ]

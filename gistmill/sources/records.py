@@ -49,5 +49,9 @@ def write_records(records: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer.save(path)
 
 
+def read_split_sizes(spark: SparkSession, path: str) -> DataFrame:
+    return read_json_lines(spark, path, StructType().add("split", "string").add("n", "long"))
+
+
 def write_split_sizes(records: DataFrame, path: str) -> None:
     split_sizes(records).coalesce(1).write.mode("overwrite").json(path)

@@ -35,6 +35,12 @@ def write_metrics(metrics: DataFrame, path: str, fmt: str = "json") -> None:
     _replace_partitions(metrics, path, fmt, "name", "split")
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, keys: tuple[str, ...] = ("split", "id"), buckets: int = 200) -> DataFrame:
+    """Records or predictions as a table bucketed and sorted by key, so that tables of equal buckets join where they lie."""
+    df.write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def read_metrics(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     return spark.read.schema(_with_split(METRICS, "name", "split")).format(fmt).load(path)
 
@@ -60,8 +66,15 @@ def read_prediction_files(spark: SparkSession, folder: str, split: str) -> DataF
     return files.withColumns({"name": _run_name(split, "jsonl"), "split": F.lit(split)})
 
 
-def append_metric_log(metrics: DataFrame, path: str) -> None:
-    metric_log(metrics).write.mode("append").parquet(path)
+def append_metric_log(metrics: DataFrame, path: str, commit: str) -> None:
+    """Add the metrics under a commit key; what is logged again under the same key replaces itself and nothing else."""
+    _replace_partitions(metric_log(metrics).withColumn("commit", F.lit(commit)), path, "parquet", "commit", "name", "split")
+
+
+def read_metric_log(spark: SparkSession, path: str) -> DataFrame:
+    """``(commit, name, split, metric, value)`` of all commits."""
+    schema = "metric string, value double, commit string, name string, split string"
+    return spark.read.schema(schema).parquet(path).select("commit", "name", "split", "metric", "value")
 
 
 def write_report(report: DataFrame, path: str) -> None:
@@ -70,6 +83,6 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def read_history(spark: SparkSession, path: str, schema: StructType | str | None = None, fmt: str = "parquet") -> DataFrame:
-    """An exported run history with the column names the tracker gave it."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
+    """Exported run histories with the column names the tracker gave them; files of different columns are read together."""
+    reader = spark.read.option("mergeSchema", True) if schema is None else spark.read.schema(schema)
     return reader.format(fmt).load(path)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gistmill.operators import profile as prof
+from gistmill.session import materialize
 
 ROWS = [
     ("train" if i % 3 else "val", f"i{i}", " ".join(["w"] * n), " ".join(["s"] * k))
@@ -105,3 +106,31 @@ def test_report_shows_examples_of_every_split(spark):
     got = {r.split: r for r in prof.profile_report(records).collect()}
     assert got["a"]["size"] == 9 and len(got["a"].examples) == 4 and len(got["a"].examples[0].abstract) == 301
     assert [tuple(x) for x in got["b"].examples] == [("only", "one")]
+
+
+def test_sketches_of_batches_merge(spark):
+    """Merged states answer as one pass does, within the stated error of exact ranks; missing texts have no length."""
+    rng = random.Random(4)
+    rows = [("s" if k % 3 else "t", k % 7, rng.randint(0, 10_000) if k % 50 else None, rng.randint(1, 90)) for k in range(9000)]
+    lengths = spark.createDataFrame(rows, "split string, batch int, abstract_tokens int, summary_tokens int")
+    states = materialize(prof.length_sketches(lengths, ["split", "batch"]))
+    assert states.count() == 2 * 7 * 3
+    merged = prof.merge_sketches(states)
+    probabilities = [0.0, 0.05, 0.5, 0.95, 1.0]
+    found = {
+        kind: {(r.split, r.measure, r.probability): (r.n, r.value) for r in prof.sketch_quantiles(x, probabilities=probabilities).collect()}
+        for kind, x in (("merged", merged), ("once", prof.length_sketches(lengths)))
+    }
+    for split in "st":
+        own = [r for r in rows if r[0] == split]
+        exact = {
+            "abstract_tokens": [r[2] for r in own if r[2] is not None], "summary_tokens": [r[3] for r in own],
+            "compression_ratio": [r[3] / max(r[2], 1) for r in own if r[2] is not None],
+        }
+        for measure, values in exact.items():
+            for p in probabilities:
+                for kind in found:
+                    n, value = found[kind][split, measure, p]
+                    assert n == len(values)
+                    below, upto = sum(x < value for x in values) / n, sum(x <= value for x in values) / n
+                    assert below - 0.015 <= p <= upto + 0.015

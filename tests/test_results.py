@@ -176,3 +176,26 @@ def test_two_runs_in_one_cell_are_an_error(spark):
     metrics = spark.createDataFrame(rows, "name string, split string, variant string, rouge1 double")
     with pytest.raises(Exception, match="several runs"):
         res.ablation_table(metrics, ["split"], "variant", ["x"]).collect()
+
+
+def test_each_run_has_its_own_names(spark):
+    """Runs of different names read together; a run's leftover under another name isn't mixed in."""
+    rows = [
+        ("a", 1, None, 2.0, None, None), ("a", 2, None, None, 9.0, 0.5), ("b", None, 1, None, 3.0, None), ("b", None, 2, None, 4.0, None),
+        ("c", 5, None, None, None, 1.5), (None, 7, None, None, 8.0, None),
+    ]
+    df = spark.createDataFrame(rows, "run_id string, _step long, global_step long, `train/loss` double, loss double, eval_loss double")
+    expected = {("a", 1, 2.0, None), ("a", 2, None, 0.5), ("b", 1, 3.0, None), ("b", 2, 4.0, None), ("c", 5, None, 1.5), (None, 7, 8.0, None)}
+    for limit in (1 << 20, -1):
+        with pytest.MonkeyPatch.context() as patch:
+            true_fits = h.lookup.fits_broadcast
+            patch.setattr(h.lookup, "fits_broadcast", lambda table, size: true_fits(table, size, limit))
+            out = h.canonical_history(df)
+            assert {tuple(r) for r in out.collect()} == expected
+    assert out.schema["step"].dataType.simpleString() == "bigint"
+    with pytest.raises(Exception, match="no train_loss logged by run c"):
+        h.canonical_history(df, strict=True).collect()
+    with pytest.raises(Exception, match="no step logged by run d"):
+        h.canonical_history(spark.createDataFrame([("d", None, 2.0)], "run_id string, step long, loss double")).collect()
+    alone = h.canonical_history(df.filter("run_id = 'b'").drop("run_id"))
+    assert {tuple(r) for r in alone.collect()} == {(1, 3.0, None), (2, 4.0, None)}

@@ -111,9 +111,12 @@ def test_files_named_after_runs(spark, tmp_path):
 
 def test_logs_reports_and_histories(spark, tmp_path):
     metrics = spark.createDataFrame([("r", "val", 0.5, 3)], "name string, split string, rouge1 double, n long")
-    for _ in range(2):
-        runs.append_metric_log(metrics, str(tmp_path / "log"))
-    assert spark.read.parquet(str(tmp_path / "log")).count() == 4
+    other = spark.createDataFrame([("s", "val", 0.25, 3)], "name string, split string, rouge1 double, n long")
+    for commit, logged in (("a", metrics), ("a", metrics), ("b", other), ("b", metrics), ("b", other.withColumn("rouge1", F.lit(0.75)))):
+        runs.append_metric_log(logged, str(tmp_path / "log"), commit)
+    log = runs.read_metric_log(spark, str(tmp_path / "log"))
+    assert {(r.commit, r.name, r.value) for r in log.filter("metric = 'rouge1'").collect()} == {("a", "r", 0.5), ("b", "r", 0.5), ("b", "s", 0.75)}
+    assert log.count() == 6 and log.columns == ["commit", "name", "split", "metric", "value"]
     records = spark.createDataFrame([("train", "i", "a b c", "a")], "split string, id string, abstract string, summary string")
     flows.corpus_profile(records, str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report")).first().abstract_tokens.max == 3

@@ -18,6 +18,7 @@ from gistmill.operators import tokens as tok
 from gistmill.operators.ordering import assign_batches
 from gistmill.plans.flows import training_batches
 from gistmill.session import materialize
+from gistmill.sources import runs as run_io
 
 # the factories below are not importable on the workers
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -312,3 +313,59 @@ def test_extractive(corpus):
 def test_batches_of_unsplit_rows(spark):
     df = spark.range(1, 8).withColumnRenamed("id", "position")
     assert [r.batch_id for r in assign_batches(df, 3).orderBy("position").collect()] == [0, 0, 0, 1, 1, 1, 2]
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, corpus, tmp_path):
+    def bucketed(df, name):
+        return run_io.write_bucketed(df, f"bucketed_{name}", str(tmp_path / name), buckets=4)
+
+    records = bucketed(corpus.select("split", "id", "summary"), "records")
+    made = p.extractive(corpus).select("split", "id", "prediction")
+    done = p.attach_bucketed(records, bucketed(made, "predictions"))
+    assert {tuple(r) for r in done.collect()} == {(r.split, r.id, r.summary, r.abstract) for r in corpus.collect()}
+    assert "Exchange" not in done._jdf.queryExecution().executedPlan().toString()
+    for change, wrong in {
+        "missing": made.filter("id <> 'id3'"), "surplus": made.unionByName(made.filter("id = 'id3'").withColumn("id", F.lit("other"))),
+        "repeated": made.unionByName(made.filter("id = 'id3'")),
+    }.items():
+        bad = p.attach_bucketed(records, bucketed(wrong, change))
+        for some in (bad, bad.select("id"), bad.select("prediction")):
+            with pytest.raises(Exception, match="length mismatch"):
+                some.collect()
+    with pytest.raises(Exception, match="length mismatch"):
+        p.attach_bucketed(bucketed(corpus.select("split", "id", "summary").unionByName(corpus.select("split", "id", "summary").limit(1)), "twice"), bucketed(made, "single")).collect()
+
+
+def test_generation_goes_on_where_it_was_ended(spark, corpus, tmp_path):
+    """A generator that dies half-way; the next call makes only what is missing."""
+    calls = str(tmp_path / "calls")
+    chunks = {r.id: r.c for r in corpus.select("id", F.pmod(F.xxhash64("split", "id"), F.lit(6)).alias("c")).collect()}
+    victim = next(x for x in sorted(chunks) if chunks[x] == 3)
+
+    def model(dies):
+        def factory():
+            def complete(prompts, max_new_tokens):
+                with open(calls, "a") as out:
+                    for text in prompts:
+                        name = text.split("token")[1].split(".")[0]
+                        if dies and f"id{name}" == victim:
+                            raise RuntimeError("lost")
+                        out.write(name + "\n")
+                return [text.split("Abstract:\n")[1].split("\n\nWrite")[0].upper() for text in prompts]
+
+            return complete
+
+        return factory
+
+    out = str(tmp_path / "made")
+    with pytest.raises(Exception, match="lost"):
+        p.generate_resumable(corpus, model(True), out, "r", chunks=6, batch_size=1)
+    first = {r.id for r in spark.read.parquet(out).collect()}
+    assert 0 < len(first) < 23 and victim not in first
+    open(calls, "w").close()
+    done = p.generate_resumable(corpus, model(False), out, "r", chunks=6, batch_size=1)
+    assert {(r.id, r.prediction) for r in done.collect()} == {(r.id, r.abstract.upper()) for r in corpus.collect()}
+    again = [f"id{x}" for x in open(calls).read().split()]
+    assert sorted(again) == sorted({f"id{k}" for k in range(23)} - first)
+    p.generate_resumable(corpus, model(False), out, "r", chunks=6)
+    assert len(open(calls).read().split()) == len(again) and done.count() == 23
