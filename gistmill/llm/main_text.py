@@ -45,8 +45,15 @@ _DROPPED_NAMES = frozenset(
     "share sharing social related recommended recommendations teaser teasers trending pagination pager "
     "login search searchbox form skip skiplink".split()
 )
+#: Parts that say nothing about what a marked block is.
+_PLAIN_NAMES = frozenset(
+    "area article articles bar block blocks body bottom box button buttons card col column container content count entry footer group header icons "
+    "inline inner item items label left link links list main outer page panel post posts region right row section site slot "
+    "story thread title tools top unit wrap wrapper zone".split()
+)
 _SITE_HEADER = frozenset("header site page global top main masthead".split())
 _ROOTS = frozenset(("article", "main"))
+_LISTS = frozenset("ul ol dl table".split())
 
 
 _NAMED = re.compile(r"""\b(?:class|id)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -70,7 +77,8 @@ def _is_dropped(tag: str, attributes: str, inside: bool) -> bool:
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id"):
-                if any(_names_furniture(word, inside) for word in value.split()):
+                # within an article a paragraph is the article's, whatever its name
+                if not (inside and tag == "p") and any(_names_furniture(word, inside) for word in value.split()):
                     return True
             elif name == "role" and value in _DROPPED_ROLES:
                 return True
@@ -88,6 +96,9 @@ def _names_furniture(word: str, inside: bool) -> bool:
         return False
     if parts[-1] == "header" and not inside:
         return set(parts) <= _SITE_HEADER
+    # within an article other words may be about anything: share-price, reply-to-critics, ad-hoc
+    if inside and not all(x in _DROPPED_NAMES or x in _PLAIN_NAMES or x.isdigit() for x in parts):
+        return False
     return parts[0] in _DROPPED_NAMES or parts[-1] in _DROPPED_NAMES
 
 
@@ -98,6 +109,7 @@ def _parse(page: str, forms: bool = False) -> _Node:
     """
     root = node = _Node("#root", None, False)
     head = loose = None
+    lists: list[_Node] = []
     place, inside = 0, 0
     for found in _TOKEN.finditer(page):
         if found.start() > place:
@@ -148,6 +160,8 @@ def _parse(page: str, forms: bool = False) -> _Node:
             child.soft = tag == "form" or not _is_dropped(tag, _NAMED.sub("", attributes), inside > 0)
             child.hard = not child.soft
         child.plain = node.plain and not (attributes and _COMMENTS.search(attributes))
+        if child.soft and child.plain and inside and tag in _LISTS and not node.dropped:
+            lists.append(child)
         node.children.append(child)
         if tag not in _VOID and not attributes.endswith("/") or tag in _ROOTS:
             node = child
@@ -158,9 +172,24 @@ def _parse(page: str, forms: bool = False) -> _Node:
                 loose = child
     if place < len(page):
         node.children.append(page[place:])
+    for child in lists:
+        _keep_without_links(child)
     return root
 
 
+def _keep_without_links(node: _Node) -> None:
+    """A list or table in an article is furniture by its name only if it has links: a restaurant's menu is text."""
+    below, stack = [], [node]
+    while stack:
+        below.append(stack.pop())
+        stack.extend(x for x in below[-1].children if isinstance(x, _Node))
+    if any(x.tag == "a" for x in below):
+        return
+    node.soft = False
+    for x in below:
+        x.dropped = x.hard or x.soft or x.parent.dropped
+
+
 def _holds(up: _Node, node: _Node | None, barrier: str = "") -> bool:
     """Whether ``up`` is open around ``node``, without an element ``barrier`` between."""
     while node is not None and node is not up and node.tag != barrier:
@@ -289,7 +318,7 @@ def _blocks(node: _Node) -> list[str]:
 
     def close() -> None:
         if run:
-            text = " ".join(html.unescape("".join(run)).split())
+            text = " ".join("".join(run).split())
             if text:
                 out.append(text)
             run.clear()
@@ -300,7 +329,8 @@ def _blocks(node: _Node) -> list[str]:
         if item is None:
             close()
         elif isinstance(item, str):
-            run.append(item)
+            # a reference ends with its text node
+            run.append(html.unescape(item))
         elif not item.dropped:
             if item.tag == "br":
                 run.append(" ")
@@ -330,7 +360,9 @@ def main_text(pages: DataFrame, html_column: str = "html") -> DataFrame:
 
     Every page is parsed whole, one at a time, in an Arrow batch; missing end tags are supplied.
     Menus, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, known by
-    element, role, class or id, and headers outside an article are left out (a form or marked element that wraps the article isn't). Of the rest, link-adjusted
+    element, role, class or id, and headers outside an article are left out (a form or marked element that wraps the article isn't). Within
+    an article or main element a name counts only if all its parts are such names or say nothing (not share-price), never on a
+    paragraph, and on a list or table only if it holds links. Of the rest, link-adjusted
     characters per tag are computed for every node and summed over children; the subtree of the
     largest sum, extended by the smallest density on its path to the body, is the article, and all
     its blocks are returned in page order.

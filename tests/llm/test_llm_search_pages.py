@@ -122,3 +122,18 @@ def test_wrappers_with_a_block_beside_them():
         for body in (inner, f"<article>{inner}</article>"):
             assert page_text(f"<body><div>Skip to content</div>{open_tag}{body}{end}</body>").endswith(expected)
     assert page_text(f'<article><h1>A</h1><p>Short.</p></article><div class="sidebar">{inner}</div>') == "A\nShort."
+
+
+@pytest.mark.parametrize("block, expected", [
+    ('<p class="comment-on-policy">Kept</p>', "Kept"), ('<p class="share-price">Kept</p>', "Kept"), ('<p class="intro promo">Kept</p>', "Kept"),
+    ('<section class="reply-to-critics"><p>Kept</p></section>', "Kept"), ('<div class="table ad-hoc">Kept</div>', "Kept"),
+    ('<ul class="menu"><li>Kept</ul>', "Kept"), ('<p>AT&<b>amp;</b>T &amp;lt;</p>', "AT&amp;T &lt;"),
+    ('<ul class="menu"><li><a href="/">Home</a></ul>', ""), ('<ul class="comments"><li>First!</ul>', ""), ('<div class="ad-slot">Buy</div>', ""),
+    ('<div class="share-buttons">Tell others</div>', ""), ('<div id="comments-2"><p>First!</p></div>', ""), ('<aside>More</aside>', ""),
+])
+def test_names_within_an_article(block, expected):
+    text = [f"Sentence {k} of the article goes on for some time." for k in range(6)]
+    body = "".join(f"<p>{x}</p>" for x in text)
+    for outer in ("<main><article>{}</article></main>", "<article>{}</article>"):
+        page = WRAP.format(article=outer.format(f"<h1>Head</h1>{body}{block}<p>The end.</p>"), noise="x")
+        assert page_text(page) == "\n".join(["Head", *text, *([expected] if expected else []), "The end."])
