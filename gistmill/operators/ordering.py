@@ -13,6 +13,8 @@ from gistmill import fixed_values as fx
 from gistmill.session import materialize
 
 BUCKET_ROWS = 1 << 16
+#: Consecutive rows that are sorted by length together, for batches of a token budget.
+BLOCK_ROWS = 1024
 
 
 def shuffle_key(seed: int, *columns: str) -> Column:
@@ -124,3 +126,62 @@ def sample_rows(df: DataFrame, k: int, seed: int = fx.EXAMPLE_SEED, key: str = "
 def assign_batches(df: DataFrame, batch_size: int, position: str = "position") -> DataFrame:
     """Consecutive rows share a ``batch_id``; only the last batch may be short."""
     return df.withColumn("batch_id", F.expr(f"({position} - 1) div {batch_size}"))
+
+
+def assign_token_batches(
+    df: DataFrame,
+    budget: int,
+    length: str,
+    position: str = "position",
+    by: Sequence[str] = ("split",),
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Batches of rows of alike length whose padded tokens, longest times rows, stay within ``budget``.
+
+    ``block_rows`` consecutive positions are a block: random rows, if positions follow a seeded shuffle. Within a
+    block the longest rows come first, and a batch takes as many as its first row, the longest, allows; a row
+    longer than the budget is a batch of its own. Adds ``batch_id`` (from 0 in each ``by``, in the order
+    of blocks) and ``longest``. A missing length counts as 0.
+
+    Blocks are bounded and independent: lengths alone are gathered by block, and rows meet their block's
+    batches in the layout in which they were ranked. ``df`` is read twice, so it should be a written table.
+    """
+    group = [F.col(name) for name in by]
+    tokens = F.coalesce(F.col(length), F.lit(0)).cast("bigint")
+    blocks = df.withColumn("_block", F.expr(f"({position} - 1) div {block_rows}"))
+    descending = F.sort_array(F.collect_list(tokens), asc=False)
+    gathered = blocks.groupBy(*group, "_block").agg(descending.alias("_lengths"))
+
+    def step(state: Column, tokens: Column) -> Column:
+        opens, row = state["row"] == state["next"], state["row"] + 1
+        rows = F.greatest(F.lit(1).cast("bigint"), F.floor(F.lit(budget) / F.greatest(tokens, F.lit(1))))
+        first = F.struct(state["row"].alias("row"), tokens.alias("longest"))
+        return F.struct(
+            row.alias("row"),
+            F.when(opens, state["row"] + rows).otherwise(state["next"]).alias("next"),
+            F.when(opens, F.concat(state["firsts"], F.array(first))).otherwise(state["firsts"]).alias("firsts"),
+        )
+
+    none = F.array().cast("array<struct<row:bigint,longest:bigint>>")
+    begin = F.struct(F.lit(1).cast("bigint").alias("row"), F.lit(1).cast("bigint").alias("next"), none.alias("firsts"))
+    cut = gathered.select(*group, "_block", F.aggregate("_lengths", begin, step, lambda state: state["firsts"]).alias("_firsts"))
+    before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.withColumn("_offset", F.coalesce(F.sum(F.size("_firsts")).over(before), F.lit(0)))
+    inside = Window.partitionBy(*group, "_block").orderBy(tokens.desc(), position)
+    ranked = blocks.withColumn("_rank", F.row_number().over(inside)).join(cut, [*by, "_block"])
+    batch = F.size(F.filter("_firsts", lambda first: first["row"] <= F.col("_rank")))
+    placed = ranked.withColumn("_batch", batch)
+    return placed.withColumns({
+        "batch_id": F.col("_offset") + F.col("_batch") - 1,
+        "longest": F.element_at("_firsts", F.col("_batch"))["longest"],
+    }).drop("_block", "_rank", "_firsts", "_offset", "_batch")
+
+
+def padding_share(batched: DataFrame, length: str, by: Sequence[str] = ("split",)) -> DataFrame:
+    """``(by, batches, tokens, padding)``: what padding to the longest of each batch adds to the tokens."""
+    sizes = batched.groupBy(*by, "batch_id").agg(
+        F.sum(length).alias("tokens"), (F.max(length) * F.count(length)).cast("bigint").alias("padded")
+    )
+    return sizes.groupBy(*by).agg(
+        F.count("*").alias("batches"), F.sum("tokens").alias("tokens"), F.sum(F.col("padded") - F.col("tokens")).alias("padding")
+    )

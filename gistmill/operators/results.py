@@ -2,7 +2,7 @@
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,6 +107,28 @@ def with_factors(metrics: DataFrame, factors: DataFrame) -> DataFrame:
     return metrics.join(factors, "name", "left")
 
 
+def adapter_parameters(rank: Column, shapes: Sequence[tuple[int, int]], layers: int) -> Column:
+    """Trainable numbers of low-rank adapters on matrices of ``shapes`` (inputs, outputs) in each of ``layers``."""
+    return (rank * F.lit(layers * sum(inputs + outputs for inputs, outputs in shapes))).cast("bigint")
+
+
+def factors_at(metrics: DataFrame, factors: DataFrame, at: str = "logged_at") -> DataFrame:
+    """Metrics with the factors their run had on the day ``at``.
+
+    A row of ``factors`` holds from ``valid_from`` until the day before ``valid_to``; a null is open. Metrics of days
+    without a valid row keep null factors. Validities of a run that overlap are an error, as are two that start together.
+    """
+    start, end = F.coalesce("valid_from", F.lit("0001-01-01").cast("date")), F.coalesce("valid_to", F.lit("9999-12-31").cast("date"))
+    order = Window.partitionBy("name").orderBy("_from", "_to")
+    earlier = F.max("_to").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    wrong = F.raise_error(F.concat(F.lit("overlapping factors of run "), F.col("name"))).cast("date")
+    spans = factors.withColumns({"_from": start, "_to": end})
+    spans = spans.withColumn("_from", F.when(earlier > F.col("_from"), wrong).otherwise(F.col("_from")))
+    held = spans.drop("valid_from", "valid_to").withColumnRenamed("name", "_run")
+    valid = (F.col("name") == F.col("_run")) & (F.col(at) >= F.col("_from")) & (F.col(at) < F.col("_to"))
+    return metrics.join(held, valid, "left").drop("_run", "_from", "_to")
+
+
 def ablation_table(
     metrics: DataFrame, rows: Sequence[str], variant: str, variants: Sequence[str], scores: Sequence[str] = ("rouge1",)
 ) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,13 +82,35 @@ def encode(
 
 
 def tokenizer_udf(factory: Callable[[], Callable[[str], Sequence[int]]]):
-    """Column function ``text -> array<int>`` from a tokenizer made once per task."""
+    """Column function ``text -> array<bigint>`` from a tokenizer of single texts made once per task."""
+    return batch_tokenizer_udf(lambda: _one_by_one(factory()))
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+
+def _one_by_one(tokenizer: Callable[[str], Sequence[int]]) -> Callable[[list[str]], list[Sequence[int]]]:
+    return lambda texts: [tokenizer(text) for text in texts]
+
+
+def batch_tokenizer_udf(factory: Callable[[], Callable[[list[str]], Sequence[Sequence[int]]]], rows: int = 1024):
+    """Column function ``text -> array<bigint>`` from a tokenizer of lists of texts made once per task.
+
+    The tokenizer gets up to ``rows`` texts a call, no nulls among them, and returns the ids of each, in order;
+    another number of results is an error. A null text has null ids.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
     def tokenize(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokenizer = factory()
         for texts in batches:
-            yield texts.map(lambda text: list(tokenizer(text)))
+            ids = pd.Series([None] * len(texts), dtype=object)
+            there = np.flatnonzero(texts.notna())
+            for at in range(0, len(there), rows):
+                places = there[at:at + rows]
+                found = tokenizer(texts.iloc[places].tolist())
+                if len(found) != len(places):
+                    raise ValueError(f"tokenizer returned {len(found)} results for {len(places)} texts")
+                for place, one in zip(places.tolist(), found):
+                    ids.iat[place] = list(one)
+            yield ids
 
     return tokenize
 
@@ -139,17 +162,19 @@ def training_examples(
 
 
 def pad_batches(
-    batched: DataFrame, pad_id: int, by: Sequence[str] = ("split",), left: bool = False
+    batched: DataFrame, pad_id: int, by: Sequence[str] = ("split",), left: bool = False, longest: str | None = None
 ) -> DataFrame:
     """Pad every example to the longest of its batch: 64-bit ids, mask 0, labels ignored.
 
+    ``longest`` names a column that already says how long that is; without it batches are brought together.
+
     The attention mask is added if it is missing, and labels if there is a prompt length,
     after examples have met their batch: only ids travel.
     """
-    longest = F.max(F.size("input_ids")).over(Window.partitionBy(*by, "batch_id"))
+    together = F.max(F.size("input_ids")).over(Window.partitionBy(*by, "batch_id"))
     pad = arrays.pad_left if left else arrays.pad_right
     fills = {"input_ids": pad_id, "attention_mask": 0, "labels": fx.IGNORED_LABEL}
-    padded = batched.withColumn("_longest", longest)
+    padded = batched.withColumn("_longest", F.col(longest).cast("int") if longest else together)
     if "labels" not in padded.columns and "prompt_length" in padded.columns:
         padded = with_completion_mask(padded, "prompt_length")
     elif "attention_mask" not in padded.columns:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gistmill import fixed_values as fx
 from gistmill.functions.text import word_count
 from gistmill.operators import metrics as m
-from gistmill.operators.ordering import assign_batches, number_rows, shuffle_buckets, shuffled
+from gistmill.operators.ordering import assign_batches, assign_token_batches, number_rows, shuffle_buckets, shuffled
 from gistmill.operators.prepare import prepare_records, split_sizes
 from gistmill.operators.profile import profile_report
 from gistmill.operators.results import mean_output_words, results_table
@@ -61,9 +61,12 @@ def training_batches(
     max_length: int = fx.TRAINING_MAX_LENGTH,
     batch_size: int = fx.BATCH_SIZE,
     seed: int = fx.SHUFFLE_SEED,
+    token_budget: int | None = None,
 ) -> DataFrame:
     """Padded batches of masked examples, in seeded order within each split.
 
+    With a ``token_budget`` batches are of alike lengths and bounded by padded tokens, not by ``batch_size``.
+
     Tokens are shuffled once, cut before and by ranges of the seeded order: encoding and
     numbering share that layout. Batches then take the second shuffle, of ids alone;
     masks and labels are added after it.
@@ -78,6 +81,9 @@ def training_batches(
     )
     order = [F.col("_key"), F.col("id")]
     numbered = number_rows(examples, order, F.col("_bucket"), ["split"], same_rows=keyed).drop("_key")
+    if token_budget is not None:
+        written = materialize(numbered.withColumn("n_tokens", F.size("input_ids")))
+        return pad_batches(assign_token_batches(written, token_budget, "n_tokens"), pad_id, longest="longest")
     return pad_batches(assign_batches(numbered, batch_size), pad_id)
 
 

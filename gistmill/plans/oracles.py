@@ -346,6 +346,17 @@ _CTES["batched"] = f"""
     SELECT *, (position - 1) // {fx.BATCH_SIZE} AS batch_id,
            max(len(ids)) OVER (PARTITION BY split, (position - 1) // {fx.BATCH_SIZE}) - len(ids) AS pad
     FROM examples JOIN positions USING (split, id)"""
+_CTES["ranked"] = """
+    SELECT split, id, position, n, block, row_number() OVER (PARTITION BY split, block ORDER BY n DESC, position) AS rank
+    FROM (SELECT split, id, position, len(ids) AS n, (position - 1) // 1024 AS block FROM examples JOIN positions USING (split, id))"""
+_CTES["in_batches"] = f"""
+    WITH RECURSIVE opened AS (
+        SELECT split, block, rank, n FROM ranked WHERE rank = 1
+        UNION ALL SELECT r.split, r.block, r.rank, r.n FROM opened o JOIN ranked r
+        ON r.split = o.split AND r.block = o.block AND r.rank = o.rank + greatest(1, {fx.BATCH_SIZE * fx.TRAINING_MAX_LENGTH} // greatest(o.n, 1))),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY block, rank) - 1 AS batch_id FROM opened)
+    SELECT r.split, r.id, r.position, b.batch_id, r.n AS tokens, b.n AS padded
+    FROM ranked r ASOF JOIN numbered b ON r.split = b.split AND r.block = b.block AND r.rank >= b.rank"""
 _CTES["prompt_ids"] = f"""
     SELECT split, id, list_slice(list(token_id ORDER BY i), 1, {fx.PROMPT_MAX_LENGTH}) AS ids,
            row_number() OVER (PARTITION BY split ORDER BY min(pos)) AS position
@@ -540,6 +551,17 @@ def all_oracles() -> dict[str, str]:
                 {_text_list(f"list_concat(labels, {_fill('pad', fx.IGNORED_LABEL)})")} AS labels FROM batched""",
             *TOKENS, "examples", "positions", "batched",
         ),
+        "token_batches": _query(
+            """SELECT split, id, position, batch_id, tokens, padded, padded AS labels FROM in_batches""",
+            *TOKENS, "examples", "positions", "ranked", "in_batches",
+        ),
+        "padding_share": _query(
+            f"""SELECT split, kind, count(*) AS batches, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(padded - tokens) AS BIGINT) AS padding
+                FROM (SELECT split, kind, batch_id, sum(n) AS tokens, max(n) * count(*) AS padded
+                      FROM (SELECT split, 'rows' AS kind, (position - 1) // {fx.BATCH_SIZE} AS batch_id, n FROM ranked
+                            UNION ALL SELECT split, 'tokens', batch_id, tokens FROM in_batches) GROUP BY ALL) GROUP BY split, kind""",
+            *TOKENS, "examples", "positions", "ranked", "in_batches",
+        ),
         "pad_prompts": _query(
             f"""SELECT split, id, batch_id, {_text_list(f"list_concat({_fill('pad', 0)}, ids)")} AS input_ids,
                 {_text_list(f"list_concat({_fill('pad', 0)}, {_ones('len(ids)')})")} AS attention_mask
@@ -587,6 +609,18 @@ def all_oracles() -> dict[str, str]:
                                          ('qlora_last_sentence', 'sentence', 'tuned', 8)) f(name, variant, model, rank) USING (name)
                GROUP BY split, model, rank"""
         ),
+        "rank_ablation": _query(
+            """SELECT w.split, w.name, f.model, f.variant, CAST(f.rank AS INTEGER) AS rank, CAST(f.rank AS BIGINT) * 12 * 9088 AS trainable_params,
+                      count(*) AS days, round(max(w.words), 6) AS words
+               FROM (SELECT name, split, day, avg(n) AS words
+                     FROM (SELECT name, split, ('0x' || left(id, 1))::INTEGER % 4 AS day, """ + _words("prediction") + """ AS n FROM runs)
+                     GROUP BY ALL) w
+               LEFT JOIN (VALUES ('extractive_first_sentence', 'sentence', 'extractive', 0, 0, 2), ('lead_20_words', 'words', 'extractive', 0, 0, 9),
+                                 ('qlora_last_sentence', 'sentence', 'tuned', 16, 0, 2), ('qlora_last_sentence', 'sentence', 'tuned', 8, 2, 9)
+                         ) f(name, variant, model, rank, since, until) ON w.name = f.name AND w.day >= f.since AND w.day < f.until
+               GROUP BY ALL""",
+            *CORPUS, "runs",
+        ),
         "papers_scan": _query(
             """SELECT split, count(*) AS n, CAST(sum(len(lines) - 1) AS BIGINT) AS sentences, count(lines) AS summaries
                FROM (SELECT CASE split WHEN 'val' THEN 'validation' ELSE split END AS split, lines FROM raw) GROUP BY split""",
@@ -641,6 +675,8 @@ def all_oracles() -> dict[str, str]:
         ),
         "tokenizer_factory": """SELECT conv_id, turn,
             array_to_string(list_transform(string_split(text, ' '), lambda w: length(w)), ' ') AS input_ids FROM conversations""",
+        "tokenizer_batched": """SELECT doc_id,
+            array_to_string(list_transform(string_split(text, chr(10)), lambda w: length(w) + 1099511627776), ' ') AS input_ids FROM documents""",
         "results_with_deprecated": _results_with_old_run(True),
         "results_without_deprecated": _results_with_old_run(False),
         "metric_long": _on_runs(

@@ -28,6 +28,8 @@ RUN_FACTORS = [
     ("lead_20_words", "words", "extractive", 0),
     ("qlora_last_sentence", "sentence", "tuned", 8),
 ]
+#: (inputs, outputs) of a layer's adapted matrices, and the layers
+ADAPTED, LAYERS = ((512, 512), (512, 128), (512, 128), (512, 512), (512, 1408), (512, 1408), (1408, 512)), 12
 RUN_LABELS = {
     "extractive_first_sentence": "First sentence",
     "qlora_last_sentence": "Last sentence",
@@ -397,6 +399,36 @@ def pad_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TOKEN_BUDGET = fx.BATCH_SIZE * fx.TRAINING_MAX_LENGTH
+
+
+def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training batches bounded by padded tokens: each example's batch, tokens and padded length."""
+    batches = training_batches(inputs.stored_records(spark, sf_dir), token_budget=TOKEN_BUDGET)
+    tokens = F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda total, one: total + one)
+    return batches.select(
+        "split", "id", "position", "batch_id", tokens.alias("tokens"), F.size("input_ids").cast("bigint").alias("padded"),
+        F.size("labels").cast("bigint").alias("labels"),
+    )
+
+
+def padding_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Padding of whole words in batches of rows and in batches of a token budget."""
+    texts = _rendered(inputs.stored_records(spark, sf_dir))
+    words = F.least(text.word_count(F.col("text")), F.lit(fx.TRAINING_MAX_LENGTH))
+    numbered = materialize(o.number_shuffled(texts.select("split", "id", words.alias("n"))))
+    kinds = {"rows": o.assign_batches(numbered, fx.BATCH_SIZE), "tokens": o.assign_token_batches(numbered, TOKEN_BUDGET, "n")}
+    both = [o.padding_share(batched, "n").withColumn("kind", F.lit(kind)) for kind, batched in kinds.items()]
+    return both[0].unionByName(both[1])
+
+
+def tokenizer_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of documents from a tokenizer of lists of texts: here a line's id is its length, beyond 32 bits."""
+    texts = inputs.documents(spark, sf_dir).select("doc_id", "text")
+    lengths = tok.batch_tokenizer_udf(lambda: lambda batch: [[(1 << 40) + len(line) for line in x.split("\n")] for x in batch], rows=64)
+    return texts.select("doc_id", lengths(F.col("text")).alias("input_ids")).select("doc_id", _joined("input_ids"))
+
+
 def pad_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Left-padded prompts in file order, as a generator reads them."""
     records = inputs.stored_records(spark, sf_dir)
@@ -458,6 +490,24 @@ def ablation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(res.variant_deltas(table, "sentence", "words"))
 
 
+def rank_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean output words by the model and adapter rank a run had when it was logged, with its trainable numbers.
+
+    The run dimension is a written table; one run changes its rank on the third of four days.
+    """
+    days = [("2024-01-01", "2024-01-03"), ("2024-01-03", None)]
+    versions = [(*RUN_FACTORS[0][:3], 0, *days[0]), (*RUN_FACTORS[1][:3], 0, None, None), (*RUN_FACTORS[2][:3], 16, *days[0]), (*RUN_FACTORS[2], *days[1])]
+    listed = spark.createDataFrame(versions, "name string, variant string, model string, rank int, valid_from string, valid_to string")
+    folder = new_folder(spark)
+    run_io.write_run_factors(listed.withColumn("trainable_params", res.adapter_parameters(F.col("rank"), ADAPTED, LAYERS)), folder)
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.conv(F.substring("id", 1, 1), 16, 10).cast("int") % 4)
+    logged = res.mean_output_words(inputs.runs(spark, sf_dir).withColumn("logged_at", day), ["name", "split", "logged_at"])
+    known = res.factors_at(logged, run_io.read_run_factors(spark, folder))
+    return _rounded(known.groupBy("split", "name", "model", "variant", "rank", "trainable_params").agg(
+        F.count("*").alias("days"), F.max("words").alias("words")
+    ))
+
+
 def metric_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(res.metric_log(_run_metrics(spark, sf_dir)))
 
@@ -488,10 +538,10 @@ def all_queries() -> dict[str, Query]:
         rouge_by_language, rouge_stemmed, corpus_scores, corpus_scores_stemmed, alignment_check,
         embedding_f1, embedding_f1_shuffled, bootstrap_ci,
         length_profile, compression_ratio, length_histogram,
-        vocab, encode, encode_shuffled, completion_mask, pad_batches, pad_prompts,
+        vocab, encode, encode_shuffled, completion_mask, pad_batches, token_batches, padding_share, pad_prompts,
         papers_scan, records_round_trip, predictions_round_trip, metrics_by_file_name, logged_history, profile_report,
         logged_histories, metric_log_again, split_sizes_file, predictions_by_file_name, attach_bucketed, predict_resumed, sketched_profile,
-        tokenizer_factory, mean_output_words, results_table, results_with_deprecated, results_without_deprecated, run_comparison, dev_test_gap, ablation_table, metric_long,
+        tokenizer_factory, tokenizer_batched, rank_ablation, mean_output_words, results_table, results_with_deprecated, results_without_deprecated, run_comparison, dev_test_gap, ablation_table, metric_long,
         loss_curves, logged_steps, best_checkpoint, retained_checkpoints,
     ]
     queries = {query.__name__: query for query in named}

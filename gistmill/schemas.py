@@ -33,6 +33,16 @@ HISTORY = T.StructType([
     T.StructField("learning_rate", T.DoubleType()),
 ])
 
+RUN_FACTORS = T.StructType([
+    T.StructField("name", T.StringType()),
+    T.StructField("valid_from", T.DateType()),
+    T.StructField("valid_to", T.DateType()),
+    T.StructField("model", T.StringType()),
+    T.StructField("variant", T.StringType()),
+    T.StructField("rank", T.IntegerType()),
+    T.StructField("trainable_params", T.LongType()),
+])
+
 DISPLAY = T.StructType([
     T.StructField("name", T.StringType()),
     T.StructField("label", T.StringType()),

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, StringType
 
 from gistmill.operators.results import metric_log
-from gistmill.schemas import METRICS, PREDICTION
+from gistmill.schemas import METRICS, PREDICTION, RUN_FACTORS
 from gistmill.sources.records import read_json_lines
 
 
@@ -86,3 +86,12 @@ def read_history(spark: SparkSession, path: str, schema: StructType | str | None
     """Exported run histories with the column names the tracker gave them; files of different columns are read together."""
     reader = spark.read.option("mergeSchema", True) if schema is None else spark.read.schema(schema)
     return reader.format(fmt).load(path)
+
+
+def write_run_factors(factors: DataFrame, path: str) -> None:
+    """The run dimension: what each run varied, and when. Columns are cast to their types; a missing one is an error."""
+    factors.select(*[F.col(f.name).cast(f.dataType) for f in RUN_FACTORS.fields]).write.mode("overwrite").parquet(path)
+
+
+def read_run_factors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(RUN_FACTORS).parquet(path)

@@ -1,4 +1,6 @@
 import hashlib
+from collections import Counter
+from random import Random
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,3 +84,46 @@ def test_only_the_last_batch_is_short(spark):
     batched = o.assign_batches(o.number_shuffled(records(spark, 103), by=()), 4)
     sizes = sorted((r.batch_id, r["count"]) for r in batched.groupBy("batch_id").count().collect())
     assert sizes == [(i, 4) for i in range(25)] + [(25, 3)]
+
+
+def brute_batches(lengths, budget, block_rows):
+    """Batch and longest by place: each block's rows from the longest, a batch as large as its first row allows."""
+    found, number = {}, 0
+    for start in range(0, len(lengths), block_rows):
+        rows = sorted(range(start, min(start + block_rows, len(lengths))), key=lambda i: (-lengths[i], i))
+        while rows:
+            longest = lengths[rows[0]]
+            take = max(1, budget // max(longest, 1))
+            found |= {i: (number, longest) for i in rows[:take]}
+            rows, number = rows[take:], number + 1
+    return found
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_token_batches_equal_brute_force(spark, partitions):
+    random = Random(5)
+    # a block of one row, equal lengths, empty rows, and a row beyond the budget
+    lengths = [random.choice([0, 1, 3, 3, 8, 30, 70]) for _ in range(201)]
+    rows = spark.createDataFrame([("s", i + 1, n) for i, n in enumerate(lengths)], "split string, position long, n int")
+    batched = o.assign_token_batches(rows.repartition(partitions), 60, "n", block_rows=50).collect()
+    assert {r.position - 1: (r.batch_id, r.longest) for r in batched} == brute_batches(lengths, 60, 50)
+    sizes = Counter(r.batch_id for r in batched)
+    assert sorted(sizes) == list(range(len(sizes)))
+    assert all(sizes[r.batch_id] * r.longest <= 60 or sizes[r.batch_id] == 1 for r in batched)
+
+
+def test_token_batches_of_missing_lengths_splits_and_no_rows(spark):
+    schema = "split string, position long, n int"
+    rows = spark.createDataFrame([("a", 1, None), ("a", 2, 5), ("b", 1, 5), ("b", 2, 5)], schema)
+    found = {(r.split, r.position): (r.batch_id, r.longest) for r in o.assign_token_batches(rows, 5, "n").collect()}
+    assert found == {("a", 2): (0, 5), ("a", 1): (1, 0), ("b", 1): (0, 5), ("b", 2): (1, 5)}
+    empty = o.assign_token_batches(spark.createDataFrame([], schema), 5, "n")
+    assert empty.columns == ["split", "position", "n", "batch_id", "longest"] and not empty.collect()
+
+
+def test_token_batches_pad_less(spark):
+    random = Random(6)
+    rows = spark.createDataFrame([("s", i + 1, int(random.expovariate(0.02)) + 1) for i in range(2000)], "split string, position long, n int")
+    by_rows = o.padding_share(o.assign_batches(rows, 8), "n").first()
+    by_tokens = o.padding_share(o.assign_token_batches(rows, 1000, "n"), "n").first()
+    assert by_rows.tokens == by_tokens.tokens and by_tokens.padding * 5 < by_rows.padding

@@ -1,8 +1,12 @@
+import datetime as dt
+
 import pytest
+from pyspark.sql import functions as F
 
 from gistmill.operators import history as h
 from gistmill.operators import results as res
-from gistmill.schemas import METRICS
+from gistmill.schemas import METRICS, RUN_FACTORS
+from gistmill.sources import runs as run_io
 
 PUBLISHED = {
     ("extractive_first_sentence", "test"): (0.259, 0.093, 0.201, 0.636),
@@ -199,3 +203,45 @@ def test_each_run_has_its_own_names(spark):
         h.canonical_history(spark.createDataFrame([("d", None, 2.0)], "run_id string, step long, loss double")).collect()
     alone = h.canonical_history(df.filter("run_id = 'b'").drop("run_id"))
     assert {tuple(r) for r in alone.collect()} == {(1, 3.0, None), (2, 4.0, None)}
+
+
+#: matrices of a layer that the adapters of the published runs change: inputs, outputs
+PUBLISHED_SHAPES = [(3072, 3072), (3072, 1024), (3072, 1024), (3072, 3072), (3072, 8192), (3072, 8192), (8192, 3072)]
+
+
+def test_rank_table_from_the_run_dimension(spark, tmp_path):
+    runs = spark.createDataFrame(
+        [(f"qlora_3b_r{r}", None, None, "3B", "neutral", r) for r in (8, 16)],
+        "name string, valid_from string, valid_to string, model string, variant string, rank long",
+    )
+    path = str(tmp_path / "factors")
+    run_io.write_run_factors(runs.withColumn("trainable_params", res.adapter_parameters(F.col("rank"), PUBLISHED_SHAPES, 28)), path)
+    factors = run_io.read_run_factors(spark, path)
+    assert factors.schema == RUN_FACTORS
+    metrics = metrics_of(spark, PUBLISHED).filter("split = 'val' and name like 'qlora%'").withColumn("logged_at", F.lit("2024-05-01").cast("date"))
+    table = res.factors_at(metrics, factors).orderBy("rank").collect()
+    assert [(r["rank"], round(r.trainable_params / 1e6, 2), r.rouge1, r.rouge2, r.rougeL, r.bertscore_f1) for r in table] == [
+        (8, 12.16, 0.404, 0.184, 0.333, 0.712), (16, 24.31, 0.402, 0.183, 0.333, 0.711),
+    ]
+
+
+def factor_rows(spark, rows):
+    date = lambda day: day and dt.date(2024, 1, day)
+    return spark.createDataFrame([(n, date(a), date(b), "m", "v", r, 0) for n, a, b, r in rows], RUN_FACTORS)
+
+
+def test_factors_hold_from_their_first_day_to_the_day_before_their_end(spark):
+    factors = factor_rows(spark, [("a", 2, 4, 8), ("a", 4, None, 16), ("b", None, 3, 4)])
+    days = [("a", d) for d in (1, 2, 3, 4, 9)] + [("b", 2), ("b", 3), ("c", 2)]
+    logged = spark.createDataFrame([(n, dt.date(2024, 1, d)) for n, d in days], "name string, logged_at date")
+    found = {(r.name, r.logged_at.day): r["rank"] for r in res.factors_at(logged, factors).collect()}
+    assert found == {
+        ("a", 1): None, ("a", 2): 8, ("a", 3): 8, ("a", 4): 16, ("a", 9): 16, ("b", 2): 4, ("b", 3): None, ("c", 2): None,
+    }
+
+
+@pytest.mark.parametrize("rows", [[("a", 1, 5, 8), ("a", 4, None, 16)], [("a", None, None, 8), ("a", 4, 5, 16)], [("a", 2, 3, 8), ("a", 2, 3, 16)]])
+def test_overlapping_factors_are_an_error(spark, rows):
+    logged = spark.createDataFrame([("a", dt.date(2024, 1, 4))], "name string, logged_at date")
+    with pytest.raises(Exception, match="overlapping factors of run a"):
+        res.factors_at(logged, factor_rows(spark, rows)).collect()

@@ -252,6 +252,44 @@ def test_pluggable_tokenizer(corpus):
     assert row.attention_mask == [1] * len(row.input_ids)
 
 
+def counting_tokenizer():
+    def tokenize(texts):
+        assert None not in texts and 0 < len(texts) <= 3
+        return [[len(texts), 1 << 40, *map(ord, text)] for text in texts]
+
+    return tokenize
+
+
+def test_list_tokenizer_gets_lists_without_nulls(spark):
+    values = ["a", None, "bc", "", None, "d", "e"]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, x string").coalesce(1)
+    ids = {r.i: r.ids for r in rows.select("i", tok.batch_tokenizer_udf(counting_tokenizer, rows=3)(F.col("x")).alias("ids")).collect()}
+    assert ids == {
+        0: [3, 1 << 40, 97], 1: None, 2: [3, 1 << 40, 98, 99], 3: [3, 1 << 40], 4: None, 5: [2, 1 << 40, 100], 6: [2, 1 << 40, 101],
+    }
+
+
+def test_list_tokenizer_must_answer_each_text(spark):
+    short = tok.batch_tokenizer_udf(lambda: lambda texts: [[1]] * (len(texts) - 1))
+    with pytest.raises(Exception, match="tokenizer returned"):
+        spark.createDataFrame([("a",)], "x string").select(short(F.col("x"))).collect()
+
+
+def test_token_budget_batches_invariants(corpus):
+    plain = {r.id: r for r in training_batches(corpus, pad_id=0, max_length=50).collect()}
+    rows = training_batches(corpus, pad_id=0, max_length=50, token_budget=150).collect()
+    assert {r.id for r in rows} == set(plain)
+    batches = {}
+    for r in rows:
+        batches.setdefault(r.batch_id, []).append(r)
+        n = sum(r.attention_mask)
+        assert r.input_ids[:n] == plain[r.id].input_ids[:n] and r.labels[:n] == plain[r.id].labels[:n]
+        assert r.input_ids[n:] == [0] * (len(r.input_ids) - n) and len(r.labels) == len(r.attention_mask) == len(r.input_ids)
+    for batch in batches.values():
+        longest = max(sum(r.attention_mask) for r in batch)
+        assert {len(r.input_ids) for r in batch} == {longest} and longest * len(batch) <= 150
+
+
 def test_prompt_longer_than_the_limit_leaves_nothing_to_learn(corpus):
     examples = tok.training_examples(corpus, tokenize=tok.tokenizer_udf(char_tokenizer), max_length=20)
     assert all(set(r.labels) == {fx.IGNORED_LABEL} and len(r.labels) == 20 for r in examples.collect())
