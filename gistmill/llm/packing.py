@@ -2,8 +2,8 @@
 
 The lengths' histogram, at most one row for each possible length, is all the driver sees. A
 linear program over configurations (multisets of lengths that fit a sequence) is solved by
-multiplicative weights, priced by dynamic programming over the capacity, and rounded down
-level by level; a bounded rest is packed by best fit. The plan maps (length, rank among the pieces
+multiplicative weights, priced by dynamic programming over the capacity, and rounded down;
+the rest is packed by best fit, many equal sequences at a time. The plan maps (length, rank among the pieces
 of that length) to a place, so pieces find theirs without meeting each other.
 """
 
@@ -89,23 +89,37 @@ def solve(counts: np.ndarray, capacity: int, rate: float = 1.0, memory: float =
 
 
 def _best_fit(counts: np.ndarray, capacity: int) -> Plan:
-    """Longest first, each piece into the fullest sequence that has room."""
-    open_: list[list[list[int]]] = [[] for _ in range(capacity + 1)]
+    """Longest first, each piece into the fullest sequence that has room.
+
+    Sequences of equal content are held together with their number, and pieces of a length are placed in all of them
+    at once: a sequence that got a piece is the fullest with room as long as another fits. The work depends on the lengths, not on the counts.
+    """
+    open_: list[list[tuple[tuple, int]]] = [[] for _ in range(capacity + 1)]
+    open_[capacity] = [((), int(counts.sum()))]
     rooms = np.zeros(capacity + 1, bool)
+    rooms[capacity] = True
+
+    def put(room: int, content: tuple, times: int) -> None:
+        open_[room].append((content, times))
+        rooms[room] = True
+
     for length in np.flatnonzero(counts)[::-1].tolist():
-        for _ in range(int(counts[length])):
-            later = rooms[length:]
-            room = length + int(later.argmax())
-            if rooms[room]:
-                content = open_[room].pop()
-                rooms[room] = bool(open_[room])
-            else:
-                room, content = capacity, []
-            content.append(length)
-            open_[room - length].append(content)
-            rooms[room - length] = True
-    packed = Counter(tuple(sorted(Counter(x).items(), reverse=True)) for row in open_ for x in row)
-    return list(packed.items())
+        left = int(counts[length])
+        while left:
+            room = length + int(rooms[length:].argmax())
+            content, times = open_[room].pop()
+            rooms[room] = bool(open_[room])
+            most = room // length
+            whole = min(times, left // most)
+            if whole:
+                put(room - most * length, (*content, (length, most)), whole)
+                left -= whole * most
+            if whole < times and left:
+                put(room - left * length, (*content, (length, left)), 1)
+                whole, left = whole + 1, 0
+            if whole < times:
+                put(room, content, times - whole)
+    return [(content, times) for row in open_ for content, times in row if content]
 
 
 def _round(uses: dict, left: np.ndarray, taken: float) -> Plan:
@@ -124,34 +138,29 @@ def _round(uses: dict, left: np.ndarray, taken: float) -> Plan:
 
 
 def plan_sequences(
-    counts: np.ndarray, capacity: int, by_fit: int = 100_000, shares: tuple[float, ...] = (0.9, 0.6, 0.3)
+    counts: np.ndarray, capacity: int, shares: tuple[float, ...] = (1.0, 0.9, 0.6, 0.3, 0.0)
 ) -> tuple[Plan, float]:
     """Configurations ((length, copies), ...) with how often each is used, and a lower bound on the sequences.
 
-    ``counts[l]``: pieces of length ``l``. The linear program is rounded taking each of ``shares`` of its
-    uses, and the plan of fewest sequences wins. What a level leaves is solved anew while it is more than
-    ``by_fit`` pieces, and else packed by best fit. If a level takes too little, a best-fit packing of an
-    equal part of each length is used as often as there are parts, and what is left over packed by best fit.
+    ``counts[l]``: pieces of length ``l``. The linear program is solved and rounded taking each of ``shares`` of its uses;
+    what that leaves is packed by best fit, at once and after a second program for it, and the plan of fewest sequences
+    wins. A share of 0 is best fit alone, so that the plan never loses to it. Counts of any size take the same steps.
     """
     counts = counts.copy()
     full, counts[capacity] = int(counts[capacity]), 0
     whole: Plan = [(((capacity, 1),), full)] if full else []
     if not counts.any():
         return whole, float(full)
-    first, bound = solve(counts, capacity)
+    uses, bound = solve(counts, capacity)
     bound = max(np.ceil(bound - 1e-6), np.ceil((counts @ np.arange(capacity + 1)) / capacity))
     plans = []
     for share in shares:
         left = counts.copy()
-        plan, before = _round(first, left, share), counts.sum()
-        while left.sum() > by_fit and left.sum() <= 0.95 * before:
-            before = left.sum()
-            plan += _round(solve(left, capacity)[0], left, share)
-        if left.sum() > by_fit:
-            parts = int(-(-left.sum() // by_fit))
-            plan += [(row, times * parts) for row, times in _best_fit(left // parts, capacity)]
-            left = left % parts
+        plan = _round(uses, left, share) if share else []
         plans.append(plan + _best_fit(left, capacity))
+        if 0 < share < 1 and left.any():
+            second = _round(solve(left, capacity)[0], left, share)
+            plans.append(plan + second + _best_fit(left, capacity))
     return whole + min(plans, key=lambda x: sum(times for _, times in x)), float(full + bound)
 
 
@@ -211,7 +220,7 @@ def pack_sequences(
 
     Pieces are numbered within their length in buckets of hashed ids, lifted by the counts of
     earlier buckets, so that a very common length is numbered in many tasks. The plan is
-    broadcast; its size depends on the capacity and the plan's limits, not on the corpus.
+    broadcast; its size depends on the capacity, not on the corpus.
 
     Null or empty text is one piece with ``end_id`` alone. Null and repeated ids are kept: every
     row is packed. No rows in, no rows out.

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 from gistmill.llm.bpe import BytePairs, WordCache, encode_digests, encode_texts
 from gistmill.llm.fertility import fertility_rules
-from gistmill.llm.packing import pack_sequences, plan_sequences
+from gistmill.llm.packing import _best_fit, pack_sequences, plan_sequences
 from gistmill.llm.words import Words, text_bytes
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -101,17 +101,47 @@ def _used(plan, capacity):
     return used
 
 
-@pytest.mark.parametrize("by_fit", [10, 500, 100_000])
-def test_plans_use_every_piece_and_come_near_the_bound(by_fit):
+@pytest.mark.parametrize("times", [1, 40, 10_000_000])
+def test_plans_use_every_piece_and_come_near_the_bound(times):
     rng = np.random.default_rng(3)
     for lengths in (rng.integers(1, 200, 3000), rng.choice([60, 70, 90, 130], 3000), np.full(5000, 67), np.array([200, 1, 199])):
-        counts = np.bincount(lengths, minlength=201)
-        plan, bound = plan_sequences(counts, 200, by_fit)
+        counts = np.bincount(lengths, minlength=201) * times
+        plan, bound = plan_sequences(counts, 200)
         assert (_used(plan, 200) == counts).all()
         n = sum(times for _, times in plan)
         assert bound <= n <= 1.03 * bound + 2
 
 
+def _one_by_one(counts, capacity):
+    """Rooms left by best fit of single pieces, longest first."""
+    rooms = []
+    for length in np.flatnonzero(counts)[::-1].tolist():
+        for _ in range(counts[length]):
+            fitting = [room for room in rooms if room >= length]
+            if fitting:
+                rooms.remove(min(fitting))
+            rooms.append(min(fitting, default=capacity) - length)
+    return sorted(rooms)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_best_fit_of_groups_equals_best_fit_of_single_pieces(seed):
+    rng = np.random.default_rng(seed)
+    capacity = int(rng.integers(5, 80))
+    counts = np.bincount(rng.integers(1, capacity + 1, 150) if seed % 2 else rng.choice(rng.integers(1, capacity + 1, 4), 150), minlength=capacity + 1)
+    plan = _best_fit(counts, capacity)
+    assert (_used(plan, capacity) == counts).all()
+    assert sorted(capacity - sum(x * k for x, k in content) for content, times in plan for _ in range(times)) == _one_by_one(counts, capacity)
+    more = _best_fit(counts * 10**9, capacity)
+    assert (_used(more, capacity) == counts * 10**9).all() and len(more) < 1000
+
+
+def test_a_plan_never_loses_to_best_fit():
+    for seed in range(6):
+        counts = np.bincount(np.random.default_rng(seed).integers(30, 70, 400), minlength=101)
+        assert sum(t for _, t in plan_sequences(counts, 100)[0]) <= sum(t for _, t in _best_fit(counts, 100))
+
+
 def test_bound_is_exact_where_two_pieces_fit():
     counts = np.bincount([67] * 30, minlength=101)
     plan, bound = plan_sequences(counts, 100)
