@@ -122,11 +122,8 @@ def _members(reps: DataFrame, parts: int) -> DataFrame:
             yield _links(keys, owner, new, schema)
             keys, owner = keys[new], owner[new]
             order, cuts = tables.deal((keys % np.uint64(parts)).astype(np.int64), parts)
-            body = [
-                keys[order[a:b]].tobytes() + owner[order[a:b]].tobytes() if b > a else None
-                for a, b in zip(cuts[:-1], cuts[1:])
-            ]
-            sent = [(p, x) for p, x in enumerate(body) if x]
+            keys, owner = keys[order], owner[order]
+            sent = tables.dealt_bodies(lambda a, b: keys[a:b].tobytes() + owner[a:b].tobytes(), cuts)  # noqa: B023
             yield _rows(schema, part=[p for p, _ in sent], body=[x for _, x in sent])
 
     def meet(table: pa.Table) -> pa.Table:
@@ -247,10 +244,10 @@ def _shared_counts(docs: DataFrame, width: int) -> DataFrame:
         order, cuts = tables.deal((values >> np.uint64(40)).astype(np.int64) % count, count)
         return values, of.ravel(), times, order, cuts
 
-    def emit(batch: pa.RecordBatch) -> list[bytes]:
+    def emit(batch: pa.RecordBatch) -> list[tuple[int, bytes]]:
         values, _, _, order, cuts = dealt(batch)
         short = values[order].astype("<u4")
-        return [short[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+        return tables.dealt_bodies(lambda a, b: short[a:b].tobytes(), cuts)
 
     def settle(askers: np.ndarray, bodies: list[bytes]) -> list[bytes]:
         parts = [np.frombuffer(body, "<u4") for body in bodies]

@@ -33,10 +33,10 @@ class _Windows:
         self.seeds, self.seed_of = np.unique(least[first], return_inverse=True)
         self.seed_order, self.seed_cuts = tables.deal(_part(self.seeds, count), count)
 
-    def seed_questions(self) -> list[bytes]:
-        """For each part five bytes of each seed."""
+    def seed_questions(self) -> list[tuple[int, bytes]]:
+        """For each part that gets any, five bytes of each seed."""
         low = _bytes(self.seeds[self.seed_order], 5)
-        return [low[a:b].tobytes() for a, b in zip(self.seed_cuts[:-1], self.seed_cuts[1:])]
+        return tables.dealt_bodies(lambda a, b: low[a:b].tobytes(), self.seed_cuts)
 
     def extend(self, answers: list[dict] | None) -> None:
         """Deal the windows whose seed another block holds by their own hash."""
@@ -46,25 +46,23 @@ class _Windows:
         order, self.cuts = tables.deal(_part(self.full[self.first[by_place]], self.count), self.count)
         self.sent = by_place[order]
 
-    def questions(self) -> list[bytes]:
-        """For each part: ids as steps with run lengths, ten bytes of hashes of each window."""
-        out = []
+    def questions(self) -> list[tuple[int, bytes]]:
+        """For each part that gets any: ids as steps with run lengths, ten bytes of hashes of each window."""
         more = window_hashes(mix(self.hashes ^ _OTHER), self.window)[self.at]
-        for a, b in zip(self.cuts[:-1], self.cuts[1:]):
-            if a == b:
-                out.append(b"")
-                continue
+
+        def body(a: int, b: int) -> bytes:
             chosen = self.sent[a:b]
             ids, id_runs = _runs(self.owner[chosen])
             # ids ascend, null ids (the largest) come last: steps are small
             steps = np.diff(ids.view(np.uint64))
             wide = int(len(steps) and steps.max() >= 1 << 32)
             sizes = np.array([len(ids), b - a, ids[0], wide], "<i8")
-            out.append(b"".join([
+            return b"".join([
                 sizes.tobytes(), steps.astype("<u8" if wide else "<u4").tobytes(), id_runs.tobytes(),
                 self.full[self.first[chosen]].astype("<u8").tobytes(), _bytes(more[self.first[chosen]], 2).tobytes(),
-            ]))
-        return out
+            ])
+
+        return tables.dealt_bodies(body, self.cuts)
 
     def repeated(self, answers: list[dict] | None) -> np.ndarray:
         """For each window, whether a smaller id has it, in this block or in another."""
@@ -175,7 +173,7 @@ def substring_dedup(
         found.extend(known)
         return found
 
-    def seeds(batch: pa.RecordBatch) -> list[bytes]:
+    def seeds(batch: pa.RecordBatch) -> list[tuple[int, bytes]]:
         return _Windows(batch, id_column, text_column, window, count).seed_questions()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

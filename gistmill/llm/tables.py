@@ -185,33 +185,82 @@ def deal(parts: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[0], np.cumsum(np.bincount(parts, minlength=count))])
 
 
+def dealt_bodies(body_of: Callable[[int, int], bytes], cuts: np.ndarray) -> list[tuple[int, bytes]]:
+    """(part, its bytes) for each part that gets something; ``body_of`` gives those of a range of dealt items."""
+    full = np.flatnonzero(np.diff(cuts))
+    return [(part, body_of(a, b)) for part, a, b in zip(full.tolist(), cuts[full].tolist(), cuts[full + 1].tolist())]
+
+
+#: A block sends at most this many messages, however many parts there are; a task between blocks and parts gets about so many bytes.
+ROUTES, TASK_BYTES = 1024, 32 << 20
+
+
 def exchange_blocks(
     blocks: DataFrame,
     count: int,
-    emit: Callable[..., list[bytes]],
+    emit: Callable[..., list[tuple[int, bytes]]],
     settle: Callable[[np.ndarray, list[bytes]], list[bytes]],
     keep: bool = False,
+    part_bytes: int = 8 << 20,
+    routes: int = ROUTES,
 ) -> DataFrame:
     """One round of questions from all blocks to ``count`` parts, and the answers by block.
 
-    ``emit(rows)`` returns a part's bytes for each part (empty: nothing asked). ``settle(blocks,
+    ``emit(rows)`` returns (part, bytes) for each part that is asked something, by ascending part. ``settle(blocks,
     asked)`` sees all that was asked of one part and returns an answer for each block. A part
     holds hash values dealt evenly, each at most once from every block, so that frequent
     values are no larger than others. Columns: ``block``, ``payload``, ``answers`` (array of
     part and answer; null if the block asked nothing). For another round these may be asked
     again with ``answers`` renamed to ``known``, which ``emit`` gets too; ``keep`` writes the answers once for it.
+
+    With more parts than ``routes``, neighbouring parts share a route: a block sends one message a route, askers of a route are dealt into
+    buckets (of about ``TASK_BYTES``, by ``part_bytes``, the size of what a part is asked), and a bucket sends one message to each of its parts.
+    Answers return the same way. So messages grow as the corpus does, not as blocks times parts. What a part sees is the same.
     """
     known = [x for x in ("known",) if x in blocks.columns]
+    direct = count <= routes
+    subs = -(-count // routes)
+    buckets = -(-subs * part_bytes // TASK_BYTES)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def questions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
         for batch in batches:
             for block, payload, *more in zip(batch.column("block").to_pylist(), *[batch.column(x) for x in ("payload", *known)]):
-                asked = [(part, body) for part, body in enumerate(emit(unpack(payload.as_buffer()), *[x.as_py() for x in more])) if body]
-                yield pa.RecordBatch.from_pydict({
-                    "part": pa.array([part for part, _ in asked], pa.int32()),
-                    "asker": pa.array([block] * len(asked), pa.int64()),
-                    "body": pa.array([body for _, body in asked], pa.binary()),
-                })
+                yield block, emit(unpack(payload.as_buffer()), *[x.as_py() for x in more])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, asked in questions(batches):
+            yield pa.RecordBatch.from_pydict({
+                "part": pa.array([part for part, _ in asked], pa.int32()),
+                "asker": pa.array([block] * len(asked), pa.int64()),
+                "body": pa.array([body for _, body in asked], pa.binary()),
+            })
+
+    def ask_routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, asked in questions(batches):
+            parts = np.array([part for part, _ in asked], np.int64)
+            begin = np.flatnonzero(np.diff(parts // subs, prepend=-1))
+            cuts = pa.array(np.append(begin, len(parts)), pa.int32())
+            yield pa.RecordBatch.from_pydict({
+                "route": pa.array(parts[begin] // subs, pa.int32()), "asker": pa.array([block] * len(begin), pa.int64()),
+                "parts": pa.ListArray.from_arrays(cuts, pa.array(parts, pa.int32())),
+                "bodies": pa.ListArray.from_arrays(cuts, pa.array([body for _, body in asked], pa.binary())),
+            })
+
+    def gather(table: pa.Table) -> pa.Table:
+        """What a bucket of a route's askers asks, by part."""
+        table = table.sort_by("asker").combine_chunks()
+        parts, bodies = table.column("parts").combine_chunks(), table.column("bodies").combine_chunks()
+        asker = np.repeat(table.column("asker").to_numpy(), np.asarray(parts.value_lengths()))
+        part = parts.flatten().to_numpy()
+        order = np.argsort(part, kind="stable")
+        begin = np.flatnonzero(np.diff(part[order], prepend=-1))
+        cuts = pa.array(np.append(begin, len(part)), pa.int32())
+        return pa.table({
+            "part": pa.array(part[order][begin], pa.int32()),
+            "bucket": pa.array(np.full(len(begin), table.column("bucket")[0].as_py()), pa.int32()),
+            "askers": pa.ListArray.from_arrays(cuts, pa.array(asker[order], pa.int64())),
+            "bodies": pa.ListArray.from_arrays(cuts, bodies.flatten().take(pa.array(order))),
+        })
 
     def answer(table: pa.Table) -> pa.Table:
         table = table.sort_by("asker")
@@ -223,9 +272,47 @@ def exchange_blocks(
             "answer": pa.array(replies, pa.binary()),
         })
 
-    questions = in_arrow(blocks.select("block", "payload", *known), ask, "part int, asker long, body binary")
-    answered = groups_in_arrow(questions, ["part"], answer, "asker long, part int, answer binary")
-    replies = answered.groupBy("asker").agg(F.collect_list(F.struct("part", "answer")).alias("answers"))
+    def answer_buckets(table: pa.Table) -> pa.Table:
+        lists = table.column("askers").combine_chunks()
+        sizes, part = np.asarray(lists.value_lengths()), table.column("part")[0].as_py()
+        asked = pa.table({
+            "part": pa.array(np.full(int(sizes.sum()), part), pa.int32()), "asker": lists.flatten(),
+            "place": pa.array(np.arange(int(sizes.sum()))), "body": table.column("bodies").combine_chunks().flatten(),
+        }).sort_by("asker")
+        replies = settle(asked.column("asker").to_numpy(), [x.as_buffer() for x in asked.column("body")])
+        back = np.argsort(asked.column("place").to_numpy())
+        cuts = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        return pa.table({
+            "route": pa.array(np.full(len(table), part // subs), pa.int32()), "bucket": table.column("bucket"),
+            "part": table.column("part"), "askers": lists,
+            "replies": pa.ListArray.from_arrays(cuts, pa.array(replies, pa.binary()).take(pa.array(back))),
+        })
+
+    def scatter(table: pa.Table) -> pa.Table:
+        """A bucket's answers by asker."""
+        table = table.combine_chunks()
+        askers, told = table.column("askers").combine_chunks(), table.column("replies").combine_chunks()
+        asker = askers.flatten().to_numpy()
+        part = np.repeat(table.column("part").to_numpy(), np.asarray(askers.value_lengths()))
+        order = np.lexsort((part, asker))
+        begin = np.flatnonzero(np.append(True, asker[order][1:] != asker[order][:-1]))
+        entries = pa.StructArray.from_arrays([pa.array(part[order], pa.int32()), told.flatten().take(pa.array(order))], ["part", "answer"])
+        return pa.table({
+            "asker": pa.array(asker[order][begin]),
+            "answers": pa.ListArray.from_arrays(pa.array(np.append(begin, len(asker)), pa.int32()), entries),
+        })
+
+    asking = blocks.select("block", "payload", *known)
+    if direct:
+        answered = groups_in_arrow(in_arrow(asking, ask, "part int, asker long, body binary"), ["part"], answer, "asker long, part int, answer binary")
+        replies = answered.groupBy("asker").agg(F.collect_list(F.struct("part", "answer")).alias("answers"))
+    else:
+        routed = in_arrow(asking, ask_routes, "route int, asker long, parts array<int>, bodies array<binary>")
+        routed = routed.withColumn("bucket", F.pmod(F.xxhash64("asker"), F.lit(buckets)).cast("int"))
+        gathered = groups_in_arrow(routed, ["route", "bucket"], gather, "part int, bucket int, askers array<long>, bodies array<binary>")
+        answered = groups_in_arrow(gathered, ["part"], answer_buckets, "route int, bucket int, part int, askers array<long>, replies array<binary>")
+        scattered = groups_in_arrow(answered, ["route", "bucket"], scatter, "asker long, answers array<struct<part:int,answer:binary>>")
+        replies = scattered.groupBy("asker").agg(F.flatten(F.collect_list("answers")).alias("answers"))
     if keep:
         replies = stored(replies)
     return blocks.join(replies, F.col("block") == F.col("asker"), "left").select("block", "payload", *known, "answers")

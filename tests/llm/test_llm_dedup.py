@@ -1,16 +1,25 @@
 """Substring, line and near-duplicate removal against brute force."""
 
+import json
+import sys
+from collections import Counter
+
 import brute
 import numpy as np
 import pyarrow as pa
 import pytest
 from cases import awkward, corpus, frame, kept_columns
+from pyspark import cloudpickle
 
 from gistmill.llm import substring_dedup as sd
+from gistmill.llm import tables
 from gistmill.llm.line_dedup import line_dedup
 from gistmill.llm.near_dedup import components, near_duplicates
 from gistmill.llm.substring_dedup import substring_dedup
 
+# functions below are not importable on the workers
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 @pytest.mark.parametrize("window", [2, 7, 13])
 def test_substrings(spark, window):
@@ -93,13 +102,64 @@ def _rounds(texts, count=8):
                     answers[k].append({"part": part, "answer": answer})
         return answers
 
-    first = [b.seed_questions() for b in blocks]
+    def every_part(asked):
+        assert all(body for _, body in asked) and [part for part, _ in asked] == sorted({part for part, _ in asked})
+        return [dict(asked).get(part, b"") for part in range(count)]
+
+    first = [every_part(b.seed_questions()) for b in blocks]
     for block, known in zip(blocks, ask(first, sd._settle_seeds)):
         block.extend(known)
-    second = [b.questions() for b in blocks]
+    second = [every_part(b.questions()) for b in blocks]
     return first, second, [b.repeated(a) for b, a in zip(blocks, ask(second, sd._settle))]
 
 
+def _held_by(askers, bodies):
+    """For each value of each asker, how many askers hold it, and the asker."""
+    values = [np.frombuffer(b, np.int64) for b in bodies]
+    held = Counter(np.concatenate(values).tolist())
+    return [json.dumps([int(asker), *[held[v] for v in x.tolist()]]).encode() for asker, x in zip(askers, values)]
+
+
+@pytest.mark.parametrize("routes, part_bytes", [(7, 1), (7, 32 << 20), (50, 8 << 20), (999, 3 << 20)])
+def test_routes_bring_what_parts_say_to_who_asked(spark, routes, part_bytes):
+    count = 1000
+    docs = spark.createDataFrame([(i, " ".join(str((i * k) ** 2 % 4001) for k in range(1, 40))) for i in range(120)] + [(500, None), (501, "")], "doc_id long, text string")
+    blocks = tables.packed_blocks(docs.repartition(5), "doc_id", "text", limit=400)
+
+    def emit(batch):
+        values = np.unique([int(x) for text in batch.column("text").to_pylist() for x in (text or "").split()]).astype(np.int64)
+        order, cuts = tables.deal(values * 7919 % count, count)
+        return tables.dealt_bodies(lambda a, b: values[order][a:b].tobytes(), cuts)
+
+    def told(routes):
+        rows = tables.exchange_blocks(blocks, count, emit, _held_by, part_bytes=part_bytes, routes=routes).select("block", "answers").collect()
+        return {r.block: {x.part: json.loads(bytes(x.answer)) for x in r.answers or []} for r in rows}
+
+    direct = told(count)
+    assert told(routes) == direct and len(direct) > 20
+    assert all(answer[0] == block for block, answers in direct.items() for answer in answers.values())
+    assert max(n for answers in direct.values() for answer in answers.values() for n in answer[1:]) > 10
+
+
+@pytest.mark.parametrize("operator", ["substring", "near"])
+def test_many_parts_give_the_same_result(spark, monkeypatch, operator):
+    rows = corpus() + awkward()
+    monkeypatch.setattr(tables, "parts_for", lambda *_, **__: 5_000)
+    if operator == "substring":
+        found = substring_dedup(frame(spark, rows)).select("doc_id", "n_words", "n_removed", "kept_sha256", "text").collect()
+        assert sorted(map(tuple, found), key=str) == sorted(brute.substrings(rows, 13), key=str)
+    else:
+        assert {tuple(r) for r in near_duplicates(frame(spark, rows)).collect()} == brute.near_components(rows)
+
+
+def test_a_block_sends_few_messages_whatever_the_parts():
+    text = " ".join(f"w{k}" for k in range(40_000))
+    block = sd._Windows(pa.record_batch({"id": pa.array([1], pa.int64()), "text": [text]}), "id", "text", 13, 100_000)
+    parts = [part for part, _ in block.seed_questions()]
+    subs = -(-100_000 // tables.ROUTES)
+    assert len(parts) > 4 * tables.ROUTES and len({part // subs for part in parts}) <= tables.ROUTES
+
+
 def test_a_hot_seed_goes_to_many_parts():
     passage = " ".join(f"s{k}" for k in range(12))
     texts = [" ".join(f"{i}a{k}" for k in range(6)) + f" {passage} " + " ".join(f"{i}b{k}" for k in range(6)) for i in range(300)]
