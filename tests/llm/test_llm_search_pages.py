@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gistmill.llm import tables, vector_search
 from gistmill.llm.main_text import main_text, page_text
 from gistmill.llm.vector_search import top_k
 
@@ -45,6 +46,39 @@ def test_top_k(spark, blocks):
     assert top_k(df.limit(0), F.col("vec_id") % 10 == 0).collect() == []
 
 
+def test_top_k_with_ties_repeats_and_stripes(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.integers(-2, 3, 4) / 64).tolist()) for i in range(150)]
+    rows += [(i, [0.0] * 4) for i in (0, 10, 20, 151, 152)] + [(7, [0.5, 0.0, 0.0, 0.0]), (7, [0.0, 0.5, 0.0, 0.0]), (30, [0.25] * 4), (30, [-0.25] * 4)]
+    rows += [(40, [0.25] * 4)] * 30 + rows * 2
+    df = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], SCHEMA).repartition(4)
+    found = top_k(df, F.col("vec_id") % 10 == 0, 6, block_rows=12, query_rows=3, stripe_blocks=3, group_blocks=2)
+    assert sorted(map(tuple, found.collect())) == brute(rows, 10, 6)
+
+
+def test_exact_vectors_are_read_late(spark, monkeypatch):
+    """Cells alone are scanned, and few of the exact vectors leave their blocks."""
+    scans, reads = [], []
+    stored, read = tables.stored, vector_search._read
+
+    def watched(df, **options):
+        scans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df, **options)
+
+    def reading(files, asked, wanted, k):
+        reads.append(wanted.select("block", "slot"))
+        return read(files, asked, wanted, k)
+
+    monkeypatch.setattr(tables, "stored", watched)
+    monkeypatch.setattr(vector_search, "_read", reading)
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, rng.normal(0, 0.1, 16).tolist(), "x", "y") for i in range(6000)], SCHEMA)
+    assert top_k(df, F.col("vec_id") % 500 == 0, 5, block_rows=512).count() == 12 * 5
+    scan, = (x for x in scans if "FlatMapCoGroupsInArrow" in x)
+    assert "cells" in scan and "exact" not in scan.split("FlatMapCoGroupsInArrow")[1].split("Relation")[0]
+    assert reads[0].union(reads[1]).distinct().count() < 12 * 5 * 2
+
+
 WRAP = """<!DOCTYPE html><html><head><title>T</title><style>p{{x}}</style><script>if (a</b/.test(x)) document.write("<p>no</p>")</script></head>
 <body class="home"><header><a href="/">Site</a><p>Slogan of the site</p></header><nav><ul><li><a href="/a">A menu item</a><li><a href="/b">B</a></ul></nav>
 <div class="cookie-notice"><p>We use cookies and so on, please agree to all of them now.</p><button>OK</button></div>
