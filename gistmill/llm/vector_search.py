@@ -301,13 +301,16 @@ def top_k(
     candidates = tables.stored(cells.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(scan, _CANDIDATES))
     certain = candidates.groupBy("query_id", "vec_id").agg(F.max("lower").alias("score"))
     bounds = _best(certain, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("bound"), F.col("vec_id").alias("bound_id"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id", "block", "slot")
-    ordered = tables.stored(_reaching(candidates, bounds).withColumn("turn", F.row_number().over(order)), narrow=True)
-    # read at once: the k of the highest upper bounds
-    head = tables.stored(_read(files, asked, ordered.filter(F.col("turn") <= k), k), narrow=True)
+    reaching = tables.stored(_reaching(candidates, bounds), narrow=True)
+    # read at once: the k of the highest upper bounds; a window that limits groups before the shuffle, as a query may have many candidates
+    order = Window.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id", "block", "slot", "query_block", "place")
+    turn = F.row_number().over(order)
+    first = tables.stored(reaching.withColumn("turn", turn).filter(F.col("turn") <= k).drop("turn"), narrow=True)
+    head = tables.stored(_read(files, asked, first, k), narrow=True)
     score = F.col("score").cast("double")
     # a score beyond 2^53 is rounded as a double
     low = F.when(F.abs(score) < float(_EXACT), score).otherwise(score - F.abs(score) * 2.0**-51)
     scored = _best(head, k).filter(F.col("rank") == k).select("query_id", low.alias("bound"), F.col("vec_id").alias("bound_id"))
-    tail = _read(files, asked, _reaching(ordered.filter(F.col("turn") > k), scored), k)
+    later = _reaching(reaching, scored).join(first, ["query_block", "place", "block", "slot"], "left_anti")
+    tail = _read(files, asked, later, k)
     return _best(head.union(tail).distinct(), k).select("query_id", "rank", "vec_id", "score")
