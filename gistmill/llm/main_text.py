@@ -3,6 +3,8 @@
 import html
 import math
 import re
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -102,76 +104,108 @@ def _names_furniture(word: str, inside: bool) -> bool:
     return parts[0] in _DROPPED_NAMES or parts[-1] in _DROPPED_NAMES
 
 
+class _Open:
+    """The elements that are open, and by tag how deep they lie, so that no start or end tag has to walk up the tree."""
+
+    def __init__(self, root: _Node):
+        self.path, self.depths, self.blocks, self.inside = [root], defaultdict(list), [], 0
+
+    def push(self, node: _Node) -> None:
+        self.depths[node.tag].append(len(self.path))
+        if node.tag not in _INLINE:
+            self.blocks.append(len(self.path))
+        self.inside += node.tag in _ROOTS
+        self.path.append(node)
+
+    def close(self, depth: int) -> None:
+        """Close the element at ``depth`` and all within it."""
+        while len(self.path) > depth:
+            tag = self.path.pop().tag
+            self.depths[tag].pop()
+            if tag not in _INLINE:
+                self.blocks.pop()
+            self.inside -= tag in _ROOTS
+
+    def last(self, tags) -> int:
+        """How deep the innermost of these elements lies; 0 if none is open."""
+        return max((self.depths[tag][-1] for tag in tags if self.depths.get(tag)), default=0)
+
+    def first(self, tags, above: int) -> int:
+        """How deep the outermost of these elements within the one at ``above`` lies; 0 if none is open."""
+        found = [(x, bisect_right(x, above)) for x in (self.depths.get(tag, ()) for tag in tags)]
+        return min((x[at] for x, at in found if at < len(x)), default=0)
+
+    def holds(self, depth: int, node: _Node, barrier: str = "") -> bool:
+        """Whether ``node`` is still open at ``depth``, without an element ``barrier`` within it."""
+        return len(self.path) > depth and self.path[depth] is node and self.last([barrier]) <= depth
+
+
 def _parse(page: str, forms: bool = False) -> _Node:
     """The page's tree; text is kept undecoded. Missing end tags are supplied as browsers do for p, li, table parts.
 
     ``forms``: forms are kept, for pages that wrap everything in one.
     """
-    root = node = _Node("#root", None, False)
+    root = _Node("#root", None, False)
+    # elements that end at the first tag that may not stand in them, and their depths
     head = loose = None
-    lists: list[_Node] = []
-    place, inside = 0, 0
+    opened, lists, ends, judged = _Open(root), [], {}, {}
+    # beyond the last bracket nothing is a tag; only a comment may begin there
+    place, limit = 0, page.rfind(">") + 1
+    page = page[:limit] + page[limit:].partition("<!--")[0].replace("<", "&lt;")
     for found in _TOKEN.finditer(page):
+        node = opened.path[-1]
         if found.start() > place:
-            if node is head and not page[place:found.start()].isspace():
-                node, head = head.parent, None
+            if head is not None and node is head[1] and not page[place:found.start()].isspace():
+                opened.close(head[0])
+                node, head = opened.path[-1], None
             node.children.append(page[place:found.start()])
         place = found.end()
         tag = (found[3] or found[6] or "").lower()
         if not tag:
             continue
         if found[2] or found[5]:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root and not (tag in _INLINE and _crosses(node, up)):
-                while True:
-                    inside -= node.tag in _ROOTS
-                    last, node = node, node.parent
-                    if last is up:
-                        break
+            depth = opened.last([tag])
+            # a stray inline end tag doesn't close blocks
+            if depth and not (tag in _INLINE and opened.blocks and opened.blocks[-1] > depth):
+                opened.close(depth)
             continue
-        target = None
         if head is not None and tag not in _IN_HEAD:
-            target = head.parent if _holds(head, node, "template") else None
+            if opened.holds(*head, "template"):
+                opened.close(head[0])
             head = None
         elif loose is not None and tag in _CLOSES_P:
-            target = loose.parent if _holds(loose, node, "foreignobject") else None
-            loose = None if target or not _holds(loose, node) else loose
-        while target is not None and node is not target:
-            inside -= node.tag in _ROOTS
-            node = node.parent
+            if not opened.holds(*loose):
+                loose = None
+            elif opened.holds(*loose, "foreignobject"):
+                opened.close(loose[0])
+                loose = None
         closes = {"p"} if tag in _CLOSES_P else _CLOSES.get(tag)
-        if closes:
+        if closes and any(opened.depths.get(x) for x in closes):
             barrier = _SCOPE.get(tag, ("table", "ul", "ol", "td", "th", "article", "section", "div", "main", "body") if "p" in closes else ("table",))
-            up, target = node, None
-            while up is not root and up.tag not in barrier:
-                if up.tag in closes:
-                    target = up
-                up = up.parent
-            if target is not None:
-                while node is not target.parent:
-                    inside -= node.tag in _ROOTS
-                    node = node.parent
+            depth = opened.first(closes, opened.last(barrier))
+            if depth:
+                opened.close(depth)
+        node, inside = opened.path[-1], opened.inside > 0
         attributes = found[4] or found[7] or ""
-        dropped = _is_dropped(tag, attributes, inside > 0) and not (forms and tag == "form")
+        if (tag, attributes, inside) not in judged:
+            dropped = _is_dropped(tag, attributes, inside) and not (forms and tag == "form")
+            soft = dropped and (tag == "form" or not _is_dropped(tag, _NAMED.sub("", attributes), inside))
+            judged[tag, attributes, inside] = dropped, soft, not (attributes and _COMMENTS.search(attributes))
+        dropped, soft, plain = judged[tag, attributes, inside]
         child = _Node(tag, node, node.dropped or dropped)
-        if dropped:
-            child.soft = tag == "form" or not _is_dropped(tag, _NAMED.sub("", attributes), inside > 0)
-            child.hard = not child.soft
-        child.plain = node.plain and not (attributes and _COMMENTS.search(attributes))
+        child.soft, child.hard, child.plain = soft, dropped and not soft, node.plain and plain
         if child.soft and child.plain and inside and tag in _LISTS and not node.dropped:
             lists.append(child)
         node.children.append(child)
         if tag not in _VOID and not attributes.endswith("/") or tag in _ROOTS:
-            node = child
-            inside += tag in _ROOTS
+            depth = len(opened.path)
+            opened.push(child)
             if tag == "head":
-                head = child
-            elif tag in _FOREIGN and (loose is None or not _holds(loose, node)) and _is_loose(page, place, tag):
-                loose = child
+                head = depth, child
+            elif tag in _FOREIGN and (loose is None or not opened.holds(*loose)) and _is_loose(page, place, tag, ends):
+                loose = depth, child
     if place < len(page):
-        node.children.append(page[place:])
+        opened.path[-1].children.append(page[place:])
     for child in lists:
         _keep_without_links(child)
     return root
@@ -190,28 +224,16 @@ def _keep_without_links(node: _Node) -> None:
         x.dropped = x.hard or x.soft or x.parent.dropped
 
 
-def _holds(up: _Node, node: _Node | None, barrier: str = "") -> bool:
-    """Whether ``up`` is open around ``node``, without an element ``barrier`` between."""
-    while node is not None and node is not up and node.tag != barrier:
-        node = node.parent
-    return node is up
-
-
-def _is_loose(page: str, place: int, tag: str) -> bool:
+def _is_loose(page: str, place: int, tag: str, ends: dict[str, tuple[list[int], list[bool]]]) -> bool:
     """Whether a block's start ends the element: always for svg, math and select, for others if they have no end tag of their own."""
     if tag in ("svg", "math", "select"):
         return True
-    following = re.compile(rf"<(/?){tag}(?=[\s/>])", re.I).search(page, place)
-    return following is None or not following[1]
-
-
-def _crosses(node: _Node, up: _Node) -> bool:
-    """Whether a block lies between: a stray inline end tag doesn't close blocks."""
-    while node is not up:
-        if node.tag not in _INLINE:
-            return True
-        node = node.parent
-    return False
+    if tag not in ends:
+        found = [(x.start(), bool(x[1])) for x in re.finditer(rf"<(/?){tag}(?=[\s/>])", page, re.I)]
+        ends[tag] = [x for x, _ in found], [x for _, x in found]
+    places, closing = ends[tag]
+    following = bisect_left(places, place)
+    return following == len(places) or not closing[following]
 
 
 def _nodes(root: _Node) -> list[_Node]:
@@ -224,9 +246,13 @@ def _nodes(root: _Node) -> list[_Node]:
     return out
 
 
+def _own_chars(node: _Node) -> int:
+    return sum(len(x) - x.count(" ") for x in node.children if isinstance(x, str) and not x.isspace())
+
+
 def _measure(nodes: list[_Node]) -> None:
     for node in reversed(nodes):
-        chars = sum(len(x) - x.count(" ") for x in node.children if isinstance(x, str) and not x.isspace())
+        chars = _own_chars(node)
         kept = [x for x in node.children if isinstance(x, _Node) and not x.dropped]
         node.chars = chars + sum(x.chars for x in kept)
         node.tags = len(kept) + sum(x.tags for x in kept)
@@ -252,35 +278,52 @@ def _restore(root: _Node) -> None:
     It does if the largest density sum of the tree with such nodes lies in it, and it holds an article or main
     element where none with text is kept outside, or ten times the text kept outside and no poorer a heading.
     """
-    while True:
-        everything, stack = [], [root]
-        while stack:
-            node = stack.pop()
-            everything.append(node)
-            stack.extend(x for x in node.children if isinstance(x, _Node))
-        if not any(x.soft for x in everything):
-            return
-        for node in everything:
-            node.dropped = node.hard or (node.parent is not None and node.parent.dropped)
-        whole = _nodes(root)
-        _measure(whole)
-        path = _path(max(whole, key=lambda x: x.sum))
-        wrapper = next((x for x in reversed(path) if x.soft), None)
-        rank = {x: 0 if not (x.chars and x.plain) else 2 if x.tag in _ROOTS else x.tag == "h1" for x in whole}
-        chars = wrapper.chars if wrapper else 0
-        within = max((rank[x] for x in _nodes(wrapper)), default=0) if wrapper else 0
-        for node in everything:
-            node.dropped = node.hard or node.soft or (node.parent is not None and node.parent.dropped)
-        if wrapper is None or not wrapper.plain:
-            return
-        outside = _nodes(root)
-        _measure(outside)
-        other = max(rank[x] if x.chars else 0 for x in outside)
-        if not (within == 2 > other or (within >= other and chars >= 10 * root.chars)):
-            return
+    everything, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        everything.append(node)
+        stack.extend(x for x in reversed(node.children) if isinstance(x, _Node))
+    if not any(x.soft for x in everything):
+        return
+    for node in everything:
+        node.dropped = node.hard or (node.parent is not None and node.parent.dropped)
+    whole = _nodes(root)
+    _measure(whole)
+    wrappers = [x for x in reversed(_path(max(whole, key=lambda x: x.sum))) if x.soft]
+    if wrappers:
+        _keep_wrappers(root, whole, wrappers)
+    for node in everything:
+        node.dropped = node.hard or node.soft or (node.parent is not None and node.parent.dropped)
+
+
+def _keep_wrappers(root: _Node, whole: list[_Node], wrappers: list[_Node]) -> None:
+    """Keep as many of the wrappers around the core, from the outermost inwards, as pass ``_restore``'s rule."""
+    rank = {x: 0 if not (x.chars and x.plain) else 2 if x.tag in _ROOTS else x.tag == "h1" for x in whole}
+    within = dict(rank)
+    # the number of wrappers to keep until a node is kept, and until text of it is
+    never = len(wrappers) + 1
+    level, seen = {root: 0}, {}
+    for node in whole[1:]:
+        at = level[node.parent]
+        if node.soft:
+            at = at + 1 if at < len(wrappers) and node is wrappers[at] else never
+        level[node] = at
+    chars, ranks = [0] * (never + 1), [0] * (never + 1)
+    for node in reversed(whole):
+        own = _own_chars(node)
+        chars[level[node]] += own
+        seen[node] = min(seen.get(node, never), level[node] if own else never)
+        ranks[seen[node]] = max(ranks[seen[node]], rank[node])
+        if node.parent is not None:
+            within[node.parent] = max(within[node.parent], within[node])
+            seen[node.parent] = min(seen.get(node.parent, never), seen[node])
+    # from the outermost wrapper inwards
+    outside = other = 0
+    for at, wrapper in enumerate(wrappers):
+        outside, other = outside + chars[at], max(other, ranks[at])
+        if not wrapper.plain or not (within[wrapper] == 2 > other or (within[wrapper] >= other and wrapper.chars >= 10 * outside)):
+            break
         wrapper.soft = False
-        for node in everything:
-            node.dropped = node.hard or node.soft or (node.parent is not None and node.parent.dropped)
 
 
 def _path(node: _Node) -> list[_Node]:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -171,3 +172,83 @@ def test_names_within_an_article(block, expected):
     for outer in ("<main><article>{}</article></main>", "<article>{}</article>"):
         page = WRAP.format(article=outer.format(f"<h1>Head</h1>{body}{block}<p>The end.</p>"), noise="x")
         assert page_text(page) == "\n".join(["Head", *text, *([expected] if expected else []), "The end."])
+
+
+@pytest.mark.parametrize("page", [
+    "<div class=sidebar>" * 30000 + "x", "<div>" * 30000 + "</span>" * 30000, "<object>" * 30000, "<span>" * 30000 + "<p>x" * 30000,
+    "<a " * 30000, "<article>" + "<ul class=menu><li>x" * 30000, "<form>" * 30000 + "<p>x</p>" * 30000,
+])
+def test_odd_pages_take_linear_time(page):
+    """Seconds each; a walk up the tree for every tag would take an hour."""
+    begin = time.monotonic()
+    page_text(page)
+    assert time.monotonic() - begin < 30
+
+
+def slow_text(tree):
+    """Composite text density by its definition, each node's counts taken afresh from its whole subtree."""
+
+    def inside(node):
+        return [y for x in node[1] if isinstance(x, tuple) for y in [x, *inside(x)]]
+
+    def chars(node):
+        return sum(chars(x) if isinstance(x, tuple) else len(x.replace(" ", "")) for x in node[1])
+
+    def link_chars(node):
+        return chars(node) if node[0] == "a" else sum(link_chars(x) for x in node[1] if isinstance(x, tuple))
+
+    def links(node):
+        return len(inside(node)) if node[0] == "a" else sum(links(x) + (x[0] == "a") for x in node[1] if isinstance(x, tuple))
+
+    share = link_chars(tree) / max(chars(tree), 1)
+
+    def density(node):
+        c, t, lc, lt = chars(node), len(inside(node)), link_chars(node), links(node)
+        if not c:
+            return 0.0
+        base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+        return c / max(t, 1) * max(math.log(max(c / max(lc, 1) * (max(t, 1) / max(lt, 1)), 1)), 0) / math.log(base + 1)
+
+    def total(node):
+        return sum(density(x) for x in node[1] if isinstance(x, tuple))
+
+    def path_to(node, wanted):
+        if node is wanted:
+            return [node]
+        for x in node[1]:
+            below = path_to(x, wanted) if isinstance(x, tuple) else None
+            if below:
+                return [*below, node]
+
+    core = max([tree, *inside(tree)], key=total)
+    path = path_to(tree, core)
+    least, chosen = min(map(density, path)), core
+    for lower, node in zip(path, path[1:]):
+        if any(isinstance(x, tuple) and x is not lower and chars(x) and density(x) >= least for x in node[1]):
+            chosen = node
+    return " ".join(" ".join(x for y in [chosen, *inside(chosen)] for x in y[1] if isinstance(x, str)).split())
+
+
+def made_tree(rng, depth=0):
+    if depth and rng.random() < 0.3:
+        return (rng.choice(["p", "span"]), [sentence(rng)])
+    children = []
+    for _ in range(rng.randint(1, 4)):
+        if depth < 4 and rng.random() < 0.7:
+            children.append(made_tree(rng, depth + 1))
+        else:
+            children.append(rng.choice([(rng.choice(["p", "b", "h2"]), [sentence(rng)]), ("a", [sentence(rng)[:30]]), ("ul", [("li", [("a", ["one"])])])]))
+    return ("div", children)
+
+
+def test_density_is_as_defined():
+    rng = random.Random(11)
+
+    def markup(node):
+        return f"<{node[0]}>{''.join(markup(x) if isinstance(x, tuple) else x for x in node[1])}</{node[0]}>"
+
+    for _ in range(200):
+        tree = made_tree(rng)
+        found = page_text(markup(tree)).replace("\n", " ")
+        # inline neighbours join without a space, and a block's own text may stand between its children
+        assert sorted(found.replace(" ", "")) == sorted(slow_text(("#root", [tree])).replace(" ", ""))
