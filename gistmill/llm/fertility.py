@@ -118,8 +118,11 @@ _KINDS = {
 _MEASURES = ("entropy", "_entropy_above", "chars_per_token", "byte_share")
 
 
-def _limits(passed: DataFrame, fewest: int) -> DataFrame:
-    """For each language, script and size medians and upper quartiles of the finest band that has ``fewest`` documents."""
+def _limits(passed: DataFrame, prior: float) -> DataFrame:
+    """For each language, script and size medians and upper quartiles, drawn towards coarser bands the more, the fewer documents there are.
+
+    ``mixed`` is the share that comes from the band that mixes languages.
+    """
     # equal documents once, so that a text of many copies sets no band; rounded, so that exact percentiles count few distinct values
     rounded = [F.round(c, 2).alias(c) for c in _MEASURES]
     keys = ["_language", "_script", "_size"]
@@ -136,7 +139,7 @@ def _limits(passed: DataFrame, fewest: int) -> DataFrame:
     )
     found = bands.filter("_level = 0").select(*[F.col(f"_of{c}").alias(c) for c in keys])
     for k, kept in enumerate(_LEVELS):
-        value = F.struct(F.lit(k == len(_LEVELS) - 1).alias("mixed"), *_MEASURES)
+        value = F.struct(F.lit(float(k == len(_LEVELS) - 1)).alias("mixed"), *_MEASURES)
         level = bands.filter(F.col("_level") == k).select(
             *[F.col(f"_of{c}").alias(c) for c in kept], F.col("_count").alias(f"_count{k}"), value.alias(f"_limits{k}")
         )
@@ -144,8 +147,18 @@ def _limits(passed: DataFrame, fewest: int) -> DataFrame:
     unknown = F.col("_language") == ""
     own = (F.col("_script") != "none") & (unknown | (10 * F.col("_count1") >= F.col("_count3")))
     usable = [own, own, ~unknown | (F.col("_script") == "none"), ~unknown | (F.col("_script") == "none"), F.col("_script") != "none"]
-    chosen = F.coalesce(*[F.when(ok & (F.col(f"_count{k}") >= fewest), F.col(f"_limits{k}")) for k, ok in enumerate(usable)])
-    return found.select(*keys, chosen.alias("_limits"))
+    # from the coarsest to the finest: of what there is so far, the share that ``prior`` documents would have
+    for k in reversed(range(len(_LEVELS))):
+        level, old = F.col(f"_limits{k}"), F.col("_limits")
+        share = F.lit(prior) / (F.lit(prior) + F.col(f"_count{k}"))
+        mix = lambda x, y: x + (y - x) * share  # noqa: E731, B023
+        both = F.struct(mix(level["mixed"], old["mixed"]).alias("mixed"), *[F.zip_with(level[c], old[c], mix).alias(c) for c in _MEASURES])
+        usable_here = usable[k] & level.isNotNull()
+        if k == len(_LEVELS) - 1:
+            found = found.withColumn("_limits", F.when(usable_here, level))
+        else:
+            found = found.withColumn("_limits", F.when(~usable_here | usable_here.isNull(), old).when(old.isNull(), level).otherwise(both))
+    return found.select(*keys, "_limits")
 
 
 #: What bands are set for, finest first.
@@ -154,7 +167,7 @@ _LEVELS = (("_language", "_script", "_size"), ("_language", "_script"), ("_langu
 
 def fertility_rules(
     docs: DataFrame, path: str, language_column: str | None = "lang", text_column: str = "text",
-    least: float = -5.0, most_bytes: float = 0.25, fewest: int = 20,
+    least: float = -5.0, most_bytes: float = 0.25, prior: float = 20.0,
 ) -> DataFrame:
     """Columns of ``docs`` without the text, and counts, the vocabulary's fit, ``base_failed`` and ``kept``.
 
@@ -167,9 +180,10 @@ def fertility_rules(
     the upper quartile over 0.6745, of 0.08 bits and 0.03 characters at least: what lies below the median, junk maybe, doesn't widen it.
 
     A script that holds a tenth of its language's texts (any, where the language is null) has bands of its own; other scripts,
-    and texts without letters, are held against the language. A band of fewer than ``fewest`` documents takes
-    its limits from the next coarser one: the script in the language at any length, the language at this length, the language, the script in
-    all languages. The last mixes languages: its deviations are 0.5 bits and 1 character at least, and twice ``most_bytes`` is allowed.
+    and texts without letters, are held against the language. The coarser bands of a band are the script in the language at any length, the
+    language at this length, the language, the script in all languages. Limits are drawn towards the next coarser band's as if ``prior`` documents
+    of that had been seen besides the n of the band: by prior / (prior + n). So there is no number of documents at which another rule starts.
+    The last mixes languages: by its share, deviations are 0.5 bits and 1 character at least, and twice ``most_bytes`` is allowed.
     Absolute limits hold in every band, so junk that is most of it goes too: a text is rejected without any letter, with
     symbols (#*$%&|<>) for more than 0.3 of its characters, with less than 0.3 of the bits that its tokens (1,024 at most) could have,
     or in Latin letters with fewer than one character a token.
@@ -194,18 +208,19 @@ def fertility_rules(
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     log_tokens = F.log2(F.col("n_tokens") + 1)
     band = [language.alias("_language"), F.col("script").alias("_script"), F.floor(log_tokens).alias("_size")]
+    # entropy usual at a length: its logarithm less 0.022 of its square, as words repeat; a rough curve, from whose median bands measure
     short = F.least(log_tokens, F.lit(16.0))
     above = (F.col("entropy") - short + 0.022 * short * short).alias("_entropy_above")
-    limits = _limits(measured.filter(~failed).select("*", *band, above).select("_language", "_script", "_size", *_MEASURES, "n_words", "word_chars", "n_tokens"), fewest)
+    limits = _limits(measured.filter(~failed).select("*", *band, above).select("_language", "_script", "_size", *_MEASURES, "n_words", "word_chars", "n_tokens"), prior)
     judged = measured.drop("base_failed").select("*", *band, above, failed.alias("base_failed")).join(limits, ["_language", "_script", "_size"], "left")
 
     def below(name: str, floor: float, mixed: float):
         q = F.col(f"_limits.{name}")
-        return (F.col(name) - q[0]) / F.greatest((q[1] - q[0]) / 0.6745, F.when(F.col("_limits.mixed"), mixed).otherwise(floor))
+        return (F.col(name) - q[0]) / F.greatest((q[1] - q[0]) / 0.6745, floor + (mixed - floor) * F.col("_limits.mixed"))
 
     # a coarse band's texts may be shorter or longer: the milder view of the entropy counts
     together = F.greatest(below("entropy", 0.08, 0.5), below("_entropy_above", 0.08, 0.5)) + below("chars_per_token", 0.03, 1.0)
-    too_many = F.col("byte_share") > F.col("_limits.byte_share")[0] + F.when(F.col("_limits.mixed"), 2 * most_bytes).otherwise(most_bytes)
+    too_many = F.col("byte_share") > F.col("_limits.byte_share")[0] + most_bytes * (1 + F.col("_limits.mixed"))
     absolute = (
         (F.col("script") == "none") | (F.col("n_symbols") > 0.3 * F.col("word_chars"))
         | (F.col("entropy") < 0.3 * F.least(F.log2(F.col("n_tokens")), F.lit(10.0))) | ((F.col("script") == "latin") & (F.col("chars_per_token") < 1.0))

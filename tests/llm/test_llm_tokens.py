@@ -230,6 +230,18 @@ def test_fertility_judges_texts_alone_in_their_band(spark):
     assert _kept(spark, [(1, digits)]) == {1: False} and _kept(spark, _prose(rng, 1, 2)) == {2: True}
 
 
+def test_fertility_is_alike_in_a_larger_corpus(spark):
+    """The same kinds of texts are judged alike whether a band has few or many of them, and a corpus put in twice changes nothing."""
+    rng = random.Random(10)
+    junk = [(1000 + i, " ".join(w + rng.choice(["*", "$"]) for w in rng.choices("when they see the old green trees".split(), k=90)) + f" {i}") for i in range(2)]
+    for count in (8, 12, 19, 20, 21, 40):
+        rows = _prose(rng, count, 0) + junk
+        found = _kept(spark, rows)
+        assert found == {i: i < 1000 for i, _ in rows}
+        twice = _kept(spark, rows + [(i + 5000, t) for i, t in rows])
+        assert all(twice[i] == twice[i + 5000] == found[i] for i, _ in rows)
+
+
 def test_fertility_keeps_scripts_and_copies(spark):
     rng = random.Random(9)
     cyrillic = "когда люди идут вдоль реки летом они видят зелёные деревья и маленькие дома около старых каменных мостов".split()
