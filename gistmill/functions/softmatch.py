@@ -32,16 +32,7 @@ def store(words: pa.ChunkedArray, vectors: pa.ChunkedArray) -> Store:
 
 def pieces(batches: Iterator[pa.RecordBatch], columns: Sequence[str]) -> Iterator[pa.RecordBatch]:
     """Batches cut to about ``BLOCK_BYTES`` of text and ``BLOCK_ROWS`` rows."""
-    for batch in batches:
-        sizes = sum(np.asarray(pc.fill_null(pc.binary_length(batch.column(c)), 0)).astype(np.int64) for c in columns)
-        begin = held = 0
-        for row, size in enumerate(sizes.tolist()):
-            if row > begin and (held + size > BLOCK_BYTES or row - begin >= BLOCK_ROWS):
-                yield batch.slice(begin, row - begin)
-                begin, held = row, 0
-            held += size
-        if batch.num_rows > begin:
-            yield batch.slice(begin)
+    return wordtable.pieces(batches, columns, BLOCK_BYTES, BLOCK_ROWS)
 
 
 def distinct_words(*texts: pa.Array) -> pa.Array:

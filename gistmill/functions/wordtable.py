@@ -5,7 +5,7 @@ broadcast as it is. Distinct words of a batch are found by Arrow, hashed and sea
 hit counts only if its bytes agree.
 """
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +85,20 @@ def find(words: pa.Array, table: Table, missing: int) -> np.ndarray:
     return np.where(hit, numbers[at], missing)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], columns: Sequence[str], most_bytes: int, most_rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about ``most_bytes`` of text in ``columns`` and to ``most_rows`` rows; a longer text is alone."""
+    for batch in batches:
+        sizes = sum(np.asarray(pc.fill_null(pc.binary_length(batch.column(c)), 0)).astype(np.int64) for c in columns)
+        begin = held = 0
+        for row, size in enumerate(sizes.tolist()):
+            if row > begin and (held + size > most_bytes or row - begin >= most_rows):
+                yield batch.slice(begin, row - begin)
+                begin, held = row, 0
+            held += size
+        if batch.num_rows > begin:
+            yield batch.slice(begin)
+
+
 def split_words(texts: pa.Array, most: int | None) -> tuple[pa.Array, np.ndarray]:
     """Words of texts with single spaces between them, and where each text's begin and the last's end. Null reads as empty."""
     lists = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), " ")

@@ -4,6 +4,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +16,7 @@ from gistmill.functions.chat import ChatTemplate, render_example
 from gistmill.functions.text import squeeze_whitespace, word_count
 from gistmill.operators import lookup
 from gistmill.operators.ordering import rank_rows
-from gistmill.session import compute_once
+from gistmill.session import compute_once, materialize
 
 
 def text_tokens(text: Column) -> Column:
@@ -23,6 +25,8 @@ def text_tokens(text: Column) -> Column:
 
 PAD_ID, UNKNOWN_ID, RESERVED = 0, 1, 2
 _PLACE_BITS = 27
+#: Texts that ask for their distinct words together.
+BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 1 << 16
 
 
 def vocabulary(texts: DataFrame, text: str) -> DataFrame:
@@ -45,40 +49,65 @@ def encode(
     out: str = "input_ids",
     unknown_id: int = UNKNOWN_ID,
     broadcast_bytes: int = lookup.BROADCAST_BYTES,
-    layout: Sequence[str] | None = None,
 ) -> DataFrame:
     """``keys`` and the token ids (64 bits) of ``text``, cut to ``max_length``; a row for each row of ``df``.
 
     Word ids do not depend on what follows, so the cut is made first. A vocabulary that was measured to be
     small is broadcast as a sorted array of hashes, and texts are encoded in their rows: nothing is shuffled or
-    exploded. Beyond that, words become rows that meet their ids by a shuffle; ``layout`` names
-    the ``keys`` to partition the result by then, for a later step that needs just that layout.
+    exploded. Beyond that, texts are packed into written blocks; each block asks for its distinct words once, by a
+    shuffle, and meets their ids once.
     """
+    single_spaced = squeeze_whitespace(F.col(text))
     if lookup.fits_broadcast(vocab, F.octet_length("token") + 24, broadcast_bytes):
         table = wordtable.broadcast_table(vocab, "token", "token_id")
-        ids = wordtable.number_udf(table, unknown_id, max_length)(squeeze_whitespace(F.col(text)))
-        return df.select(*keys, ids.alias(out))
-    tokens = text_tokens(F.col(text))
-    if max_length is not None:
-        tokens = F.slice(tokens, 1, max_length)
-    # rows of the same keys are told apart by their texts, and counted where those agree as well
-    exploded = df.select(*keys, F.md5(F.coalesce(text, F.lit(""))).alias("_text"), F.posexplode_outer(tokens).alias("_at", "token"))
-    found = lookup.frequent_lookup(exploded, vocab.select("token", "token_id"), "token")
-    if layout:
-        found = found.repartition(*[F.col(k) for k in layout])
-    # place in the upper bits of a number, id in the lower: arrays of numbers sort far faster than structs
+        return df.select(*keys, wordtable.number_udf(table, unknown_id, max_length)(single_spaced).alias(out))
+    return _encode_in_blocks(df.select(*keys, single_spaced.alias("_text")), vocab, list(keys), max_length, out, unknown_id)
+
+
+def _encode_in_blocks(texts: DataFrame, vocab: DataFrame, keys: list[str], max_length: int | None, out: str, unknown_id: int) -> DataFrame:
+    """A word is asked for once a block, however often texts have it: no word has more rows than there are blocks."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in wordtable.pieces(batches, ["_text"], BLOCK_BYTES, BLOCK_ROWS):
+            words, cuts = wordtable.split_words(batch.column("_text"), max_length)
+            coded = words.dictionary_encode()
+            codes = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), coded.indices.cast(pa.int32()))
+            held = pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], codes], [*keys, "_codes"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(held)
+            n = len(coded.dictionary)
+            for size, at, token, payload in (
+                (1, pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.array([sink.getvalue().to_pybytes()], pa.binary())),
+                (n, pa.array(np.arange(n), pa.int32()), coded.dictionary.cast(pa.string()), pa.nulls(n, pa.binary())),
+            ):
+                yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(size, block), pa.int64()), "at": at, "token": token, "payload": payload})
+            block += 1
+
+    # place in the upper bits of a number, id in the lower
     bits = 63 - _PLACE_BITS
+
+    def number(packed: pa.Table, found: pa.Table) -> pa.Table:
+        with pa.ipc.open_stream(packed.column("payload")[0].as_buffer()) as reader:
+            held = reader.read_next_batch()
+        codes = held.column("_codes")
+        flat, placed = np.asarray(codes.flatten()), found.column("placed").to_numpy()
+        ids = np.full(int(flat.max(initial=-1)) + 1, unknown_id, np.int64)
+        ids[placed >> bits] = placed & ((1 << bits) - 1)
+        lists = pa.ListArray.from_arrays(codes.offsets, pa.array(ids[flat], pa.int64()))
+        return pa.Table.from_arrays([*[held.column(k) for k in keys], lists], [*keys, out])
+
+    blocks = materialize(texts.mapInArrow(pack, "block long, at int, token string, payload binary"))
+    asked = blocks.filter(F.col("token").isNotNull()).select(F.col("block").alias("asker"), "at", "token")
     token_id = F.coalesce("token_id", F.lit(unknown_id)).cast("bigint")
-    fits = (F.col("_at") < 1 << _PLACE_BITS) & token_id.between(0, (1 << bits) - 1)
-    placed = F.shiftleft(F.col("_at").cast("bigint"), bits).bitwiseOR(token_id)
-    placed = F.when(fits, placed).otherwise(F.raise_error(F.lit("text too long or token id too large")).cast("bigint"))
-    collected = found.groupBy(*keys, "_text").agg(
-        F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), placed))).alias("_placed"),
-        F.sum(F.when(F.col("_at").isNull() | (F.col("_at") == 0), 1)).alias("_rows"),
-    )
-    once = F.when(F.col("_rows") > 1, F.array_distinct("_placed")).otherwise(F.col("_placed"))
-    ids = F.transform(once, lambda x: x.bitwiseAND(F.lit((1 << bits) - 1)))
-    return collected.select(*keys, ids.alias(out), F.explode(F.sequence(F.lit(1), F.col("_rows")))).drop("col")
+    fits = (F.col("at") < 1 << _PLACE_BITS) & token_id.between(0, (1 << bits) - 1)
+    placed = F.shiftleft(F.col("at").cast("bigint"), bits).bitwiseOR(token_id)
+    placed = F.when(fits, placed).otherwise(F.raise_error(F.lit("too many words in a block or token id too large")).cast("bigint"))
+    found = asked.join(vocab.select("token", "token_id"), "token").select("asker", placed.alias("placed"))
+    schema = T.StructType([texts.schema[k] for k in keys] + [T.StructField(out, T.ArrayType(T.LongType()))])
+    packed = blocks.filter(F.col("payload").isNotNull()).select("block", "payload")
+    return packed.groupBy("block").cogroup(found.groupBy("asker")).applyInArrow(number, schema)
 
 
 def tokenizer_udf(factory: Callable[[], Callable[[str], Sequence[int]]]):
@@ -135,7 +164,6 @@ def training_examples(
     template: ChatTemplate = ChatTemplate(),
     max_length: int = fx.MAX_LENGTH,
     keys: Sequence[str] = ("split", "id"),
-    layout: Sequence[str] | None = None,
     masked: bool = True,
 ) -> DataFrame:
     """Rendered, tokenized, cut and masked examples, from a vocabulary or a tokenizer.
@@ -157,7 +185,7 @@ def training_examples(
         )
     else:
         rendered = records.select(*keys, full.alias("_full"), word_count(prompt).alias("prompt_length"))
-        encoded = encode(rendered, "_full", vocab, [*keys, "prompt_length"], max_length, layout=layout)
+        encoded = encode(rendered, "_full", vocab, [*keys, "prompt_length"], max_length)
     return with_completion_mask(encoded, "prompt_length") if masked else encoded
 
 

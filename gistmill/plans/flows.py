@@ -67,17 +67,15 @@ def training_batches(
 
     With a ``token_budget`` batches are of alike lengths and bounded by padded tokens, not by ``batch_size``.
 
-    Tokens are shuffled once, cut before and by ranges of the seeded order: encoding and
-    numbering share that layout. Batches then take the second shuffle, of ids alone;
-    masks and labels are added after it.
+    Ids are cut before they are shuffled, once by ranges of the seeded order for numbering. Batches then take the
+    second shuffle, of ids alone; masks and labels are added after it.
     """
     if vocab is None and tokenize is None:
         rendered = records.select(render_example(F.col("abstract"), F.col("summary")).alias("text"))
         vocab = vocabulary(rendered, "text")
     keyed = shuffle_buckets(records, seed)
     examples = training_examples(
-        keyed, vocab, tokenize, max_length=max_length, keys=("split", "_bucket", "_key", "id"), layout=("split", "_bucket"),
-        masked=False,
+        keyed, vocab, tokenize, max_length=max_length, keys=("split", "_bucket", "_key", "id"), masked=False,
     )
     order = [F.col("_key"), F.col("id")]
     numbered = number_rows(examples, order, F.col("_bucket"), ["split"], same_rows=keyed).drop("_key")

@@ -96,6 +96,22 @@ def test_ids_beyond_the_shuffles_numbers(spark):
         tok.encode(df, "text", wide, ["id"], broadcast_bytes=-1).collect()
 
 
+def test_shuffled_encoding_moves_a_word_once_a_block(spark, monkeypatch):
+    """Texts of one word each a hundred times over move as many words as blocks have distinct ones, not as they have places."""
+    rows = [(k % 5, " ".join(["the", f"w{k % 7}"] * 100) if k % 11 else None) for k in range(60)]
+    df = spark.createDataFrame(rows, "id int, text string").coalesce(1)
+    vocab = spark.createDataFrame([("the", 2), ("w1", 3), ("w2", 1 << 35), ("w6", 4)], "token string, token_id long")
+    numbers, written = {"the": 2, "w1": 3, "w2": 1 << 35, "w6": 4}, []
+    monkeypatch.setattr(tok, "BLOCK_ROWS", 8, raising=False)
+    monkeypatch.setattr(tok, "materialize", lambda df: written.append(materialize(df)) or written[-1], raising=False)
+    encoded = tok.encode(df, "text", vocab, ["id"], 150, broadcast_bytes=-1)
+    assert sorted((r.id, r.input_ids) for r in encoded.collect()) == sorted((i, [numbers.get(w, tok.UNKNOWN_ID) for w in (t or "").split()[:150]]) for i, t in rows)
+    (blocks,) = written
+    assert blocks.filter("payload is not null").count() == 8 and blocks.filter("token is not null").count() <= 8 * 8
+    plan = encoded._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
+
+
 def test_broadcast_encoding_moves_and_explodes_nothing(spark, vocab):
     df = materialize(spark.createDataFrame([(1, "a b")], "id int, text string"))
     plan = tok.encode(df, "text", materialize(vocab), ["id"])._jdf.queryExecution().executedPlan().toString()
