@@ -101,7 +101,21 @@ def pieces(batches: Iterator[pa.RecordBatch], columns: Sequence[str], most_bytes
 
 def split_words(texts: pa.Array, most: int | None) -> tuple[pa.Array, np.ndarray]:
     """Words of texts with single spaces between them, and where each text's begin and the last's end. Null reads as empty."""
-    lists = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), " ")
+    return _words(pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), " "), most)
+
+
+def split_text(texts: pa.Array, most: int | None) -> tuple[pa.Array, np.ndarray]:
+    """As :func:`split_words`, of any texts: Arrow knows Unicode's 29 white space characters (a test tries them all)."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    try:
+        texts.validate(full=True)
+    except pa.ArrowInvalid:
+        # bytes that are not UTF-8, which the JVM would replace as well
+        texts = pa.array([x.decode("utf-8", "replace") for x in texts.cast(pa.large_binary()).to_pylist()], pa.large_string())
+    return _words(pc.utf8_split_whitespace(texts), most)
+
+
+def _words(lists: pa.Array, most: int | None) -> tuple[pa.Array, np.ndarray]:
     words = lists.flatten()
     counts = np.asarray(pc.list_value_length(lists)).astype(np.int64)
     # an empty text splits into one empty word
@@ -118,7 +132,7 @@ def split_words(texts: pa.Array, most: int | None) -> tuple[pa.Array, np.ndarray
 
 def lists_of(texts: pa.Array, table: Table, missing: int, most: int | None) -> pa.Array:
     """For each text the numbers of its words."""
-    words, cuts = split_words(texts, most)
+    words, cuts = split_text(texts, most)
     coded = words.dictionary_encode()
     values = find(coded.dictionary, table, missing)
     flat = values[np.asarray(coded.indices)] if len(words) else np.zeros(0, np.int64)
@@ -126,7 +140,7 @@ def lists_of(texts: pa.Array, table: Table, missing: int, most: int | None) -> p
 
 
 def number_udf(table: Broadcast, missing: int, most: int | None = None):
-    """Column function: single-spaced text -> numbers of its first ``most`` words, from a broadcast table."""
+    """Column function: text -> numbers of its first ``most`` words, from a broadcast table."""
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def numbers(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

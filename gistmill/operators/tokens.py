@@ -5,6 +5,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,11 +32,14 @@ BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 1 << 16
 
 def vocabulary(texts: DataFrame, text: str) -> DataFrame:
     """``(token, n, token_id)``: ids by count descending, then token, after the reserved ones for padding and unknown words."""
-    counts = (
-        texts.select(F.explode(text_tokens(F.col(text))).alias("token"))
-        .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in wordtable.pieces(batches, ["_text"], BLOCK_BYTES, BLOCK_ROWS):
+            found = pc.value_counts(wordtable.split_text(batch.column("_text"), None)[0])
+            yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts")], ["token", "n"])
+
+    found = texts.select(F.col(text).alias("_text")).mapInArrow(count, "token string, n long")
+    counts = found.groupBy("token").agg(F.sum("n").alias("n"))
     ranked = rank_rows(counts, [F.col("n").desc(), F.col("token")], out="rank")
     return ranked.select("token", "n", (F.col("rank") - 1 + RESERVED).alias("token_id"))
 
@@ -57,11 +61,10 @@ def encode(
     exploded. Beyond that, texts are packed into written blocks; each block asks for its distinct words once, by a
     shuffle, and meets their ids once.
     """
-    single_spaced = squeeze_whitespace(F.col(text))
     if lookup.fits_broadcast(vocab, F.octet_length("token") + 24, broadcast_bytes):
         table = wordtable.broadcast_table(vocab, "token", "token_id")
-        return df.select(*keys, wordtable.number_udf(table, unknown_id, max_length)(single_spaced).alias(out))
-    return _encode_in_blocks(df.select(*keys, single_spaced.alias("_text")), vocab, list(keys), max_length, out, unknown_id)
+        return df.select(*keys, wordtable.number_udf(table, unknown_id, max_length)(F.col(text)).alias(out))
+    return _encode_in_blocks(df.select(*keys, F.col(text).alias("_text")), vocab, list(keys), max_length, out, unknown_id)
 
 
 def _encode_in_blocks(texts: DataFrame, vocab: DataFrame, keys: list[str], max_length: int | None, out: str, unknown_id: int) -> DataFrame:
@@ -70,7 +73,7 @@ def _encode_in_blocks(texts: DataFrame, vocab: DataFrame, keys: list[str], max_l
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in wordtable.pieces(batches, ["_text"], BLOCK_BYTES, BLOCK_ROWS):
-            words, cuts = wordtable.split_words(batch.column("_text"), max_length)
+            words, cuts = wordtable.split_text(batch.column("_text"), max_length)
             coded = words.dictionary_encode()
             codes = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), coded.indices.cast(pa.int32()))
             held = pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], codes], [*keys, "_codes"])

@@ -141,6 +141,15 @@ def test_word_table(spark, monkeypatch):
     assert wordtable.find(pa.array([], pa.string()), table, 1).tolist() == [] and wordtable.find(pa.array(["a"]), wordtable.build(pa.array([], pa.string()), []), 1).tolist() == [1]
 
 
+def test_words_of_any_text_are_split_at_the_same_characters():
+    """Arrow's white space is Python's (and ours), each character of it."""
+    texts = [f"a{chr(c)}b" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    words, cuts = wordtable.split_text(pa.array(texts), None)
+    assert words.to_pylist() == [w for t in texts for w in t.split()] and np.diff(cuts).tolist() == [len(t.split()) for t in texts]
+    odd = pa.Array.from_buffers(pa.string(), 2, [None, pa.py_buffer(np.array([0, 4, 7], "<i4").tobytes()), pa.py_buffer(b"a \xff b c")])
+    assert [x.to_pylist() if isinstance(x, pa.Array) else x.tolist() for x in wordtable.split_text(odd, 2)] == [["a", "\ufffd", "b", "c"], [0, 2, 4]]
+
+
 def test_unknown_tokens(spark, vocab):
     df = spark.createDataFrame([(1, "a new b")], "id int, text string")
     ids = expected_ids()
