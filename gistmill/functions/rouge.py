@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gistmill.functions.wordtable import split_words
+from gistmill.functions.stem import remembering_stemmer, stem_texts
+from gistmill.functions.wordtable import in_pieces, split_words
 
 
 def rouge_words(text: Column) -> Column:
@@ -137,5 +138,25 @@ def lcs_lengths(left: pa.Array, right: pa.Array) -> np.ndarray:
 @F.arrow_udf(T.IntegerType())
 def lcs_length(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """LCS length of two columns of space-separated words, counted in words."""
-    for left, right in batches:
-        yield pa.array(lcs_lengths(left, right), pa.int32())
+    for pair in batches:
+        yield in_pieces(pair, _lcs_array, pa.int32())
+
+
+def _lcs_array(left: pa.Array, right: pa.Array) -> pa.Array:
+    return pa.array(lcs_lengths(left, right), pa.int32())
+
+
+_STEMMED = T.StructType([T.StructField("pred", T.StringType()), T.StructField("ref", T.StringType()), T.StructField("lcs", T.IntegerType())])
+
+
+@F.arrow_udf(_STEMMED)
+def stemmed_pair(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Both texts stemmed, and the LCS length of the stems: one pass, so one Python worker a task."""
+    stem, kind = remembering_stemmer(), pa.struct([("pred", pa.string()), ("ref", pa.string()), ("lcs", pa.int32())])
+
+    def work(left: pa.Array, right: pa.Array) -> pa.Array:
+        left, right = stem_texts(left, stem), stem_texts(right, stem)
+        return pa.StructArray.from_arrays([left, right, _lcs_array(left, right)], fields=list(kind))
+
+    for pair in batches:
+        yield in_pieces(pair, work, kind)

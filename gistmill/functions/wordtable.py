@@ -5,7 +5,7 @@ broadcast as it is. Distinct words of a batch are found by Arrow, hashed and sea
 hit counts only if its bytes agree.
 """
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 Table = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]
 _FIRST_MULTIPLIER = 0x9E3779B97F4A7C15
+PIECE_BYTES, PIECE_ROWS = 1 << 20, 2048
 
 
 def spans(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,6 +100,14 @@ def pieces(batches: Iterator[pa.RecordBatch], columns: Sequence[str], most_bytes
             yield batch.slice(begin)
 
 
+def in_pieces(columns: Sequence[pa.Array], work: Callable[..., pa.Array], kind: pa.DataType) -> pa.Array:
+    """``work`` on columns of texts, a piece of bounded bytes and rows at a time: what it needs does not grow with the batch."""
+    names = [str(k) for k in range(len(columns))]
+    batch = pa.RecordBatch.from_arrays(list(columns), names)
+    done = [work(*piece.columns).cast(kind) for piece in pieces(iter([batch]), names, PIECE_BYTES, PIECE_ROWS)]
+    return pa.concat_arrays([pa.array([], kind), *done])
+
+
 def split_words(texts: pa.Array, most: int | None) -> tuple[pa.Array, np.ndarray]:
     """Words of texts with single spaces between them, and where each text's begin and the last's end. Null reads as empty."""
     return _words(pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), " "), most)

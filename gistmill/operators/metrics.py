@@ -59,9 +59,12 @@ def rouge_counts(
     words = compute_once(
         df, _pred=rouge.rouge_words(F.col(prediction)), _ref=rouge.rouge_words(F.col(reference))
     )
-    if stem:
+    if stem and "rougeL" in metrics:
+        both = words.withColumn("_both", rouge.stemmed_pair("_pred", "_ref"))
+        words = both.withColumns({"_pred": F.col("_both.pred"), "_ref": F.col("_both.ref"), "rougeL_hits": F.col("_both.lcs")}).drop("_both")
+    elif stem:
         words = words.withColumns({"_pred": stem_words("_pred"), "_ref": stem_words("_ref")})
-    if "rougeL" in metrics:
+    elif "rougeL" in metrics:
         words = words.withColumn("rougeL_hits", rouge.lcs_length("_pred", "_ref"))
     tokens = compute_once(
         words, _p=rouge.word_array(F.col("_pred")), _r=rouge.word_array(F.col("_ref"))

@@ -7,7 +7,7 @@ import pytest
 from helpers import apply, lcs, rouge_l, rouge_n, words
 from pyspark.sql import functions as F
 
-from gistmill.functions import rouge, softmatch
+from gistmill.functions import rouge, softmatch, wordtable
 from gistmill.functions.stem import porter_stem, stem_words
 from gistmill.operators import lookup
 from gistmill.operators import metrics as m
@@ -72,6 +72,23 @@ def test_lcs_of_many_pairs_at_once():
     assert rouge.lcs_lengths(pa.array([], pa.string()), pa.array([], pa.string())).tolist() == []
 
 
+def test_texts_of_a_batch_are_worked_on_in_bounded_pieces(spark, monkeypatch):
+    """However many pairs a batch has, stems and LCS hold a piece; stemmed scores take one Python step, not three."""
+    pairs = random_pairs(7, 90, 40) + [(900, None, "a b"), (901, "", "")]
+    left, right = (pa.array([p[k] and " ".join(words(p[k])) for p in pairs], pa.string()) for k in (1, 2))
+    sizes, whole = [], rouge.lcs_lengths(left, right).tolist()
+    true_lengths = rouge.lcs_lengths
+    monkeypatch.setattr(rouge, "lcs_lengths", lambda a, b: sizes.append(len(a)) or true_lengths(a, b))
+    monkeypatch.setattr(wordtable, "PIECE_ROWS", 10, raising=False)
+    (found,) = rouge.lcs_length.func(iter([(left, right)]))
+    (stems,) = rouge.stemmed_pair.func(iter([(left, right)]))
+    assert found.to_pylist() == whole and max(sizes) <= 10
+    assert stems.field("pred").to_pylist() == [" ".join(porter_stem(w) if len(w) >= 4 else w for w in (x or "").split()) for x in left.to_pylist()]
+    df = spark.createDataFrame(pairs, "id int, prediction string, reference string")
+    plan = m.score_pairs(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_ngrams(spark):
     assert apply(spark, lambda c: rouge.ngrams(c, 2), [["a", "b", "c"], ["a"], []], "array<string>") == [["a b", "b c"], [], []]
     assert apply(spark, lambda c: rouge.ngrams(c, 3), [["a", "b", "c", "d"]], "array<string>") == [["a b c", "b c d"]]
