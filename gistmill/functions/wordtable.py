@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 Table = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]
 _FIRST_MULTIPLIER = 0x9E3779B97F4A7C15
-PIECE_BYTES, PIECE_ROWS = 1 << 20, 2048
+PIECE_BYTES, PIECE_ROWS = 1 << 21, 1 << 13
 
 
 def spans(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
