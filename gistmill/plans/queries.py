@@ -434,10 +434,12 @@ def pad_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = inputs.stored_records(spark, sf_dir)
     prompts = records.select("split", "id", "pos", chat.render_example(F.col("abstract")).alias("text"))
     words = tok.vocabulary(prompts, "text")
-    numbered = o.rank_rows(prompts, [F.col("pos")], by=["split"])
-    keys = ["split", "id", "position"]
-    encoded = tok.encode(numbered, "text", words, keys, fx.PROMPT_MAX_LENGTH)
-    padded = tok.pad_batches(o.assign_batches(encoded, fx.BATCH_SIZE), tok.PAD_ID, left=True)
+
+    def place(rows: DataFrame, length: Column) -> DataFrame:
+        return tok.with_longest(o.assign_batches(o.rank_rows(rows, [F.col("pos")], by=["split"]), fx.BATCH_SIZE), length)
+
+    encoded = tok.encode(prompts, "text", words, ["split", "id", "pos"], fx.PROMPT_MAX_LENGTH, place=place)
+    padded = tok.pad_batches(encoded, tok.PAD_ID, left=True, longest="longest")
     return padded.select("split", "id", "batch_id", _joined("input_ids"), _joined("attention_mask"))
 
 

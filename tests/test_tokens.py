@@ -15,7 +15,7 @@ from gistmill.functions import arrays, chat, wordtable
 from gistmill.operators import lookup
 from gistmill.operators import predict as p
 from gistmill.operators import tokens as tok
-from gistmill.operators.ordering import assign_batches
+from gistmill.operators.ordering import assign_batches, rank_rows
 from gistmill.plans.flows import training_batches
 from gistmill.session import materialize
 from gistmill.sources import runs as run_io
@@ -112,6 +112,33 @@ def test_shuffled_encoding_moves_a_word_once_a_block(spark, monkeypatch):
     assert "Generate" not in plan and "Aggregate" not in plan
 
 
+def test_rows_of_blocks_are_placed_without_texts_or_ids(spark, monkeypatch):
+    """Left-padded batches in an order with repeated rows, empty and null texts: as by brute force, from blocks and by broadcast."""
+    texts = {k: None if k % 13 == 5 else " ".join(f"w{(k * j) % 9}" for j in range(k % 6)) for k in range(40)}
+    rows = [("ab"[k % 2], k, texts[k]) for k in range(40)] + [("b", k, texts[k]) for k in (7, 7, 11)]
+    df = spark.createDataFrame(rows, "split string, pos int, text string").repartition(3)
+    vocab = spark.createDataFrame([(f"w{k}", k + 2) for k in range(8)], "token string, token_id long")
+    seen = []
+
+    def place(rows, length):
+        seen.append(set(rows.columns))
+        return tok.with_longest(assign_batches(rank_rows(rows, [F.col("pos")], by=["split"]), 4), length)
+
+    expected = []
+    for split in "ab":
+        own = sorted((k, [int(w[1:]) + 2 if w != "w8" else tok.UNKNOWN_ID for w in (t or "").split()[:4]]) for s, k, t in rows if s == split)
+        for first in range(0, len(own), 4):
+            longest = max(len(ids) for _, ids in own[first:first + 4])
+            expected += [(split, first + i + 1, k, [0] * (longest - len(ids)) + ids) for i, (k, ids) in enumerate(own[first:first + 4])]
+    monkeypatch.setattr(tok, "BLOCK_ROWS", 5)
+    for limit in (-1, 1 << 20):
+        encoded = tok.encode(df, "text", vocab, ["split", "pos"], 4, broadcast_bytes=limit, place=place)
+        found = tok.pad_batches(encoded, 0, left=True, longest="longest").collect()
+        assert sorted((r.split, r.position, r.pos, r.input_ids) for r in found) == expected
+        assert set(found[0].asDict()) == {"split", "pos", "position", "batch_id", "longest", "input_ids", "attention_mask"}
+    assert not {"text", "_text", "input_ids"} & seen[0] and "input_ids" in seen[1]
+
+
 def test_broadcast_encoding_moves_and_explodes_nothing(spark, vocab):
     df = materialize(spark.createDataFrame([(1, "a b")], "id int, text string"))
     plan = tok.encode(df, "text", materialize(vocab), ["id"])._jdf.queryExecution().executedPlan().toString()
