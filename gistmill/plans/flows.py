@@ -12,7 +12,7 @@ from gistmill.operators.ordering import assign_batches, assign_token_batches, nu
 from gistmill.operators.prepare import prepare_records, split_sizes
 from gistmill.operators.profile import profile_report
 from gistmill.operators.results import mean_output_words, results_table
-from gistmill.operators.tokens import PAD_ID, pad_batches, training_examples, vocabulary
+from gistmill.operators.tokens import PAD_ID, pad_batches, training_examples, vocabulary, with_longest
 from gistmill.functions.chat import render_example
 from gistmill.sources import records as record_io
 from gistmill.sources import runs as run_io
@@ -68,21 +68,27 @@ def training_batches(
     With a ``token_budget`` batches are of alike lengths and bounded by padded tokens, not by ``batch_size``.
 
     Ids are cut before they are shuffled, once by ranges of the seeded order for numbering. Batches then take the
-    second shuffle, of ids alone; masks and labels are added after it.
+    second shuffle, of ids alone; masks and labels are added after it. Beyond a broadcast vocabulary, numbers and batches are
+    found for the examples' keys and lengths, and ids are not shuffled for them.
     """
     if vocab is None and tokenize is None:
         rendered = records.select(render_example(F.col("abstract"), F.col("summary")).alias("text"))
         vocab = vocabulary(rendered, "text")
     keyed = shuffle_buckets(records, seed)
-    examples = training_examples(
-        keyed, vocab, tokenize, max_length=max_length, keys=("split", "_bucket", "_key", "id"), masked=False,
-    )
     order = [F.col("_key"), F.col("id")]
-    numbered = number_rows(examples, order, F.col("_bucket"), ["split"], same_rows=keyed).drop("_key")
-    if token_budget is not None:
-        written = materialize(numbered.withColumn("n_tokens", F.size("input_ids")))
-        return pad_batches(assign_token_batches(written, token_budget, "n_tokens"), pad_id, longest="longest")
-    return pad_batches(assign_batches(numbered, batch_size), pad_id)
+
+    def place(examples: DataFrame, length: Column) -> DataFrame:
+        numbered = number_rows(examples, order, F.col("_bucket"), ["split"], same_rows=keyed).drop("_key")
+        if token_budget is not None:
+            written = materialize(numbered.withColumn("n_tokens", length))
+            return assign_token_batches(written, token_budget, "n_tokens")
+        return with_longest(assign_batches(numbered, batch_size), length, out="_batch_longest")
+
+    batched = training_examples(
+        keyed, vocab, tokenize, max_length=max_length, keys=("split", "_bucket", "_key", "id"), masked=False, place=place,
+    )
+    longest = "_batch_longest" if token_budget is None else "longest"
+    return pad_batches(batched, pad_id, longest=longest).drop("_batch_longest")
 
 
 def corpus_profile(records: DataFrame, out: str, length: Callable[[Column], Column] = word_count) -> DataFrame:

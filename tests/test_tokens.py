@@ -139,6 +139,25 @@ def test_rows_of_blocks_are_placed_without_texts_or_ids(spark, monkeypatch):
     assert not {"text", "_text", "input_ids"} & seen[0] and "input_ids" in seen[1]
 
 
+@pytest.mark.parametrize("budget", [None, 150])
+def test_training_batches_beyond_a_broadcast_do_not_sort_ids(corpus, monkeypatch, budget):
+    """The same batches, and what is numbered and batched has no ids."""
+    kinds = {}
+    for fits in (True, False):
+        monkeypatch.setattr(tok.lookup, "fits_broadcast", lambda *_, fits=fits: fits)
+        kinds[fits] = training_batches(corpus, 0, max_length=50, token_budget=budget)
+    def nodes(plan):
+        yield plan
+        for k in range(plan.children().size()):
+            yield from nodes(plan.children().apply(k))
+
+    windows = [x for x in nodes(kinds[False]._jdf.queryExecution().optimizedPlan()) if x.nodeName() == "Window"]
+    assert windows and not any("input_ids" in x.output().mkString(",") for x in windows)
+    assert set(kinds[True].columns) == set(kinds[False].columns)
+    was, now = (sorted((r.split, r.id, sorted(r.asDict().items())) for r in kinds[fits].collect()) for fits in (True, False))
+    assert now == was and len(now) == 23
+
+
 def test_broadcast_encoding_moves_and_explodes_nothing(spark, vocab):
     df = materialize(spark.createDataFrame([(1, "a b")], "id int, text string"))
     plan = tok.encode(df, "text", materialize(vocab), ["id"])._jdf.queryExecution().executedPlan().toString()
