@@ -139,6 +139,39 @@ def _words(lists: pa.Array, most: int | None) -> tuple[pa.Array, np.ndarray]:
     return words, cuts
 
 
+def blocks(
+    batches: Iterator[pa.RecordBatch], text: str, most: int | None, most_bytes: int, most_rows: int
+) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray]]:
+    """Rows without their text, the first ``most`` words of each, and where each row's begin and the last's end.
+
+    A block is filled from as many batches as it takes to have about ``most_bytes`` of words or ``most_rows`` rows.
+    """
+    held, size, count = [], 0, 0
+    for piece in pieces(batches, [text], most_bytes, most_rows):
+        words, cuts = split_text(piece.column(text), most)
+        own = pc.sum(pc.binary_length(words)).as_py() or 0
+        if held and (size + own > most_bytes or count + piece.num_rows > most_rows):
+            yield _one_block(held)
+            held, size, count = [], 0, 0
+        # a copy, so that the batch with the whole texts can go
+        rows = piece.drop_columns([text]).take(pa.array(np.arange(piece.num_rows)))
+        held.append((rows, words, np.diff(cuts)))
+        size, count = size + own, count + piece.num_rows
+    if held:
+        yield _one_block(held)
+
+
+def _one_block(held: list[tuple[pa.RecordBatch, pa.Array, np.ndarray]]) -> tuple[pa.RecordBatch, pa.Array, np.ndarray]:
+    rows, words, counts = zip(*held)
+    return pa.concat_batches(rows), pa.concat_arrays(words), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+
+
+def count_words(texts: pa.Array) -> pa.Array:
+    """Words of each text; null for a null."""
+    counts = pa.array(np.diff(split_text(texts, None)[1]), pa.int32())
+    return pc.if_else(pc.is_valid(texts), counts, pa.scalar(None, pa.int32()))
+
+
 def lists_of(texts: pa.Array, table: Table, missing: int, most: int | None) -> pa.Array:
     """For each text the numbers of its words."""
     words, cuts = split_text(texts, most)
@@ -148,6 +181,17 @@ def lists_of(texts: pa.Array, table: Table, missing: int, most: int | None) -> p
     return pa.LargeListArray.from_arrays(pa.array(cuts, pa.int64()), pa.array(flat, pa.int64())).cast(pa.list_(pa.int64()))
 
 
+def count_udf():
+    """Column function: text -> number of its words, as ``functions.text.word_count`` but without a regular expression."""
+
+    @F.arrow_udf(T.IntegerType())
+    def counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield in_pieces([texts], count_words, pa.int32())
+
+    return counts
+
+
 def number_udf(table: Broadcast, missing: int, most: int | None = None):
     """Column function: text -> numbers of its first ``most`` words, from a broadcast table."""
 

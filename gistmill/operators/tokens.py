@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from gistmill import fixed_values as fx
 from gistmill.functions import arrays, wordtable
 from gistmill.functions.chat import ChatTemplate, render_example
-from gistmill.functions.text import squeeze_whitespace, word_count
+from gistmill.functions.text import squeeze_whitespace
 from gistmill.operators import lookup
 from gistmill.operators.ordering import rank_rows
 from gistmill.session import compute_once, materialize
@@ -28,16 +28,16 @@ PAD_ID, UNKNOWN_ID, RESERVED = 0, 1, 2
 _PLACE_BITS = 27
 #: From rows and a Column of their numbers of ids to the same rows with more columns.
 Place = Callable[[DataFrame, Column], DataFrame]
-#: Texts that ask for their distinct words together.
-BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 1 << 16
+#: Words, and texts they are of, that are counted or asked for together.
+BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 1 << 16
 
 
 def vocabulary(texts: DataFrame, text: str) -> DataFrame:
     """``(token, n, token_id)``: ids by count descending, then token, after the reserved ones for padding and unknown words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in wordtable.pieces(batches, ["_text"], BLOCK_BYTES, BLOCK_ROWS):
-            found = pc.value_counts(wordtable.split_text(batch.column("_text"), None)[0])
+        for _, words, _ in wordtable.blocks(batches, "_text", None, BLOCK_BYTES, BLOCK_ROWS):
+            found = pc.value_counts(words)
             yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts")], ["token", "n"])
 
     found = texts.select(F.col(text).alias("_text")).mapInArrow(count, "token string, n long")
@@ -87,8 +87,7 @@ def _encode_in_blocks(
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        for batch in wordtable.pieces(batches, ["_text"], BLOCK_BYTES, BLOCK_ROWS):
-            words, cuts = wordtable.split_text(batch.column("_text"), max_length)
+        for batch, words, cuts in wordtable.blocks(batches, "_text", max_length, BLOCK_BYTES, BLOCK_ROWS):
             coded = words.dictionary_encode()
             codes = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), coded.indices.cast(pa.int32()))
             held = pa.RecordBatch.from_arrays([*[batch.column(k) for k in held_keys], codes], [*held_keys, "_codes"])
@@ -218,7 +217,7 @@ def training_examples(
         )
         encoded = place(encoded, F.size("input_ids")) if place else encoded
     else:
-        rendered = records.select(*keys, full.alias("_full"), word_count(prompt).alias("prompt_length"))
+        rendered = records.select(*keys, full.alias("_full"), wordtable.count_udf()(prompt).alias("prompt_length"))
         encoded = encode(rendered, "_full", vocab, [*keys, "prompt_length"], max_length, place=place)
     return with_completion_mask(encoded, "prompt_length") if masked else encoded
 

@@ -112,6 +112,37 @@ def test_shuffled_encoding_moves_a_word_once_a_block(spark, monkeypatch):
     assert "Generate" not in plan and "Aggregate" not in plan
 
 
+def test_blocks_are_filled_from_many_batches_by_the_words_they_keep(spark, monkeypatch):
+    """What is cut from long texts and where Arrow's batches end do not make blocks smaller: a word is asked for once."""
+    rows = [(k, " ".join([f"w{k % 3}"] * 3 + ["x" * 50] * 40) if k % 7 else None) for k in range(60)]
+    df = spark.createDataFrame(rows, "id int, text string").coalesce(1)
+    vocab = spark.createDataFrame([(f"w{k}", k + 2) for k in range(3)], "token string, token_id long")
+    written = []
+    monkeypatch.setattr(tok, "BLOCK_BYTES", 4096)
+    monkeypatch.setattr(tok, "materialize", lambda df: written.append(materialize(df)) or written[-1])
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        encoded = tok.encode(df, "text", vocab, ["id"], 3, broadcast_bytes=-1)
+        assert sorted((r.id, r.input_ids) for r in encoded.collect()) == [(k, [k % 3 + 2] * 3 if t else []) for k, t in rows]
+        counted = {r.token: r.n for r in tok.vocabulary(df, "text").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert written[0].filter("payload is not null").count() == 1 and written[0].filter("token is not null").count() == 3
+    assert counted == Counter(w for _, t in rows for w in (t or "").split())
+
+
+def test_prompts_are_counted_without_a_regular_expression(spark, corpus, vocab):
+    texts = [None, "", " \t", "a", *[f"{c}a{c}{c}b {c}" for c in re.findall(r"\s", "".join(map(chr, range(0x3001))))]] * 3
+    assert apply(spark, wordtable.count_udf(), texts) == [None if t is None else len(t.split()) for t in texts]
+    assert wordtable.count_words(pa.array(["x", "a b", None, ""]).slice(1)).to_pylist() == [2, None, 0]
+    examples = tok.training_examples(corpus, vocab)
+    assert "regexp" not in examples._jdf.queryExecution().optimizedPlan().toString().lower()
+    lengths = {r.id: r.prompt_length for r in examples.collect()}
+    prompts = corpus.select("id", chat.render_example(F.col("abstract")).alias("p")).collect()
+    assert lengths == {r.id: len(r.p.split()) for r in prompts}
+
+
 def test_rows_of_blocks_are_placed_without_texts_or_ids(spark, monkeypatch):
     """Left-padded batches in an order with repeated rows, empty and null texts: as by brute force, from blocks and by broadcast."""
     texts = {k: None if k % 13 == 5 else " ".join(f"w{(k * j) % 9}" for j in range(k % 6)) for k in range(40)}
