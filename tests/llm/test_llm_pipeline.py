@@ -7,10 +7,12 @@ import duckdb
 import public_tokenizers
 import pytest
 from cases import corpus, vocabulary
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
+from gistmill.llm.tables import packed_blocks
 
 SMALL = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -139,6 +141,30 @@ def test_stages_on_awkward_rows(spark, tmp_path):
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).isEmpty()
 
 
+@pytest.mark.parametrize("changed", [True, False])
+def test_stages_carry_a_text_once(spark, changed):
+    """What an operator packs and shuffles holds each id and text once, and other columns under any name."""
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [(i, "".join(rng.choices(letters, k=2_000)), "en", 2_000, f"r{i}") for i in range(200)] + [(None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars int, _row string")
+    weight = lambda df: packed_blocks(df, "doc_id", "text").agg(F.sum(F.length("payload"))).first()[0]
+    weights = []
+
+    def operator(df):
+        weights.append(weight(df))
+        return df.withColumn("text", F.upper("text")) if changed else df
+
+    for columns in (docs.columns, ["text", "doc_id"]):
+        some = docs.select(columns)
+        out = corpus_pipeline._applied(operator, some, changed)
+        assert out.dtypes == some.dtypes
+        expected = some.withColumn("text", F.upper("text")) if changed else some
+        assert sorted(map(str, out.collect())) == sorted(map(str, expected.collect()))
+    plain = weight(docs.select("doc_id", "text"))
+    assert plain > 200_000 and max(weights) < 1.2 * plain
+
+
 ELSEWHERE = """
 import sys
 sys.path.insert(0, {root!r})
